@@ -23,6 +23,7 @@ RETRIEVAL_TOOL = "rag_retrieval"
 DEFAULT_CHARACTER = "normal"
 DEFAULT_TONE = 50
 DEFAULT_ILLUSTRATION = "none"
+ACCEPT_STATUS = 200
 REJECT_STATUS = 400
 REJECT_CODE = "BAD_REQUEST"
 REJECT_DETAILS = "The 'question' field is required"

@@ -57,7 +57,7 @@ def hashed_vector(text: Column, dim: int = HASH_DIM) -> Column:
     return let(buckets, of_sorted)
 
 
-def to_matrix(vectors: pd.Series, dim: int) -> np.ndarray:
+def to_matrix(vectors: pd.Series | list, dim: int) -> np.ndarray:
     """Rows of a vector column as a dense float64 matrix."""
     out = np.zeros((len(vectors), dim))
     for row, vec in enumerate(vectors):

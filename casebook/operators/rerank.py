@@ -43,15 +43,16 @@ def rerank(
 
     @F.pandas_udf("array<int>")
     def pick(query_vecs: pd.Series, item_vecs: pd.Series) -> pd.Series:
+        queries = to_matrix([v[0] for v in query_vecs], dim)
         return pd.Series(
             [
-                _diverse_order(to_matrix(pd.Series([q]), dim)[0], to_matrix(pd.Series(list(v)), dim), k, weight)
-                for q, v in zip(query_vecs, item_vecs)
+                _diverse_order(query, to_matrix(list(items), dim), k, weight)
+                for query, items in zip(queries, item_vecs)
             ]
         )
 
     grouped = candidates.groupBy("query_id").agg(
-        F.first("query_vec").alias("query_vec"),
+        F.first(F.array("query_vec")).alias("query_vec"),
         F.array_sort(F.collect_list(F.struct("rank", "item_id", "vec"))).alias("items"),
     )
     picked = grouped.select(

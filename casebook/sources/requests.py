@@ -33,7 +33,7 @@ def mark_rejects(df: DataFrame, question: str = "question") -> DataFrame:
     valid = F.coalesce(F.col(question) != "", F.lit(False))
     return df.withColumn("valid", valid).withColumns(
         {
-            "status": F.when(~valid, F.lit(V.REJECT_STATUS)),
+            "status": F.when(valid, V.ACCEPT_STATUS).otherwise(V.REJECT_STATUS),
             "code": F.when(~valid, F.lit(V.REJECT_CODE)),
             "details": F.when(~valid, F.lit(V.REJECT_DETAILS)),
         }

@@ -8,24 +8,30 @@ from pyspark.sql.streaming import StreamingQuery
 from casebook.operators.badges import merge_tallies, tally
 
 
-def _version(folder: str, number: int) -> str:
-    return f"{folder}/version={number}"
+def slot(folder: str, number: int) -> str:
+    """Two slots are enough: batch n reads the one of n - 1 and writes its own."""
+    return f"{folder}/slot-{number % 2}"
+
+
+def last_batch(query: StreamingQuery) -> int:
+    """Number of the last batch that had input."""
+    return max(p["batchId"] for p in query.recentProgress if p["numInputRows"] > 0)
 
 
 def start_tally(earned: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Keep a tally table of a stream of earned badges (user_id, badge_id, ts).
 
     Each micro-batch is tallied on its own and merged with the table of the batch
-    before into a new version. A batch that is run again after a failure writes
-    the same version again, so nothing is counted twice.
+    before. A batch that is run again after a failure writes the same slot from
+    the same input, so nothing is counted twice.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         change = tally(batch)
         if number > 0:
-            stored = batch.sparkSession.read.parquet(_version(folder, number - 1))
+            stored = batch.sparkSession.read.parquet(slot(folder, number - 1))
             change = merge_tallies(stored, change)
-        change.write.mode("overwrite").parquet(_version(folder, number))
+        change.write.mode("overwrite").parquet(slot(folder, number))
 
     return (
         earned.writeStream.foreachBatch(merge)
@@ -37,4 +43,4 @@ def start_tally(earned: DataFrame, folder: str, checkpoint: str) -> StreamingQue
 
 def read_tally(query: StreamingQuery, folder: str, spark) -> DataFrame:
     """The table of the last finished batch."""
-    return spark.read.parquet(_version(folder, query.lastProgress["batchId"]))
+    return spark.read.parquet(slot(folder, last_batch(query)))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from casebook.streaming.badges import last_batch, slot
+
 
 def start_deduplicated(
     messages: DataFrame, keys: list[str], time: str, delay: str, folder: str, checkpoint: str
@@ -34,16 +36,16 @@ def _latest(rows: DataFrame) -> DataFrame:
 def start_upsert(messages: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Keep a table of the latest content per message id at its first position.
 
-    ``messages(conv_id, msg_id, seq, role, text)``. Every batch writes a new
-    version of the table from the version before, so a repeated batch is harmless.
+    ``messages(conv_id, msg_id, seq, role, text)``. Every batch writes the
+    table anew from the one of the batch before, so a repeated batch is harmless.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         rows = _latest(batch.withColumn("position", F.col("seq")))
         if number > 0:
-            stored = batch.sparkSession.read.parquet(f"{folder}/version={number - 1}")
+            stored = batch.sparkSession.read.parquet(slot(folder, number - 1))
             rows = _latest(stored.unionByName(rows))
-        rows.write.mode("overwrite").parquet(f"{folder}/version={number}")
+        rows.write.mode("overwrite").parquet(slot(folder, number))
 
     return (
         messages.writeStream.foreachBatch(merge)
@@ -54,4 +56,4 @@ def start_upsert(messages: DataFrame, folder: str, checkpoint: str) -> Streaming
 
 
 def read_upserted(query: StreamingQuery, folder: str, spark) -> DataFrame:
-    return spark.read.parquet(f"{folder}/version={query.lastProgress['batchId']}").drop("seq")
+    return spark.read.parquet(slot(folder, last_batch(query))).drop("seq")
