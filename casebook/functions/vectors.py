@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,8 +58,8 @@ def hashed_vector(text: Column, dim: int = HASH_DIM) -> Column:
     return let(buckets, of_sorted)
 
 
-def to_matrix(vectors: pd.Series | list, dim: int) -> np.ndarray:
-    """Rows of a vector column as a dense float64 matrix."""
+def to_matrix(vectors: list | pd.Series, dim: int) -> np.ndarray:
+    """Vectors as Python values (arrays, or records with idx and val) as a dense matrix."""
     out = np.zeros((len(vectors), dim))
     for row, vec in enumerate(vectors):
         if isinstance(vec, dict) or hasattr(vec, "asDict"):
@@ -68,6 +69,19 @@ def to_matrix(vectors: pd.Series | list, dim: int) -> np.ndarray:
     return out
 
 
+def arrow_matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """An Arrow vector column as a dense matrix, without a loop over its rows."""
+    if pa.types.is_struct(column.type):
+        idx, val = column.field("idx"), column.field("val")
+        lengths = np.diff(idx.offsets.to_numpy())
+        out = np.zeros((len(column), dim))
+        out[np.repeat(np.arange(len(column)), lengths), idx.flatten().to_numpy()] = (
+            val.flatten().to_numpy()
+        )
+        return out
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
     norm = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
     return matrix / np.where(norm == 0, 1.0, norm)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casebook import fixed_values as V
-from casebook.operators.ordering import MAX_GROUP_ROWS, first_k, numbered
+from casebook.operators.ordering import MAX_GROUP_ROWS, first_k, running_totals
 
 
 def tally(earned: DataFrame) -> DataFrame:
@@ -69,13 +67,11 @@ def collection_totals(tallies: DataFrame) -> DataFrame:
 def win_streaks(sessions: DataFrame, max_group: int = MAX_GROUP_ROWS) -> DataFrame:
     """Won sessions with the number of their run of consecutive wins.
 
-    ``sessions(user_id, ts, event_id, won)``. Rows of one run share the
-    difference between their number among all sessions and among the wins.
+    ``sessions(user_id, ts, event_id, won)``. Wins of one run have the same number
+    of lost sessions before them.
     """
-    order = ["ts", "event_id"]
-    every = numbered(sessions, ["user_id"], order, "n_all", max_group)
-    won = numbered(every.filter("won"), ["user_id"], order, "n_won", max_group)
-    return won.withColumn("run", F.col("n_all") - F.col("n_won"))
+    lost = {"run": F.when(F.col("won"), 0).otherwise(1)}
+    return running_totals(sessions, ["user_id"], ["ts", "event_id"], lost, max_group).filter("won")
 
 
 def streak_summary(runs: DataFrame) -> DataFrame:
@@ -93,21 +89,28 @@ def career_badges(sessions: DataFrame, max_group: int = MAX_GROUP_ROWS) -> DataF
     ``sessions(user_id, ts, event_id, role, won)``, one row per completed session.
     """
     order = [F.col("ts"), F.col("event_id")]
-    wins = sessions.filter("won")
 
-    def earned(df: DataFrame, badge: str) -> DataFrame:
-        return df.groupBy("user_id").agg(F.min("ts").alias("earned_at")).select(
+    def first_time(test: Column) -> Column:
+        return F.min(F.when(test, F.col("ts")))
+
+    won = F.col("won")
+    wins = (
+        sessions.groupBy("user_id")
+        .agg(
+            first_time(won).alias("first_win"),
+            first_time(won & (F.col("role") == "defendant")).alias("defender"),
+            first_time(won & (F.col("role") == "plaintiff")).alias("prosecutor"),
+        )
+        .unpivot("user_id", ["first_win", "defender", "prosecutor"], "badge_id", "earned_at")
+        .filter(F.col("earned_at").isNotNull())
+    )
+
+    def nth(df: DataFrame, keys: list[str], n: int, badge: str) -> DataFrame:
+        reached = first_k(df, keys, order, n).filter(F.col("n") == n)
+        return reached.groupBy("user_id").agg(F.min("ts").alias("earned_at")).select(
             "user_id", F.lit(badge).alias("badge_id"), "earned_at"
         )
 
-    def nth(df: DataFrame, keys: list[str], n: int) -> DataFrame:
-        return first_k(df, keys, order, n).filter(F.col("n") == n)
-
-    parts = [
-        earned(wins, "first_win"),
-        earned(nth(win_streaks(sessions, max_group), ["user_id", "run"], V.STREAK_LENGTH), "streak_3"),
-        earned(nth(sessions, ["user_id"], V.MASTER_SESSIONS), "master"),
-        earned(wins.filter(F.col("role") == "defendant"), "defender"),
-        earned(wins.filter(F.col("role") == "plaintiff"), "prosecutor"),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    streak = nth(win_streaks(sessions, max_group), ["user_id", "run"], V.STREAK_LENGTH, "streak_3")
+    master = nth(sessions, ["user_id"], V.MASTER_SESSIONS, "master")
+    return wins.unionByName(streak).unionByName(master)

@@ -19,12 +19,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casebook.fixed_values import FETCH_K
-from casebook.functions.vectors import DIGITS, squared_distances, to_matrix, unit_rows
+from casebook.functions.vectors import (
+    DIGITS,
+    arrow_matrix,
+    squared_distances,
+    to_matrix,
+    unit_rows,
+)
 from casebook.operators.ordering import first_k, spread
 
 # A query matrix of at most this many numbers (32 MB) may be sent to every task.
@@ -59,24 +65,33 @@ def _tile_candidates(q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, limi
     return rows, ids[cols], dist[rows, cols]
 
 
+def _matrix(column: pa.Array, dim: int, cosine: bool) -> np.ndarray:
+    matrix = arrow_matrix(column, dim)
+    return unit_rows(matrix) if cosine else matrix
+
+
+def _hits(query: np.ndarray, item: np.ndarray, dist: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(
+        {"query_id": pa.array(query), "item_id": pa.array(item), "distance": pa.array(dist)}
+    )
+
+
 def _scan_kernel(query_ids, matrix, k: int, dim: int, cosine: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = query_ids.value, matrix.value
-        step = max(k + 1, MAX_TILE // max(1, len(ids)))
+        step = max(k + 1, min(BLOCK_ROWS, MAX_TILE // max(1, len(ids))))
         best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         limit = np.full(len(ids), np.inf)
         for batch in batches:
-            for at in range(0, len(batch), step):
-                part = batch.iloc[at : at + step]
-                v = to_matrix(part["vec"], dim)
-                if cosine:
-                    v = unit_rows(v)
-                new = _tile_candidates(q, part["item_id"].to_numpy(), v, k, limit)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                v = _matrix(part.column("vec"), dim, cosine)
+                new = _tile_candidates(q, part.column("item_id").to_numpy(), v, k, limit)
                 best = _best(*(np.concatenate(p) for p in zip(best, new)), k)
                 full, counts = np.unique(best[0], return_counts=True)
                 ends = np.cumsum(counts) - 1
                 limit[full[counts == k]] = best[2][ends[counts == k]]
-        yield pd.DataFrame({"query_id": ids[best[0]], "item_id": best[1], "distance": best[2]})
+        yield _hits(ids[best[0]], best[1], best[2])
 
     return run
 
@@ -86,11 +101,6 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
     return ranked.select("query_id", "item_id", F.col("rank").cast("bigint"), "distance")
 
 
-def _query_matrix(pdf: pd.DataFrame, dim: int, cosine: bool) -> np.ndarray:
-    matrix = to_matrix(pdf["vec"], dim)
-    return unit_rows(matrix) if cosine else matrix
-
-
 def nearest(
     queries: DataFrame,
     collection: DataFrame,
@@ -106,13 +116,14 @@ def nearest(
     """
     cosine = metric == "cosine"
     cap = max(1, max_numbers // dim)
-    head = queries.select("query_id", "vec").limit(cap + 1).toPandas()
+    head = queries.select("query_id", "vec").limit(cap + 1).collect()
     if len(head) > cap:
         return nearest_by_cells(queries, collection, dim, k, metric)
     context = collection.sparkSession.sparkContext
-    ids = context.broadcast(head["query_id"].to_numpy())
-    matrix = context.broadcast(_query_matrix(head, dim, cosine))
-    hits = spread(collection.select("item_id", "vec")).mapInPandas(
+    rows = to_matrix([r["vec"] for r in head], dim)
+    ids = context.broadcast(np.array([r["query_id"] for r in head], dtype=np.int64))
+    matrix = context.broadcast(unit_rows(rows) if cosine else rows)
+    hits = spread(collection.select("item_id", "vec")).mapInArrow(
         _scan_kernel(ids, matrix, k, dim, cosine), HIT_SCHEMA
     )
     return _ranked(hits, k)
@@ -127,24 +138,42 @@ def choose_pivots(collection: DataFrame, dim: int, cosine: bool, pivots: int = P
         collection.select("item_id", "vec")
         .orderBy(F.xxhash64("item_id"), "item_id")
         .limit(4 * pivots)
-        .toPandas()
+        .collect()
     )
-    matrix = _query_matrix(head, dim, cosine)
+    matrix = to_matrix([r["vec"] for r in head], dim)
+    if cosine:
+        matrix = unit_rows(matrix)
     _, first = np.unique(matrix, axis=0, return_index=True)
     return matrix[np.sort(first)[:pivots]]
 
 
-def _assign(pivot_matrix, dim: int, cosine: bool):
-    def run(batches):
+def _drop_spare_copies(matrix: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Rows to keep: of equal vectors only the ``k`` smallest ids can ever be a hit."""
+    whole = np.ascontiguousarray(matrix).view(np.dtype((np.void, matrix.dtype.itemsize * matrix.shape[1])))
+    _, group = np.unique(whole.ravel(), return_inverse=True)
+    keep = _best(group, np.arange(len(ids)), ids, k)[1]
+    return np.sort(keep)
+
+
+def _assign(pivot_matrix, dim: int, k: int, cosine: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = pivot_matrix.value
         for batch in batches:
-            for at in range(0, len(batch), BLOCK_ROWS):
-                part = batch.iloc[at : at + BLOCK_ROWS]
-                dist = squared_distances(_query_matrix(part, dim, cosine), pivots)
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(at, BLOCK_ROWS)
+                v = _matrix(part.column("vec"), dim, cosine)
+                keep = _drop_spare_copies(v, part.column("id").to_numpy(), k)
+                part = part.take(pa.array(keep))
+                dist = squared_distances(v[keep], pivots)
                 cell = dist.argmin(axis=1)
-                yield part.assign(
-                    cell=cell.astype("int32"),
-                    radius=np.sqrt(dist[np.arange(len(part)), cell]),
+                radius = np.sqrt(dist[np.arange(len(keep)), cell])
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "id": part.column("id"),
+                        "vec": part.column("vec"),
+                        "cell": pa.array(cell.astype(np.int32)),
+                        "radius": pa.array(radius),
+                    }
                 )
 
     return run
@@ -153,24 +182,32 @@ def _assign(pivot_matrix, dim: int, cosine: bool):
 def _route(pivot_matrix, summary, dim: int, k: int, cosine: bool):
     """For each query the cells that can hold one of its ``k`` nearest."""
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = pivot_matrix.value
         low, high, near = summary.value
         between = np.sqrt(squared_distances(pivots, pivots))
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                d = np.sqrt(squared_distances(_query_matrix(part, dim, cosine), pivots))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = np.arange(part.num_rows)
+                d = np.sqrt(squared_distances(_matrix(part.column("vec"), dim, cosine), pivots))
                 # k items are known to lie within this distance.
-                reach = (d[:, :, None] + near[None, :, :]).reshape(len(part), -1)
+                reach = (d[:, :, None] + near[None, :, :]).reshape(len(rows), -1)
                 bound = np.partition(reach, k - 1, axis=1)[:, k - 1] + BOUND_SLACK
                 own = d.argmin(axis=1)
                 gap = np.where(between[own] > 0, between[own], 1.0)
-                half = (d**2 - (d[np.arange(len(part)), own] ** 2)[:, None]) / (2 * gap)
+                half = (d**2 - (d[rows, own] ** 2)[:, None]) / (2 * gap)
                 least = np.maximum.reduce([d - high[None, :], low[None, :] - d, half])
-                # A bound that is not a number (fewer than k items) keeps every cell.
-                visit = ~(least > bound[:, None]) & np.isfinite(high)[None, :]
-                yield part.assign(cells=[np.nonzero(v)[0].astype("int32") for v in visit])
+                visit = (least <= bound[:, None]) & np.isfinite(high)[None, :]
+                query, cell = np.nonzero(visit)
+                sent = part.take(pa.array(query))
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "id": sent.column("id"),
+                        "vec": sent.column("vec"),
+                        "cell": pa.array(cell.astype(np.int32)),
+                    }
+                )
 
     return run
 
@@ -178,40 +215,31 @@ def _route(pivot_matrix, summary, dim: int, k: int, cosine: bool):
 def _block_kernel(dim: int, k: int, cosine: bool):
     """Rows arrive sorted by block, items first: hold one block, stream its queries."""
 
-    def run(batches):
-        block, item_ids, items, vectors = None, [], [], None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, vectors = None, [], []
         for batch in batches:
+            tags = np.stack([batch.column(c).to_numpy() for c in ("cell", "split", "side")], axis=1)
             # Runs of equal (cell, split, side) inside the batch.
-            tags = batch[["cell", "split", "side"]].to_numpy()
             edges = np.flatnonzero(np.any(tags[1:] != tags[:-1], axis=1)) + 1
-            for lo, hi in zip(np.r_[0, edges], np.r_[edges, len(batch)]):
+            for lo, hi in zip(np.r_[0, edges], np.r_[edges, len(tags)]):
                 cell, split, side = tags[lo]
-                part = batch.iloc[lo:hi]
+                part = batch.slice(lo, hi - lo)
                 if (cell, split) != block:
-                    block, item_ids, items, vectors = (cell, split), [], [], None
+                    block, ids, vectors = (cell, split), [], []
                 if side == 0:
-                    item_ids.append(part["id"].to_numpy())
-                    items.append(_query_matrix(part, dim, cosine))
-                    vectors = None
+                    ids.append(part.column("id").to_numpy())
+                    vectors.append(_matrix(part.column("vec"), dim, cosine))
                     continue
-                if not items:
+                if not ids:
                     continue
-                if vectors is None:
-                    vectors, ids = np.concatenate(items), np.concatenate(item_ids)
-                    item_ids, items = [ids], [vectors]
-                step = max(1, MAX_TILE // len(vectors))
-                for at in range(0, len(part), step):
-                    some = part.iloc[at : at + step]
-                    q = _query_matrix(some, dim, cosine)
-                    found = _tile_candidates(q, ids, vectors, k, np.full(len(some), np.inf))
-                    rows, item, dist = _best(*found, k)
-                    yield pd.DataFrame(
-                        {
-                            "query_id": some["id"].to_numpy()[rows],
-                            "item_id": item,
-                            "distance": dist,
-                        }
-                    )
+                ids, vectors = [np.concatenate(ids)], [np.concatenate(vectors)]
+                step = max(1, MAX_TILE // len(ids[0]))
+                for at in range(0, part.num_rows, step):
+                    some = part.slice(at, step)
+                    q = _matrix(some.column("vec"), dim, cosine)
+                    free = np.full(len(q), np.inf)
+                    found = _best(*_tile_candidates(q, ids[0], vectors[0], k, free), k)
+                    yield _hits(some.column("id").to_numpy()[found[0]], found[1], found[2])
 
     return run
 
@@ -225,7 +253,11 @@ def nearest_by_cells(
     pivots: int = PIVOTS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Same result as ``nearest`` for a query table of any size."""
+    """Same result as ``nearest`` for a query table of any size.
+
+    Equal query vectors are searched once, and spare copies of equal items are
+    dropped before the shuffle, so copies do not multiply the work.
+    """
     cosine = metric == "cosine"
     context = collection.sparkSession.sparkContext
     pivot_rows = choose_pivots(collection, dim, cosine, pivots)
@@ -234,8 +266,8 @@ def nearest_by_cells(
     pivot_matrix = context.broadcast(pivot_rows)
     source = collection.select(F.col("item_id").alias("id"), "vec")
     vec_type = source.schema["vec"].dataType.simpleString()
-    assigned = spread(source).mapInPandas(
-        _assign(pivot_matrix, dim, cosine),
+    assigned = spread(source).mapInArrow(
+        _assign(pivot_matrix, dim, k, cosine),
         f"id bigint, vec {vec_type}, cell int, radius double",
     )
 
@@ -244,33 +276,35 @@ def nearest_by_cells(
     stats = (
         radii.groupBy("cell")
         .agg(F.count("*").alias("rows"), F.min("radius").alias("low"), F.max("radius").alias("high"))
-        .toPandas()
+        .collect()
     )
-    near_rows = first_k(radii, ["cell"], [F.col("radius"), F.col("id")], k).toPandas()
     n = len(pivot_rows)
     low, high, near = np.full(n, np.inf), np.full(n, np.inf), np.full((n, k), np.inf)
-    splits = np.zeros(n, dtype=np.int64)
-    cells = stats["cell"].to_numpy()
-    low[cells], high[cells] = stats["low"], stats["high"]
-    splits[cells] = -(-stats["rows"].to_numpy() // block_rows)
-    near[near_rows["cell"], near_rows["n"] - 1] = near_rows["radius"]
-
-    split_count = F.array(*[F.lit(int(s)) for s in splits])
-    block_of = F.pmod(F.xxhash64("id"), F.get(split_count, F.col("cell")))
-    items = assigned.select("cell", block_of.alias("split"), F.lit(0).alias("side"), "id", "vec")
-    asked = queries.select(F.col("query_id").alias("id"), "vec")
+    blocks = [0] * n
+    for row in stats:
+        low[row.cell], high[row.cell] = row.low, row.high
+        blocks[row.cell] = -(-row.rows // block_rows)
+    for row in first_k(radii, ["cell"], [F.col("radius"), F.col("id")], k).collect():
+        near[row.cell, row.n - 1] = row.radius
+
+    block_count = F.get(F.array(*[F.lit(b).cast("bigint") for b in blocks]), F.col("cell"))
+    items = assigned.select(
+        "cell",
+        F.pmod(F.xxhash64("id"), block_count).alias("split"),
+        F.lit(0).alias("side"),
+        "id",
+        "vec",
+    )
+    distinct = queries.groupBy("vec").agg(F.min("query_id").alias("id")).select("id", "vec")
     routed = (
-        spread(asked)
-        .mapInPandas(
+        spread(distinct)
+        .mapInArrow(
             _route(pivot_matrix, context.broadcast((low, high, near)), dim, k, cosine),
-            f"id bigint, vec {asked.schema['vec'].dataType.simpleString()}, cells array<int>",
+            f"id bigint, vec {distinct.schema['vec'].dataType.simpleString()}, cell int",
         )
-        .select("id", "vec", F.explode("cells").alias("cell"))
         .select(
             "cell",
-            F.explode(
-                F.sequence(F.lit(0).cast("bigint"), F.get(split_count, F.col("cell")) - 1)
-            ).alias("split"),
+            F.explode(F.sequence(F.lit(0).cast("bigint"), block_count - 1)).alias("split"),
             F.lit(1).alias("side"),
             "id",
             "vec",
@@ -280,6 +314,10 @@ def nearest_by_cells(
         items.unionByName(routed)
         .repartition("cell", "split")
         .sortWithinPartitions("cell", "split", "side")
-        .mapInPandas(_block_kernel(dim, k, cosine), HIT_SCHEMA)
+        .mapInArrow(_block_kernel(dim, k, cosine), HIT_SCHEMA)
+    )
+    ranked = _ranked(hits, k)
+    same = queries.select("query_id", "vec").join(distinct, "vec").select("query_id", "id")
+    return ranked.withColumnRenamed("query_id", "id").join(same, "id").select(
+        "query_id", "item_id", "rank", "distance"
     )
-    return _ranked(hits, k)

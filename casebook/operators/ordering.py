@@ -34,54 +34,62 @@ def first_k(df: DataFrame, keys: list[str], order: list[Column], k: int, name: s
     return df.withColumn(name, rank).filter(F.col(name) <= F.lit(k))
 
 
-def numbered(
+def running_totals(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    name: str = "n",
+    totals: dict[str, Column],
     max_group: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """Number all rows of each group from 1 by ``order`` (ascending, keys not null).
+    """Add running sums within each group by ``order`` (ascending, keys not null).
 
     While every group fits one task this is a plain window. Beyond that the large
-    groups are split at quantiles of the first order column; each part is
-    numbered on its own and shifted by the rows in the parts before it.
+    groups are split at quantiles of the first order column; each part is summed
+    on its own and shifted by the sums of the parts before it.
     """
-    by_group = df.groupBy(*keys).count()
-    largest = by_group.agg(F.max("count")).first()[0] or 0
-    window_order = [F.col(c) for c in order]
+    sizes = df.groupBy(*keys).count()
+    largest = sizes.agg(F.max("count")).first()[0] or 0
+    df = df.withColumns({f"_{name}": value.cast("bigint") for name, value in totals.items()})
+    values = [f"_{name}" for name in totals]
+
+    def summed(frame: DataFrame, within: list[str]) -> DataFrame:
+        window = W.partitionBy(*within).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        return frame.withColumns({v[1:]: F.sum(v).over(window) for v in values})
+
     if largest <= max_group:
-        rank = F.row_number().over(W.partitionBy(*keys).orderBy(*window_order))
-        return df.withColumn(name, rank.cast("bigint"))
+        return summed(df, keys).drop(*values)
 
     splits = min(MAX_SPLITS, math.ceil(largest / max_group) * 2)
     shares = [i / splits for i in range(1, splits)]
-    hot = by_group.filter(F.col("count") > max_group).select(*keys)
+    hot = sizes.filter(F.col("count") > max_group).select(*keys)
     cuts = (
         df.join(hot, keys, "left_semi")
         .groupBy(*keys)
         .agg(F.percentile_approx(order[0], shares, 10 * splits).alias("_cuts"))
     )
     lead = F.col(order[0])
-    parted = (
-        df.join(cuts, keys, "left")
-        .withColumn(
-            "_part",
-            F.coalesce(F.size(F.filter("_cuts", lambda c: c < lead)), F.lit(0)),
-        )
-        .drop("_cuts")
-    )
+    part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < lead)), F.lit(0))
+    parted = df.join(cuts, keys, "left").withColumn("_part", part).drop("_cuts")
     before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     shifts = (
         parted.groupBy(*keys, "_part")
-        .count()
-        .withColumn("_shift", F.coalesce(F.sum("count").over(before), F.lit(0)))
-        .drop("count")
-    )
-    within = F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*window_order))
-    return (
-        parted.withColumn("_within", within)
-        .join(shifts, [*keys, "_part"])
-        .withColumn(name, (F.col("_within") + F.col("_shift")).cast("bigint"))
-        .drop("_within", "_shift", "_part")
+        .agg(*[F.sum(v).alias(v) for v in values])
+        .select(
+            *keys, "_part", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_shift{v}") for v in values]
+        )
     )
+    shifted = summed(parted, [*keys, "_part"]).join(shifts, [*keys, "_part"])
+    return shifted.withColumns(
+        {v[1:]: F.col(v[1:]) + F.col(f"_shift{v}") for v in values}
+    ).drop("_part", *values, *[f"_shift{v}" for v in values])
+
+
+def numbered(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    name: str = "n",
+    max_group: int = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """Number all rows of each group from 1."""
+    return running_totals(df, keys, order, {name: F.lit(1)}, max_group)

@@ -34,12 +34,14 @@ def rerank(
     dim: int,
     k: int = V.FINAL_K,
     weight: float = V.DIVERSITY_LAMBDA,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """``candidates(query_id, query_vec, item_id, rank, vec)`` to (query_id, item_id, pick).
+    """``candidates(query_id, query_vec, item_id, rank, vec)`` to (query_id, pick, item_id).
 
     At most ``fetch_k`` candidates per query, so a group is small by construction.
-    Ties go to the earlier candidate.
+    Ties go to the earlier candidate. Columns in ``carry`` stay with their item.
     """
+    kept = ["item_id", *(carry or [])]
 
     @F.pandas_udf("array<int>")
     def pick(query_vecs: pd.Series, item_vecs: pd.Series) -> pd.Series:
@@ -53,17 +55,14 @@ def rerank(
 
     grouped = candidates.groupBy("query_id").agg(
         F.first(F.array("query_vec")).alias("query_vec"),
-        F.array_sort(F.collect_list(F.struct("rank", "item_id", "vec"))).alias("items"),
+        F.array_sort(F.collect_list(F.struct("rank", *kept, "vec"))).alias("items"),
     )
-    picked = grouped.select(
-        "query_id",
-        F.col("items.item_id").alias("ids"),
-        pick("query_vec", F.col("items.vec")).alias("order"),
+    ordered = grouped.select(
+        "query_id", "items", F.posexplode(pick("query_vec", F.col("items.vec"))).alias("at", "i")
     )
-    return picked.select("query_id", "ids", F.posexplode("order").alias("at", "i")).select(
-        "query_id",
-        F.get("ids", F.col("i")).alias("item_id"),
-        (F.col("at") + 1).cast("bigint").alias("pick"),
+    item = F.get("items", F.col("i"))
+    return ordered.select(
+        "query_id", (F.col("at") + 1).cast("bigint").alias("pick"), *[item[c].alias(c) for c in kept]
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from casebook.operators.indexing import CHUNK_BITS, chunk_documents, embed_hashe
 from casebook.operators.nearest import MAX_BROADCAST_NUMBERS, nearest
 from casebook.operators.rerank import format_context, rerank, with_fallback
 from casebook.operators.routing import RETRIEVE, dispatch_tool_calls, route
+from casebook.session import written
 
 
 def index_chunks(documents: DataFrame, dim: int = HASH_DIM) -> DataFrame:
@@ -18,7 +21,29 @@ def index_chunks(documents: DataFrame, dim: int = HASH_DIM) -> DataFrame:
     return embed_hashed(chunk_documents(documents), dim=dim).filter(F.size("vec.idx") > 0)
 
 
-def retrieve(
+def _search(
+    items: DataFrame,
+    fetch: Callable[[DataFrame], DataFrame],
+    questions: DataFrame,
+    dim: int,
+    fetch_k: int,
+    k: int,
+    max_numbers: int,
+) -> DataFrame:
+    """First pass over ids and vectors only; then ``fetch`` the few rows that were hit."""
+    asked = (
+        embed_hashed(questions, "question", dim)
+        .filter(F.size("vec.idx") > 0)
+        .select("query_id", "vec")
+    )
+    hits = written(nearest(asked, items, dim, fetch_k, "cosine", max_numbers), "hits")
+    candidates = hits.join(fetch(hits), "item_id").join(
+        asked.withColumnRenamed("vec", "query_vec"), "query_id"
+    )
+    return rerank(candidates, dim, k, carry=["text"])
+
+
+def search_documents(
     documents: DataFrame,
     questions: DataFrame,
     dim: int = HASH_DIM,
@@ -26,37 +51,42 @@ def retrieve(
     k: int = V.FINAL_K,
     max_numbers: int = MAX_BROADCAST_NUMBERS,
 ) -> DataFrame:
-    """``questions(query_id, question)`` to (query_id, rank, item_id, text).
+    """``questions(query_id, question)`` against documents: (query_id, pick, item_id, text).
 
-    The first pass over the corpus carries ids and vectors only. The second one
-    reads just the documents that hold a candidate, to fetch vectors for the
-    re-rank and texts for the context.
+    Texts and vectors of the hits come from their documents alone, which are
+    selected before they are chunked.
     """
-    asked = (
-        embed_hashed(questions, "question", dim)
-        .filter(F.size("vec.idx") > 0)
-        .select("query_id", "vec")
-    )
+
+    def fetch(hits: DataFrame) -> DataFrame:
+        wanted = hits.select(F.shiftright("item_id", CHUNK_BITS).alias("doc_id")).distinct()
+        chunks = index_chunks(documents.join(wanted, "doc_id", "left_semi"), dim)
+        return chunks.select(F.col("chunk_id").alias("item_id"), "text", "vec")
+
     items = index_chunks(documents, dim).select(F.col("chunk_id").alias("item_id"), "vec")
-    hits = nearest(asked, items, dim, fetch_k, "cosine", max_numbers)
-    wanted = hits.select(F.shiftright("item_id", CHUNK_BITS).alias("doc_id")).distinct()
-    texts = index_chunks(documents.join(wanted, "doc_id", "left_semi"), dim).select(
-        F.col("chunk_id").alias("item_id"), "text", "vec"
-    )
-    candidates = hits.join(texts, "item_id").join(
-        asked.withColumnRenamed("vec", "query_vec"), "query_id"
-    )
-    picked = rerank(candidates.select("query_id", "query_vec", "item_id", "rank", "vec"), dim, k)
-    return picked.join(texts.select("item_id", "text"), "item_id").select(
-        "query_id", F.col("pick").alias("rank"), "item_id", "text"
-    )
+    return _search(items, fetch, questions, dim, fetch_k, k, max_numbers)
+
+
+def search_collection(
+    collection: DataFrame,
+    questions: DataFrame,
+    dim: int = HASH_DIM,
+    fetch_k: int = V.FETCH_K,
+    k: int = V.FINAL_K,
+    max_numbers: int = MAX_BROADCAST_NUMBERS,
+) -> DataFrame:
+    """The same against a stored collection (chunk_id, text, vec)."""
+    stored = collection.select(F.col("chunk_id").alias("item_id"), "text", "vec")
+
+    def fetch(hits: DataFrame) -> DataFrame:
+        return stored.join(hits.select("item_id").distinct(), "item_id", "left_semi")
+
+    return _search(stored.select("item_id", "vec"), fetch, questions, dim, fetch_k, k, max_numbers)
 
 
-def answer_contexts(documents: DataFrame, questions: DataFrame, dim: int = HASH_DIM) -> DataFrame:
+def contexts(questions: DataFrame, found: DataFrame) -> DataFrame:
     """(query_id, context) for every question, with the fallback where nothing was found."""
-    return with_fallback(
-        questions.select("query_id"), format_context(retrieve(documents, questions, dim))
-    )
+    hits = found.select("query_id", F.col("pick").alias("rank"), "text")
+    return with_fallback(questions.select("query_id"), format_context(hits))
 
 
 def tool_messages(log: DataFrame, documents: DataFrame, rules, dim: int = HASH_DIM) -> DataFrame:
@@ -65,15 +95,14 @@ def tool_messages(log: DataFrame, documents: DataFrame, rules, dim: int = HASH_D
 
     A text asked many times is retrieved once.
     """
-    calls = (
-        log.filter((F.col("role") == "user") & (route(F.col("text"), rules) == RETRIEVE))
-        .select("conv_id", "turn", "text")
-    )
+    calls = log.filter(
+        (F.col("role") == "user") & (route(F.col("text"), rules) == RETRIEVE)
+    ).select("conv_id", "turn", "text")
     asked = calls.groupBy(F.col("text").alias("question")).agg(
         F.min(F.shiftleft("conv_id", CHUNK_BITS) + F.col("turn")).alias("query_id")
     )
-    contexts = answer_contexts(documents, asked, dim)
-    results = asked.join(contexts, "query_id").select(
+    answers = contexts(asked, search_documents(documents, asked, dim))
+    results = asked.join(answers, "query_id").select(
         F.col("question").alias("query"), F.col("context").alias("result")
     )
     call = F.struct(
@@ -84,5 +113,3 @@ def tool_messages(log: DataFrame, documents: DataFrame, rules, dim: int = HASH_D
     return dispatch_tool_calls(
         calls.select("conv_id", "turn", F.array(call).alias("tool_calls")), results
     )
-
-

@@ -10,7 +10,15 @@ from casebook.operators.nearest import nearest, nearest_by_cells
 from casebook.operators.rerank import format_context, rerank, with_fallback
 from casebook.plans import inputs
 from casebook.plans import sql as S
-from casebook.plans.answering import answer_contexts, tool_messages
+from casebook.plans.answering import (
+    contexts,
+    index_chunks,
+    search_collection,
+    search_documents,
+    tool_messages,
+)
+from casebook.session import fresh_path
+from casebook.sources.collection import open_collection, write_collection
 
 
 def knn_topk(spark, folder):
@@ -49,11 +57,25 @@ def context_fallback(spark, folder):
     return with_fallback(asked, _contexts(spark, folder))
 
 
-def rag_batch(spark, folder):
-    questions = inputs.table(spark, folder, "benchmark").select(
+def _questions(spark, folder):
+    return inputs.table(spark, folder, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("question")
     )
-    return answer_contexts(inputs.documents(spark, folder), questions)
+
+
+def rag_batch(spark, folder):
+    questions = _questions(spark, folder)
+    return contexts(questions, search_documents(inputs.documents(spark, folder), questions))
+
+
+def rag_collection(spark, folder):
+    """Index once into a stored collection, then ask it."""
+    target = fresh_path(spark, "index")
+    chunks = index_chunks(inputs.documents(spark, folder))
+    write_collection(chunks.select("chunk_id", "doc_id", "text", "vec"), target)
+    stored = open_collection(spark, target, ["chunk_id", "text", "vec"])
+    questions = _questions(spark, folder)
+    return contexts(questions, search_collection(stored, questions))
 
 
 def chat_retrieval(spark, folder):
@@ -97,6 +119,10 @@ def _answers(questions: str) -> str:
 {_context('picked5', 'chunks', 'chunk_id')}"""
 
 
+_RAG = f"""{_answers('asked AS (SELECT item_id AS query_id, text AS question FROM benchmark)')}
+SELECT a.query_id, coalesce(context, {_MESSAGE}) AS context
+FROM asked a LEFT JOIN ctx USING (query_id)"""
+
 QUERIES = {
     "knn_topk": (knn_topk, _TOPK),
     "knn_cells": (knn_cells, _TOPK),
@@ -115,12 +141,8 @@ QUERIES = {
             SELECT d.doc_id AS query_id, coalesce(context, {_MESSAGE}) AS context
             FROM docs d LEFT JOIN ctx ON ctx.query_id = d.doc_id""",
     ),
-    "rag_batch": (
-        rag_batch,
-        f"""{_answers('asked AS (SELECT item_id AS query_id, text AS question FROM benchmark)')}
-            SELECT a.query_id, coalesce(context, {_MESSAGE}) AS context
-            FROM asked a LEFT JOIN ctx USING (query_id)""",
-    ),
+    "rag_batch": (rag_batch, _RAG),
+    "rag_collection": (rag_collection, _RAG),
     "chat_retrieval": (
         chat_retrieval,
         f"""{_answers(f'''calls AS (SELECT * FROM conversations WHERE role = 'user' AND {S.route_case('text')} = 'retrieve'),

@@ -26,6 +26,8 @@ def closed_sessions(events: DataFrame, gap: str, delay: str) -> DataFrame:
 def start_closed_sessions(
     events: DataFrame, gap: str, delay: str, folder: str, checkpoint: str
 ) -> StreamingQuery:
+    # Merge the events of a session inside each task before they are shuffled.
+    events.sparkSession.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
     return (
         closed_sessions(events, gap, delay)
         .writeStream.outputMode("append")
