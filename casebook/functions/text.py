@@ -40,6 +40,10 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def has_words(text: Column) -> Column:
+    return F.rlike(text, F.lit(r"[\p{L}\p{N}]"))
+
+
 def text_bucket(text: Column, buckets: int) -> Column:
     """Stable bucket of a string: the first 32 bits of its md5, modulo ``buckets``."""
     head = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10)

@@ -11,15 +11,20 @@ from pyspark.sql import functions as F
 # Largest group that one task may sort on its own.
 MAX_GROUP_ROWS = 5_000_000
 MAX_SPLITS = 1000
+# Usual size of a scan partition.
+SPLIT_BYTES = 128 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core for row-local work when the input has fewer partitions than cores.
+    """Use every core for row-local work on an input too small to be split by size.
 
-    A large table has far more partitions than cores and passes unchanged.
+    A table that fills all cores with partitions of the usual size passes
+    unchanged, so nothing large is ever shuffled here.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if estimate < cores * SPLIT_BYTES:
         return df.repartition(cores)
     return df
 

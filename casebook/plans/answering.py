@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casebook import fixed_values as V
+from casebook.functions.text import has_words
 from casebook.functions.vectors import HASH_DIM
 from casebook.operators.indexing import CHUNK_BITS, chunk_documents, embed_hashed
 from casebook.operators.nearest import MAX_BROADCAST_NUMBERS, nearest
@@ -18,7 +19,7 @@ from casebook.session import written
 
 def index_chunks(documents: DataFrame, dim: int = HASH_DIM) -> DataFrame:
     """Chunks with hashed vectors; a chunk without words has no direction and is left out."""
-    return embed_hashed(chunk_documents(documents), dim=dim).filter(F.size("vec.idx") > 0)
+    return embed_hashed(chunk_documents(documents).filter(has_words(F.col("text"))), dim=dim)
 
 
 def _search(
@@ -31,11 +32,8 @@ def _search(
     max_numbers: int,
 ) -> DataFrame:
     """First pass over ids and vectors only; then ``fetch`` the few rows that were hit."""
-    asked = (
-        embed_hashed(questions, "question", dim)
-        .filter(F.size("vec.idx") > 0)
-        .select("query_id", "vec")
-    )
+    worded = questions.filter(has_words(F.col("question")))
+    asked = embed_hashed(worded, "question", dim).select("query_id", "vec")
     hits = written(nearest(asked, items, dim, fetch_k, "cosine", max_numbers), "hits")
     candidates = hits.join(fetch(hits), "item_id").join(
         asked.withColumnRenamed("vec", "query_vec"), "query_id"
@@ -54,13 +52,15 @@ def search_documents(
     """``questions(query_id, question)`` against documents: (query_id, pick, item_id, text).
 
     Texts and vectors of the hits come from their documents alone, which are
-    selected before they are chunked.
+    selected before they are chunked, and only the hits are embedded again.
     """
 
     def fetch(hits: DataFrame) -> DataFrame:
-        wanted = hits.select(F.shiftright("item_id", CHUNK_BITS).alias("doc_id")).distinct()
-        chunks = index_chunks(documents.join(wanted, "doc_id", "left_semi"), dim)
-        return chunks.select(F.col("chunk_id").alias("item_id"), "text", "vec")
+        wanted = hits.select(F.col("item_id").alias("chunk_id")).distinct()
+        sources = wanted.select(F.shiftright("chunk_id", CHUNK_BITS).alias("doc_id")).distinct()
+        chunks = chunk_documents(documents.join(sources, "doc_id", "left_semi"))
+        found = embed_hashed(chunks.join(wanted, "chunk_id", "left_semi"), dim=dim)
+        return found.select(F.col("chunk_id").alias("item_id"), "text", "vec")
 
     items = index_chunks(documents, dim).select(F.col("chunk_id").alias("item_id"), "vec")
     return _search(items, fetch, questions, dim, fetch_k, k, max_numbers)
