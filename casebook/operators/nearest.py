@@ -96,9 +96,19 @@ def _scan_kernel(query_ids, matrix, k: int, dim: int, cosine: bool):
     return run
 
 
-def _ranked(hits: DataFrame, k: int) -> DataFrame:
-    ranked = first_k(hits, ["query_id"], [F.col("distance"), F.col("item_id")], k, "rank")
-    return ranked.select("query_id", "item_id", F.col("rank").cast("bigint"), "distance")
+def ranked(hits: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best hits of each query with their rank."""
+    best = first_k(hits, ["query_id"], [F.col("distance"), F.col("item_id")], k, "rank")
+    return best.select("query_id", "item_id", F.col("rank").cast("bigint"), "distance")
+
+
+def scan(
+    collection: DataFrame, ids: np.ndarray, queries: np.ndarray, dim: int, k: int, cosine: bool
+) -> DataFrame:
+    """Best ``k`` per query and task, for a query matrix of bounded size."""
+    context = collection.sparkSession.sparkContext
+    kernel = _scan_kernel(context.broadcast(ids), context.broadcast(queries), k, dim, cosine)
+    return spread(collection.select("item_id", "vec")).mapInArrow(kernel, HIT_SCHEMA)
 
 
 def nearest(
@@ -119,14 +129,9 @@ def nearest(
     head = queries.select("query_id", "vec").limit(cap + 1).collect()
     if len(head) > cap:
         return nearest_by_cells(queries, collection, dim, k, metric)
-    context = collection.sparkSession.sparkContext
     rows = to_matrix([r["vec"] for r in head], dim)
-    ids = context.broadcast(np.array([r["query_id"] for r in head], dtype=np.int64))
-    matrix = context.broadcast(unit_rows(rows) if cosine else rows)
-    hits = spread(collection.select("item_id", "vec")).mapInArrow(
-        _scan_kernel(ids, matrix, k, dim, cosine), HIT_SCHEMA
-    )
-    return _ranked(hits, k)
+    ids = np.array([r["query_id"] for r in head], dtype=np.int64)
+    return ranked(scan(collection, ids, unit_rows(rows) if cosine else rows, dim, k, cosine), k)
 
 
 # ---- cells ----------------------------------------------------------------
@@ -155,18 +160,21 @@ def _drop_spare_copies(matrix: np.ndarray, ids: np.ndarray, k: int) -> np.ndarra
     return np.sort(keep)
 
 
-def _assign(pivot_matrix, dim: int, k: int, cosine: bool):
+def assign_batches(pivot_matrix, dim: int, k: int | None, cosine: bool):
+    """Nearest pivot of each vector; with ``k``, spare copies are dropped on the way."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = pivot_matrix.value
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK_ROWS):
                 part = batch.slice(at, BLOCK_ROWS)
                 v = _matrix(part.column("vec"), dim, cosine)
-                keep = _drop_spare_copies(v, part.column("id").to_numpy(), k)
-                part = part.take(pa.array(keep))
-                dist = squared_distances(v[keep], pivots)
+                if k is not None:
+                    keep = _drop_spare_copies(v, part.column("id").to_numpy(), k)
+                    part, v = part.take(pa.array(keep)), v[keep]
+                dist = squared_distances(v, pivots)
                 cell = dist.argmin(axis=1)
-                radius = np.sqrt(dist[np.arange(len(keep)), cell])
+                radius = np.sqrt(dist[np.arange(len(v)), cell])
                 yield pa.RecordBatch.from_pydict(
                     {
                         "id": part.column("id"),
@@ -262,12 +270,12 @@ def nearest_by_cells(
     context = collection.sparkSession.sparkContext
     pivot_rows = choose_pivots(collection, dim, cosine, pivots)
     if len(pivot_rows) == 0:
-        return _ranked(queries.sparkSession.createDataFrame([], HIT_SCHEMA), k)
+        return ranked(queries.sparkSession.createDataFrame([], HIT_SCHEMA), k)
     pivot_matrix = context.broadcast(pivot_rows)
     source = collection.select(F.col("item_id").alias("id"), "vec")
     vec_type = source.schema["vec"].dataType.simpleString()
     assigned = spread(source).mapInArrow(
-        _assign(pivot_matrix, dim, k, cosine),
+        assign_batches(pivot_matrix, dim, k, cosine),
         f"id bigint, vec {vec_type}, cell int, radius double",
     )
 
@@ -316,8 +324,8 @@ def nearest_by_cells(
         .sortWithinPartitions("cell", "split", "side")
         .mapInArrow(_block_kernel(dim, k, cosine), HIT_SCHEMA)
     )
-    ranked = _ranked(hits, k)
+    best = ranked(hits, k)
     same = queries.select("query_id", "vec").join(distinct, "vec").select("query_id", "id")
-    return ranked.withColumnRenamed("query_id", "id").join(same, "id").select(
+    return best.withColumnRenamed("query_id", "id").join(same, "id").select(
         "query_id", "item_id", "rank", "distance"
     )

@@ -11,21 +11,20 @@ from pyspark.sql import functions as F
 # Largest group that one task may sort on its own.
 MAX_GROUP_ROWS = 5_000_000
 MAX_SPLITS = 1000
-# Usual size of a scan partition.
-SPLIT_BYTES = 128 << 20
+# Inputs below this size are spread over the cores.
+SPREAD_BELOW = 1 << 30
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core for row-local work on an input too small to be split by size.
+    """Use every core for row-local work on a small input, which may be one file.
 
-    A table that fills all cores with partitions of the usual size passes
-    unchanged, so nothing large is ever shuffled here.
+    Anything above ``SPREAD_BELOW`` passes unchanged, so nothing large is ever
+    shuffled here.
     """
     spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if estimate < cores * SPLIT_BYTES:
-        return df.repartition(cores)
+    if estimate < SPREAD_BELOW:
+        return df.repartition(spark.sparkContext.defaultParallelism)
     return df
 
 

@@ -63,7 +63,7 @@ def merge_documents(patches: DataFrame, key: str, order: list[str], patch: str,
 
     def latest(field: str) -> Column:
         carried = F.map_contains_key(patch, field)
-        value = F.struct(F.get(F.array(F.col(patch)[field]), F.lit(0)).alias("v"))
+        value = F.struct(F.col(patch)[field].alias("v"))
         return F.max_by(value, F.when(carried, at))["v"].alias(field)
 
     return patches.groupBy(key).agg(*[latest(f) for f in fields])
@@ -128,31 +128,43 @@ def objection_balance(actions: DataFrame, settings: DataFrame) -> DataFrame:
     )
 
 
+def _accept(starts: Column) -> Column:
+    """Fold sorted presses into accepted starts: apart far enough, and not too many."""
+
+    def step(taken: Column, press: Column) -> Column:
+        over = F.coalesce(F.element_at(taken, -1) + V.PAUSE_SECONDS <= press, F.lit(True))
+        fits = (F.size(taken) < V.MAX_PAUSES) & ((F.size(taken) == 0) | over)
+        return F.when(fits, F.array_append(taken, press)).otherwise(taken)
+
+    return F.aggregate(starts, F.expr("cast(array() as array<bigint>)"), step)
+
+
+# Between two accepted pauses lie fewer whole seconds than a pause lasts, so the
+# accepted ones are among this many earliest distinct seconds.
+PRESSES_NEEDED = (V.MAX_PAUSES - 1) * V.PAUSE_SECONDS + 1
+
+
 def accepted_pauses(actions: DataFrame, settings: DataFrame) -> DataFrame:
     """Start times of the accepted pauses, one row per session that has any.
 
     A pause is accepted when pauses are enabled, fewer than the maximum were
-    taken and the last accepted one is over. Each accepted pause is the earliest
-    press after the one before ends, hence one aggregation per pause.
+    taken and the last accepted one is over. Offsets are whole seconds.
     """
-    enabled = settings.filter("pause_enabled").select("session_id")
     pressed = (
         actions.filter(F.col("kind") == "pause")
-        .select("session_id", "offset_s")
+        .select("session_id", F.col("offset_s").cast("bigint").alias("offset_s"))
         .distinct()
-        .join(enabled, "session_id", "left_semi")
-    )
-    accepted = pressed.groupBy("session_id").agg(F.min("offset_s").alias("pause_1"))
-    for number in range(2, V.MAX_PAUSES + 1):
-        over = F.col(f"pause_{number - 1}") + V.PAUSE_SECONDS
-        following = (
-            pressed.join(accepted, "session_id")
-            .filter(F.col("offset_s") >= over)
-            .groupBy("session_id")
-            .agg(F.min("offset_s").alias(f"pause_{number}"))
-        )
-        accepted = accepted.join(following, "session_id", "left")
-    return accepted
+    )
+    accepted = (
+        first_k(pressed, ["session_id"], [F.col("offset_s")], PRESSES_NEEDED)
+        .groupBy("session_id")
+        .agg(_accept(F.array_sort(F.collect_list("offset_s"))).alias("_taken"))
+    )
+    enabled = settings.filter("pause_enabled").select("session_id")
+    return accepted.join(enabled, "session_id", "left_semi").select(
+        "session_id",
+        *[F.get("_taken", F.lit(n)).alias(f"pause_{n + 1}") for n in range(V.MAX_PAUSES)],
+    )
 
 
 def pause_rows(accepted: DataFrame) -> DataFrame:
@@ -173,20 +185,32 @@ def _pauses_taken() -> Column:
     return total
 
 
-def time_remaining(actions: DataFrame, settings: DataFrame) -> DataFrame:
-    """Seconds left at the last action; accepted pauses do not count."""
-    spans = actions.groupBy("session_id").agg(
-        (F.max("offset_s") - F.min("offset_s")).alias("elapsed_s")
+def session_totals(actions: DataFrame) -> DataFrame:
+    """Per session: elapsed seconds, user messages and pieces of evidence."""
+    return actions.groupBy("session_id").agg(
+        (F.max("offset_s") - F.min("offset_s")).alias("elapsed_s"),
+        F.count_if(F.col("kind") == "user_message").alias("argument_count"),
+        F.count_if(F.col("kind") == "evidence").alias("evidence_count"),
     )
+
+
+def time_remaining(
+    actions: DataFrame, settings: DataFrame, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Seconds left at the last action; accepted pauses do not count.
+
+    ``keep`` names columns of ``session_totals`` to return as well.
+    """
     left = F.col("limit_s") - F.col("elapsed_s") + V.PAUSE_SECONDS * F.col("pauses")
     return (
-        settings.join(spans, "session_id")
+        settings.join(session_totals(actions), "session_id")
         .join(accepted_pauses(actions, settings), "session_id", "left")
         .select(
             "session_id",
             time_limit_seconds(F.col("time_limit_min")).alias("limit_s"),
             "elapsed_s",
             _pauses_taken().cast("bigint").alias("pauses"),
+            *keep,
         )
         .withColumn("time_remaining", F.greatest(F.lit(0), left).cast("bigint"))
     )
@@ -221,18 +245,16 @@ def close_sessions(actions: DataFrame, settings: DataFrame) -> DataFrame:
             F.when(F.col("end_s") <= F.col("deadline_s"), "ended").otherwise("time_up").alias("reason"),
         )
     )
-    inside = actions.join(closes.select("session_id", "closed_s"), "session_id").filter(
-        F.col("offset_s") <= F.col("closed_s")
-    )
-    counts = inside.groupBy("session_id").agg(
-        F.count("*").alias("actions_kept"),
-        F.count_if(F.col("kind") == "user_message").alias("user_messages"),
+    # Counted per second first: what is joined per session is bounded by its length.
+    per_second = actions.groupBy("session_id", "offset_s").agg(
+        F.count("*").alias("all"), F.count_if(F.col("kind") == "user_message").alias("user")
     )
-    return closes.join(counts, "session_id").select(
-        "session_id",
-        "closed_s",
-        "reason",
-        "actions_kept",
-        F.least(F.col("user_messages") + 1, F.lit(V.TOTAL_ROUNDS)).cast("bigint").alias("rounds_completed"),
-        (F.col("deadline_s") - F.col("closed_s")).alias("time_remaining"),
+    rounds = F.least(F.sum("user") + 1, F.lit(V.TOTAL_ROUNDS)).cast("bigint")
+    return (
+        per_second.join(closes, "session_id")
+        .filter(F.col("offset_s") <= F.col("closed_s"))
+        .groupBy("session_id", "closed_s", "reason", "deadline_s")
+        .agg(F.sum("all").alias("actions_kept"), rounds.alias("rounds_completed"))
+        .withColumn("time_remaining", F.col("deadline_s") - F.col("closed_s"))
+        .drop("deadline_s")
     )

@@ -8,11 +8,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casebook.session import written
+
 FIRST_ARGUMENT = 1
 
 
 def _fold_prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Edits sorted by session and order; holds one session's live arguments at a time."""
+    columns = ["session_id", "arg_id", "offset_s", "event_id", "dropped"]
     session, live = None, []
     for batch in batches:
         done = []
@@ -21,11 +24,11 @@ def _fold_prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 done += live
                 session, live = row.session_id, []
             if row.op == "add":
-                live.append((session, row.arg_id, row.offset_s, row.event_id))
+                live.append((session, row.arg_id, row.offset_s, row.event_id, row.dropped))
             elif len(live) > 1:
                 live = [item for item in live if item[1] != row.arg_id]
-        yield pd.DataFrame(done, columns=["session_id", "arg_id", "offset_s", "event_id"])
-    yield pd.DataFrame(live, columns=["session_id", "arg_id", "offset_s", "event_id"])
+        yield pd.DataFrame(done, columns=columns)
+    yield pd.DataFrame(live, columns=columns)
 
 
 def live_arguments(edits: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -41,56 +44,53 @@ def live_arguments(edits: DataFrame, sessions: DataFrame) -> DataFrame:
     the edits before that moment, and everything after it is an aggregation.
     """
     at = F.struct("offset_s", "event_id")
+    ids = ["session_id", "arg_id"]
+    keys = [*ids, "offset_s", "event_id"]
     first = sessions.select(
         "session_id",
+        F.lit(FIRST_ARGUMENT).cast("bigint").alias("arg_id"),
         F.lit(-1).cast("bigint").alias("offset_s"),
         F.lit(-1).cast("bigint").alias("event_id"),
-        F.lit("add").alias("op"),
-        F.lit(FIRST_ARGUMENT).cast("bigint").alias("arg_id"),
     )
-    adds = edits.filter(F.col("op") == "add").select(*first.columns).unionByName(first)
-    removes = edits.filter(F.col("op") == "remove").select(*first.columns)
-    ids = ["session_id", "arg_id"]
+    removes = edits.filter(F.col("op") == "remove").select(*keys)
     last_removal = removes.groupBy(*ids).agg(F.max(at).alias("removed_at"))
-    tagged = adds.join(last_removal, ids, "left").withColumn(
-        "lasting", F.col("removed_at").isNull() | (F.col("removed_at") < at)
-    )
-    settled = (
-        tagged.filter("lasting").groupBy("session_id").agg(F.min(at).alias("settled_at"))
+    added = edits.filter(F.col("op") == "add").select(*keys).unionByName(first)
+    lasting = F.col("removed_at").isNull() | (F.col("removed_at") < at)
+    adds = written(
+        added.join(last_removal, ids, "left").withColumn("lasting", lasting), "arguments"
     )
 
+    settled = adds.filter("lasting").groupBy("session_id").agg(F.min(at).alias("settled_at"))
+    before = F.col("settled_at").isNull() | (at < F.col("settled_at"))
+    dated = adds.join(settled, "session_id", "left")
+    dropped = F.coalesce(F.col("removed_at") > F.col("settled_at"), F.lit(False))
     early = (
-        adds.unionByName(removes)
-        .join(settled, "session_id", "left")
-        .filter(F.col("settled_at").isNull() | (at < F.col("settled_at")))
-        .select("session_id", "offset_s", "event_id", "op", "arg_id")
+        dated.filter(before)
+        .select(*keys, F.lit("add").alias("op"), dropped.alias("dropped"))
+        .unionByName(
+            removes.join(settled, "session_id", "left")
+            .filter(before)
+            .select(*keys, F.lit("remove").alias("op"), F.lit(False).alias("dropped"))
+        )
     )
     survivors = (
         early.repartition("session_id")
         .sortWithinPartitions("session_id", "offset_s", "event_id")
-        .mapInPandas(_fold_prefix, "session_id bigint, arg_id bigint, offset_s bigint, event_id bigint")
-        .join(settled, "session_id", "left")
-        .join(last_removal, ids, "left")
-        .filter(
-            F.col("settled_at").isNull()
-            | F.col("removed_at").isNull()
-            | (F.col("removed_at") < F.col("settled_at"))
+        .mapInPandas(
+            _fold_prefix,
+            "session_id bigint, arg_id bigint, offset_s bigint, event_id bigint, dropped boolean",
         )
+        .filter(~F.col("dropped"))
     )
-    later = (
-        tagged.filter("lasting")
-        .join(settled, "session_id")
-        .filter(at >= F.col("settled_at"))
-    )
+    later = dated.filter(F.col("lasting") & ~before)
     texts = (
         edits.filter(F.col("op") == "replace")
         .groupBy(*ids)
         .agg(F.max_by(F.struct("text", at.alias("at")), at).alias("last"))
     )
-    keep = ["session_id", "arg_id", "offset_s", "event_id"]
     return (
-        survivors.select(*keep)
-        .unionByName(later.select(*keep))
+        survivors.select(*keys)
+        .unionByName(later.select(*keys))
         .join(texts, ids, "left")
         .select(
             "session_id",

@@ -89,6 +89,13 @@ def contexts(questions: DataFrame, found: DataFrame) -> DataFrame:
     return with_fallback(questions.select("query_id"), format_context(hits))
 
 
+def ask(collection: DataFrame, question: str, dim: int = HASH_DIM) -> DataFrame:
+    """Context of a single question: the batch form with a table of one row."""
+    spark = collection.sparkSession
+    asked = spark.createDataFrame([(0, question)], "query_id bigint, question string")
+    return contexts(asked, search_collection(collection, asked, dim)).select("context")
+
+
 def tool_messages(log: DataFrame, documents: DataFrame, rules, dim: int = HASH_DIM) -> DataFrame:
     """Route the user messages of a log, retrieve for those that need it, and return
     the tool messages to append: (conv_id, turn, call_no, tool_call_id, name, content).

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from casebook.operators.scoring import session_scores, with_grade, with_total
 from casebook.operators.sessions import time_remaining
@@ -11,10 +10,5 @@ from casebook.operators.sessions import time_remaining
 
 def score_sessions(actions: DataFrame, settings: DataFrame, base: DataFrame) -> DataFrame:
     """Scores, total and grade of each session."""
-    counts = actions.groupBy("session_id").agg(
-        F.count_if(F.col("kind") == "user_message").alias("argument_count"),
-        F.count_if(F.col("kind") == "evidence").alias("evidence_count"),
-    )
-    left = time_remaining(actions, settings).select("session_id", "time_remaining")
-    scored = session_scores(base.join(counts, "session_id").join(left, "session_id"))
-    return with_grade(with_total(scored))
+    played = time_remaining(actions, settings, ("argument_count", "evidence_count"))
+    return with_grade(with_total(session_scores(base.join(played, "session_id"))))

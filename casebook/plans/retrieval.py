@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from casebook.fixed_values import NO_CONTEXT_MESSAGE
 from casebook.functions.vectors import DIGITS
+from casebook.operators import cell_index
 from casebook.operators.nearest import nearest, nearest_by_cells
 from casebook.operators.rerank import format_context, rerank, with_fallback
 from casebook.plans import inputs
@@ -32,6 +33,14 @@ def knn_cells(spark, folder):
     return nearest_by_cells(queries, items, inputs.VECTOR_DIM)
 
 
+def knn_indexed(spark, folder):
+    """Store the collection by cells, then read only the cells that matter."""
+    queries, items = inputs.vectors(spark, folder)
+    target = fresh_path(spark, "cells")
+    cell_index.build(items, target, inputs.VECTOR_DIM)
+    return cell_index.search(queries, target, inputs.VECTOR_DIM)
+
+
 def mmr_rerank(spark, folder):
     queries, items = inputs.vectors(spark, folder)
     candidates = (
@@ -126,6 +135,7 @@ FROM asked a LEFT JOIN ctx USING (query_id)"""
 QUERIES = {
     "knn_topk": (knn_topk, _TOPK),
     "knn_cells": (knn_cells, _TOPK),
+    "knn_indexed": (knn_indexed, _TOPK),
     "ann_recall": (
         ann_recall,
         "SELECT vec_id AS query_id, 1.0::DOUBLE AS recall FROM embeddings",

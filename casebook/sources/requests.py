@@ -12,7 +12,7 @@ from casebook.schemas import REQUEST
 def _option(options: Column, key: str, default: str) -> Column:
     """A default fills a missing key only; an explicit null stays null."""
     has_key = F.coalesce(F.map_contains_key(options, key), F.lit(False))
-    return F.when(has_key, F.get(F.array(options[key]), F.lit(0))).otherwise(F.lit(default))
+    return F.when(has_key, options[key]).otherwise(F.lit(default))
 
 
 def decode_requests(df: DataFrame, payload: str = "payload") -> DataFrame:

@@ -42,6 +42,8 @@ def test_query_equals_sql(spark, con, name):
     assert sorted(df.columns) == sorted(columns)
     assert comparable(got, df.columns) == comparable(want, columns)
     assert len(got) > 0
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
 
 
 def test_entry(spark):

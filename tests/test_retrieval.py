@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 from casebook import fixed_values as V
 from casebook.functions.vectors import hashed_vector
 from casebook.operators.indexing import embed_hashed, embed_with, vector_entries
+from casebook.operators import cell_index
 from casebook.operators.nearest import nearest, nearest_by_cells
 from casebook.operators.rerank import format_context, rerank, with_fallback
-from casebook.plans.answering import contexts, index_chunks, search_collection, search_documents
+from casebook.plans.answering import ask, contexts, index_chunks, search_collection, search_documents
 
 DIM = 8
 
@@ -62,6 +63,29 @@ def test_large_query_side_takes_cells_with_same_rows(spark, data):
     assert ranked(got) == brute(q, m, 5)
 
 
+@pytest.mark.parametrize("pivots,metric", [(3, "l2"), (40, "l2"), (12, "cosine")])
+def test_stored_cells_equal_brute_force(spark, data, tmp_path, pivots, metric):
+    q, m = data
+    queries, items = frame(spark, "query_id", q, range(7, 7 + len(q))), frame(spark, "item_id", m)
+    folder = str(tmp_path / "index")
+    cell_index.build(items, folder, DIM, metric, pivots)
+    want = ranked(nearest(queries, items, DIM, 20, metric))
+    assert ranked(cell_index.search(queries, folder, DIM, 20, metric)) == want
+    assert ranked(cell_index.search(queries, folder, DIM, 20, metric, max_numbers=DIM)) == want
+
+
+def test_stored_cells_read_only_what_they_need(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    far = np.vstack([rng.normal(size=(50, DIM)) + 100 * i for i in range(10)])
+    folder = str(tmp_path / "index")
+    cell_index.build(frame(spark, "item_id", far), folder, DIM, pivots=10)
+    query = frame(spark, "query_id", far[:1])
+    got = cell_index.search(query, folder, DIM, 5)
+    assert ranked(got) == brute(far[:1], far, 5)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "items" not in plan and "MapInArrow" not in plan  # the probe alone was enough
+
+
 def test_fewer_items_than_k(spark):
     m = np.eye(3, DIM)
     for search in (nearest, nearest_by_cells):
@@ -168,6 +192,7 @@ def test_search_end_to_end(spark):
     assert "gambling" in texts[10] and "rent" in texts[12] and texts[11] == V.NO_CONTEXT_MESSAGE
     stored = search_collection(index_chunks(docs), questions, k=1)
     cells = search_documents(docs, questions, k=1, max_numbers=1024)
+    assert "rent" in ask(index_chunks(docs), "rent contract").first().context
     assert sorted(stored.collect()) == sorted(found.collect()) == sorted(cells.collect())
 
 

@@ -75,8 +75,9 @@ def test_close(spark):
         + [(3, 5, "evidence")],
     )
     limits = settings(spark, (1, 5, 3, True), (2, 5, 3, True), (3, 5, 3, True))
-    got = {r.session_id: tuple(r)[1:] for r in S.close_sessions(log, limits).collect()}
-    # closed_s, reason, actions_kept, rounds_completed, time_remaining
+    columns = ["closed_s", "reason", "actions_kept", "rounds_completed", "time_remaining"]
+    closed = S.close_sessions(log, limits).select("session_id", *columns)
+    got = {r.session_id: tuple(r)[1:] for r in closed.collect()}
     assert got == {
         1: (50, "ended", 2, 2, 250),
         2: (310, "time_up", 2, 2, 0),
