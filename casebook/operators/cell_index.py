@@ -14,18 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casebook.fixed_values import FETCH_K
-from casebook.functions.vectors import squared_distances, to_matrix, unit_rows
+from casebook.functions.vectors import squared_distances
 from casebook.operators.nearest import (
-    BOUND_SLACK,
     MAX_BROADCAST_NUMBERS,
     PIVOTS,
     assign_batches,
+    bounded_rows,
     choose_pivots,
     nearest_by_cells,
     ranked,
     scan,
+    widened,
 )
 from casebook.operators.ordering import spread
+from casebook.session import written
 
 PROBES = 2
 
@@ -68,15 +70,6 @@ def build(
     known.join(stats, "cell").coalesce(1).write.parquet(_cells(folder))
 
 
-def _k_th(hits: list, n: int, k: int) -> np.ndarray:
-    """Distance of the k-th hit of each query, infinite where there are fewer."""
-    bound = np.full(n, np.inf)
-    for row in hits:
-        if row["rank"] == k:
-            bound[row["query_id"]] = np.sqrt(row["distance"])
-    return bound
-
-
 def search(
     queries: DataFrame,
     folder: str,
@@ -91,43 +84,30 @@ def search(
     cosine = metric == "cosine"
     items = spark.read.parquet(_items(folder)).select("cell", "item_id", "vec")
     cap = max(1, max_numbers // dim)
-    head = queries.select("query_id", "vec").limit(cap + 1).collect()
-    if len(head) > cap:
+    ids, q = bounded_rows(queries.select("query_id", "vec").limit(cap + 1), dim, cosine)
+    if len(ids) > cap:
         return nearest_by_cells(queries, items, dim, k, metric)
-
-    q = to_matrix([r["vec"] for r in head], dim)
-    q = unit_rows(q) if cosine else q
-    # Queries are searched by position, so that bounds line up with rows of ``q``.
-    positions = np.arange(len(head), dtype=np.int64)
     cells = spark.read.parquet(_cells(folder)).orderBy("cell").collect()
+    if not len(ids) or not len(cells):
+        return ranked(scan(items, ids, q, dim, k, cosine), k)
+
     number = np.array([c["cell"] for c in cells])
-    pivot = np.array([c["pivot"] for c in cells]).reshape(len(cells), -1)
+    pivot = np.array([c["pivot"] for c in cells])
     low, high = (np.array([c[name] for c in cells]) for name in ("low", "high"))
-
-    if not len(head) or not len(cells):
-        return ranked(scan(items, positions, q, dim, k, cosine), k)
     d = np.sqrt(squared_distances(q, pivot))
-    near = np.unique(np.argsort(d, axis=1)[:, :probes])
 
     def read(chosen: np.ndarray) -> DataFrame:
         part = items.filter(F.col("cell").isin([int(c) for c in number[chosen]]))
-        return ranked(scan(part, positions, q, dim, k, cosine), k)
-
-    # At most k rows per query, and the number of queries is bounded.
-    first = read(near).collect()
-    bound = _k_th(first, len(head), k) + BOUND_SLACK
-    reachable = np.maximum(d - high[None, :], low[None, :] - d) <= bound[:, None]
-    rest = np.setdiff1d(np.flatnonzero(reachable.any(axis=0)), near)
-    schema = "query_id bigint, item_id bigint, rank bigint, distance double"
-    found = spark.createDataFrame(first, schema)
-    if len(rest):
-        found = found.unionByName(read(rest))
-    names = spark.createDataFrame(
-        [(i, r["query_id"]) for i, r in enumerate(head)], "at bigint, name bigint"
-    )
-    return (
-        ranked(found.drop("rank"), k)
-        .withColumnRenamed("query_id", "at")
-        .join(names, "at")
-        .select(F.col("name").alias("query_id"), "item_id", "rank", "distance")
-    )
+        return ranked(scan(part, ids, q, dim, k, cosine), k)
+
+    near = np.unique(np.argsort(d, axis=1)[:, :probes])
+    found = written(read(near), "probe")
+    # One row per query, and the number of queries is bounded.
+    k_th = {r["query_id"]: r["distance"] for r in found.filter(F.col("rank") == k).collect()}
+    bound = np.sqrt(np.array([k_th.get(int(i), np.inf) for i in ids]))
+    least = np.maximum(d - high[None, :], low[None, :] - d)
+    reachable = (least <= widened(bound)[:, None]).any(axis=0)
+    rest = np.setdiff1d(np.flatnonzero(reachable), near)
+    if not len(rest):
+        return found
+    return ranked(found.unionByName(read(rest)), k)

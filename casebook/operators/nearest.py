@@ -28,10 +28,10 @@ from casebook.functions.vectors import (
     DIGITS,
     arrow_matrix,
     squared_distances,
-    to_matrix,
     unit_rows,
 )
 from casebook.operators.ordering import first_k, spread
+from casebook.session import written
 
 # A query matrix of at most this many numbers (32 MB) may be sent to every task.
 MAX_BROADCAST_NUMBERS = 4_194_304
@@ -39,8 +39,8 @@ MAX_BROADCAST_NUMBERS = 4_194_304
 MAX_TILE = 2_000_000
 PIVOTS = 64
 BLOCK_ROWS = 4096
-# Slack on every bound: covers the rounding of ranked distances.
-BOUND_SLACK = 1e-4
+# Candidates a task gathers before it merges them into its best.
+MERGE_ROWS = 200_000
 
 HIT_SCHEMA = "query_id bigint, item_id bigint, distance double"
 
@@ -76,21 +76,36 @@ def _hits(query: np.ndarray, item: np.ndarray, dist: np.ndarray) -> pa.RecordBat
     )
 
 
+def widened(bound: np.ndarray) -> np.ndarray:
+    """A distance bound that also lets through what ties with it after rounding."""
+    return np.sqrt(bound**2 + 2 * 10.0**-DIGITS) + 1e-4
+
+
 def _scan_kernel(query_ids, matrix, k: int, dim: int, cosine: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = query_ids.value, matrix.value
         step = max(k + 1, min(BLOCK_ROWS, MAX_TILE // max(1, len(ids))))
         best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         limit = np.full(len(ids), np.inf)
+        pending, waiting = [], 0
+
+        def merged():
+            rows = _best(*(np.concatenate(p) for p in zip(best, *pending)), k)
+            full, counts = np.unique(rows[0], return_counts=True)
+            ends = np.cumsum(counts) - 1
+            limit[full[counts == k]] = rows[2][ends[counts == k]]
+            return rows
+
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 v = _matrix(part.column("vec"), dim, cosine)
                 new = _tile_candidates(q, part.column("item_id").to_numpy(), v, k, limit)
-                best = _best(*(np.concatenate(p) for p in zip(best, new)), k)
-                full, counts = np.unique(best[0], return_counts=True)
-                ends = np.cumsum(counts) - 1
-                limit[full[counts == k]] = best[2][ends[counts == k]]
+                pending.append(new)
+                waiting += len(new[0])
+                if waiting > max(MERGE_ROWS, len(best[0])):
+                    best, pending, waiting = merged(), [], 0
+        best = merged()
         yield _hits(ids[best[0]], best[1], best[2])
 
     return run
@@ -102,6 +117,13 @@ def ranked(hits: DataFrame, k: int) -> DataFrame:
     return best.select("query_id", "item_id", F.col("rank").cast("bigint"), "distance")
 
 
+def bounded_rows(limited: DataFrame, dim: int, cosine: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and matrix of a table of (id, vec) whose number of rows is bounded."""
+    table = limited.toArrow().combine_chunks()
+    ids, vectors = (column.combine_chunks() for column in table.columns)
+    return ids.to_numpy(), _matrix(vectors, dim, cosine)
+
+
 def scan(
     collection: DataFrame, ids: np.ndarray, queries: np.ndarray, dim: int, k: int, cosine: bool
 ) -> DataFrame:
@@ -126,28 +148,30 @@ def nearest(
     """
     cosine = metric == "cosine"
     cap = max(1, max_numbers // dim)
-    head = queries.select("query_id", "vec").limit(cap + 1).collect()
-    if len(head) > cap:
+    ids, rows = bounded_rows(queries.select("query_id", "vec").limit(cap + 1), dim, cosine)
+    if len(ids) > cap:
         return nearest_by_cells(queries, collection, dim, k, metric)
-    rows = to_matrix([r["vec"] for r in head], dim)
-    ids = np.array([r["query_id"] for r in head], dtype=np.int64)
-    return ranked(scan(collection, ids, unit_rows(rows) if cosine else rows, dim, k, cosine), k)
+    return ranked(scan(collection, ids, rows, dim, k, cosine), k)
 
 
 # ---- cells ----------------------------------------------------------------
 
 
 def choose_pivots(collection: DataFrame, dim: int, cosine: bool, pivots: int = PIVOTS) -> np.ndarray:
-    """A fixed number of distinct vectors, picked by hashed id."""
-    head = (
-        collection.select("item_id", "vec")
+    """A fixed number of distinct vectors, picked by hashed id.
+
+    The ids are chosen without reading vectors; then only those rows are fetched.
+    """
+    chosen = (
+        collection.select("item_id")
         .orderBy(F.xxhash64("item_id"), "item_id")
         .limit(4 * pivots)
         .collect()
     )
-    matrix = to_matrix([r["vec"] for r in head], dim)
-    if cosine:
-        matrix = unit_rows(matrix)
+    place = {r["item_id"]: n for n, r in enumerate(chosen)}
+    picked = collection.filter(F.col("item_id").isin(list(place))).select("item_id", "vec")
+    ids, matrix = bounded_rows(picked, dim, cosine)
+    matrix = matrix[np.argsort([place[int(i)] for i in ids])]
     _, first = np.unique(matrix, axis=0, return_index=True)
     return matrix[np.sort(first)[:pivots]]
 
@@ -201,12 +225,12 @@ def _route(pivot_matrix, summary, dim: int, k: int, cosine: bool):
                 d = np.sqrt(squared_distances(_matrix(part.column("vec"), dim, cosine), pivots))
                 # k items are known to lie within this distance.
                 reach = (d[:, :, None] + near[None, :, :]).reshape(len(rows), -1)
-                bound = np.partition(reach, k - 1, axis=1)[:, k - 1] + BOUND_SLACK
+                bound = np.partition(reach, k - 1, axis=1)[:, k - 1]
                 own = d.argmin(axis=1)
                 gap = np.where(between[own] > 0, between[own], 1.0)
                 half = (d**2 - (d[rows, own] ** 2)[:, None]) / (2 * gap)
                 least = np.maximum.reduce([d - high[None, :], low[None, :] - d, half])
-                visit = (least <= bound[:, None]) & np.isfinite(high)[None, :]
+                visit = (least <= widened(bound)[:, None]) & np.isfinite(high)[None, :]
                 query, cell = np.nonzero(visit)
                 sent = part.take(pa.array(query))
                 yield pa.RecordBatch.from_pydict(
@@ -274,9 +298,13 @@ def nearest_by_cells(
     pivot_matrix = context.broadcast(pivot_rows)
     source = collection.select(F.col("item_id").alias("id"), "vec")
     vec_type = source.schema["vec"].dataType.simpleString()
-    assigned = spread(source).mapInArrow(
-        assign_batches(pivot_matrix, dim, k, cosine),
-        f"id bigint, vec {vec_type}, cell int, radius double",
+    # Written once: the summaries below read two narrow columns of it, not the vectors.
+    assigned = written(
+        spread(source).mapInArrow(
+            assign_batches(pivot_matrix, dim, k, cosine),
+            f"id bigint, vec {vec_type}, cell int, radius double",
+        ),
+        "assigned",
     )
 
     # Per cell: rows, least and greatest radius, and the k smallest radii. Fixed size.

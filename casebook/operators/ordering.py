@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # Largest group that one task may sort on its own.
 MAX_GROUP_ROWS = 5_000_000
 MAX_SPLITS = 1000
+# Up to this bound Spark cuts a group before the shuffle.
+GROUP_LIMIT = 1000
 # Inputs below this size are spread over the cores.
 SPREAD_BELOW = 1 << 30
 

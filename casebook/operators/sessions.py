@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casebook import fixed_values as V
-from casebook.operators.ordering import first_k
+from casebook.operators.ordering import GROUP_LIMIT, first_k, numbered
 
 ORDER = ["offset_s", "event_id"]
 
@@ -105,7 +105,10 @@ def kept_objections(actions: DataFrame, settings: DataFrame) -> DataFrame:
     # The largest limit bounds what any session can keep.
     most = limits.agg(F.max("limit")).first()[0] or V.DEFAULT_OBJECTION_LIMIT
     pressed = actions.filter(F.col("kind") == "objection")
-    heads = first_k(pressed, ["session_id"], [F.col(c) for c in ORDER], most)
+    if most <= GROUP_LIMIT:
+        heads = first_k(pressed, ["session_id"], [F.col(c) for c in ORDER], most)
+    else:
+        heads = numbered(pressed, ["session_id"], ORDER)
     return (
         heads.join(limits, "session_id")
         .filter(F.col("n") <= F.col("limit"))

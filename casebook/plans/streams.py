@@ -36,9 +36,9 @@ def _earned(events):
 
 def stream_badge_tally(spark, folder):
     target, checkpoint = fresh_path(spark, "tally"), fresh_path(spark, "tally-state")
-    query = badges.start_tally(_earned(_stream(spark, folder, "events", EVENT)), target, checkpoint)
-    query.awaitTermination()
-    return badges.read_tally(query, target, spark)
+    earned = _earned(_stream(spark, folder, "events", EVENT))
+    badges.start_tally(earned, target, checkpoint).awaitTermination()
+    return badges.read_latest(spark, target)
 
 
 def stream_sessions(spark, folder):
@@ -82,9 +82,8 @@ def stream_log_upsert(spark, folder):
     arriving = log.select(
         "conv_id", F.concat_ws("-", "conv_id", "turn").alias("msg_id"), "role", F.inline(versions)
     )
-    query = messages.start_upsert(arriving, target, checkpoint)
-    query.awaitTermination()
-    return messages.read_upserted(query, target, spark)
+    messages.start_upsert(arriving, target, checkpoint).awaitTermination()
+    return messages.read_upserted(spark, target)
 
 
 QUERIES = {

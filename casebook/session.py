@@ -27,9 +27,11 @@ def build_session(master: str | None = None, app: str = "casebook", **extra: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is named (tests) a temporary one."""
+    """The cluster's shared folder; in local mode without one, a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder all executors share")
         folder = tempfile.mkdtemp(prefix="casebook-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from casebook.operators.badges import merge_tallies, tally
 
 
-def slot(folder: str, number: int) -> str:
+def _slot(folder: str, number: int) -> str:
     """Two slots are enough: batch n reads the one of n - 1 and writes its own."""
-    return f"{folder}/slot-{number % 2}"
+    return f"{folder}/slot={number % 2}"
 
 
-def last_batch(query: StreamingQuery) -> int:
-    """Number of the last batch that had input."""
-    return max(p["batchId"] for p in query.recentProgress if p["numInputRows"] > 0)
+def write_version(rows: DataFrame, folder: str, number: int) -> None:
+    rows.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(_slot(folder, number))
+
+
+def read_version(spark: SparkSession, folder: str, number: int) -> DataFrame:
+    return spark.read.parquet(_slot(folder, number)).drop("batch")
+
+
+def read_latest(spark: SparkSession, folder: str) -> DataFrame:
+    """The table of the last finished batch."""
+    slots = spark.read.parquet(folder)
+    latest = slots.agg(F.max("batch")).first()[0]
+    return slots.filter(F.col("batch") == latest).drop("batch", "slot")
 
 
 def start_tally(earned: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
@@ -29,9 +40,8 @@ def start_tally(earned: DataFrame, folder: str, checkpoint: str) -> StreamingQue
     def merge(batch: DataFrame, number: int) -> None:
         change = tally(batch)
         if number > 0:
-            stored = batch.sparkSession.read.parquet(slot(folder, number - 1))
-            change = merge_tallies(stored, change)
-        change.write.mode("overwrite").parquet(slot(folder, number))
+            change = merge_tallies(read_version(batch.sparkSession, folder, number - 1), change)
+        write_version(change, folder, number)
 
     return (
         earned.writeStream.foreachBatch(merge)
@@ -39,8 +49,3 @@ def start_tally(earned: DataFrame, folder: str, checkpoint: str) -> StreamingQue
         .trigger(availableNow=True)
         .start()
     )
-
-
-def read_tally(query: StreamingQuery, folder: str, spark) -> DataFrame:
-    """The table of the last finished batch."""
-    return spark.read.parquet(slot(folder, last_batch(query)))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from casebook.streaming.badges import last_batch, slot
+from casebook.streaming.badges import read_latest, read_version, write_version
 
 
 def start_deduplicated(
@@ -43,9 +43,9 @@ def start_upsert(messages: DataFrame, folder: str, checkpoint: str) -> Streaming
     def merge(batch: DataFrame, number: int) -> None:
         rows = _latest(batch.withColumn("position", F.col("seq")))
         if number > 0:
-            stored = batch.sparkSession.read.parquet(slot(folder, number - 1))
+            stored = read_version(batch.sparkSession, folder, number - 1)
             rows = _latest(stored.unionByName(rows))
-        rows.write.mode("overwrite").parquet(slot(folder, number))
+        write_version(rows, folder, number)
 
     return (
         messages.writeStream.foreachBatch(merge)
@@ -55,5 +55,5 @@ def start_upsert(messages: DataFrame, folder: str, checkpoint: str) -> Streaming
     )
 
 
-def read_upserted(query: StreamingQuery, folder: str, spark) -> DataFrame:
-    return spark.read.parquet(slot(folder, last_batch(query))).drop("seq")
+def read_upserted(spark: SparkSession, folder: str) -> DataFrame:
+    return read_latest(spark, folder).drop("seq")

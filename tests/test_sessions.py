@@ -37,6 +37,8 @@ def test_objections(spark):
     assert sorted((r.session_id, r.n, r.remaining) for r in kept.collect()) == [
         (1, 1, 2), (1, 2, 1), (1, 3, 0), (2, 1, 1), (2, 2, 0),
     ]
+    wide = S.kept_objections(log, settings(spark, (1, 10, 2000, True), (2, 10, 2, True)))
+    assert sorted((r.session_id, r.n) for r in wide.collect()) == [(1, n) for n in (1, 2, 3, 4)] + [(2, 1), (2, 2)]
     balance = {r.session_id: (r.pressed, r.kept, r.remaining) for r in S.objection_balance(log, limits).collect()}
     assert balance == {1: (4, 3, 0), 2: (4, 2, 0), 3: (0, 0, 5)}
 
