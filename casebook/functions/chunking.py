@@ -3,12 +3,13 @@
 A text is one row, so the whole rule runs inside that row: no shuffle, and a
 table of any size is chunked by independent tasks.
 
-The text is first cut into *atoms*. Pieces shorter than the chunk size stay as
-they are; a longer piece is cut by the next separator (blank line, line break,
-space) and, if nothing else is left, into overlapping windows. ``lead`` marks
-atoms that must not join the run before them. One fold over the atom lengths
-then decides which neighbouring atoms make up each chunk; the fold carries only
-the lengths of the current run, never the text.
+The text is cut into pieces at blank lines. Runs of pieces shorter than the chunk
+size are merged into chunks; a longer piece is cut at the next separator (line
+break, space) and, if nothing else is left, into overlapping windows.
+
+Merging takes one step per chunk, not per piece: every piece but the first opens
+with the separator, so counting separators in a stretch of text tells how many
+pieces start in it.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from casebook.fixed_values import CHUNK_OVERLAP, CHUNK_SIZE
 from casebook.functions.text import let, strip
 
 SEPARATORS = ["\n\n", "\n", " "]
-_FOLD_STATE = "struct<first:int,lens:array<int>,total:int,cuts:array<struct<first:int,n:int>>>"
 
 
 def window_texts(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
@@ -45,96 +45,88 @@ def _cut_before(text: Column, separator: str, marker: Column) -> Column:
     return F.filter(F.split(marked, marker, -1), lambda p: p != "")
 
 
-def _atoms(text: Column, level: int, size: int, overlap: int, marker: Column) -> Column:
-    """array<struct<text, lead>> of a text that has to be cut at ``level``."""
-    if level == len(SEPARATORS):
-        return F.transform(
-            window_texts(text, size, overlap),
-            lambda w: F.struct(w.alias("text"), F.lit(True).alias("lead")),
-        )
+def _merged(pieces: Column, separator: str, size: int, overlap: int) -> Column:
+    """array<string>: chunks of a run of pieces that are all shorter than ``size``.
 
-    def of_pieces(pieces: Column) -> Column:
-        def of_piece(piece: Column, i: Column) -> Column:
-            after_long = (i == 0) | (F.length(F.get(pieces, i - 1)) >= size)
-            short = F.array(F.struct(piece.alias("text"), after_long.alias("lead")))
-            return F.when(F.length(piece) < size, short).otherwise(
-                _atoms(piece, level + 1, size, overlap, marker)
-            )
+    A chunk takes as many pieces as fit. The next one starts with the longest tail
+    of whole pieces that is at most ``overlap`` long and leaves room for the piece
+    that did not fit.
+    """
 
-        return F.flatten(F.transform(pieces, of_piece))
+    def starting_before(text: Column, chars: Column) -> Column:
+        """Pieces that start among the first ``chars`` characters of ``text``."""
+        head = F.substring(text, F.lit(1), chars + (len(separator) - 1))
+        without = F.replace(head, F.lit(separator), F.lit(""))
+        found = ((F.length(head) - F.length(without)) / len(separator)).cast("int")
+        return found + F.when(F.startswith(text, F.lit(separator)), 0).otherwise(1)
 
-    return let(_cut_before(text, SEPARATORS[level], marker), of_pieces)
+    def after(state: Column, rest: Column, chunk: Column, n: Column) -> Column:
+        """State once ``chunk``, made of the first ``n`` pieces of ``rest``, is taken."""
+        tail = F.least(F.lit(overlap), size - F.length(F.get(rest, n)))
+        left = starting_before(chunk, F.length(chunk) - tail)
+        finished = state["first"] + n >= F.size(pieces)
+        return F.struct(
+            F.when(finished, F.size(pieces)).otherwise(state["first"] + left).alias("first"),
+            F.array_append(state["out"], chunk).alias("out"),
+        )
 
+    def step(state: Column, _: Column) -> Column:
+        # Each piece has a character, so this stretch is all that is left or too long.
+        rest = F.slice(pieces, state["first"] + 1, F.lit(size + 1))
 
-def _keep_tail(state: Column, incoming: Column, size: int, overlap: int) -> Column:
-    """How many atoms, and how many characters, leave the front of a full run."""
+        def take(rest: Column, text: Column) -> Column:
+            fitting = F.when(F.length(text) <= size, F.size(rest)).otherwise(
+                starting_before(text, F.lit(size + 1)) - 1
+            )
+            return let(
+                fitting,
+                lambda n: let(
+                    F.array_join(F.slice(rest, F.lit(1), n), ""),
+                    lambda chunk: after(state, rest, chunk, n),
+                ),
+            )
 
-    def drop(acc: Column, length: Column) -> Column:
-        left = state["total"] - acc["chars"]
-        leaves = (left > overlap) | ((left + incoming > size) & (left > 0))
-        return F.when(
-            leaves,
-            F.struct((acc["n"] + 1).alias("n"), (acc["chars"] + length).alias("chars")),
-        ).otherwise(acc)
+        taken = let(rest, lambda r: let(F.array_join(r, ""), lambda text: take(r, text)))
+        return F.when(state["first"] >= F.size(pieces), state).otherwise(taken)
 
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("chars"))
-    return F.aggregate(state["lens"], start, drop)
+    # Two chunks in a row reach more than ``size`` characters beyond the first's start.
+    length = F.length(F.array_join(pieces, ""))
+    steps = (2 * length / (size - overlap)).cast("int") + 2
+    start = F.expr("named_struct('first', 0, 'out', cast(array() as array<string>))")
+    return F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda state: state["out"])
 
 
-def _cuts(atoms: Column, size: int, overlap: int) -> Column:
-    """array<struct<first, n>>: the run of atoms behind each chunk."""
-    items = F.transform(
-        atoms,
-        lambda a, i: F.struct(
-            F.length(a["text"]).alias("len"), a["lead"].alias("lead"), i.alias("i")
-        ),
-    )
+def _chunks(text: Column, level: int, size: int, overlap: int, marker: Column) -> Column:
+    """array<string>: chunks, not yet stripped, of a text that is cut at ``level``."""
+    if level == len(SEPARATORS):
+        return window_texts(text, size, overlap)
 
-    def closed(state: Column) -> Column:
-        run = F.struct(state["first"].alias("first"), F.size(state["lens"]).alias("n"))
-        return F.when(F.size(state["lens"]) > 0, F.array_append(state["cuts"], run)).otherwise(
-            state["cuts"]
-        )
+    def is_long(piece: Column) -> Column:
+        return F.length(piece) >= size
 
-    def state_of(first: Column, lens: Column, total: Column, cuts: Column) -> Column:
-        return F.struct(
-            first.alias("first"), lens.alias("lens"), total.alias("total"), cuts.alias("cuts")
-        ).cast(_FOLD_STATE)
-
-    def step(state: Column, item: Column) -> Column:
-        def overflow(dropped: Column) -> Column:
-            kept = F.slice(state["lens"], dropped["n"] + 1, F.size(state["lens"]))
-            return state_of(
-                state["first"] + dropped["n"],
-                F.array_append(kept, item["len"]),
-                state["total"] - dropped["chars"] + item["len"],
-                closed(state),
-            )
+    def around_long(pieces: Column, long: Column) -> Column:
+        """``long`` holds the places of the long pieces; the others form runs between them."""
 
-        return (
-            F.when(
-                item["lead"],
-                state_of(item["i"], F.array(item["len"]), item["len"], closed(state)),
-            )
-            .when(
-                state["total"] + item["len"] > size,
-                let(_keep_tail(state, item["len"], size, overlap), overflow),
-            )
-            .otherwise(
-                state_of(
-                    state["first"],
-                    F.array_append(state["lens"], item["len"]),
-                    state["total"] + item["len"],
-                    state["cuts"],
-                )
+        def part(j: Column) -> Column:
+            """The run before the j-th long piece, then that piece by itself."""
+            start = F.coalesce(F.get(long, j - 1) + 1, F.lit(0))
+            end = F.coalesce(F.get(long, j), F.size(pieces))
+            run = let(
+                F.slice(pieces, start + 1, end - start),
+                lambda some: _merged(some, SEPARATORS[level], size, overlap),
             )
+            inner = _chunks(F.get(pieces, F.get(long, j)), level + 1, size, overlap, marker)
+            return F.when(j < F.size(long), F.concat(run, inner)).otherwise(run)
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(long)), part))
+
+    def of_pieces(pieces: Column) -> Column:
+        places = F.transform(pieces, lambda p, i: F.when(is_long(p), i))
+        return let(
+            F.filter(places, lambda i: i.isNotNull()), lambda long: around_long(pieces, long)
         )
 
-    empty = F.expr(
-        "named_struct('first', 0, 'lens', cast(array() as array<int>), 'total', 0,"
-        " 'cuts', cast(array() as array<struct<first:int,n:int>>))"
-    )
-    return F.aggregate(items, empty, step, closed)
+    return let(_cut_before(text, SEPARATORS[level], marker), of_pieces)
 
 
 def recursive_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
@@ -144,16 +136,5 @@ def recursive_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_
     marker = F.when(
         F.contains(text, plain), F.concat(plain, F.md5(text.cast("binary")), plain)
     ).otherwise(plain)
-
-    def assemble(atoms: Column) -> Column:
-        runs = F.transform(
-            _cuts(atoms, size, overlap),
-            lambda c: strip(
-                F.array_join(
-                    F.transform(F.slice(atoms, c["first"] + 1, c["n"]), lambda a: a["text"]), ""
-                )
-            ),
-        )
-        return F.filter(runs, lambda c: c != "")
-
-    return let(marker, lambda m: let(_atoms(text, 0, size, overlap, m), assemble))
+    chunks = let(marker, lambda m: F.transform(_chunks(text, 0, size, overlap, m), strip))
+    return F.filter(chunks, lambda c: c != "")
