@@ -54,7 +54,7 @@ def hashed_vector(text: Column, dim: int = HASH_DIM) -> Column:
 
         return let(starts, of_starts)
 
-    buckets = F.array_sort(F.transform(words(text), lambda w: text_bucket(w, dim)))
+    buckets = F.sort_array(F.transform(words(text), lambda w: text_bucket(w, dim)))
     return let(buckets, of_sorted)
 
 

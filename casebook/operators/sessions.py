@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from casebook import fixed_values as V
 from casebook.operators.ordering import GROUP_LIMIT, first_k, numbered
+from casebook.schemas import SESSION_FIELDS
 
 ORDER = ["offset_s", "event_id"]
 
@@ -29,11 +30,15 @@ def time_limit_seconds(minutes: Column) -> Column:
 
 
 def lookup_scenarios(df: DataFrame, scenarios: DataFrame, key: str, scenario_id: str = "id") -> DataFrame:
-    """Left lookup by integer id; ``found`` flags the matches. Ids are unique."""
+    """Left lookup by integer id; ``found`` flags the matches. Ids are unique.
+
+    A text key counts by the integer it begins with, as in a route.
+    """
     right = scenarios.withColumn("_id", F.col(scenario_id).cast("bigint"))
     if scenario_id != key:
         right = right.drop(scenario_id)
-    left = df.withColumn("_id", F.expr(f"try_cast({key} as bigint)"))
+    leading = F.regexp_extract(F.col(key).cast("string"), r"^\s*([+-]?\d+)", 1)
+    left = df.withColumn("_id", leading.try_cast("bigint"))
     return (
         left.join(right.withColumn("_hit", F.lit(True)), "_id", "left")
         .withColumn("found", F.coalesce("_hit", F.lit(False)))
@@ -53,7 +58,13 @@ def split_lines(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame
     return number_items(df, keys, F.split(F.col(text), "\n", -1), "line")
 
 
-def merge_documents(patches: DataFrame, key: str, order: list[str], patch: str, fields: list[str]) -> DataFrame:
+def merge_documents(
+    patches: DataFrame,
+    key: str,
+    order: list[str],
+    patch: str = "patch",
+    fields: list[str] = SESSION_FIELDS,
+) -> DataFrame:
     """Shallow merge of staged documents: each field takes its latest value.
 
     ``patch`` is map<string,string>. A stage overwrites only the fields it carries,

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casebook.fixed_values import BADGES
+from casebook.functions.text import text_bucket
 from casebook.sources.catalogues import FaqEntry
 from casebook.sources.documents import load_documents
 
@@ -182,8 +184,6 @@ def session_base(settings: DataFrame) -> DataFrame:
     """Base scores in their usual ranges, derived from the session id."""
 
     def bucket(name: str, span: int):
-        from casebook.functions.text import text_bucket
-
         return text_bucket(F.concat(F.col("session_id").cast("string"), F.lit(name)), span)
 
     return settings.select(
@@ -196,16 +196,15 @@ def session_base(settings: DataFrame) -> DataFrame:
     )
 
 
-def earned_events(spark, folder) -> DataFrame:
+def earned_badges(rows: DataFrame) -> DataFrame:
     """Events of value 100 or more stand for earned badges."""
-    from casebook.fixed_values import BADGES
-
     names = F.array(*[F.lit(b[0]) for b in BADGES])
-    return (
-        events(spark, folder)
-        .filter(F.col("value") >= 100)
-        .select("user_id", F.get(names, (props_k() % len(BADGES)).cast("int")).alias("badge_id"), "ts")
-    )
+    badge = F.get(names, (props_k() % len(BADGES)).cast("int"))
+    return rows.filter(F.col("value") >= 100).select("user_id", badge.alias("badge_id"), "ts")
+
+
+def earned_events(spark, folder) -> DataFrame:
+    return earned_badges(events(spark, folder))
 
 
 def completed_sessions(spark, folder) -> DataFrame:

@@ -26,17 +26,9 @@ def _stream(spark, folder, name, schema):
     )
 
 
-def _earned(events):
-    from casebook.fixed_values import BADGES
-
-    names = F.array(*[F.lit(b[0]) for b in BADGES])
-    badge = F.get(names, (inputs.props_k() % len(BADGES)).cast("int"))
-    return events.filter(F.col("value") >= 100).select("user_id", badge.alias("badge_id"), "ts")
-
-
 def stream_badge_tally(spark, folder):
     target, checkpoint = fresh_path(spark, "tally"), fresh_path(spark, "tally-state")
-    earned = _earned(_stream(spark, folder, "events", EVENT))
+    earned = inputs.earned_badges(_stream(spark, folder, "events", EVENT))
     badges.start_tally(earned, target, checkpoint).awaitTermination()
     return badges.read_latest(spark, target)
 

@@ -6,7 +6,6 @@ EVENT = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
     "value double, props string"
 )
-VECTOR = "vec_id bigint, embedding array<float>, label int"
 
 TOOL_CALLS = "array<struct<name:string,args:map<string,string>,id:string>>"
 SOURCE_MAP = "id int, sources array<map<string,string>>"
@@ -22,7 +21,8 @@ SCENARIO = (
     "skills array<string>, description string, summary string, facts array<string>"
 )
 
-SESSION_DOCUMENT_KEYS = [
+# Fields of a session document, in the order the stages write them.
+SESSION_FIELDS = [
     "scenarioId",
     "role",
     "coach",

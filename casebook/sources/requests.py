@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casebook import fixed_values as V
@@ -40,8 +40,12 @@ def mark_rejects(df: DataFrame, question: str = "question") -> DataFrame:
     )
 
 
-def write_split(marked: DataFrame, good_path: str, bad_path: str) -> None:
-    """Accepted requests to one sink, rejected ones with their error to the other."""
-    errors = ["status", "code", "details"]
-    marked.filter("valid").drop("valid", *errors).write.mode("append").parquet(good_path)
-    marked.filter("not valid").drop("valid").write.mode("append").parquet(bad_path)
+def write_split(marked: DataFrame, folder: str) -> None:
+    """Accepted and rejected requests to their own folders below ``folder``, in one pass."""
+    marked.write.mode("append").partitionBy("valid").parquet(folder)
+
+
+def read_split(spark: SparkSession, folder: str, valid: bool) -> DataFrame:
+    """One side of the split; only its folder is read."""
+    side = spark.read.parquet(folder).filter(F.col("valid") == valid).drop("valid")
+    return side.drop("status", "code", "details") if valid else side

@@ -107,10 +107,10 @@ def test_lines_and_lookup(spark):
     assert sorted(tuple(r) for r in S.split_lines(df, ["id"]).collect()) == [
         (1, 1, "a"), (1, 2, ""), (1, 3, "b"), (2, 1, ""),
     ]
-    keys = spark.createDataFrame([("1",), ("9",), ("abc",)], "key string")
+    keys = spark.createDataFrame([("1",), ("9",), ("abc",), (" 1x",)], "key string")
     scenarios = spark.createDataFrame([(1, "x")], "id int, name string")
     got = {r.key: (r.found, r.name) for r in S.lookup_scenarios(keys, scenarios, "key").collect()}
-    assert got == {"1": (True, "x"), "9": (False, None), "abc": (False, None)}
+    assert got == {"1": (True, "x"), "9": (False, None), "abc": (False, None), " 1x": (True, "x")}
 
 
 def test_merge_documents(spark):

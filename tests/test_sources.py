@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from casebook.sources import catalogues
 from casebook.sources.collection import append_collection, open_collection, write_collection
 from casebook.sources.documents import load_documents, load_text_pages
-from casebook.sources.requests import decode_requests, mark_rejects, write_split
+from casebook.sources.requests import decode_requests, mark_rejects, read_split, write_split
 from casebook.sources.source_map import read_source_map
 
 
@@ -68,10 +68,10 @@ def test_request_defaults(spark):
 
 def test_reject_split(spark, tmp_path):
     marked = mark_rejects(decode_requests(spark.createDataFrame(REQUESTS, "id int, payload string")))
-    good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
-    write_split(marked, good, bad)
-    assert sorted(r.id for r in spark.read.parquet(good).collect()) == [1, 2, 3]
-    rejected = spark.read.parquet(bad).collect()
+    folder = str(tmp_path / "split")
+    write_split(marked, folder)
+    assert sorted(r.id for r in read_split(spark, folder, True).collect()) == [1, 2, 3]
+    rejected = read_split(spark, folder, False).collect()
     assert sorted(r.id for r in rejected) == [4, 5]
     assert {(r.status, r.code) for r in rejected} == {(400, "BAD_REQUEST")}
 

@@ -1,8 +1,6 @@
 import datetime as dt
 import random
 
-from pyspark.sql import functions as F
-
 from casebook.operators.badges import tally
 from casebook.operators.messages import upsert
 from casebook.streaming import badges, messages, sessions
