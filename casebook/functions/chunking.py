@@ -10,6 +10,9 @@ break, space) and, if nothing else is left, into overlapping windows.
 Merging takes one step per chunk, not per piece: every piece but the first opens
 with the separator, so counting separators in a stretch of text tells how many
 pieces start in it.
+
+The rule is put together as SQL text: as nested Python calls the same expression
+takes most of a second to build.
 """
 
 from __future__ import annotations
@@ -18,123 +21,102 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from casebook.fixed_values import CHUNK_OVERLAP, CHUNK_SIZE
-from casebook.functions.text import let, strip
+from casebook.functions.text import STRIP_CHARS
 
 SEPARATORS = ["\n\n", "\n", " "]
+MARKER = "\u001e"
+
 
+def _let(name: str, value: str, body: str) -> str:
+    """Bind ``value`` once under ``name``."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
-def window_texts(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
+
+def _windows(text: str, size: int, overlap: int) -> str:
     """Windows of ``size`` characters every ``size - overlap``; the first one that
     reaches the end is the last."""
     stride = size - overlap
-    last = F.greatest(F.lit(0), F.ceil((F.length(text) - size) / F.lit(stride)).cast("int"))
-    return F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: F.substring(text, i * F.lit(stride) + 1, F.lit(size)),
-    )
-
-
-def fixed_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
-    """array<string>: stripped, non-empty windows."""
-    return F.filter(F.transform(window_texts(text, size, overlap), strip), lambda c: c != "")
+    last = f"greatest(0, cast(ceil((length({text}) - {size}) / {stride}) as int))"
+    return f"transform(sequence(0, {last}), w -> substring({text}, w * {stride} + 1, {size}))"
 
 
-def _cut_before(text: Column, separator: str, marker: Column) -> Column:
-    """Pieces of ``text``, cut before each leftmost, non-overlapping separator."""
-    marked = F.replace(text, F.lit(separator), F.concat(marker, F.lit(separator)))
-    return F.filter(F.split(marked, marker, -1), lambda p: p != "")
+def _starting_before(text: str, chars: str, separator: str) -> str:
+    """Number of pieces that start among the first ``chars`` characters of ``text``."""
+    size = len(separator)
+    found = _let(
+        "head",
+        f"substring({text}, 1, {chars} + {size - 1})",
+        f"cast((length(head) - length(replace(head, '{separator}', ''))) / {size} as int)",
+    )
+    return f"({found} + if(startswith({text}, '{separator}'), 0, 1))"
 
 
-def _merged(pieces: Column, separator: str, size: int, overlap: int) -> Column:
-    """array<string>: chunks of a run of pieces that are all shorter than ``size``.
+def _merged(pieces: str, separator: str, size: int, overlap: int) -> str:
+    """Chunks of a run of pieces that are all shorter than ``size``.
 
     A chunk takes as many pieces as fit. The next one starts with the longest tail
     of whole pieces that is at most ``overlap`` long and leaves room for the piece
     that did not fit.
     """
-
-    def starting_before(text: Column, chars: Column) -> Column:
-        """Pieces that start among the first ``chars`` characters of ``text``."""
-        head = F.substring(text, F.lit(1), chars + (len(separator) - 1))
-        without = F.replace(head, F.lit(separator), F.lit(""))
-        found = ((F.length(head) - F.length(without)) / len(separator)).cast("int")
-        return found + F.when(F.startswith(text, F.lit(separator)), 0).otherwise(1)
-
-    def after(state: Column, rest: Column, chunk: Column, n: Column) -> Column:
-        """State once ``chunk``, made of the first ``n`` pieces of ``rest``, is taken."""
-        tail = F.least(F.lit(overlap), size - F.length(F.get(rest, n)))
-        left = starting_before(chunk, F.length(chunk) - tail)
-        finished = state["first"] + n >= F.size(pieces)
-        return F.struct(
-            F.when(finished, F.size(pieces)).otherwise(state["first"] + left).alias("first"),
-            F.array_append(state["out"], chunk).alias("out"),
-        )
-
-    def step(state: Column, _: Column) -> Column:
-        # Each piece has a character, so this stretch is all that is left or too long.
-        rest = F.slice(pieces, state["first"] + 1, F.lit(size + 1))
-
-        def take(rest: Column, text: Column) -> Column:
-            fitting = F.when(F.length(text) <= size, F.size(rest)).otherwise(
-                starting_before(text, F.lit(size + 1)) - 1
-            )
-            return let(
-                fitting,
-                lambda n: let(
-                    F.array_join(F.slice(rest, F.lit(1), n), ""),
-                    lambda chunk: after(state, rest, chunk, n),
-                ),
-            )
-
-        taken = let(rest, lambda r: let(F.array_join(r, ""), lambda text: take(r, text)))
-        return F.when(state["first"] >= F.size(pieces), state).otherwise(taken)
-
+    tail = f"least({overlap}, {size} - length(get(rest, n)))"
+    left = _starting_before("chunk", f"(length(chunk) - {tail})", separator)
+    following = f"""named_struct(
+        'place', if(state.place + n >= size({pieces}), size({pieces}), state.place + {left}),
+        'chunks', array_append(state.chunks, chunk))"""
+    fitting = f"""if(length(stretch) <= {size}, size(rest),
+        {_starting_before("stretch", str(size + 1), separator)} - 1)"""
+    taken = _let("chunk", "array_join(slice(rest, 1, n), '')", following)
+    taken = _let("stretch", "array_join(rest, '')", _let("n", fitting, taken))
+    # Each piece has a character, so this stretch is all that is left or too long.
+    taken = _let("rest", f"slice({pieces}, state.place + 1, {size + 1})", taken)
     # Two chunks in a row reach more than ``size`` characters beyond the first's start.
-    length = F.length(F.array_join(pieces, ""))
-    steps = (2 * length / (size - overlap)).cast("int") + 2
-    start = F.expr("named_struct('first', 0, 'out', cast(array() as array<string>))")
-    return F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda state: state["out"])
+    steps = f"cast(2 * length(array_join({pieces}, '')) / {size - overlap} as int) + 2"
+    return f"""aggregate(
+        sequence(1, {steps}),
+        named_struct('place', 0, 'chunks', cast(array() as array<string>)),
+        (state, step) -> if(state.place >= size({pieces}), state, {taken}),
+        state -> state.chunks)"""
 
 
-def _chunks(text: Column, level: int, size: int, overlap: int, marker: Column) -> Column:
-    """array<string>: chunks, not yet stripped, of a text that is cut at ``level``."""
+def _chunks(text: str, level: int, size: int, overlap: int) -> str:
+    """Chunks, not yet stripped, of a text that is cut at ``level``."""
     if level == len(SEPARATORS):
-        return window_texts(text, size, overlap)
-
-    def is_long(piece: Column) -> Column:
-        return F.length(piece) >= size
-
-    def around_long(pieces: Column, long: Column) -> Column:
-        """``long`` holds the places of the long pieces; the others form runs between them."""
+        return _windows(text, size, overlap)
+    separator = SEPARATORS[level]
+    pieces, long, at = f"pieces{level}", f"long{level}", f"at{level}"
+
+    # Cut before each leftmost, non-overlapping separator.
+    marked = f"replace({text}, '{separator}', concat(marker, '{separator}'))"
+    cut = f"filter(split({marked}, marker, -1), p -> p <> '')"
+    places = f"filter(transform({pieces}, (p, i) -> if(length(p) >= {size}, i, null)), i -> i is not null)"
+
+    # The run before each long piece, then that piece by itself; at last the rest.
+    start, end = f"coalesce(get({long}, {at} - 1) + 1, 0)", f"coalesce(get({long}, {at}), size({pieces}))"
+    run = _let("run", f"slice({pieces}, {start} + 1, {end} - {start})", _merged("run", separator, size, overlap))
+    inner = _let(
+        f"inner{level}",
+        f"get({pieces}, get({long}, {at}))",
+        _chunks(f"inner{level}", level + 1, size, overlap),
+    )
+    parts = f"""flatten(transform(sequence(0, size({long})), {at} ->
+        concat({run}, if({at} < size({long}), {inner}, array()))))"""
+    return _let(pieces, cut, _let(long, places, parts))
 
-        def part(j: Column) -> Column:
-            """The run before the j-th long piece, then that piece by itself."""
-            start = F.coalesce(F.get(long, j - 1) + 1, F.lit(0))
-            end = F.coalesce(F.get(long, j), F.size(pieces))
-            run = let(
-                F.slice(pieces, start + 1, end - start),
-                lambda some: _merged(some, SEPARATORS[level], size, overlap),
-            )
-            inner = _chunks(F.get(pieces, F.get(long, j)), level + 1, size, overlap, marker)
-            return F.when(j < F.size(long), F.concat(run, inner)).otherwise(run)
 
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(long)), part))
+def _of_text(text: Column, body: str) -> Column:
+    """Evaluate SQL in which ``doc`` stands for the text; strip, and drop what is empty."""
+    kept = f"filter(transform({body}, c -> btrim(c, '{STRIP_CHARS}')), c -> c <> '')"
+    return F.element_at(F.call_function("transform", F.array(text), F.expr(f"doc -> {kept}")), 1)
 
-    def of_pieces(pieces: Column) -> Column:
-        places = F.transform(pieces, lambda p, i: F.when(is_long(p), i))
-        return let(
-            F.filter(places, lambda i: i.isNotNull()), lambda long: around_long(pieces, long)
-        )
 
-    return let(_cut_before(text, SEPARATORS[level], marker), of_pieces)
+def fixed_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
+    """array<string>: stripped, non-empty windows."""
+    return _of_text(text, _windows("doc", size, overlap))
 
 
 def recursive_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
     """array<string>: chunks of at most ``size`` characters, in text order."""
     # A text may itself contain the marker; then one made from its digest is used.
-    plain = F.lit("\u001e")
-    marker = F.when(
-        F.contains(text, plain), F.concat(plain, F.md5(text.cast("binary")), plain)
-    ).otherwise(plain)
-    chunks = let(marker, lambda m: F.transform(_chunks(text, 0, size, overlap, m), strip))
-    return F.filter(chunks, lambda c: c != "")
+    marker = f"""if(contains(doc, '{MARKER}'),
+        concat('{MARKER}', md5(cast(doc as binary)), '{MARKER}'), '{MARKER}')"""
+    return _of_text(text, _let("marker", marker, _chunks("doc", 0, size, overlap)))
