@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casebook.llm import decontaminate, pieces
+from casebook.llm import decontaminate, near_duplicates, pieces
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_sentencepiece": (pieces.query, None),
+    "op5_near_duplicates": (near_duplicates.query, near_duplicates.SQL),
     "op8_decontamination": (decontaminate.query, decontaminate.SQL),
 }
 
