@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casebook.llm import decontaminate, near_duplicates, pieces
+from casebook.llm import decontaminate, html_text, language, near_duplicates, ngram_scores, pieces, quality, secrets, token_counts
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_sentencepiece": (pieces.query, None),
+    "op2_ngram_scores": (ngram_scores.query, ngram_scores.SQL),
+    "op3_language": (language.query, None),
+    "op4_secrets": (secrets.query, None),
     "op5_near_duplicates": (near_duplicates.query, near_duplicates.SQL),
+    "op6_html_text": (html_text.query, None),
+    "op7_quality": (quality.query, None),
     "op8_decontamination": (decontaminate.query, decontaminate.SQL),
+    "op9_token_counts": (token_counts.query, None),
 }
 
 
