@@ -4,13 +4,14 @@ A document is its set of distinct 5-word shingles; documents are linked if the
 sets' Jaccard similarity is at least 3/4. The steps:
 
 1. One pass over the texts gives a fingerprint of each set, its size, `BANDS` band
-   keys of `ROWS` minima each, and one bit of each of the 256 minima.
+   keys of `ROWS` minima each, and four bits of each of the 512 minima.
 2. Documents with equal sets form a class, and only its smallest id goes on.
 3. Rounds over the bands' buckets. The first two pair each member of a bucket with
    one pivot only, so a group of copies costs as many pairs as it has members.
    What is in one component then needs no further pair; the last round pairs all
-   members of a bucket that are still in different components.
-4. A pair's bits are compared in batches of 64. After each batch it goes if the
+   members of a bucket that are still in different components, each pair in the
+   first band that it shares.
+4. A pair's minima are compared in batches. After each batch the pair goes if the
    posterior probability of a similarity of 3/4 or more, from a uniform prior, is
    below `MISS`. The survivors are verified on the full sets.
 
@@ -34,8 +35,10 @@ from casebook.session import written
 
 SHINGLE = 5
 BANDS, ROWS = 51, 5
-MINIMA = 256
-BATCH = 64
+MINIMA, BITS = 512, 4
+#: Minima in a 64-bit number, and in how many such numbers each batch of the comparison ends.
+PACKED = 64 // BITS
+BATCH_ENDS = (2, 6, 32)
 #: Probability at which a pair that is linked may be given up in a batch.
 MISS = 1e-6
 #: Ids that may be broadcast to pick documents: 16 bytes each, so 32 MB.
@@ -62,7 +65,7 @@ def shingle_sets(part: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
-    """256 minima of the set under as many hash functions, half of them on each half of the hash."""
+    """512 minima of the set under as many hash functions, half of them on each half of the hash."""
     out = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
     halves = ((shingles >> np.uint64(32)).astype(np.uint32), shingles.astype(np.uint32))
     for k, half in enumerate(halves):
@@ -76,6 +79,7 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 def _signed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = np.arange(PACKED, dtype=np.uint64) * np.uint64(BITS)
         numbers = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
             for part in slices(batch, "text"):
@@ -94,9 +98,8 @@ def _signed(docs: DataFrame) -> DataFrame:
                     for r in range(ROWS):
                         key = mix(key ^ wide[:, r]) + key
                     bands.append(mix(key).view(np.int64))
-                    # The lowest bit of a scrambled minimum; the minima themselves share no bits by chance.
-                    bit = (mix(low.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
-                    bits.append(np.packbits(bit).view(np.int64))
+                    nibbles = (mix(low.astype(np.uint64)) & np.uint64((1 << BITS) - 1)).reshape(-1, PACKED)
+                    bits.append((nibbles << places).sum(axis=1, dtype=np.uint64).view(np.int64))
                 prints = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -115,14 +118,15 @@ def _signed(docs: DataFrame) -> DataFrame:
 
 @cache
 def fewest_matches(seen: int, miss: float = MISS) -> int:
-    """Least number of equal bits in `seen` at which the pair goes on.
+    """Least number of equal minima in `seen` at which the pair goes on.
 
-    A bit is equal with probability (1 + s) / 2 for similarity s. With a uniform
-    prior on s, the posterior of s >= 3/4 is a ratio of incomplete beta integrals,
-    taken here on a grid.
+    Of similarity s, the kept bits of two minima are equal with probability
+    s + (1 - s) / 2 ** BITS. With a uniform prior on s, the posterior of s >= 3/4 is a
+    ratio of two integrals, taken here on a grid.
     """
     grid = (np.arange(20_000) + 0.5) / 20_000
-    equal, differ = np.log((1 + grid) / 2), np.log((1 - grid) / 2)
+    chance = grid + (1 - grid) / 2**BITS
+    equal, differ = np.log(chance), np.log(1 - chance)
     for m in range(seen + 1):
         weight = m * equal + (seen - m) * differ
         weight = np.exp(weight - weight.max())
@@ -131,23 +135,32 @@ def fewest_matches(seen: int, miss: float = MISS) -> int:
     return seen
 
 
+ONES = sum(1 << (BITS * i) for i in range(PACKED))
+
+
+def _differ(x: Column, y: Column) -> Column:
+    """How many of the minima packed in two numbers differ."""
+    x = x.bitwiseXOR(y)
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+    return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(ONES)))
+
+
+def _equal(a: str, b: str, end: int) -> Column:
+    """Equal minima in the first `end` packed numbers."""
+    left, right = F.col(f"{a}.bits"), F.col(f"{b}.bits")
+    if end <= 6:  # as one expression; more would make too large a method
+        return F.lit(end * PACKED) - sum((_differ(F.get(left, F.lit(k)), F.get(right, F.lit(k))) for k in range(1, end)), _differ(left[0], right[0]))
+    return F.lit(end * PACKED) - F.aggregate(F.zip_with(left, right, _differ), F.lit(0), lambda n, x: n + x)
+
+
 def likely(a: str, b: str) -> Column:
-    """Sizes that allow the similarity, and bits that keep its posterior at MISS or more after each batch."""
+    """Sizes that allow the similarity, and minima that keep its posterior at MISS or more after each batch."""
     n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
     tests = [F.lit(100) * F.least(n_a, n_b) >= F.lit(75) * F.greatest(n_a, n_b)]
-    equal = F.lit(0)
-    for k in range(MINIMA // BATCH):
-        equal = equal + BATCH - F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}")))
-        tests.append(equal >= fewest_matches((k + 1) * BATCH))
+    tests += [_equal(a, b, end) >= fewest_matches(end * PACKED) for end in BATCH_ENDS]
     return reduce(lambda x, y: x & y, tests)
 
 
-def equal_bits(a: str, b: str) -> Column:
-    return reduce(
-        lambda x, y: x + y, (F.lit(BATCH) - F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(MINIMA // BATCH))
-    )
-
-
 def picked(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     """Rows of `docs` whose doc_id is (or, left_anti, is not) in `ids`; the ids are broadcast only if few."""
     few = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
@@ -179,13 +192,17 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _with_bits(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     """Pairs (a, b) that may be linked, with the number of equal bits."""
-    left = bits.select(F.col("id").alias("a"), F.struct("n", "s0", "s1", "s2", "s3").alias("x"))
-    right = bits.select(F.col("id").alias("b"), F.struct("n", "s0", "s1", "s2", "s3").alias("y"))
+    left = bits.select(F.col("id").alias("a"), F.struct("n", "bits").alias("x"))
+    right = bits.select(F.col("id").alias("b"), F.struct("n", "bits").alias("y"))
     return (
-        pairs.join(left, "a").join(right, "b").where(likely("x", "y")).select("a", "b", equal_bits("x", "y").alias("equal"))
+        pairs.join(left, "a").join(right, "b").where(likely("x", "y")).select("a", "b", _equal("x", "y", MINIMA // PACKED).alias("equal"))
     )
 
 
+def _same(x: Column, y: Column) -> Column:
+    return F.when(x == y, x)
+
+
 def _best(pairs: DataFrame, n: int) -> DataFrame:
     """For each b its n partners with the most equal bits."""
     order = Window.partitionBy("b").orderBy(F.desc("equal"), "a")
@@ -195,7 +212,7 @@ def _best(pairs: DataFrame, n: int) -> DataFrame:
 def class_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Links (a, b) between class representatives that connect all that are linked.
 
-    `reps` has one row per class: id, n, bands, s0 to s3.
+    `reps` has one row per class: id, n, bands, bits.
     """
     bits = reps.drop("bands")
     rows = reps.select("id", F.explode("bands").alias("key"))
@@ -223,8 +240,8 @@ def class_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
         )
         open_rows = placed.join(buckets, "key")
         if last:
-            open_rows = written(open_rows.join(bits, "id"), "open")
-            side = open_rows.select("key", "main", "component", "id", F.struct("n", "s0", "s1", "s2", "s3").alias("x"))
+            open_rows = written(open_rows.join(reps, "id"), "open")
+            side = open_rows.select("key", "main", "component", "id", "bands", F.struct("n", "bits").alias("x"))
             out, every = side.where("component <> main").alias("o"), side.alias("e")
             pairs = (
                 out.join(
@@ -232,7 +249,8 @@ def class_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
                     (F.col("o.key") == F.col("e.key"))
                     & (F.col("o.component") != F.col("e.component"))
                     & ((F.col("e.component") == F.col("e.main")) | (F.col("o.id") < F.col("e.id")))
-                    & likely("x", "y"),
+                    & likely("x", "y")
+                    & (F.col("o.key") == F.get(F.filter(F.zip_with("o.bands", "e.bands", _same), F.isnotnull), F.lit(0))),
                 )
                 .select(F.col("o.id").alias("a"), F.col("e.id").alias("b"))
                 .distinct()
@@ -267,10 +285,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("bits", "doc_id").alias("bits")),
         "classes",
     )
-    reps = classes.select(
-        "id", F.col("n_shingles").alias("n"), "bands", *(F.col("bits")[k].alias(f"s{k}") for k in range(MINIMA // BATCH))
-    )
-    links = class_links(docs, reps)
+    links = class_links(docs, classes.select("id", F.col("n_shingles").alias("n"), "bands", "bits"))
     members = written(
         signed.select("doc_id", *prints).join(classes.select("id", *prints), prints, "left").select("doc_id", "n_shingles", "id"),
         "members",
