@@ -85,6 +85,11 @@ def grams_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return single, double, found.offsets
 
 
+def _distinct(column: pa.Array) -> list[np.ndarray]:
+    single, double, _ = grams_of(column)
+    return [np.unique(single), np.unique(double[double > 0])]
+
+
 def _counted(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(arrays) if arrays else np.zeros(0, np.uint64), return_counts=True)
 
@@ -150,27 +155,32 @@ def _block_grams(blocks: DataFrame, buckets: int) -> DataFrame:
 
 
 def _totals(grams: DataFrame) -> DataFrame:
-    """The count tables: each bucket adds up its rows and gives every block its n-grams' totals.
+    """The count tables: each bucket adds up its rows and hands every block the totals of its n-grams.
 
-    The second array holds totals in the order of the first, which the block repeats.
+    The totals are in the order of the block's n-grams of that bucket, which the block
+    knows itself, so the n-grams do not travel back.
     """
 
     def run(table: pa.Table) -> pa.Table:
+        blocks = table.column("block").to_pylist()
         parts = [
             (unpack(g), unpack_counts(c))
             for g, c in zip(table.column("grams").to_pylist(), table.column("counts").to_pylist(), strict=True)
         ]
         _, total, places = _added(parts)
+        of: dict[int, list[np.ndarray]] = {}
+        for block, place in zip(blocks, places, strict=True):
+            of.setdefault(block, []).append(place)
+        own = [p[0] if len(p) == 1 else np.unique(np.concatenate(p)) for p in of.values()]
         return pa.table(
             {
-                "block": table.column("block"),
-                "bucket": table.column("bucket"),
-                "grams": table.column("grams"),
-                "counts": pa.array([pack_counts(total[p]) for p in places], pa.binary()),
+                "block": pa.array(of.keys(), pa.int64()),
+                "bucket": pa.array([table.column("bucket")[0].as_py()] * len(of), pa.int32()),
+                "counts": pa.array([pack_counts(total[p]) for p in own], pa.binary()),
             }
         )
 
-    return grams.groupBy("bucket").applyInArrow(run, GRAMS)
+    return grams.groupBy("bucket").applyInArrow(run, "block long, bucket int, counts binary")
 
 
 def ngram_scores(docs: DataFrame) -> DataFrame:
@@ -190,19 +200,16 @@ def ngram_scores(docs: DataFrame) -> DataFrame:
         return blocks.selectExpr("doc_id", "0L n_words", "0L n_backoff", "0D score")
     total = blocks.select("text").mapInArrow(_word_counts, "n long").agg(F.sum("n")).first()[0]
     totals = _totals(_block_grams(blocks, buckets))
+    shift = np.uint64(HASH_BITS - (buckets.bit_length() - 1))
 
     def scored(key: object, own: pa.Table, counts: pa.Table) -> pa.Table:
-        known = [unpack(g) for g in counts.column("grams").to_pylist()]
-        tallies = [unpack_counts(c) for c in counts.column("counts").to_pylist()]
-        grams = np.concatenate(known) if known else np.zeros(0, np.uint64)
-        tally = np.concatenate(tallies) if tallies else np.zeros(0, np.int64)
-        order = np.argsort(grams, kind="stable")
-        grams, tally = grams[order], tally[order]
-        out = []
-        for batch in own.combine_chunks().to_batches():
-            for part in slices(batch, "text"):
-                out.append(_score(part, grams, tally, total))
-        return pa.concat_tables([pa.Table.from_batches([b]) for b in out])
+        batches = [part for batch in own.combine_chunks().to_batches() for part in slices(batch, "text")]
+        grams = np.unique(np.concatenate([x for part in batches for x in _distinct(part.column("text"))]))
+        ends = np.searchsorted(grams >> shift, np.arange(buckets + 1))
+        tally = np.zeros(len(grams), np.int64)
+        for b, c in zip(counts.column("bucket").to_pylist(), counts.column("counts").to_pylist(), strict=True):
+            tally[ends[b] : ends[b + 1]] = unpack_counts(c)
+        return pa.Table.from_batches([_score(part, grams, tally, total) for part in batches])
 
     return (
         blocks.select("doc_id", "text", "block")
