@@ -3,9 +3,10 @@
 Every text gives a row of statistics in one pass. Random Fourier features
 approximate a Gaussian kernel on the standardised statistics; each partition sums
 its part of the normal equations, the sums are added in a tree, and the driver
-solves one system of `FEATURES` unknowns. A part of the labelled rows, set by a
-hash, stays out of the regression; on it the scores are binned (a count for each
-bin, so its size is fixed) and made monotone by pooling adjacent violators.
+solves one system of `FEATURES` unknowns. For the calibration each labelled row gets
+the score that the regression without this row gives it (which for ridge regression
+follows from its leverage); these scores are binned (a count for each bin, so the
+size is fixed) and made monotone by pooling adjacent violators.
 """
 
 from __future__ import annotations
@@ -26,8 +27,6 @@ RIDGE = 1.0
 #: Width of the Gaussian kernel in standard deviations of the statistics.
 WIDTH = 3.0
 SEED = 11
-#: One labelled row in this many calibrates.
-CALIBRATE = 4
 BINS = 400
 #: Sums of partitions that meet in one task.
 FAN = 64
@@ -177,10 +176,7 @@ def isotonic(y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def fit(described_docs: DataFrame, labels: DataFrame, may_learn: Column) -> Model | None:
     """Learn from labelled rows (doc_id, quality) for which `may_learn` holds; None if there are none."""
     labels = labels.where("quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y"))
-    part = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(" calibrate")).cast("binary")) % CALIBRATE == 0
-    rows = written(
-        described_docs.select("doc_id", "x").where(may_learn).join(labels, "doc_id").select("x", "y", part.alias("calibrate")), "labelled"
-    )
+    rows = written(described_docs.where(may_learn).select("doc_id", "x").join(labels, "doc_id").select("x", "y"), "labelled")
     moments = rows.select(
         F.count("*").alias("n"),
         *(F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(STATISTICS)),
@@ -191,33 +187,33 @@ def fit(described_docs: DataFrame, labels: DataFrame, may_learn: Column) -> Mode
     mean = np.array([moments[f"m{i}"] for i in range(STATISTICS)])
     scale = np.array([moments[f"s{i}"] for i in range(STATISTICS)])
     scale = np.where(scale > 1e-9, scale, 1.0)
-    left, right = _equations(rows.where("not calibrate"), mean, scale)
+    left, right = _equations(rows, mean, scale)
     ridge = np.eye(FEATURES) * RIDGE
     ridge[0, 0] = 1e-6
-    model = Model(mean, scale, np.linalg.solve(left + ridge, right), np.zeros(1), np.zeros(1))
+    inverse = np.linalg.inv(left + ridge)
+    model = Model(mean, scale, inverse @ right, np.zeros(1), np.zeros(1))
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                s = model.raw_score(np.array(batch.column("x").to_pylist()).reshape(-1, STATISTICS))
+                f = fourier((np.array(batch.column("x").to_pylist()).reshape(-1, STATISTICS) - mean) / scale)
+                y = batch.column("y").to_numpy(zero_copy_only=False)
+                leverage = np.minimum(((f @ inverse) * f).sum(axis=1), 1 - 1e-6)
+                s = (f @ model.weights - leverage * y) / (1 - leverage)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.clip(np.floor((s + 0.5) * BINS / 2), 0, BINS - 1).astype(np.int32)), pa.array(s), batch.column("y")],
                     names=["bin", "s", "y"],
                 )
 
     bins = (
-        rows.where("calibrate")
-        .mapInArrow(binned, "bin int, s double, y double")
+        rows.mapInArrow(binned, "bin int, s double, y double")
         .groupBy("bin")
         .agg(F.count("*").alias("n"), F.avg("s").alias("s"), F.avg("y").alias("y"))
         .orderBy("bin")
         .collect()
     )
-    if bins:
-        model.edges = np.array([b.s for b in bins])
-        model.values = isotonic(np.array([b.y for b in bins]), np.array([b.n for b in bins], float))
-    else:  # too few labels to calibrate: the regression's own value
-        model.edges, model.values = np.array([0.0, 1.0]), np.array([0.0, 1.0])
+    model.edges = np.array([b.s for b in bins])
+    model.values = isotonic(np.array([b.y for b in bins]), np.array([b.n for b in bins], float))
     return model
 
 
