@@ -10,7 +10,8 @@ from casebook import fixed_values as V
 
 def tone_label(tone: Column) -> Column:
     return (
-        F.when(tone < V.TONE_LOW, V.TONE_LABEL_CASUAL)
+        F.when(F.isnan(tone), V.TONE_LABEL_BALANCED)
+        .when(tone < V.TONE_LOW, V.TONE_LABEL_CASUAL)
         .when(tone > V.TONE_HIGH, V.TONE_LABEL_LEGAL)
         .otherwise(V.TONE_LABEL_BALANCED)
     )
@@ -19,14 +20,16 @@ def tone_label(tone: Column) -> Column:
 def blended_text(character: Column, tone: Column, lawyer: Column, normal: Column) -> Column:
     """Answer text for a character and a tone between 0 and 100.
 
-    A null tone counts as 0 in these comparisons.
+    A null tone counts as 0 in these comparisons; NaN is neither below nor above
+    any threshold, so it takes the balanced text.
     """
     t = F.coalesce(tone, F.lit(0))
     plain = F.concat(F.lit(V.TONE_PREFIX_PLAIN), normal)
     balanced = F.concat(F.lit(V.TONE_PREFIX_BALANCED), lawyer)
     is_lawyer = character == "lawyer"
     return (
-        F.when(t < V.TONE_LOW, normal)
+        F.when(F.isnan(t), balanced)
+        .when(t < V.TONE_LOW, normal)
         .when(t < V.TONE_MIDDLE, F.when(is_lawyer, plain).otherwise(normal))
         .when(t == V.TONE_MIDDLE, balanced)
         .when(t <= V.TONE_HIGH, F.when(is_lawyer, lawyer).otherwise(balanced))

@@ -1,35 +1,46 @@
 """A stored collection divided into cells, so that a query reads only some of it.
 
-``build`` writes the vectors as Parquet partitioned by cell, next to a small table
-that describes the cells. ``search`` first reads the cells nearest to the queries,
-which gives a tight bound on the distance of the k-th neighbour, and then only those
-other cells that can hold something nearer. Both reads are pruned by partition, and
-the result is exact.
+``build`` picks about the square root of the number of vectors as pivots, gives each
+vector to its nearest one, and writes the vectors as Parquet partitioned by cell, next
+to a small table that describes the cells. A cell of average size then grows like the
+square root of the collection too.
+
+``probe`` is approximate: each query looks into its ``probes`` nearest cells, and only
+there; distances are exact. ``search`` is exact: it starts from the same cells, which
+bounds the distance of the k-th neighbour, and then looks into those other cells that
+can hold something nearer to this query. Cells that no query looks into are not read.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casebook.fixed_values import FETCH_K
-from casebook.functions.vectors import squared_distances
+from casebook.functions.vectors import DIGITS, squared_distances
 from casebook.operators.nearest import (
+    BLOCK_ROWS,
     MAX_BROADCAST_NUMBERS,
-    PIVOTS,
-    assign_batches,
+    _matrix,
     bounded_rows,
-    choose_pivots,
-    nearest_by_cells,
+    hit_schema,
     ranked,
     scan,
+    tiles,
     widened,
 )
 from casebook.operators.ordering import spread
-from casebook.session import written
+from casebook.session import fresh_path, written
 
-PROBES = 2
+PROBES = 8
+#: Pivots at most; their matrix goes to every task, and each is a folder. Beyond
+#: 16 million vectors cells grow in proportion to the collection.
+MAX_PIVOTS = 4096
 
 
 def _items(folder: str) -> str:
@@ -40,29 +51,74 @@ def _cells(folder: str) -> str:
     return f"{folder}/cells"
 
 
-def build(
-    collection: DataFrame, folder: str, dim: int, metric: str = "l2", pivots: int = PIVOTS
-) -> None:
+def _text_of(item: Column, kind: str) -> Column:
+    if not kind.startswith("struct"):
+        return item.cast("string")
+    names = [f.split(":")[0] for f in kind.removeprefix("struct<").removesuffix(">").split(",")]
+    return F.concat_ws("-", *(item[n].cast("string") for n in names))
+
+
+def choose_pivots(collection: DataFrame, dim: int, cosine: bool, pivots: int) -> np.ndarray:
+    """The vectors of the ids with the smallest md5, in its order.
+
+    The ids are chosen without reading vectors; then only those rows are fetched.
+    """
+    digest = F.md5(_text_of(F.col("item_id"), dict(collection.dtypes)["item_id"]).cast("binary"))
+    chosen = collection.select("item_id", digest.alias("digest")).orderBy("digest", "item_id").limit(pivots)
+    chosen = F.broadcast(written(chosen, "pivots"))
+    table = collection.select("item_id", "vec").join(chosen, "item_id").select("digest", "vec")
+    ids, matrix = bounded_rows(table, dim, cosine)
+    return matrix[np.argsort(np.array(ids.to_pylist(), str), kind="stable")][:pivots]
+
+
+def _assigned(shared, dim: int, cosine: bool):
+    """Nearest pivot of each vector, the first of equally near ones, and the distance to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(at, BLOCK_ROWS)
+                dist = squared_distances(_matrix(part.column("vec"), dim, cosine), pivots)
+                cell = np.round(dist, DIGITS).argmin(axis=1)
+                radius = np.sqrt(dist[np.arange(len(cell)), cell])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("item_id"), part.column("vec"), pa.array(cell.astype(np.int32)), pa.array(radius)],
+                    names=["item_id", "vec", "cell", "radius"],
+                )
+
+    return run
+
+
+def pivot_count(n: int) -> int:
+    return max(1, min(MAX_PIVOTS, math.ceil(math.sqrt(n))))
+
+
+def build(collection: DataFrame, folder: str, dim: int, metric: str = "l2", pivots: int | None = None) -> None:
     """Write ``collection(item_id, vec)`` as a cell index."""
     spark = collection.sparkSession
     cosine = metric == "cosine"
-    rows = choose_pivots(collection, dim, cosine, pivots)
-    source = collection.select(F.col("item_id").alias("id"), "vec")
-    vec_type = source.schema["vec"].dataType.simpleString()
-    assigned = spread(source).mapInArrow(
-        assign_batches(spark.sparkContext.broadcast(rows), dim, None, cosine),
-        f"id bigint, vec {vec_type}, cell int, radius double",
+    collection = written(collection.select("item_id", "vec"), "collection")
+    rows = choose_pivots(collection, dim, cosine, pivots or pivot_count(collection.count()))
+    kinds = dict(collection.dtypes)
+    assigned = spread(collection).mapInArrow(
+        _assigned(spark.sparkContext.broadcast(rows), dim, cosine),
+        f"item_id {kinds['item_id']}, vec {kinds['vec']}, cell int, radius double",
     )
     # Rebalancing brings a cell together and splits one that is too large for a task.
     (
-        assigned.select("cell", F.col("id").alias("item_id"), "vec", "radius")
+        assigned.select("cell", "item_id", "vec", "radius")
         .hint("rebalance", F.col("cell"))
+        .sortWithinPartitions("cell")
         .write.partitionBy("cell")
         .parquet(_items(folder))
     )
-    stored = spark.read.parquet(_items(folder))
-    stats = stored.groupBy("cell").agg(
-        F.count("*").alias("rows"), F.min("radius").alias("low"), F.max("radius").alias("high")
+    schema = f"item_id {kinds['item_id']}, vec {kinds['vec']}, radius double, cell int"
+    stats = (
+        spark.read.schema(schema)
+        .parquet(_items(folder))
+        .groupBy("cell")
+        .agg(F.count("*").alias("rows"), F.min("radius").alias("low"), F.max("radius").alias("high"))
     )
     known = spark.createDataFrame(
         [(i, [float(x) for x in v]) for i, v in enumerate(rows)], "cell int, pivot array<double>"
@@ -70,44 +126,82 @@ def build(
     known.join(stats, "cell").coalesce(1).write.parquet(_cells(folder))
 
 
+def _routed(near: np.ndarray, number: np.ndarray) -> dict[int, np.ndarray]:
+    """For each cell the rows of the queries that look into it; ``near`` is queries x cells."""
+    return {int(number[c]): np.flatnonzero(near[:, c]) for c in np.flatnonzero(near.any(axis=0))}
+
+
+def _looked_up(
+    queries: DataFrame, folder: str, dim: int, k: int, metric: str, probes: int, max_numbers: int, exact: bool
+) -> DataFrame:
+    spark = queries.sparkSession
+    cosine = metric == "cosine"
+    items = spark.read.parquet(_items(folder)).select("cell", "item_id", "vec")
+    schema = hit_schema(queries, items)
+    # At most MAX_PIVOTS rows.
+    cells = spark.read.parquet(_cells(folder)).orderBy("cell").collect()
+    number = np.array([c["cell"] for c in cells], int)
+    pivot = np.array([c["pivot"] for c in cells]).reshape(len(cells), dim)
+    low, high = (np.array([c[name] for c in cells]) for name in ("low", "high"))
+
+    def read(ids: pa.Array, q: np.ndarray, near: np.ndarray) -> DataFrame:
+        route = _routed(near, number)
+        part = items.filter(F.col("cell").isin(list(route)))
+        return ranked(scan(part, ids, q, dim, k, cosine, schema, route), k)
+
+    def one(ids: pa.Array, q: np.ndarray) -> DataFrame:
+        d = np.sqrt(squared_distances(q, pivot))
+        order = np.lexsort((np.broadcast_to(number, d.shape), np.round(d * d, DIGITS)), axis=1)
+        near = np.zeros(d.shape, bool)
+        np.put_along_axis(near, order[:, :probes], True, axis=1)
+        found = read(ids, q, near)
+        if not exact:
+            return found
+        found = written(found, "probe")
+        # One row per query, and the number of queries is bounded.
+        k_th = {str(r["query_id"]): r["distance"] for r in found.filter(F.col("rank") == k).collect()}
+        bound = np.sqrt(np.array([k_th.get(str(i), np.inf) for i in spark_values(ids)]))
+        least = np.maximum(d - high[None, :], low[None, :] - d)
+        rest = (least <= widened(bound)[:, None]) & ~near
+        return ranked(found.drop("rank").unionByName(read(ids, q, rest).drop("rank")), k) if rest.any() else found
+
+    if not len(cells):
+        return ranked(spark.createDataFrame([], schema), k)
+    path = fresh_path(spark, "hits")
+    for ids, q in tiles(queries, dim, cosine, max_numbers):
+        hits = one(ids, q)
+        hits.write.mode("append").parquet(path)
+    return spark.read.schema(hits.schema).parquet(path)
+
+
+def spark_values(ids: pa.Array) -> list:
+    """Ids as Spark's rows give them to Python."""
+    from pyspark.sql import Row
+
+    return [Row(**x) if isinstance(x, dict) else x for x in ids.to_pylist()]
+
+
 def search(
     queries: DataFrame,
     folder: str,
     dim: int,
     k: int = FETCH_K,
     metric: str = "l2",
-    probes: int = PROBES,
+    probes: int = 2,
     max_numbers: int = MAX_BROADCAST_NUMBERS,
 ) -> DataFrame:
     """Same rows as ``nearest`` over the indexed collection."""
-    spark: SparkSession = queries.sparkSession
-    cosine = metric == "cosine"
-    items = spark.read.parquet(_items(folder)).select("cell", "item_id", "vec")
-    cap = max(1, max_numbers // dim)
-    ids, q = bounded_rows(queries.select("query_id", "vec").limit(cap + 1), dim, cosine)
-    if len(ids) > cap:
-        return nearest_by_cells(queries, items, dim, k, metric)
-    cells = spark.read.parquet(_cells(folder)).orderBy("cell").collect()
-    if not len(ids) or not len(cells):
-        return ranked(scan(items, ids, q, dim, k, cosine), k)
+    return _looked_up(queries, folder, dim, k, metric, probes, max_numbers, True)
 
-    number = np.array([c["cell"] for c in cells])
-    pivot = np.array([c["pivot"] for c in cells])
-    low, high = (np.array([c[name] for c in cells]) for name in ("low", "high"))
-    d = np.sqrt(squared_distances(q, pivot))
-
-    def read(chosen: np.ndarray) -> DataFrame:
-        part = items.filter(F.col("cell").isin([int(c) for c in number[chosen]]))
-        return ranked(scan(part, ids, q, dim, k, cosine), k)
-
-    near = np.unique(np.argsort(d, axis=1)[:, :probes])
-    found = written(read(near), "probe")
-    # One row per query, and the number of queries is bounded.
-    k_th = {r["query_id"]: r["distance"] for r in found.filter(F.col("rank") == k).collect()}
-    bound = np.sqrt(np.array([k_th.get(int(i), np.inf) for i in ids]))
-    least = np.maximum(d - high[None, :], low[None, :] - d)
-    reachable = (least <= widened(bound)[:, None]).any(axis=0)
-    rest = np.setdiff1d(np.flatnonzero(reachable), near)
-    if not len(rest):
-        return found
-    return ranked(found.unionByName(read(rest)), k)
+
+def probe(
+    queries: DataFrame,
+    folder: str,
+    dim: int,
+    k: int = FETCH_K,
+    metric: str = "l2",
+    probes: int = PROBES,
+    max_numbers: int = MAX_BROADCAST_NUMBERS,
+) -> DataFrame:
+    """The ``k`` nearest among the items of each query's ``probes`` nearest cells."""
+    return _looked_up(queries, folder, dim, k, metric, probes, max_numbers, False)

@@ -13,12 +13,12 @@ from casebook.functions.chunking import fixed_chunks, recursive_chunks
 from casebook.functions.vectors import HASH_DIM, hashed_vector
 from casebook.operators.ordering import spread
 
-# chunk_id = doc_id * 2^24 + chunk_no; a text has fewer than 2^24 chunks.
-CHUNK_BITS = 24
+KEYS = ("doc_id", "page", "chunk_no")
 
 
-def chunk_id(doc_id: Column, chunk_no: Column) -> Column:
-    return F.shiftleft(doc_id, CHUNK_BITS) + chunk_no
+def chunk_id() -> Column:
+    """What identifies a chunk: its document, page and number. Compares field by field."""
+    return F.struct(*(F.col(c).cast("bigint").alias(c) for c in KEYS))
 
 
 def chunk_documents(
@@ -27,18 +27,19 @@ def chunk_documents(
     size: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
 ) -> DataFrame:
-    """One row per chunk; every other document column is inherited."""
+    """One row per chunk; every other document column is inherited.
+
+    A document without a page column, or with a null in it, is page 0. Pages of one
+    document share its doc_id and are told apart by their number.
+    """
     cut = recursive_chunks if method == "recursive" else fixed_chunks
-    inherited = [c for c in documents.columns if c not in ("text", "doc_id")]
+    page = F.coalesce(F.col("page"), F.lit(0)) if "page" in documents.columns else F.lit(0)
+    inherited = [c for c in documents.columns if c not in ("text", *KEYS, "chunk_id")]
     parts = spread(documents).select(
-        "doc_id", *inherited, F.posexplode(cut(F.col("text"), size, overlap)).alias("chunk_no", "text")
+        "doc_id", page.cast("bigint").alias("page"), *inherited, F.posexplode(cut(F.col("text"), size, overlap)).alias("chunk_no", "text")
     )
-    return parts.select(
-        chunk_id(F.col("doc_id"), F.col("chunk_no")).alias("chunk_id"),
-        "doc_id",
-        F.col("chunk_no").cast("bigint").alias("chunk_no"),
-        "text",
-        *inherited,
+    return parts.withColumn("chunk_no", F.col("chunk_no").cast("bigint")).select(
+        chunk_id().alias("chunk_id"), *KEYS, "text", *inherited
     )
 
 

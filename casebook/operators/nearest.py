@@ -1,14 +1,11 @@
 """Exact nearest neighbours of a table of queries in a table of vectors.
 
-Two physical forms give the same rows:
+The queries are sent to every task as one matrix of bounded size; each task reads
+its share of the collection once and keeps only the best ``k`` per query. Nothing of
+the collection is shuffled. A query table beyond the bound is cut into tiles, each
+of which is one such scan, so no copy of a query or of an item is ever shuffled.
 
-* ``scan``: the query side is small (its size is checked), so it is sent to
-  every task as one matrix; each task reads its share of the collection once and
-  keeps only the best ``k`` per query. Nothing of the collection is shuffled.
-* ``cells``: for any number of queries. The collection is divided into cells
-  around pivot vectors, cells are split into blocks of bounded size, and a query
-  is sent only to the blocks that can still hold one of its ``k`` nearest. The
-  triangle inequality rules out the others, so nothing is lost.
+Ids are single columns: a number, or a struct of numbers that compares field by field.
 
 Distances are rounded before ranking and ties go to the smaller id, which makes
 the order independent of summation order.
@@ -20,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,23 +29,40 @@ from casebook.functions.vectors import (
     unit_rows,
 )
 from casebook.operators.ordering import first_k, spread
-from casebook.session import written
+from casebook.session import fresh_path, written
 
 # A query matrix of at most this many numbers (32 MB) may be sent to every task.
 MAX_BROADCAST_NUMBERS = 4_194_304
 # Distances held at once by a task.
 MAX_TILE = 2_000_000
-PIVOTS = 64
 BLOCK_ROWS = 4096
 # Candidates a task gathers before it merges them into its best.
 MERGE_ROWS = 200_000
+EMPTY = np.zeros(0, np.int64)
 
-HIT_SCHEMA = "query_id bigint, item_id bigint, distance double"
+
+
+def hit_schema(queries: DataFrame, collection: DataFrame) -> str:
+    kinds = dict(queries.dtypes)["query_id"], dict(collection.dtypes)["item_id"]
+    return "query_id {}, item_id {}, distance double".format(*kinds)
+
+
+def id_numbers(column: pa.Array) -> np.ndarray:
+    """Ids as rows of numbers, one column for each field."""
+    fields = column.flatten() if pa.types.is_struct(column.type) else [column]
+    return np.stack([f.to_numpy(zero_copy_only=False) for f in fields], axis=1).astype(np.int64)
+
+
+def id_column(numbers: np.ndarray, kind: pa.DataType) -> pa.Array:
+    if not pa.types.is_struct(kind):
+        return pa.array(numbers[:, 0], kind)
+    fields = [kind.field(i) for i in range(kind.num_fields)]
+    return pa.StructArray.from_arrays([pa.array(numbers[:, i], f.type) for i, f in enumerate(fields)], fields=fields)
 
 
 def _best(query: np.ndarray, item: np.ndarray, dist: np.ndarray, k: int):
-    """Keep the ``k`` smallest (distance, item) of each query."""
-    order = np.lexsort((item, dist, query))
+    """Keep the ``k`` smallest (distance, item) of each query; items are rows of numbers."""
+    order = np.lexsort((*item.T[::-1], dist, query))
     query, item, dist = query[order], item[order], dist[order]
     first = np.r_[True, query[1:] != query[:-1]] if len(query) else np.zeros(0, bool)
     start = np.maximum.accumulate(np.where(first, np.arange(len(query)), 0))
@@ -70,10 +85,8 @@ def _matrix(column: pa.Array, dim: int, cosine: bool) -> np.ndarray:
     return unit_rows(matrix) if cosine else matrix
 
 
-def _hits(query: np.ndarray, item: np.ndarray, dist: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(
-        {"query_id": pa.array(query), "item_id": pa.array(item), "distance": pa.array(dist)}
-    )
+def _hits(query: pa.Array, item: pa.Array, dist: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([query, item, pa.array(dist)], names=["query_id", "item_id", "distance"])
 
 
 def widened(bound: np.ndarray) -> np.ndarray:
@@ -81,32 +94,44 @@ def widened(bound: np.ndarray) -> np.ndarray:
     return np.sqrt(bound**2 + 2 * 10.0**-DIGITS) + 1e-4
 
 
-def _scan_kernel(query_ids, matrix, k: int, dim: int, cosine: bool):
+def _scan_kernel(shared: Broadcast, k: int, dim: int, cosine: bool):
+    """Best ``k`` of each query over a task's items.
+
+    ``shared`` holds the query ids, their matrix, and a route: None, or for each cell
+    the queries that look into it. Routed items carry their cell.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = query_ids.value, matrix.value
-        step = max(k + 1, min(BLOCK_ROWS, MAX_TILE // max(1, len(ids))))
-        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        limit = np.full(len(ids), np.inf)
+        ids, q, route = shared.value
+        step = max(k + 1, min(BLOCK_ROWS, MAX_TILE // max(1, len(q))))
+        best, kind = None, None
+        limit = np.full(len(q), np.inf)
         pending, waiting = [], 0
 
         def merged():
-            rows = _best(*(np.concatenate(p) for p in zip(best, *pending)), k)
+            rows = _best(*(np.concatenate(p) for p in zip(*([best] if best else []), *pending, strict=True)), k)
             full, counts = np.unique(rows[0], return_counts=True)
             ends = np.cumsum(counts) - 1
             limit[full[counts == k]] = rows[2][ends[counts == k]]
             return rows
 
         for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                v = _matrix(part.column("vec"), dim, cosine)
-                new = _tile_candidates(q, part.column("item_id").to_numpy(), v, k, limit)
-                pending.append(new)
-                waiting += len(new[0])
-                if waiting > max(MERGE_ROWS, len(best[0])):
-                    best, pending, waiting = merged(), [], 0
-        best = merged()
-        yield _hits(ids[best[0]], best[1], best[2])
+            kind = batch.column("item_id").type
+            cells = batch.column("cell").to_numpy() if route is not None else np.zeros(batch.num_rows, int)
+            cuts = np.r_[0, np.flatnonzero(np.diff(cells)) + 1, batch.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                asked = np.arange(len(q)) if route is None else route.get(int(cells[lo]), EMPTY)
+                for at in range(lo, hi if len(asked) else lo, step):
+                    part = batch.slice(at, min(step, hi - at))
+                    v = _matrix(part.column("vec"), dim, cosine)
+                    rows, items, dist = _tile_candidates(q[asked], id_numbers(part.column("item_id")), v, k, limit[asked])
+                    pending.append((asked[rows], items, dist))
+                    waiting += len(rows)
+                    if waiting > max(MERGE_ROWS, len(best[0]) if best else 0):
+                        best, pending, waiting = merged(), [], 0
+        if best or pending:
+            best = merged()
+            yield _hits(ids.take(pa.array(best[0])), id_column(best[1], kind), best[2])
 
     return run
 
@@ -117,243 +142,81 @@ def ranked(hits: DataFrame, k: int) -> DataFrame:
     return best.select("query_id", "item_id", F.col("rank").cast("bigint"), "distance")
 
 
-def bounded_rows(limited: DataFrame, dim: int, cosine: bool) -> tuple[np.ndarray, np.ndarray]:
+def bounded_rows(limited: DataFrame, dim: int, cosine: bool) -> tuple[pa.Array, np.ndarray]:
     """Ids and matrix of a table of (id, vec) whose number of rows is bounded."""
     table = limited.toArrow().combine_chunks()
-    ids, vectors = (column.combine_chunks() for column in table.columns)
-    return ids.to_numpy(), _matrix(vectors, dim, cosine)
+    ids, vectors = (
+        column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column for column in table.columns
+    )
+    return ids, _matrix(vectors, dim, cosine)
 
 
 def scan(
-    collection: DataFrame, ids: np.ndarray, queries: np.ndarray, dim: int, k: int, cosine: bool
-) -> DataFrame:
-    """Best ``k`` per query and task, for a query matrix of bounded size."""
-    context = collection.sparkSession.sparkContext
-    kernel = _scan_kernel(context.broadcast(ids), context.broadcast(queries), k, dim, cosine)
-    return spread(collection.select("item_id", "vec")).mapInArrow(kernel, HIT_SCHEMA)
-
-
-def nearest(
-    queries: DataFrame,
     collection: DataFrame,
+    ids: pa.Array,
+    queries: np.ndarray,
     dim: int,
-    k: int = FETCH_K,
-    metric: str = "l2",
-    max_numbers: int = MAX_BROADCAST_NUMBERS,
+    k: int,
+    cosine: bool,
+    schema: str,
+    route: dict[int, np.ndarray] | None = None,
 ) -> DataFrame:
-    """``queries(query_id, vec)`` against ``collection(item_id, vec)``.
-
-    Returns (query_id, item_id, rank, distance): squared Euclidean distance, for
-    ``metric="cosine"`` of the vectors scaled to unit length (2 - 2 cos).
-    """
-    cosine = metric == "cosine"
-    cap = max(1, max_numbers // dim)
-    ids, rows = bounded_rows(queries.select("query_id", "vec").limit(cap + 1), dim, cosine)
-    if len(ids) > cap:
-        return nearest_by_cells(queries, collection, dim, k, metric)
-    return ranked(scan(collection, ids, rows, dim, k, cosine), k)
-
+    """Best ``k`` per query and task, for a query matrix of bounded size (see ``_scan_kernel``)."""
+    shared = collection.sparkSession.sparkContext.broadcast((ids, queries, route))
+    columns = ["item_id", "vec", *(["cell"] if route is not None else [])]
+    source = collection.select(*columns)
+    # Routed items stay in their files, where a cell's rows lie together.
+    return (spread(source) if route is None else source).mapInArrow(_scan_kernel(shared, k, dim, cosine), schema)
 
-# ---- cells ----------------------------------------------------------------
 
+def tiles(queries: DataFrame, dim: int, cosine: bool, max_numbers: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """All queries (query_id, vec) as bounded matrices with their ids.
 
-def choose_pivots(collection: DataFrame, dim: int, cosine: bool, pivots: int = PIVOTS) -> np.ndarray:
-    """A fixed number of distinct vectors, picked by hashed id.
-
-    The ids are chosen without reading vectors; then only those rows are fetched.
+    Beyond one matrix the queries are written once and read back in hashed parts.
     """
-    chosen = (
-        collection.select("item_id")
-        .orderBy(F.xxhash64("item_id"), "item_id")
-        .limit(4 * pivots)
-        .collect()
-    )
-    place = {r["item_id"]: n for n, r in enumerate(chosen)}
-    picked = collection.filter(F.col("item_id").isin(list(place))).select("item_id", "vec")
-    ids, matrix = bounded_rows(picked, dim, cosine)
-    matrix = matrix[np.argsort([place[int(i)] for i in ids])]
-    _, first = np.unique(matrix, axis=0, return_index=True)
-    return matrix[np.sort(first)[:pivots]]
-
-
-def _drop_spare_copies(matrix: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Rows to keep: of equal vectors only the ``k`` smallest ids can ever be a hit."""
-    whole = np.ascontiguousarray(matrix).view(np.dtype((np.void, matrix.dtype.itemsize * matrix.shape[1])))
-    _, group = np.unique(whole.ravel(), return_inverse=True)
-    keep = _best(group, np.arange(len(ids)), ids, k)[1]
-    return np.sort(keep)
-
-
-def assign_batches(pivot_matrix, dim: int, k: int | None, cosine: bool):
-    """Nearest pivot of each vector; with ``k``, spare copies are dropped on the way."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots = pivot_matrix.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK_ROWS):
-                part = batch.slice(at, BLOCK_ROWS)
-                v = _matrix(part.column("vec"), dim, cosine)
-                if k is not None:
-                    keep = _drop_spare_copies(v, part.column("id").to_numpy(), k)
-                    part, v = part.take(pa.array(keep)), v[keep]
-                dist = squared_distances(v, pivots)
-                cell = dist.argmin(axis=1)
-                radius = np.sqrt(dist[np.arange(len(v)), cell])
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "id": part.column("id"),
-                        "vec": part.column("vec"),
-                        "cell": pa.array(cell.astype(np.int32)),
-                        "radius": pa.array(radius),
-                    }
-                )
-
-    return run
-
-
-def _route(pivot_matrix, summary, dim: int, k: int, cosine: bool):
-    """For each query the cells that can hold one of its ``k`` nearest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots = pivot_matrix.value
-        low, high, near = summary.value
-        between = np.sqrt(squared_distances(pivots, pivots))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = np.arange(part.num_rows)
-                d = np.sqrt(squared_distances(_matrix(part.column("vec"), dim, cosine), pivots))
-                # k items are known to lie within this distance.
-                reach = (d[:, :, None] + near[None, :, :]).reshape(len(rows), -1)
-                bound = np.partition(reach, k - 1, axis=1)[:, k - 1]
-                own = d.argmin(axis=1)
-                gap = np.where(between[own] > 0, between[own], 1.0)
-                half = (d**2 - (d[rows, own] ** 2)[:, None]) / (2 * gap)
-                least = np.maximum.reduce([d - high[None, :], low[None, :] - d, half])
-                visit = (least <= widened(bound)[:, None]) & np.isfinite(high)[None, :]
-                query, cell = np.nonzero(visit)
-                sent = part.take(pa.array(query))
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "id": sent.column("id"),
-                        "vec": sent.column("vec"),
-                        "cell": pa.array(cell.astype(np.int32)),
-                    }
-                )
-
-    return run
-
-
-def _block_kernel(dim: int, k: int, cosine: bool):
-    """Rows arrive sorted by block, items first: hold one block, stream its queries."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, ids, vectors = None, [], []
-        for batch in batches:
-            tags = np.stack([batch.column(c).to_numpy() for c in ("cell", "split", "side")], axis=1)
-            # Runs of equal (cell, split, side) inside the batch.
-            edges = np.flatnonzero(np.any(tags[1:] != tags[:-1], axis=1)) + 1
-            for lo, hi in zip(np.r_[0, edges], np.r_[edges, len(tags)]):
-                cell, split, side = tags[lo]
-                part = batch.slice(lo, hi - lo)
-                if (cell, split) != block:
-                    block, ids, vectors = (cell, split), [], []
-                if side == 0:
-                    ids.append(part.column("id").to_numpy())
-                    vectors.append(_matrix(part.column("vec"), dim, cosine))
-                    continue
-                if not ids:
-                    continue
-                ids, vectors = [np.concatenate(ids)], [np.concatenate(vectors)]
-                step = max(1, MAX_TILE // len(ids[0]))
-                for at in range(0, part.num_rows, step):
-                    some = part.slice(at, step)
-                    q = _matrix(some.column("vec"), dim, cosine)
-                    free = np.full(len(q), np.inf)
-                    found = _best(*_tile_candidates(q, ids[0], vectors[0], k, free), k)
-                    yield _hits(some.column("id").to_numpy()[found[0]], found[1], found[2])
-
-    return run
+    cap = max(1, max_numbers // dim)
+    ids, rows = bounded_rows(queries.select("query_id", "vec").limit(cap + 1), dim, cosine)
+    if len(ids) <= cap:
+        yield ids, rows
+        return
+    stored = written(queries.select("query_id", "vec"), "queries")
+    parts = -(-2 * stored.count() // cap)
+    for part in range(parts):
+        own = stored.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
+        # About half of the bound by the hash; an unlucky part is cut.
+        ids, rows = bounded_rows(own, dim, cosine)
+        for at in range(0, len(ids), cap):
+            yield ids.slice(at, cap), rows[at : at + cap]
 
 
-def nearest_by_cells(
+def nearest(
     queries: DataFrame,
     collection: DataFrame,
     dim: int,
     k: int = FETCH_K,
     metric: str = "l2",
-    pivots: int = PIVOTS,
-    block_rows: int = BLOCK_ROWS,
+    max_numbers: int = MAX_BROADCAST_NUMBERS,
 ) -> DataFrame:
-    """Same result as ``nearest`` for a query table of any size.
+    """``queries(query_id, vec)`` against ``collection(item_id, vec)``.
 
-    Equal query vectors are searched once, and spare copies of equal items are
-    dropped before the shuffle, so copies do not multiply the work.
+    Returns (query_id, item_id, rank, distance): squared Euclidean distance, for
+    ``metric="cosine"`` of the vectors scaled to unit length (2 - 2 cos). With more
+    queries than fit one matrix, equal vectors are searched once, the collection is
+    written once, and each tile of queries scans it.
     """
     cosine = metric == "cosine"
-    context = collection.sparkSession.sparkContext
-    pivot_rows = choose_pivots(collection, dim, cosine, pivots)
-    if len(pivot_rows) == 0:
-        return ranked(queries.sparkSession.createDataFrame([], HIT_SCHEMA), k)
-    pivot_matrix = context.broadcast(pivot_rows)
-    source = collection.select(F.col("item_id").alias("id"), "vec")
-    vec_type = source.schema["vec"].dataType.simpleString()
-    # Written once: the summaries below read two narrow columns of it, not the vectors.
-    assigned = written(
-        spread(source).mapInArrow(
-            assign_batches(pivot_matrix, dim, k, cosine),
-            f"id bigint, vec {vec_type}, cell int, radius double",
-        ),
-        "assigned",
-    )
-
-    # Per cell: rows, least and greatest radius, and the k smallest radii. Fixed size.
-    radii = assigned.select("cell", "radius", "id")
-    stats = (
-        radii.groupBy("cell")
-        .agg(F.count("*").alias("rows"), F.min("radius").alias("low"), F.max("radius").alias("high"))
-        .collect()
-    )
-    n = len(pivot_rows)
-    low, high, near = np.full(n, np.inf), np.full(n, np.inf), np.full((n, k), np.inf)
-    blocks = [0] * n
-    for row in stats:
-        low[row.cell], high[row.cell] = row.low, row.high
-        blocks[row.cell] = -(-row.rows // block_rows)
-    for row in first_k(radii, ["cell"], [F.col("radius"), F.col("id")], k).collect():
-        near[row.cell, row.n - 1] = row.radius
-
-    block_count = F.get(F.array(*[F.lit(b).cast("bigint") for b in blocks]), F.col("cell"))
-    items = assigned.select(
-        "cell",
-        F.pmod(F.xxhash64("id"), block_count).alias("split"),
-        F.lit(0).alias("side"),
-        "id",
-        "vec",
-    )
-    distinct = queries.groupBy("vec").agg(F.min("query_id").alias("id")).select("id", "vec")
-    routed = (
-        spread(distinct)
-        .mapInArrow(
-            _route(pivot_matrix, context.broadcast((low, high, near)), dim, k, cosine),
-            f"id bigint, vec {distinct.schema['vec'].dataType.simpleString()}, cell int",
-        )
-        .select(
-            "cell",
-            F.explode(F.sequence(F.lit(0).cast("bigint"), block_count - 1)).alias("split"),
-            F.lit(1).alias("side"),
-            "id",
-            "vec",
-        )
-    )
-    hits = (
-        items.unionByName(routed)
-        .repartition("cell", "split")
-        .sortWithinPartitions("cell", "split", "side")
-        .mapInArrow(_block_kernel(dim, k, cosine), HIT_SCHEMA)
-    )
-    best = ranked(hits, k)
-    same = queries.select("query_id", "vec").join(distinct, "vec").select("query_id", "id")
-    return best.withColumnRenamed("query_id", "id").join(same, "id").select(
-        "query_id", "item_id", "rank", "distance"
-    )
+    schema = hit_schema(queries, collection)
+    cap = max(1, max_numbers // dim)
+    if queries.limit(cap + 1).count() <= cap:
+        ids, rows = next(tiles(queries, dim, cosine, max_numbers))
+        return ranked(scan(collection, ids, rows, dim, k, cosine, schema), k)
+    stored = written(collection.select("item_id", "vec"), "collection")
+    distinct = written(queries.groupBy("vec").agg(F.min("query_id").alias("query_id")), "distinct")
+    path = fresh_path(queries.sparkSession, "hits")
+    for ids, rows in tiles(distinct, dim, cosine, max_numbers):
+        ranked(scan(stored, ids, rows, dim, k, cosine, schema), k).write.mode("append").parquet(path)
+    kind = dict(collection.dtypes)["item_id"]
+    query_kind = dict(queries.dtypes)["query_id"]
+    best = queries.sparkSession.read.schema(f"query_id {query_kind}, item_id {kind}, rank bigint, distance double").parquet(path)
+    same = queries.select(F.col("query_id").alias("asked_id"), "vec").join(distinct, "vec").select("asked_id", "query_id")
+    return best.join(same, "query_id").select(F.col("asked_id").alias("query_id"), "item_id", "rank", "distance")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casebook.fixed_values import RETRIEVAL_TOOL
+from casebook.fixed_values import NO_CONTEXT_MESSAGE, RETRIEVAL_TOOL
 
 DIRECT, RETRIEVE = "direct", "retrieve"
 
@@ -40,8 +40,9 @@ def dispatch_tool_calls(
     """Tool messages for each known call, in call order.
 
     ``messages(conv_id, turn, tool_calls)`` and ``results(query, result)`` with one
-    row per query. A call of any other tool yields no row. An absent call id
-    becomes the empty string.
+    row per query. A known call without a result, or without a query, is answered
+    with the fixed message. A call of any other tool yields no row. An absent call
+    id becomes the empty string.
     """
     calls = (
         messages.select("conv_id", "turn", F.posexplode("tool_calls").alias("call_no", "call"))
@@ -55,6 +56,7 @@ def dispatch_tool_calls(
             F.col("call.args")["query"].alias("query"),
         )
     )
-    return calls.join(results, "query").select(
-        "conv_id", "turn", "call_no", "tool_call_id", "name", F.col("result").alias("content")
+    content = F.coalesce("result", F.lit(NO_CONTEXT_MESSAGE)).alias("content")
+    return calls.join(results, "query", "left").select(
+        "conv_id", "turn", "call_no", "tool_call_id", "name", content
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from casebook import fixed_values as V
 from casebook.functions.text import has_words
 from casebook.functions.vectors import HASH_DIM
-from casebook.operators.indexing import CHUNK_BITS, chunk_documents, embed_hashed
+from casebook.operators.indexing import chunk_documents, embed_hashed
 from casebook.operators.nearest import MAX_BROADCAST_NUMBERS, nearest
 from casebook.operators.rerank import format_context, rerank, with_fallback
 from casebook.operators.routing import RETRIEVE, dispatch_tool_calls, route
@@ -57,7 +57,7 @@ def search_documents(
 
     def fetch(hits: DataFrame) -> DataFrame:
         wanted = hits.select(F.col("item_id").alias("chunk_id")).distinct()
-        sources = wanted.select(F.shiftright("chunk_id", CHUNK_BITS).alias("doc_id")).distinct()
+        sources = wanted.select("chunk_id.doc_id").distinct()
         chunks = chunk_documents(documents.join(sources, "doc_id", "left_semi"))
         found = embed_hashed(chunks.join(wanted, "chunk_id", "left_semi"), dim=dim)
         return found.select(F.col("chunk_id").alias("item_id"), "text", "vec")
@@ -105,9 +105,8 @@ def tool_messages(log: DataFrame, documents: DataFrame, rules, dim: int = HASH_D
     calls = log.filter(
         (F.col("role") == "user") & (route(F.col("text"), rules) == RETRIEVE)
     ).select("conv_id", "turn", "text")
-    asked = calls.groupBy(F.col("text").alias("question")).agg(
-        F.min(F.shiftleft("conv_id", CHUNK_BITS) + F.col("turn")).alias("query_id")
-    )
+    # A question goes by the first message that asked it.
+    asked = calls.groupBy(F.col("text").alias("question")).agg(F.min(F.struct("conv_id", "turn")).alias("query_id"))
     answers = contexts(asked, search_documents(documents, asked, dim))
     results = asked.join(answers, "query_id").select(
         F.col("question").alias("query"), F.col("context").alias("result")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casebook.fixed_values import NO_ANSWER_MESSAGE, RETRIEVAL_TOOL
+from casebook.fixed_values import NO_ANSWER_MESSAGE, NO_CONTEXT_MESSAGE, RETRIEVAL_TOOL
 from casebook.functions.labels import clock_label, date_label
 from casebook.operators import messages as M
 from casebook.operators.routing import dispatch_tool_calls, route
@@ -149,7 +149,7 @@ QUERIES = {
     ),
     "tool_dispatch": (
         tool_dispatch,
-        """WITH asked AS (SELECT * FROM conversations WHERE role = 'user'),
+        f"""WITH asked AS (SELECT * FROM conversations WHERE role = 'user'),
            results AS (SELECT a.text AS query, min(r.text) AS result FROM asked a
              JOIN conversations r ON r.conv_id = a.conv_id AND r.turn = a.turn + 1 AND r.role = 'assistant'
              GROUP BY 1),
@@ -158,8 +158,8 @@ QUERIES = {
              FROM asked)
            SELECT conv_id, turn, call_no::BIGINT AS call_no,
              CASE WHEN conv_id % 5 = 0 THEN '' ELSE 'call-' || conv_id || '-' || turn END AS tool_call_id,
-             'rag_retrieval' AS name, result AS content
-           FROM calls JOIN results ON results.query = calls.text""",
+             'rag_retrieval' AS name, coalesce(result, {S.quote(NO_CONTEXT_MESSAGE)}) AS content
+           FROM calls LEFT JOIN results ON results.query = calls.text""",
     ),
     "last_answer": (
         last_answer,

@@ -28,7 +28,7 @@ def json_map_explode(spark, folder):
 
 
 def chunk_recursive(spark, folder):
-    return chunk_documents(inputs.documents(spark, folder)).drop("n_chars")
+    return chunk_documents(inputs.documents(spark, folder)).drop("n_chars", "chunk_id")
 
 
 def chunk_fixed(spark, folder):
@@ -39,7 +39,8 @@ def chunk_fixed(spark, folder):
 
 def embed_hash(spark, folder):
     chunks = embed_hashed(chunk_documents(inputs.documents(spark, folder)).select("chunk_id", "text"))
-    return vector_entries(chunks, ["chunk_id"]).withColumn("weight", F.round("weight", DIGITS))
+    entries = vector_entries(chunks, ["chunk_id"])
+    return entries.select("chunk_id.doc_id", "chunk_id.chunk_no", "bucket", F.round("weight", DIGITS).alias("weight"))
 
 
 def index_incremental(spark, folder):
@@ -48,7 +49,7 @@ def index_incremental(spark, folder):
     target = fresh_path(spark, "collection")
     write_collection(chunk_documents(docs.filter(F.col("lang") == "en")), target)
     new = missing_chunks(chunk_documents(docs), open_collection(spark, target, ["chunk_id"]))
-    return new.select("chunk_id", "doc_id", "chunk_no", "text", "lang")
+    return new.select("doc_id", "page", "chunk_no", "text", "lang")
 
 
 def request_defaults(spark, folder):
@@ -63,13 +64,13 @@ def reject_split(spark, folder):
 
 
 QUERIES = {
-    "load_documents": (load_documents, f"WITH {S.DOCS} SELECT * FROM docs"),
+    "load_documents": (load_documents, f"WITH {S.DOCS} SELECT *, 0::BIGINT AS page FROM docs"),
     "json_map_explode": (
         json_map_explode,
         f"""SELECT DISTINCT user_id, e.key AS title, (e.value::VARCHAR)::BIGINT AS number
             FROM events, json_each(props::JSON) e""",
     ),
-    "chunk_recursive": (chunk_recursive, f"WITH RECURSIVE {S.CHUNKS} SELECT * FROM chunks"),
+    "chunk_recursive": (chunk_recursive, f"WITH RECURSIVE {S.CHUNKS} SELECT * EXCLUDE (chunk_id) FROM chunks"),
     "chunk_fixed": (
         chunk_fixed,
         f"""WITH {S.DOCS}, w AS (
@@ -82,12 +83,12 @@ QUERIES = {
     "embed_hash": (
         embed_hash,
         f"""WITH RECURSIVE {S.CHUNKS}, {S.entries('chunk_entries', 'chunks', 'chunk_id')}
-            SELECT chunk_id, bucket, round(weight, 6) AS weight FROM chunk_entries""",
+            SELECT chunk_id.doc_id AS doc_id, chunk_id.chunk_no AS chunk_no, bucket, round(weight, 6) AS weight FROM chunk_entries""",
     ),
     "index_incremental": (
         index_incremental,
         f"""WITH RECURSIVE {S.CHUNKS}
-            SELECT chunk_id, doc_id, chunk_no, text, lang FROM chunks WHERE lang <> 'en'""",
+            SELECT doc_id, page, chunk_no, text, lang FROM chunks WHERE lang <> 'en'""",
     ),
     "request_defaults": (request_defaults, f"WITH {S.REQUESTS} SELECT * FROM requests"),
     "reject_split": (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from casebook.fixed_values import NO_CONTEXT_MESSAGE
 from casebook.functions.vectors import DIGITS
 from casebook.operators import cell_index
-from casebook.operators.nearest import nearest, nearest_by_cells
+from casebook.operators.nearest import nearest
 from casebook.operators.rerank import format_context, rerank, with_fallback
 from casebook.plans import inputs
 from casebook.plans import sql as S
@@ -27,20 +27,35 @@ def knn_topk(spark, folder):
     return nearest(queries, items, inputs.VECTOR_DIM)
 
 
+# Queries in a tile where a query shows the form for large query tables.
+TILE = 200
+
+
 def knn_cells(spark, folder):
-    """The form for query tables too large to broadcast."""
+    """The form for query tables too large for one matrix: one scan per tile of queries."""
     queries, items = inputs.vectors(spark, folder)
-    return nearest_by_cells(queries, items, inputs.VECTOR_DIM)
+    return nearest(queries, items, inputs.VECTOR_DIM, max_numbers=TILE * inputs.VECTOR_DIM)
 
 
-def knn_indexed(spark, folder):
-    """Store the collection by cells, then read only the cells that matter."""
+def _stored_cells(spark, folder):
     queries, items = inputs.vectors(spark, folder)
     target = fresh_path(spark, "cells")
     cell_index.build(items, target, inputs.VECTOR_DIM)
+    return queries, target
+
+
+def knn_indexed(spark, folder):
+    """Store the collection by cells, then read for each query only the cells that matter to it."""
+    queries, target = _stored_cells(spark, folder)
     return cell_index.search(queries, target, inputs.VECTOR_DIM)
 
 
+def ann_probed(spark, folder):
+    """Approximate: each query looks into its nearest cells only."""
+    queries, target = _stored_cells(spark, folder)
+    return cell_index.probe(queries, target, inputs.VECTOR_DIM)
+
+
 def mmr_rerank(spark, folder):
     queries, items = inputs.vectors(spark, folder)
     candidates = (
@@ -94,10 +109,9 @@ def chat_retrieval(spark, folder):
 
 
 def ann_recall(spark, folder):
-    """Share of the exact neighbours that the cell index returns, per query."""
-    found = knn_cells(spark, folder).select("query_id", "item_id")
+    """Share of the exact neighbours that probing finds, per query."""
     exact = knn_topk(spark, folder).select("query_id", "item_id")
-    hit = found.withColumn("hit", F.lit(1))
+    hit = ann_probed(spark, folder).select("query_id", "item_id").withColumn("hit", F.lit(1))
     return (
         exact.join(hit, ["query_id", "item_id"], "left")
         .groupBy("query_id")
@@ -106,6 +120,7 @@ def ann_recall(spark, folder):
 
 
 _TOPK = f"WITH {S.DENSE_HITS} SELECT query_id, item_id, rank, distance FROM hits"
+_PROBED = f"""WITH {S.PROBED} SELECT query_id, item_id, rank, distance FROM probed"""
 _DENSE_PICKS = f"{S.DENSE_HITS}, {S.DENSE_PAIRS}, {S.picks('hits')}"
 
 
@@ -136,9 +151,12 @@ QUERIES = {
     "knn_topk": (knn_topk, _TOPK),
     "knn_cells": (knn_cells, _TOPK),
     "knn_indexed": (knn_indexed, _TOPK),
+    "ann_probed": (ann_probed, _PROBED),
     "ann_recall": (
         ann_recall,
-        "SELECT vec_id AS query_id, 1.0::DOUBLE AS recall FROM embeddings",
+        f"""WITH {S.DENSE_HITS}, {S.PROBED}
+            SELECT h.query_id, round(count(p.item_id) / count(*), 6) AS recall
+            FROM hits h LEFT JOIN probed p ON p.query_id = h.query_id AND p.item_id = h.item_id GROUP BY 1""",
     ),
     "mmr_rerank": (mmr_rerank, f"WITH {_DENSE_PICKS} SELECT * FROM picked5"),
     "format_context": (
@@ -156,7 +174,7 @@ QUERIES = {
     "chat_retrieval": (
         chat_retrieval,
         f"""{_answers(f'''calls AS (SELECT * FROM conversations WHERE role = 'user' AND {S.route_case('text')} = 'retrieve'),
-asked AS (SELECT text AS question, min(conv_id * 16777216 + turn) AS query_id FROM calls GROUP BY 1)''')}
+asked AS (SELECT text AS question, min(struct_pack(conv_id := conv_id, turn := turn)) AS query_id FROM calls GROUP BY 1)''')}
             SELECT c.conv_id, c.turn, 0::BIGINT AS call_no, 'call-' || c.conv_id || '-' || c.turn AS tool_call_id,
                    'rag_retrieval' AS name, coalesce(context, {_MESSAGE}) AS content
             FROM calls c JOIN asked a ON a.question = c.text LEFT JOIN ctx USING (query_id)""",

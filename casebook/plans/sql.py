@@ -43,7 +43,7 @@ def _runs(name: str, source: str, path: str, o1: str, o2: str, o3: str) -> str:
   GROUP BY {part}, run)"""
 
 
-# chunks(chunk_id, doc_id, chunk_no, text, lang, source); needs WITH RECURSIVE.
+# chunks(chunk_id, doc_id, page, chunk_no, text, lang, source); needs WITH RECURSIVE.
 CHUNKS = (
     DOCS
     + ","
@@ -87,7 +87,8 @@ cut AS (
   FROM (SELECT *, unnest(range(0, 1 + greatest(0, ceil((length(piece) - 1000) / 800.0))::BIGINT)) AS w
         FROM p3 WHERE length(piece) >= 1000)),
 chunks AS (
-  SELECT c.doc_id * 16777216 + c.chunk_no AS chunk_id, c.doc_id, c.chunk_no, c.text, d.lang, d.source
+  SELECT struct_pack(doc_id := c.doc_id, page := 0::BIGINT, chunk_no := c.chunk_no) AS chunk_id,
+    c.doc_id, 0::BIGINT AS page, c.chunk_no, c.text, d.lang, d.source
   FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY o1, o2, o3, step) - 1 AS chunk_no
         FROM (SELECT * REPLACE (trim(text, {STRIP}) AS text) FROM cut) WHERE text <> '') c
   JOIN documents d USING (doc_id))"""
@@ -111,8 +112,12 @@ def sparse_hits(name: str, questions: str, key: str = "query_id") -> str:
   SELECT query_id, item_id, rank, s FROM (
     SELECT query_id, item_id, round(dot, 6) AS s,
            row_number() OVER (PARTITION BY query_id ORDER BY round(2 - 2 * dot, 6), item_id) AS rank
-    FROM (SELECT q.{key} AS query_id, c.chunk_id AS item_id, sum(q.weight * c.weight) AS dot
-          FROM {questions} q JOIN chunk_entries c USING (bucket) GROUP BY 1, 2))
+    FROM (SELECT a.query_id, i.item_id, coalesce(dot, 0) AS dot
+          FROM (SELECT DISTINCT {key} AS query_id FROM {questions}) a
+          CROSS JOIN (SELECT DISTINCT chunk_id AS item_id FROM chunk_entries) i
+          LEFT JOIN (SELECT q.{key} AS query_id, c.chunk_id AS item_id, sum(q.weight * c.weight) AS dot
+                     FROM {questions} q JOIN chunk_entries c USING (bucket) GROUP BY 1, 2) d
+            ON d.query_id = a.query_id AND d.item_id = i.item_id))
   WHERE rank <= 20)"""
 
 
@@ -166,6 +171,25 @@ hits AS (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 6), item_id) AS rank FROM dist)
   WHERE rank <= 20)"""
 
+# The first sqrt(n) vectors by md5 of their id are pivots; a query looks into its 8 nearest cells.
+PROBED = """
+pivots AS (
+  SELECT row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) - 1 AS cell, embedding AS centre FROM embeddings
+  QUALIFY cell < ceil(sqrt((SELECT count(*) FROM embeddings)))),
+reach AS (
+  SELECT vec_id, cell, round(list_distance(embedding::DOUBLE[], centre::DOUBLE[]) ** 2, 6) AS d FROM embeddings, pivots),
+placed AS (SELECT vec_id, cell FROM reach QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, cell) = 1),
+looked AS (
+  SELECT vec_id AS query_id, cell FROM reach WHERE cell IN (SELECT cell FROM placed)
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, cell) <= 8),
+probed AS (
+  SELECT query_id, item_id, rank, round(d, 6) AS distance FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 6), item_id) AS rank FROM (
+      SELECT l.query_id, p.vec_id AS item_id, list_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) ** 2 AS d
+      FROM looked l JOIN placed p USING (cell)
+      JOIN embeddings q ON q.vec_id = l.query_id JOIN embeddings c ON c.vec_id = p.vec_id))
+  WHERE rank <= 20)"""
+
 DENSE_PAIRS = """
 pairs AS (
   SELECT a.query_id, a.item_id AS a, b.item_id AS b,
@@ -320,7 +344,7 @@ scored AS (
                  count(*) FILTER (kind = 'evidence') AS evidence_count
           FROM session_log GROUP BY 1) USING (session_id)))"""
 
-EARNED = "earned AS (SELECT user_id, [{}][{} % {} + 1] AS badge_id, ts FROM events WHERE value >= 100)".format(
+EARNED = "earned AS (SELECT user_id, [{}][{} % (user_id % {} + 1) + 1] AS badge_id, ts FROM events)".format(
     ", ".join(quote(b[0]) for b in BADGES), K, len(BADGES)
 )
 TALLY = (

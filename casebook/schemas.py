@@ -1,6 +1,6 @@
 """Declared schemas of the records the operators read."""
 
-DOCUMENT = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+DOCUMENT = "doc_id bigint, page bigint, text string, lang string, source string, n_chars bigint"
 MESSAGE = "conv_id bigint, turn bigint, role string, text string"
 EVENT = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "

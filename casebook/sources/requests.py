@@ -15,15 +15,31 @@ def _option(options: Column, key: str, default: str) -> Column:
     return F.when(has_key, options[key]).otherwise(F.lit(default))
 
 
+def _number(text: Column) -> Column:
+    """A loosely typed number: blank and false are 0, true is 1, what is no number is NaN; null stays null."""
+    trimmed = F.trim(text)
+    plain = trimmed.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+    return (
+        F.when(text.isNull(), F.lit(None).cast("double"))
+        .when(trimmed.isin("", "false"), 0.0)
+        .when(trimmed == "true", 1.0)
+        .when(plain, trimmed.try_cast("double"))
+        .otherwise(F.lit(float("nan")))
+    )
+
+
 def decode_requests(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """Replace the JSON column by question, character, tone and illustration."""
+    """Replace the JSON column by question, character, tone and illustration.
+
+    A tone that is no number becomes NaN, which compares as neither low nor high.
+    """
     decoded = df.withColumn("_request", F.from_json(payload, REQUEST)).drop(payload)
     options = F.col("_request.options")
     return decoded.select(
         *[c for c in decoded.columns if c != "_request"],
         F.col("_request.question").alias("question"),
         _option(options, "character", V.DEFAULT_CHARACTER).alias("character"),
-        _option(options, "toneValue", str(V.DEFAULT_TONE)).cast("double").alias("tone"),
+        _number(_option(options, "toneValue", str(V.DEFAULT_TONE))).alias("tone"),
         _option(options, "illustrationType", V.DEFAULT_ILLUSTRATION).alias("illustration"),
     )
 

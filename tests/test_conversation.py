@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from casebook import fixed_values as V
 from casebook.operators import messages as M
+from casebook.fixed_values import NO_CONTEXT_MESSAGE
 from casebook.operators.routing import dispatch_tool_calls, route
 from casebook.schemas import MESSAGE, TOOL_CALLS
 
@@ -82,6 +83,7 @@ def test_tool_dispatch(spark):
         (1, 2, [call("rag_retrieval", "q1", "c1")]),
         (1, 3, [call("other", "q1", "c2")]),
         (1, 4, [call("rag_retrieval", "q2", None), call("other", "q", "x"), call("rag_retrieval", "q1", "c4")]),
+        (1, 5, [call("rag_retrieval", "q9", "c5"), call("rag_retrieval", None, "c6")]),
     ]
     messages = spark.createDataFrame(rows, f"conv_id bigint, turn bigint, tool_calls {TOOL_CALLS}")
     results = spark.createDataFrame([("q1", "r1"), ("q2", "r2")], "query string, result string")
@@ -90,4 +92,6 @@ def test_tool_dispatch(spark):
         (2, 0, "c1", "r1"),
         (4, 0, "", "r2"),
         (4, 2, "c4", "r1"),
+        (5, 0, "c5", NO_CONTEXT_MESSAGE),
+        (5, 1, "c6", NO_CONTEXT_MESSAGE),
     ]

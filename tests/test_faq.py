@@ -52,7 +52,7 @@ def test_tone_table(spark, character, expected):
 
 
 @pytest.mark.parametrize(
-    "tone,label", [(29, "Đời thường"), (30, "Cân bằng"), (70, "Cân bằng"), (71, "Pháp lý")]
+    "tone,label", [(float("nan"), "Cân bằng"), (29, "Đời thường"), (30, "Cân bằng"), (70, "Cân bằng"), (71, "Pháp lý")]
 )
 def test_tone_label(one, tone, label):
     assert one(tone_label(F.lit(tone))) == label

@@ -6,8 +6,9 @@ from casebook import fixed_values as V
 from casebook.functions.vectors import hashed_vector
 from casebook.operators.indexing import embed_hashed, embed_with, vector_entries
 from casebook.operators import cell_index
-from casebook.operators.nearest import nearest, nearest_by_cells
+from casebook.operators.nearest import nearest
 from casebook.operators.rerank import format_context, rerank, with_fallback
+from casebook.session import fresh_path
 from casebook.plans.answering import ask, contexts, index_chunks, search_collection, search_documents
 
 DIM = 8
@@ -47,15 +48,33 @@ def test_scan_equals_brute_force(spark, data):
     assert ranked(got) == brute(q, m, 20)
 
 
-@pytest.mark.parametrize("pivots,block", [(1, 4096), (7, 16), (64, 50)])
-def test_cells_equal_brute_force(spark, data, pivots, block):
+def in_tiles(queries, items, dim, k=20, metric="l2"):
+    """The form for large query tables, seven queries at a time."""
+    return nearest(queries, items, dim, k, metric, max_numbers=7 * dim)
+
+
+def test_tiles_equal_brute_force(spark, data):
     q, m = data
-    got = nearest_by_cells(
-        frame(spark, "query_id", q), frame(spark, "item_id", m), DIM, 20, pivots=pivots, block_rows=block
-    )
+    got = in_tiles(frame(spark, "query_id", q), frame(spark, "item_id", m), DIM)
     assert ranked(got) == brute(q, m, 20)
 
 
+def test_tiles_shuffle_no_copies(spark, data, monkeypatch):
+    """What a tile's scan shuffles is its hits: at most k for each query and task."""
+    from casebook.operators import nearest as module
+
+    q, m = data
+    sizes = []
+    scan = module.scan
+    monkeypatch.setattr(module, "scan", lambda *a, **b: sizes.append(len(a[1])) or scan(*a, **b))
+    for copies in (1, 3):
+        sizes.clear()
+        items = frame(spark, "item_id", np.vstack([m] * copies))
+        got = in_tiles(frame(spark, "query_id", q[:40]), items, DIM, 5)
+        assert got.count() == 200
+        assert sum(sizes) == len(np.unique(q[:40], axis=0)) and max(sizes) <= 7
+
+
 def test_large_query_side_takes_cells_with_same_rows(spark, data):
     q, m = data
     queries, items = frame(spark, "query_id", q), frame(spark, "item_id", m)
@@ -82,7 +101,9 @@ def test_ties_after_rounding_are_not_pruned(spark):
     q[0, 0] = 3e-4
     queries, items = frame(spark, "query_id", q), frame(spark, "item_id", m[::-1])
     want = brute(q, m[::-1], 3)
-    assert ranked(nearest_by_cells(queries, items, DIM, 3, pivots=2)) == want == {0: [0, 1, 2]}
+    folder = fresh_path(spark, "index")
+    cell_index.build(items, folder, DIM, pivots=8)
+    assert ranked(cell_index.search(queries, folder, DIM, 3, probes=1)) == want == {0: [0, 1, 2]}
 
 
 def test_stored_cells_read_only_what_they_need(spark, tmp_path):
@@ -93,20 +114,45 @@ def test_stored_cells_read_only_what_they_need(spark, tmp_path):
     query = frame(spark, "query_id", far[:1])
     got = cell_index.search(query, folder, DIM, 5)
     assert ranked(got) == brute(far[:1], far, 5)
-    plan = got._jdf.queryExecution().optimizedPlan().toString()
-    assert "MapInArrow" not in plan  # the probe alone was enough
+    one = cell_index.probe(query, folder, DIM, 5, probes=1)
+    assert ranked(one) == ranked(got)
+
+
+def test_probing_follows_its_rule(spark, data):
+    q, m = data
+    folder = fresh_path(spark, "index")
+    cell_index.build(frame(spark, "item_id", m), folder, DIM)
+    import hashlib
+
+    first = sorted(range(len(m)), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[: cell_index.pivot_count(len(m))]
+    d = lambda a, b: np.round(((a[:, None] - b[None]) ** 2).sum(axis=2), 6)
+    cell = d(m, m[first]).argmin(axis=1)
+    filled = np.unique(cell)
+    near = filled[np.argsort(d(q, m[first])[:, filled], axis=1, kind="stable")[:, :3]]
+    want = {}
+    for i, row in enumerate(d(q, m)):
+        inside = [j for j in np.lexsort((np.arange(len(m)), row)) if cell[j] in near[i]]
+        want[i] = [int(j) for j in inside[:10]]
+    for most in (1 << 20, 7 * DIM):
+        assert ranked(cell_index.probe(frame(spark, "query_id", q), folder, DIM, 10, probes=3, max_numbers=most)) == want
+    # Enough probes make it exact.
+    assert ranked(cell_index.probe(frame(spark, "query_id", q), folder, DIM, 10, probes=99)) == brute(q, m, 10)
+
+
+def test_pivots_follow_the_root_of_the_collection():
+    assert [cell_index.pivot_count(n) for n in (0, 1, 400, 10_000, 10**12)] == [1, 1, 20, 100, cell_index.MAX_PIVOTS]
 
 
 def test_fewer_items_than_k(spark):
     m = np.eye(3, DIM)
-    for search in (nearest, nearest_by_cells):
+    for search in (nearest, in_tiles):
         got = search(frame(spark, "query_id", m), frame(spark, "item_id", m), DIM, 20)
         assert ranked(got) == {0: [0, 1, 2], 1: [1, 0, 2], 2: [2, 0, 1]}
 
 
 def test_empty_sides(spark):
     none, some = frame(spark, "item_id", []), frame(spark, "query_id", np.eye(2, DIM))
-    for search in (nearest, nearest_by_cells):
+    for search in (nearest, in_tiles):
         assert search(some, none, DIM).count() == 0
     assert nearest(none.toDF("query_id", "vec"), frame(spark, "item_id", np.eye(2, DIM)), DIM).count() == 0
 
@@ -116,7 +162,7 @@ def test_cosine_ignores_length(spark, data):
     long = m * np.linspace(0.5, 3, len(m))[:, None]
     a = nearest(frame(spark, "query_id", q), frame(spark, "item_id", m), DIM, 10, "cosine")
     b = nearest(frame(spark, "query_id", q), frame(spark, "item_id", long), DIM, 10, "cosine")
-    c = nearest_by_cells(frame(spark, "query_id", q), frame(spark, "item_id", long), DIM, 10, "cosine")
+    c = in_tiles(frame(spark, "query_id", q), frame(spark, "item_id", long), DIM, 10, "cosine")
     assert ranked(a) == ranked(b) == ranked(c)
 
 
@@ -207,6 +253,32 @@ def test_search_end_to_end(spark):
     assert sorted(stored.collect()) == sorted(found.collect()) == sorted(cells.collect())
 
 
+def test_any_ids_give_the_same_documents(spark):
+    """Small, large, negative and hashed ids; several pages of one document."""
+    texts = [f"topic{i} page text number {i} " + "filler words here " * 90 for i in range(6)]
+    questions = spark.createDataFrame([(i, f"topic{i}") for i in range(6)], "query_id bigint, question string")
+    for ids in (range(6), [1 + (i << 40) for i in range(6)], [-(1 << 62) + i for i in range(6)], [5] * 6):
+        rows = [(int(d), i, t) for i, (d, t) in enumerate(zip(ids, texts))]
+        docs = spark.createDataFrame(rows, "doc_id bigint, page bigint, text string")
+        for most in (1 << 22, 1024):
+            found = search_documents(docs, questions, k=1, max_numbers=most).collect()
+            assert {r.query_id: r.text.split()[0] for r in found} == {i: f"topic{i}" for i in range(6)}
+            assert {r.query_id: (r.item_id.doc_id, r.item_id.page) for r in found} == {i: (ids[i], i) for i in range(6)}
+
+
+def test_tool_messages_with_large_conversation_ids(spark):
+    from casebook.plans.answering import tool_messages
+
+    docs = spark.createDataFrame([(1, "fines for gambling"), (2, "rent contracts")], "doc_id bigint, text string")
+    rows = [(1, 1, "user", "gambling?"), ((1 << 40) + 1, 1, "user", "rent?"), (1, 1 << 24, "user", "rent?")]
+    log = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = tool_messages(log, docs, [("retrieve", ".")]).collect()
+    assert len(got) == 3
+    assert {(r.conv_id, r.turn): "gambling" in r.content.split(chr(10))[1] for r in got} == {
+        (1, 1): True, ((1 << 40) + 1, 1): False, (1, 1 << 24): False
+    }
+
+
 def test_rerank_is_subset_of_nearest(spark):
     from casebook.plans import inputs
 

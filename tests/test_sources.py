@@ -1,8 +1,11 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from casebook.sources import catalogues
+from casebook.operators.indexing import chunk_documents
 from casebook.sources.collection import append_collection, open_collection, write_collection
 from casebook.sources.documents import load_documents, load_text_pages
 from casebook.sources.requests import decode_requests, mark_rejects, read_split, write_split
@@ -22,6 +25,9 @@ def test_text_pages(spark, tmp_path):
     pages = load_text_pages(spark, str(tmp_path)).orderBy("page").collect()
     assert [(r.page, r.text) for r in pages] == [(0, "one"), (2, "two")]
     assert pages[0].source.endswith("a.txt")
+    chunks = chunk_documents(load_text_pages(spark, str(tmp_path))).orderBy("page").collect()
+    assert [(r.page, r.chunk_no, r.text) for r in chunks] == [(0, 0, "one"), (2, 0, "two")]
+    assert len({r.chunk_id for r in chunks}) == 2 and len({r.doc_id for r in chunks}) == 1
 
 
 def test_source_map(spark, tmp_path):
@@ -39,13 +45,15 @@ def test_source_map(spark, tmp_path):
 
 def test_collection_append_adds_only_new(spark, tmp_path):
     def chunks(ids):
-        return spark.createDataFrame([(i, f"t{i}") for i in ids], "chunk_id bigint, text string")
+        docs = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id bigint, text string")
+        return chunk_documents(docs)
 
     folder = str(tmp_path)
+    far = (1 << 40) + 1
     write_collection(chunks([1, 2]), folder)
-    append_collection(chunks([2, 3]), folder)
-    append_collection(chunks([2, 3]), folder)
-    assert sorted(r.chunk_id for r in open_collection(spark, folder, ["chunk_id"]).collect()) == [1, 2, 3]
+    append_collection(chunks([2, far]), folder)
+    append_collection(chunks([2, far]), folder)
+    assert sorted(r.chunk_id.doc_id for r in open_collection(spark, folder, ["chunk_id"]).collect()) == [1, 2, far]
 
 
 REQUESTS = [
@@ -57,6 +65,15 @@ REQUESTS = [
 ]
 
 
+@pytest.mark.parametrize(
+    "given,tone", [('"55"', 55.0), ('" 12.5 "', 12.5), ('""', 0.0), ("true", 1.0), ("null", None), ('"abc"', "nan"), ('"1d"', "nan"), ("1e1", 10.0)]
+)
+def test_loose_numbers(spark, given, tone):
+    rows = [(1, '{"question": "q", "options": {"toneValue": %s}}' % given)]
+    row = decode_requests(spark.createDataFrame(rows, "id int, payload string")).first()
+    assert (row.tone != row.tone) if tone == "nan" else row.tone == tone
+
+
 def test_request_defaults(spark):
     df = decode_requests(spark.createDataFrame(REQUESTS, "id int, payload string"))
     got = {r.id: (r.question, r.character, r.tone, r.illustration) for r in df.collect()}
