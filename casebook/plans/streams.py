@@ -1,8 +1,8 @@
 """Registered queries: the streaming jobs, run over all available input.
 
 Each run writes its result to a new folder below the shared folder and returns
-that table. Stream input has no time zone, so event times are cast to timestamp
-for the watermark and back for the result.
+that table. Stream input has no time zone, so event times of sessions are cast to
+timestamp and back for the result.
 """
 
 from __future__ import annotations
@@ -30,37 +30,27 @@ def stream_badge_tally(spark, folder):
     target, checkpoint = fresh_path(spark, "tally"), fresh_path(spark, "tally-state")
     earned = inputs.earned_badges(_stream(spark, folder, "events", EVENT))
     badges.start_tally(earned, target, checkpoint).awaitTermination()
-    return badges.read_latest(spark, target)
+    return badges.read_tally(spark, target)
 
 
 def stream_sessions(spark, folder):
     target, checkpoint = fresh_path(spark, "sessions"), fresh_path(spark, "sessions-state")
     events = _stream(spark, folder, "events", EVENT).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    sessions.start_closed_sessions(events, GAP, DELAY, target, checkpoint).awaitTermination()
-    schema = "user_id bigint, started timestamp, ended timestamp, events bigint"
-    closed = spark.read.schema(schema).parquet(target)
-    return closed.select(
-        "user_id",
-        F.col("started").cast("timestamp_ntz").alias("started"),
-        F.col("ended").cast("timestamp_ntz").alias("ended"),
-        "events",
-    )
+    sessions.start_sessions(events, GAP, target, checkpoint).awaitTermination()
+    rows = sessions.read_sessions(spark, target, GAP, DELAY)
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "ended")})
 
 
 def stream_log(spark, folder):
     """One message per user, type and day."""
     target, checkpoint = fresh_path(spark, "log"), fresh_path(spark, "log-state")
+    keys = ["user_id", "event_type", "day"]
     events = _stream(spark, folder, "events", EVENT).select(
-        "user_id",
-        "event_type",
-        F.date_format("ts", "yyyy-MM-dd").alias("day"),
-        F.date_trunc("day", F.col("ts").cast("timestamp")).alias("day_start"),
+        "user_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")
     )
-    messages.start_deduplicated(
-        events, ["user_id", "event_type", "day"], "day_start", DELAY, target, checkpoint
-    ).awaitTermination()
+    messages.start_deduplicated(events, keys, target, checkpoint).awaitTermination()
     schema = "user_id bigint, event_type string, day string"
-    return spark.read.schema(schema).parquet(target)
+    return messages.read_deduplicated(spark, target, keys, schema)
 
 
 def stream_log_upsert(spark, folder):
@@ -87,9 +77,9 @@ QUERIES = {
              FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
            runs AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, opens DESC
                       ROWS UNBOUNDED PRECEDING) AS run FROM gaps)
-           SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 6 HOUR AS ended, count(*) AS events
-           FROM runs GROUP BY user_id, run
-           HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+           SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 6 HOUR AS ended, count(*) AS events,
+             max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) AS closed
+           FROM runs GROUP BY user_id, run""",
     ),
     "stream_log": (
         stream_log,

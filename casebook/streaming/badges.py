@@ -3,45 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from casebook.operators.badges import merge_tallies, tally
+from casebook.streaming.table import KeyedTable
 
+KEYS = ["user_id", "badge_id"]
 
-def _slot(folder: str, number: int) -> str:
-    """Two slots are enough: batch n reads the one of n - 1 and writes its own."""
-    return f"{folder}/slot={number % 2}"
 
+def _table(spark: SparkSession, folder: str, time_type: str = "timestamp_ntz") -> KeyedTable:
+    return KeyedTable(spark, folder, KEYS, f"user_id bigint, badge_id string, cnt bigint, last_earned {time_type}")
 
-def write_version(rows: DataFrame, folder: str, number: int) -> None:
-    rows.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(_slot(folder, number))
 
-
-def read_version(spark: SparkSession, folder: str, number: int) -> DataFrame:
-    return spark.read.parquet(_slot(folder, number)).drop("batch")
-
-
-def read_latest(spark: SparkSession, folder: str) -> DataFrame:
-    """The table of the last finished batch."""
-    slots = spark.read.parquet(folder)
-    latest = slots.agg(F.max("batch")).first()[0]
-    return slots.filter(F.col("batch") == latest).drop("batch", "slot")
+def read_tally(spark: SparkSession, folder: str, time_type: str = "timestamp_ntz") -> DataFrame:
+    return _table(spark, folder, time_type).read()
 
 
 def start_tally(earned: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Keep a tally table of a stream of earned badges (user_id, badge_id, ts).
 
-    Each micro-batch is tallied on its own and merged with the table of the batch
-    before. A batch that is run again after a failure writes the same slot from
-    the same input, so nothing is counted twice.
+    Each micro-batch is tallied on its own, merged with the stored rows of the same
+    keys, and written for these keys alone.
     """
+    time_type = dict(earned.dtypes)["ts"]
 
     def merge(batch: DataFrame, number: int) -> None:
+        table = _table(batch.sparkSession, folder, time_type)
         change = tally(batch)
-        if number > 0:
-            change = merge_tallies(read_version(batch.sparkSession, folder, number - 1), change)
-        write_version(change, folder, number)
+        stored = table.read(number, change).join(change.select(*KEYS), KEYS, "left_semi")
+        table.write(merge_tallies(stored, change), number)
 
     return (
         earned.writeStream.foreachBatch(merge)

@@ -6,24 +6,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from casebook.streaming.badges import read_latest, read_version, write_version
+from casebook.streaming.table import KeyedTable
 
 
-def start_deduplicated(
-    messages: DataFrame, keys: list[str], time: str, delay: str, folder: str, checkpoint: str
-) -> StreamingQuery:
-    """Append each id once; ids are remembered until the watermark passes them."""
+def start_deduplicated(messages: DataFrame, keys: list[str], folder: str, checkpoint: str) -> StreamingQuery:
+    """Keep each id once, in whatever order messages arrive: what is stored decides, not a watermark.
+
+    Of messages with the same id in one batch any one is kept.
+    """
+    schema = ", ".join(f"{name} {kind}" for name, kind in messages.dtypes)
+
+    def merge(batch: DataFrame, number: int) -> None:
+        table = KeyedTable(batch.sparkSession, folder, keys, schema)
+        first = batch.dropDuplicates(keys)
+        table.write(first.join(table.read(number, first).select(*keys), keys, "left_anti"), number)
+
     return (
-        messages.withWatermark(time, delay)
-        .dropDuplicatesWithinWatermark(keys)
-        .writeStream.outputMode("append")
-        .format("parquet")
+        messages.writeStream.foreachBatch(merge)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start(folder)
+        .start()
     )
 
 
+def read_deduplicated(spark: SparkSession, folder: str, keys: list[str], schema: str) -> DataFrame:
+    return KeyedTable(spark, folder, keys, schema).read()
+
+
+def _log(spark: SparkSession, folder: str) -> KeyedTable:
+    schema = "conv_id bigint, msg_id string, position bigint, role string, text string, seq bigint"
+    return KeyedTable(spark, folder, ["conv_id", "msg_id"], schema)
+
+
 def _latest(rows: DataFrame) -> DataFrame:
     kept = F.max_by(F.struct("role", "text", "seq"), "seq")
     return (
@@ -36,16 +50,15 @@ def _latest(rows: DataFrame) -> DataFrame:
 def start_upsert(messages: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Keep a table of the latest content per message id at its first position.
 
-    ``messages(conv_id, msg_id, seq, role, text)``. Every batch writes the
-    table anew from the one of the batch before, so a repeated batch is harmless.
+    ``messages(conv_id, msg_id, seq, role, text)``. Every batch writes the messages it
+    touches, merged with what is stored of them.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
+        table = _log(batch.sparkSession, folder)
         rows = _latest(batch.withColumn("position", F.col("seq")))
-        if number > 0:
-            stored = read_version(batch.sparkSession, folder, number - 1)
-            rows = _latest(stored.unionByName(rows))
-        write_version(rows, folder, number)
+        stored = table.read(number, rows).join(rows.select("conv_id", "msg_id"), ["conv_id", "msg_id"], "left_semi")
+        table.write(_latest(stored.unionByName(rows)), number)
 
     return (
         messages.writeStream.foreachBatch(merge)
@@ -56,4 +69,4 @@ def start_upsert(messages: DataFrame, folder: str, checkpoint: str) -> Streaming
 
 
 def read_upserted(spark: SparkSession, folder: str) -> DataFrame:
-    return read_latest(spark, folder).drop("seq")
+    return _log(spark, folder).read().drop("seq")

@@ -4,6 +4,7 @@ import random
 from casebook.operators.badges import tally
 from casebook.operators.messages import upsert
 from casebook.streaming import badges, messages, sessions
+from casebook.streaming.table import KeyedTable
 
 EARNED = "user_id int, badge_id string, ts timestamp"
 
@@ -25,50 +26,92 @@ def test_tally_over_many_batches_and_a_restart(spark, tmp_path):
     query = badges.start_tally(one_file_at_a_time(spark, EARNED, source), target, state)
     query.awaitTermination()
     assert len([p for p in query.recentProgress if p["numInputRows"]]) == 4
-    assert sorted(badges.read_latest(spark, target).collect()) == sorted(tally(df).collect())
+    assert sorted(badges.read_tally(spark, target, "timestamp").collect()) == sorted(tally(df).collect())
 
     df.limit(50).write.mode("append").parquet(source)
     again = badges.start_tally(one_file_at_a_time(spark, EARNED, source), target, state)
     again.awaitTermination()
     whole = sorted(tally(spark.read.parquet(source)).collect())
-    assert sorted(badges.read_latest(spark, target).collect()) == whole
+    assert sorted(badges.read_tally(spark, target, "timestamp").collect()) == whole
 
     idle = badges.start_tally(one_file_at_a_time(spark, EARNED, source), target, state)
     idle.awaitTermination()
-    assert sorted(badges.read_latest(spark, target).collect()) == whole
+    assert sorted(badges.read_tally(spark, target, "timestamp").collect()) == whole
 
 
-def test_closed_sessions_equal_gaps(spark, tmp_path):
-    rng = random.Random(3)
-    start = dt.datetime(2024, 1, 1)
-    rows = [(rng.randint(1, 3), start + dt.timedelta(minutes=rng.randint(0, 3000))) for _ in range(120)]
-    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    spark.createDataFrame(rows, "user_id int, ts timestamp").coalesce(1).write.parquet(source)
-    stream = spark.readStream.schema("user_id int, ts timestamp").parquet(source)
-    sessions.start_closed_sessions(stream, "30 minutes", "10 minutes", target, state).awaitTermination()
-    got = {(r.user_id, r.started, r.ended, r.events) for r in spark.read.parquet(target).collect()}
-
-    gap, mark = dt.timedelta(minutes=30), max(t for _, t in rows) - dt.timedelta(minutes=10)
+def gaps(rows, gap):
+    """All sessions of (user, time) rows: (user, first, last + gap, events)."""
     want = set()
-    for user in (1, 2, 3):
+    for user in {u for u, _ in rows}:
         times, group = sorted(t for u, t in rows if u == user), []
         for t in [*times, None]:
             if group and (t is None or t >= group[-1] + gap):
-                if group[-1] + gap <= mark:
-                    want.add((user, group[0], group[-1] + gap, len(group)))
+                want.add((user, group[0], group[-1] + gap, len(group)))
                 group = []
             group.append(t)
-    assert got == want
+    return want
+
+
+def test_sessions_in_any_order_of_arrival(spark, tmp_path):
+    rng = random.Random(3)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(rng.randint(1, 3), start + dt.timedelta(minutes=rng.randint(0, 3000))) for _ in range(120)]
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for file in range(6):  # late events join sessions of earlier files
+        spark.createDataFrame(rows[file::6], "user_id int, ts timestamp").coalesce(1).write.mode("append").parquet(source)
+    stream = one_file_at_a_time(spark, "user_id int, ts timestamp", source)
+    query = sessions.start_sessions(stream, "30 minutes", target, state)
+    query.awaitTermination()
+    assert len([p for p in query.recentProgress if p["numInputRows"]]) == 6
+    table = sessions.read_sessions(spark, target, "30 minutes", "10 minutes").collect()
+    gap, mark = dt.timedelta(minutes=30), max(t for _, t in rows) - dt.timedelta(minutes=10)
+    assert {(r.user_id, r.started, r.ended, r.events) for r in table} == gaps(rows, gap)
+    assert len(table) == len(gaps(rows, gap))
+    assert all(r.closed == (r.ended <= mark) for r in table) and not all(r.closed for r in table)
+
+
+def test_a_late_event_joins_two_sessions(spark, tmp_path):
+    at = lambda minute: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minute)
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    batches = [[(1, at(0)), (1, at(50)), (2, at(5))], [(1, at(100))], [(1, at(25))], [(1, at(75)), (1, at(-20))]]
+    for n, batch in enumerate(batches):
+        spark.createDataFrame(batch, "user_id int, ts timestamp").coalesce(1).write.mode("append").parquet(source)
+        stream = one_file_at_a_time(spark, "user_id int, ts timestamp", source)
+        sessions.start_sessions(stream, "30 minutes", target, state).awaitTermination()
+        seen = [r for b in batches[: n + 1] for r in b]
+        table = sessions.read_sessions(spark, target, "30 minutes", "0 minutes").collect()
+        assert sorted((r.user_id, r.started, r.ended, r.events) for r in table) == sorted(gaps(seen, dt.timedelta(minutes=30)))
 
 
-def test_repeated_ids_are_dropped_across_batches(spark, tmp_path):
+def test_repeated_ids_are_dropped_in_any_order_of_arrival(spark, tmp_path):
     day = dt.datetime(2024, 1, 1)
-    rows = [(i % 10, day + dt.timedelta(minutes=i % 10)) for i in range(40)]
+    # The oldest message comes last.
+    rows = [(9 - i // 4, day - dt.timedelta(days=i)) for i in range(40)]
     source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    in_files(spark, spark.createDataFrame(rows, "msg_id int, ts timestamp"), source)
-    stream = one_file_at_a_time(spark, "msg_id int, ts timestamp", source)
-    messages.start_deduplicated(stream, ["msg_id"], "ts", "1 hour", target, state).awaitTermination()
-    assert sorted(r.msg_id for r in spark.read.parquet(target).collect()) == list(range(10))
+    schema = "msg_id int, ts timestamp"
+    for file in range(5):
+        part = [(i, d) for i, d in rows if i % 5 == file or i == 3]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+    stream = one_file_at_a_time(spark, schema, source)
+    messages.start_deduplicated(stream, ["msg_id"], target, state).awaitTermination()
+    got = messages.read_deduplicated(spark, target, ["msg_id"], schema).collect()
+    assert sorted(r.msg_id for r in got) == list(range(10))
+
+
+def test_a_batch_writes_only_what_it_touches_and_can_run_again(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"), ["k"], "k bigint, v string")
+    rows = lambda *r: spark.createDataFrame(r, "k bigint, v string")
+    assert table.read().count() == 0
+    table.write(rows(*[(i, "a") for i in range(500)]), 0)
+    table.write(rows((7, "b")), 1)
+    assert spark.read.parquet(f"{table.folder}/batch=1").count() == 1
+    assert table.read(before=1).where("k = 7").first().v == "a"
+    table.write(rows((7, "c")), 1)  # the same batch again
+    assert table.read().where("k = 7").first().v == "c" and table.read().count() == 500
+    table.write(rows((7, "c")).selectExpr("k", "v", "true gone"), 2)
+    assert table.read().count() == 499
+    plan = table.read(like=rows((7, "x")))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan
 
 
 def test_upsert_equals_batch(spark, tmp_path):
