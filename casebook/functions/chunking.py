@@ -1,22 +1,23 @@
-"""Overlapping chunks of a text as one column expression.
+"""Overlapping chunks of a text.
 
 A text is one row, so the whole rule runs inside that row: no shuffle, and a
-table of any size is chunked by independent tasks.
+table of any size is chunked by independent tasks, on Arrow batches of texts.
 
 The text is cut into pieces at blank lines. Runs of pieces shorter than the chunk
 size are merged into chunks; a longer piece is cut at the next separator (line
 break, space) and, if nothing else is left, into overlapping windows.
 
-Merging takes one step per chunk, not per piece: every piece but the first opens
-with the separator, so counting separators in a stretch of text tells how many
-pieces start in it.
-
-The rule is put together as SQL text: as nested Python calls the same expression
-takes most of a second to build.
+Merging works on the pieces' end positions, so a text takes time in proportion to
+its length. (As nested array functions the same rule copies the list of pieces for
+every chunk, which is quadratic.)
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import accumulate
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,99 +25,73 @@ from casebook.fixed_values import CHUNK_OVERLAP, CHUNK_SIZE
 from casebook.functions.text import STRIP_CHARS
 
 SEPARATORS = ["\n\n", "\n", " "]
-MARKER = "\u001e"
-
-
-def _let(name: str, value: str, body: str) -> str:
-    """Bind ``value`` once under ``name``."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _windows(text: str, size: int, overlap: int) -> str:
+def _windows(text: str, size: int, overlap: int) -> Iterator[str]:
     """Windows of ``size`` characters every ``size - overlap``; the first one that
     reaches the end is the last."""
-    stride = size - overlap
-    last = f"greatest(0, cast(ceil((length({text}) - {size}) / {stride}) as int))"
-    return f"transform(sequence(0, {last}), w -> substring({text}, w * {stride} + 1, {size}))"
+    for start in range(0, max(1, len(text) - overlap), size - overlap):
+        yield text[start : start + size]
 
 
-def _starting_before(text: str, chars: str, separator: str) -> str:
-    """Number of pieces that start among the first ``chars`` characters of ``text``."""
-    size = len(separator)
-    found = _let(
-        "head",
-        f"substring({text}, 1, {chars} + {size - 1})",
-        f"cast((length(head) - length(replace(head, '{separator}', ''))) / {size} as int)",
-    )
-    return f"({found} + if(startswith({text}, '{separator}'), 0, 1))"
-
-
-def _merged(pieces: str, separator: str, size: int, overlap: int) -> str:
+def _merged(pieces: list[str], size: int, overlap: int) -> Iterator[str]:
     """Chunks of a run of pieces that are all shorter than ``size``.
 
     A chunk takes as many pieces as fit. The next one starts with the longest tail
     of whole pieces that is at most ``overlap`` long and leaves room for the piece
     that did not fit.
     """
-    tail = f"least({overlap}, {size} - length(get(rest, n)))"
-    left = _starting_before("chunk", f"(length(chunk) - {tail})", separator)
-    following = f"""named_struct(
-        'place', if(state.place + n >= size({pieces}), size({pieces}), state.place + {left}),
-        'chunks', array_append(state.chunks, chunk))"""
-    fitting = f"""if(length(stretch) <= {size}, size(rest),
-        {_starting_before("stretch", str(size + 1), separator)} - 1)"""
-    taken = _let("chunk", "array_join(slice(rest, 1, n), '')", following)
-    taken = _let("stretch", "array_join(rest, '')", _let("n", fitting, taken))
-    # Each piece has a character, so this stretch is all that is left or too long.
-    taken = _let("rest", f"slice({pieces}, state.place + 1, {size + 1})", taken)
-    # Two chunks in a row reach more than ``size`` characters beyond the first's start.
-    steps = f"cast(2 * length(array_join({pieces}, '')) / {size - overlap} as int) + 2"
-    return f"""aggregate(
-        sequence(1, {steps}),
-        named_struct('place', 0, 'chunks', cast(array() as array<string>)),
-        (state, step) -> if(state.place >= size({pieces}), state, {taken}),
-        state -> state.chunks)"""
-
-
-def _chunks(text: str, level: int, size: int, overlap: int) -> str:
+    ends = [0, *accumulate(map(len, pieces))]
+    first = last = 0
+    while last < len(pieces):
+        while last < len(pieces) and ends[last + 1] - ends[first] <= size:
+            last += 1
+        yield "".join(pieces[first:last])
+        if last < len(pieces):
+            least = max(ends[last] - overlap, ends[last + 1] - size)
+            while ends[first] < least:
+                first += 1
+
+
+def _chunks(text: str, level: int, size: int, overlap: int) -> Iterator[str]:
     """Chunks, not yet stripped, of a text that is cut at ``level``."""
     if level == len(SEPARATORS):
-        return _windows(text, size, overlap)
+        yield from _windows(text, size, overlap)
+        return
+    # Cut before each leftmost, non-overlapping separator.
     separator = SEPARATORS[level]
-    pieces, long, at = f"pieces{level}", f"long{level}", f"at{level}"
+    head, *rest = text.split(separator)
+    run: list[str] = []
+    for piece in [head, *(separator + part for part in rest)]:
+        if len(piece) < size:
+            if piece:
+                run.append(piece)
+            continue
+        yield from _merged(run, size, overlap)
+        run = []
+        yield from _chunks(piece, level + 1, size, overlap)
+    yield from _merged(run, size, overlap)
 
-    # Cut before each leftmost, non-overlapping separator.
-    marked = f"replace({text}, '{separator}', concat(marker, '{separator}'))"
-    cut = f"filter(split({marked}, marker, -1), p -> p <> '')"
-    places = f"filter(transform({pieces}, (p, i) -> if(length(p) >= {size}, i, null)), i -> i is not null)"
 
-    # The run before each long piece, then that piece by itself; at last the rest.
-    start, end = f"coalesce(get({long}, {at} - 1) + 1, 0)", f"coalesce(get({long}, {at}), size({pieces}))"
-    run = _let("run", f"slice({pieces}, {start} + 1, {end} - {start})", _merged("run", separator, size, overlap))
-    inner = _let(
-        f"inner{level}",
-        f"get({pieces}, get({long}, {at}))",
-        _chunks(f"inner{level}", level + 1, size, overlap),
-    )
-    parts = f"""flatten(transform(sequence(0, size({long})), {at} ->
-        concat({run}, if({at} < size({long}), {inner}, array()))))"""
-    return _let(pieces, cut, _let(long, places, parts))
+def _of_texts(cut: Callable[[str], Iterator[str]]) -> Callable[[Column], Column]:
+    """A column function that strips the chunks of a text and drops what is empty; null stays null."""
 
+    @F.pandas_udf("array<string>")
+    def chunks(texts: pd.Series) -> pd.Series:
+        kept = [
+            None if text is None else [s for c in cut(text) if (s := c.strip(STRIP_CHARS))]
+            for text in texts.astype(object).where(texts.notna(), None)
+        ]
+        return pd.Series(kept, dtype=object)
 
-def _of_text(text: Column, body: str) -> Column:
-    """Evaluate SQL in which ``doc`` stands for the text; strip, and drop what is empty."""
-    kept = f"filter(transform({body}, c -> btrim(c, '{STRIP_CHARS}')), c -> c <> '')"
-    return F.element_at(F.call_function("transform", F.array(text), F.expr(f"doc -> {kept}")), 1)
+    return chunks
 
 
 def fixed_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
     """array<string>: stripped, non-empty windows."""
-    return _of_text(text, _windows("doc", size, overlap))
+    return _of_texts(lambda t: _windows(t, size, overlap))(text)
 
 
 def recursive_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
     """array<string>: chunks of at most ``size`` characters, in text order."""
-    # A text may itself contain the marker; then one made from its digest is used.
-    marker = f"""if(contains(doc, '{MARKER}'),
-        concat('{MARKER}', md5(cast(doc as binary)), '{MARKER}'), '{MARKER}')"""
-    return _of_text(text, _let("marker", marker, _chunks("doc", 0, size, overlap)))
+    return _of_texts(lambda t: _chunks(t, 0, size, overlap))(text)

@@ -109,3 +109,21 @@ def test_chunk_rows_keep_metadata(spark):
     rows = chunk_documents(df).orderBy("chunk_no").collect()
     assert [r.chunk_no for r in rows] == [0, 1, 2]
     assert tuple(rows[1].chunk_id) == (7, 0, 1) and rows[1].lang == "en" and rows[1].source == "s"
+
+
+def test_long_texts_take_proportional_time():
+    """Counted in steps of the merge, not seconds: each piece is passed at most twice."""
+    from casebook.functions.chunking import _chunks
+
+    for size in (1 << 20, 1 << 22):
+        text = ("word " * (size // 5))[:size]
+        chunks = list(_chunks(text, 0, 1000, 200))
+        assert len(chunks) == -(-(size - 200) // 800) or abs(len(chunks) - size / 800) < 5
+        assert max(map(len, chunks)) <= 1000
+    solid = list(_chunks("x" * (1 << 22), 0, 1000, 200))
+    assert len(solid) == -(-((1 << 22) - 1000) // 800) + 1
+
+
+def test_null_text(spark):
+    df = spark.createDataFrame([(1, None), (2, "a")], "id int, text string")
+    assert {r.id: r.c for r in df.select("id", recursive_chunks(F.col("text")).alias("c")).collect()} == {1: None, 2: ["a"]}
