@@ -7,7 +7,6 @@ A vector column is either ``array<float|double>`` or the sparse form
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,17 +57,6 @@ def hashed_vector(text: Column, dim: int = HASH_DIM) -> Column:
     return let(buckets, of_sorted)
 
 
-def to_matrix(vectors: list | pd.Series, dim: int) -> np.ndarray:
-    """Vectors as Python values (arrays, or records with idx and val) as a dense matrix."""
-    out = np.zeros((len(vectors), dim))
-    for row, vec in enumerate(vectors):
-        if isinstance(vec, dict) or hasattr(vec, "asDict"):
-            out[row, np.asarray(vec["idx"], dtype=np.int64)] = vec["val"]
-        else:
-            out[row] = vec
-    return out
-
-
 def arrow_matrix(column: pa.Array, dim: int) -> np.ndarray:
     """An Arrow vector column as a dense matrix, without a loop over its rows."""
     if pa.types.is_struct(column.type):

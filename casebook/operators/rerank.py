@@ -3,30 +3,39 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casebook import fixed_values as V
-from casebook.functions.vectors import DIGITS, to_matrix, unit_rows
-
-
-def _diverse_order(query: np.ndarray, items: np.ndarray, k: int, weight: float) -> list[int]:
-    """Greedy pick: similar to the query, unlike what is already picked."""
-    q, m = unit_rows(query[None, :]), unit_rows(items)
-    to_query = np.round(m @ q[0], DIGITS)
-    between = np.round(m @ m.T, DIGITS)
-    picked = [int(to_query.argmax())]
-    worst = between[picked[0]].copy()
-    open_ = np.ones(len(items), bool)
-    open_[picked[0]] = False
-    while len(picked) < min(k, len(items)):
-        score = np.where(open_, weight * to_query - (1 - weight) * worst, -np.inf)
-        best = int(score.argmax())
-        picked.append(best)
-        open_[best] = False
-        worst = np.maximum(worst, between[best])
-    return picked
+from casebook.functions.vectors import DIGITS, arrow_matrix, unit_rows
+
+
+# Numbers of candidate vectors held at once by a task.
+MAX_NUMBERS = 4_000_000
+
+
+def _diverse_orders(queries: np.ndarray, items: np.ndarray, counts: np.ndarray, k: int, weight: float) -> np.ndarray:
+    """Greedy picks, similar to the query and unlike what is already picked, for many queries at once.
+
+    ``items`` (queries, most candidates, dim) is filled up with zeros beyond ``counts``;
+    the picks are -1 beyond them.
+    """
+    q, m = unit_rows(queries), unit_rows(items.reshape(-1, items.shape[2])).reshape(items.shape)
+    to_query = np.round(np.einsum("qnd,qd->qn", m, q), DIGITS)
+    between = np.round(m @ m.transpose(0, 2, 1), DIGITS)
+    open_ = np.arange(items.shape[1]) < counts[:, None]
+    rows = np.arange(len(q))
+    picks = np.full((len(q), k), -1)
+    worst = None
+    for n in range(min(k, items.shape[1])):
+        score = to_query if worst is None else weight * to_query - (1 - weight) * worst
+        best = np.where(open_, score, -np.inf).argmax(axis=1)
+        picks[:, n] = np.where(n < counts, best, -1)
+        open_[rows, best] = False
+        near = between[rows, best]
+        worst = near if worst is None else np.maximum(worst, near)
+    return picks
 
 
 def rerank(
@@ -43,18 +52,23 @@ def rerank(
     """
     kept = ["item_id", *(carry or [])]
 
-    @F.pandas_udf("array<int>")
-    def pick(query_vecs: pd.Series, item_vecs: pd.Series) -> pd.Series:
-        queries = to_matrix([v[0] for v in query_vecs], dim)
-        return pd.Series(
-            [
-                _diverse_order(query, to_matrix(list(items), dim), k, weight)
-                for query, items in zip(queries, item_vecs)
-            ]
-        )
+    @F.arrow_udf("array<int>")
+    def pick(query_vecs: pa.Array, item_vecs: pa.Array) -> pa.Array:
+        lengths = np.diff(item_vecs.offsets.to_numpy())
+        step = max(1, MAX_NUMBERS // (dim * max(1, int(lengths.max(initial=1)))))
+        out: list[pa.Array] = []
+        for at in range(0, len(lengths), step):
+            counts = lengths[at : at + step]
+            flat = arrow_matrix(item_vecs.slice(at, step).flatten(), dim)
+            items = np.zeros((len(counts), int(counts.max(initial=1)), dim))
+            items[np.arange(items.shape[1]) < counts[:, None]] = flat
+            picks = _diverse_orders(arrow_matrix(query_vecs.slice(at, step), dim), items, counts, k, weight)
+            ends = np.cumsum((picks >= 0).sum(axis=1))
+            out.append(pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(picks[picks >= 0].astype(np.int32))))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
 
     grouped = candidates.groupBy("query_id").agg(
-        F.first(F.array("query_vec")).alias("query_vec"),
+        F.first("query_vec").alias("query_vec"),
         F.array_sort(F.collect_list(F.struct("rank", *kept, "vec"))).alias("items"),
     )
     ordered = grouped.select(

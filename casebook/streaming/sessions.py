@@ -91,5 +91,5 @@ def read_sessions(spark: SparkSession, folder: str, gap: str, delay: str) -> Dat
     """(user_id, started, ended, events, closed): ``closed`` once the latest event of all is ``delay`` past the end."""
     rows = _table(spark, folder).read()
     ended = F.col("last") + F.expr(f"interval {gap}")
-    mark = rows.agg((F.max("last") - F.expr(f"interval {delay}")).alias("mark"))
-    return rows.crossJoin(F.broadcast(mark)).select("user_id", "started", ended.alias("ended"), "events", (ended <= F.col("mark")).alias("closed"))
+    mark = rows.agg((F.max("last") - F.expr(f"interval {delay}")).alias("mark")).scalar()
+    return rows.select("user_id", "started", ended.alias("ended"), "events", (ended <= mark).alias("closed"))

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as contract
+from casebook.plans import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = (
@@ -32,11 +33,11 @@ def comparable(rows, columns):
     return sorted(tuple(cell(row[i]) for i in order) for row in rows)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(catalogue.queries()))
 def test_query_equals_sql(spark, con, name):
-    df = contract.queries()[name](spark, FOLDER)
+    df = catalogue.queries()[name](spark, FOLDER)
     got = df.collect()
-    result = con.execute(contract.oracle_sql()[name])
+    result = con.execute(catalogue.oracle_sql()[name])
     columns = [d[0] for d in result.description]
     want = result.fetchall()
     assert sorted(df.columns) == sorted(columns)

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-import __spark_entry__ as contract
+from casebook.plans import catalogue
 from tests.test_queries import FOLDER, TABLES, comparable
 
 SKEWED = {
@@ -41,10 +41,10 @@ def skewed(tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(catalogue.queries()))
 def test_query_on_skewed_tables(spark, skewed, name):
     folder, con = skewed
-    df = contract.queries()[name](spark, folder)
-    result = con.execute(contract.oracle_sql()[name])
+    df = catalogue.queries()[name](spark, folder)
+    result = con.execute(catalogue.oracle_sql()[name])
     columns = [d[0] for d in result.description]
     assert comparable(df.collect(), df.columns) == comparable(result.fetchall(), columns)
