@@ -31,12 +31,12 @@ NEIGHBOURS = 32
 #: Backward links kept for the search, nearest first; they only add to a node's forward links.
 BACKWARD = 16
 #: Neighbours of a node that meet in a round, of each kind: new, new backward, old.
-SAMPLE = 10
+SAMPLE = 12
 #: New neighbours that one meeting proposes to a node at most; later meetings propose more.
 PROPOSALS = 8
-ROUNDS, SETTLED = 8, 0.02
+ROUNDS, SETTLED = 10, 0.02
 TREES, LEAF = 4, 128
-BEAM, ENTRIES, QUERY_BLOCK = 96, 48, 4096
+BEAM, ENTRIES, QUERY_BLOCK = 320, 48, 4096
 MAX_SEARCH_ROUNDS = 60
 SEED = 5
 
