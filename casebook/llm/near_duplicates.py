@@ -4,7 +4,7 @@ A document is its set of distinct 5-word shingles; documents are linked if the
 sets' Jaccard similarity is at least 3/4. The steps:
 
 1. One pass over the texts gives a fingerprint of each set, its size, `BANDS` band
-   keys of `ROWS` minima each, and four bits of each of the 512 minima.
+   keys of `ROWS` minima each, and four bits of each of the 768 minima.
 2. Documents with equal sets form a class, and only its smallest id goes on.
 3. Rounds over the bands' buckets. The first two pair each member of a bucket with
    one pivot only, so a group of copies costs as many pairs as it has members.
@@ -35,12 +35,12 @@ from casebook.session import written
 
 SHINGLE = 5
 BANDS, ROWS = 51, 5
-MINIMA, BITS = 512, 4
+MINIMA, BITS = 768, 4
 #: Minima in a 64-bit number, and in how many such numbers each batch of the comparison ends.
 PACKED = 64 // BITS
-BATCH_ENDS = (2, 6, 32)
+BATCH_ENDS = (2, 6, 48)
 #: Probability at which a pair that is linked may be given up in a batch.
-MISS = 1e-6
+MISS = 1e-5
 #: Ids that may be broadcast to pick documents: 16 bytes each, so 32 MB.
 MAX_BROADCAST_IDS = 2_000_000
 #: Pivots that a document is verified against in the second round, best signature first.
@@ -65,7 +65,7 @@ def shingle_sets(part: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
-    """512 minima of the set under as many hash functions, half of them on each half of the hash."""
+    """768 minima of the set under as many hash functions, half of them on each half of the hash."""
     out = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
     halves = ((shingles >> np.uint64(32)).astype(np.uint32), shingles.astype(np.uint32))
     for k, half in enumerate(halves):
