@@ -12,7 +12,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op1_sentencepiece": (pieces.query, None),
     "op2_ngram_scores": (ngram_scores.query, ngram_scores.SQL),
     "op3_language": (language.query, None),
-    "op4_secrets": (secrets.query, None),
+    "op4_secrets": (secrets.query, secrets.SQL),
     "op5_near_duplicates": (near_duplicates.query, near_duplicates.SQL),
     "op6_html_text": (html_text.query, None),
     "op7_quality": (quality.query, None),

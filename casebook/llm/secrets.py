@@ -227,3 +227,53 @@ def without_secrets(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _matches(kind: int, pattern: str, counted: int | None) -> str:
+    """Matches of a pattern with their places; `counted`: the group whose length counts."""
+    p = _quoted(pattern)
+    value = f"regexp_extract_all(text, {p}, {counted})" if counted is not None else "hits"
+    return f"""
+  SELECT doc_id, {kind} AS kind, hits[i] AS own, length(counted[i]) AS counted,
+    (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::BIGINT AS a0
+  FROM (SELECT *, {value} AS counted, unnest(range(1, len(hits) + 1)) AS i
+        FROM (SELECT doc_id, text, regexp_extract_all(text, {p}, 0) AS hits, string_split_regex(text, {p}) AS gaps
+              FROM t WHERE regexp_matches(text, {p})))"""
+
+
+def checking_sql() -> str:
+    """The same result in DuckDB; each window's entropy is counted anew there."""
+    allowed = " OR ".join(f"regexp_matches(own, {_quoted(p)})" for p in ALLOWED)
+    windows = {kind: window for kind, (_, window, _) in CLASSES.items()}
+    assert len(set(windows.values())) == 1
+    window = windows["entropy_hex"]
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+base AS ({_matches(0, ASSIGN, 2)} UNION ALL {_matches(1, ACCESS, None)} UNION ALL {_matches(2, HEX, None)}),
+candidates AS (
+  SELECT *, CASE WHEN regexp_matches(own, '^[0-9a-fA-F]+$') THEN 3 ELSE 4 END AS class, row_number() OVER () AS c
+  FROM ({_matches(9, CANDIDATE, None)}) WHERE NOT ({allowed})),
+windows AS (
+  SELECT c, i, unnest(string_split(substr(own, i + 1, {window}), '')) AS ch
+  FROM (SELECT c, own, unnest(range(0, length(own) - {window} + 1)) AS i FROM candidates)),
+sums AS (
+  SELECT c, i, sum(round(n * log2(n) * {UNIT})) AS total FROM (SELECT c, i, ch, count(*) AS n FROM windows GROUP BY ALL) GROUP BY ALL),
+hot AS (
+  SELECT c, min(i) AS first, max(i) + {window} AS last FROM sums JOIN candidates USING (c)
+  WHERE total <= CASE class WHEN 3 THEN {most("entropy_hex")} ELSE {most("entropy_text")} END GROUP BY c),
+spans AS (
+  SELECT doc_id, kind, a0, a0 + length(own) AS a1 FROM base WHERE kind > 0 OR counted >= 8
+  UNION ALL SELECT doc_id, class, a0 + first, a0 + last FROM candidates JOIN hot USING (c)),
+named AS (SELECT *, [{", ".join(map(_quoted, KINDS))}][kind + 1] || ':' || a0 || ':' || a1 AS name FROM spans)
+SELECT t.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  sha256(coalesce(string_agg(name, ',' ORDER BY a0, kind, a1) FILTER (kind < 3), '')) AS base_sha256,
+  coalesce(string_agg(name, ',' ORDER BY a0, kind, a1), '') AS spans
+FROM t LEFT JOIN named USING (doc_id) GROUP BY t.doc_id
+"""
+
+
+SQL = checking_sql()
