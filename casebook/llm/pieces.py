@@ -13,6 +13,7 @@ sentencepiece library in one call per Arrow batch; a difference ends the job.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -31,8 +32,10 @@ BY_SPACE = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 BY_LETTERS = re.compile(f"{SPACE}+[^{SPACE}{LETTER}]*[{LETTER}]*|[^{SPACE}{LETTER}]*[{LETTER}]+|[^{SPACE}{LETTER}]+")
 
 #: Stretches kept by a Python worker, and the longest that is kept; beyond, they are encoded again.
-KEPT = 400_000
+KEPT = 1_000_000
 KEPT_CHARS = 48
+#: Up to this many characters the agenda is a plain list, beyond a heap.
+SHORT = 24
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -57,6 +60,7 @@ class PieceModel:
                 raise ValueError("vocabularies with unused pieces are not supported")
             else:
                 self.pieces[name] = (-self.library.get_score(i), i)  # the lowest comes first
+        self.costs = {name: cost for name, (cost, _) in self.pieces.items()}
         if len(self.byte_ids) != 256:
             raise ValueError("the vocabulary needs all 256 byte pieces")
         if any(SPACE in name.lstrip(SPACE) for name in self.pieces):
@@ -75,6 +79,27 @@ class PieceModel:
 
     def merge(self, text: str) -> list[int]:
         """Ids of one stretch: the agenda of adjacent pairs, best score first, then leftmost."""
+        return self._ids(self._merge_short(text) if len(text) <= SHORT else self._merge_long(text))
+
+    def _merge_short(self, text: str) -> list[str | None]:
+        """The agenda as a plain list of costs by place: for few symbols the least is found fastest so."""
+        cost, symbols = self.costs.get, list(text)
+        agenda = [cost(both, math.inf) for both in map(str.__add__, symbols, symbols[1:])]
+        while agenda:
+            least = min(agenda)
+            if least == math.inf:
+                break
+            i = agenda.index(least)
+            symbols[i] = both = symbols[i] + symbols[i + 1]
+            del symbols[i + 1], agenda[i]
+            if i:
+                agenda[i - 1] = cost(symbols[i - 1] + both, math.inf)
+            if i < len(agenda):
+                agenda[i] = cost(both + symbols[i + 1], math.inf)
+        return symbols
+
+    def _merge_long(self, text: str) -> list[str | None]:
+        """The agenda as a heap; pairs that a merge has outdated are skipped when they come up."""
         symbols: list[str | None] = list(text)
         pieces, n = self.pieces, len(symbols)
         right = list(range(1, n + 1))
@@ -98,7 +123,10 @@ class PieceModel:
             h = left[i]
             if h >= 0 and (new := symbols[h] + both) in pieces:
                 heappush(agenda, (pieces[new][0], h, i, new))
-        ids: list[int] = []
+        return symbols
+
+    def _ids(self, symbols: list[str | None]) -> list[int]:
+        pieces, ids = self.pieces, []
         for symbol in symbols:
             if symbol is None:
                 continue
