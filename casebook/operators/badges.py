@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casebook import fixed_values as V
-from casebook.operators.ordering import MAX_GROUP_ROWS, first_k, running_totals
+from casebook.operators.ordering import first_k, running_totals
 
 
 def tally(earned: DataFrame) -> DataFrame:
@@ -64,14 +64,14 @@ def collection_totals(tallies: DataFrame) -> DataFrame:
     )
 
 
-def win_streaks(sessions: DataFrame, max_group: int = MAX_GROUP_ROWS) -> DataFrame:
+def win_streaks(sessions: DataFrame) -> DataFrame:
     """Won sessions with the number of their run of consecutive wins.
 
     ``sessions(user_id, ts, event_id, won)``. Wins of one run have the same number
     of lost sessions before them.
     """
     lost = {"run": F.when(F.col("won"), 0).otherwise(1)}
-    return running_totals(sessions, ["user_id"], ["ts", "event_id"], lost, max_group).filter("won")
+    return running_totals(sessions, ["user_id"], ["ts", "event_id"], lost).filter("won")
 
 
 def streak_summary(runs: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def streak_summary(runs: DataFrame) -> DataFrame:
     )
 
 
-def career_badges(sessions: DataFrame, max_group: int = MAX_GROUP_ROWS) -> DataFrame:
+def career_badges(sessions: DataFrame) -> DataFrame:
     """(user_id, badge_id, earned_at) of the badges that depend on past sessions.
 
     ``sessions(user_id, ts, event_id, role, won)``, one row per completed session.
@@ -111,6 +111,6 @@ def career_badges(sessions: DataFrame, max_group: int = MAX_GROUP_ROWS) -> DataF
             "user_id", F.lit(badge).alias("badge_id"), "earned_at"
         )
 
-    streak = nth(win_streaks(sessions, max_group), ["user_id", "run"], V.STREAK_LENGTH, "streak_3")
+    streak = nth(win_streaks(sessions), ["user_id", "run"], V.STREAK_LENGTH, "streak_3")
     master = nth(sessions, ["user_id"], V.MASTER_SESSIONS, "master")
     return wins.unionByName(streak).unionByName(master)

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Largest group that one task may sort on its own.
-MAX_GROUP_ROWS = 5_000_000
-MAX_SPLITS = 1000
+from casebook.session import written
+
 # Up to this bound Spark cuts a group before the shuffle.
 GROUP_LIMIT = 1000
 # Inputs below this size are spread over the cores.
@@ -40,62 +37,33 @@ def first_k(df: DataFrame, keys: list[str], order: list[Column], k: int, name: s
     return df.withColumn(name, rank).filter(F.col(name) <= F.lit(k))
 
 
-def running_totals(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    totals: dict[str, Column],
-    max_group: int = MAX_GROUP_ROWS,
-) -> DataFrame:
+def running_totals(df: DataFrame, keys: list[str], order: list[str], totals: dict[str, Column]) -> DataFrame:
     """Add running sums within each group by ``order`` (ascending, keys not null).
 
-    While every group fits one task this is a plain window. Beyond that the large
-    groups are split at quantiles of the first order column; each part is summed
-    on its own and shifted by the sums of the parts before it.
+    The rows are cut into ranges of the whole order, keys first, so a hot group is
+    many ranges even if its first order column ties. Each range is summed on its own
+    and shifted by the sums of the group's ranges before it. The ranges are written
+    once, because a task that runs again must find the same ones.
     """
-    sizes = df.groupBy(*keys).count()
-    largest = sizes.agg(F.max("count")).first()[0] or 0
-    df = df.withColumns({f"_{name}": value.cast("bigint") for name, value in totals.items()})
     values = [f"_{name}" for name in totals]
-
-    def summed(frame: DataFrame, within: list[str]) -> DataFrame:
-        window = W.partitionBy(*within).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-        return frame.withColumns({v[1:]: F.sum(v).over(window) for v in values})
-
-    if largest <= max_group:
-        return summed(df, keys).drop(*values)
-
-    splits = min(MAX_SPLITS, math.ceil(largest / max_group) * 2)
-    shares = [i / splits for i in range(1, splits)]
-    hot = sizes.filter(F.col("count") > max_group).select(*keys)
-    cuts = (
-        df.join(hot, keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.percentile_approx(order[0], shares, 10 * splits).alias("_cuts"))
-    )
-    lead = F.col(order[0])
-    part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < lead)), F.lit(0))
-    parted = df.join(cuts, keys, "left").withColumn("_part", part).drop("_cuts")
+    ranged = df.withColumns({f"_{name}": value.cast("bigint") for name, value in totals.items()})
+    ranged = written(ranged.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    within = [*keys, "_part"]
+    window = W.partitionBy(*within).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    summed = ranged.withColumns({v[1:]: F.sum(v).over(window) for v in values})
+    # A row for each group and range: as many as groups, and a few for those that ranges cut.
     before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     shifts = (
-        parted.groupBy(*keys, "_part")
+        ranged.groupBy(*within)
         .agg(*[F.sum(v).alias(v) for v in values])
-        .select(
-            *keys, "_part", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_shift{v}") for v in values]
-        )
+        .select(*within, *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_shift{v}") for v in values])
     )
-    shifted = summed(parted, [*keys, "_part"]).join(shifts, [*keys, "_part"])
+    shifted = summed.join(shifts, within)
     return shifted.withColumns(
         {v[1:]: F.col(v[1:]) + F.col(f"_shift{v}") for v in values}
     ).drop("_part", *values, *[f"_shift{v}" for v in values])
 
 
-def numbered(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    name: str = "n",
-    max_group: int = MAX_GROUP_ROWS,
-) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "n") -> DataFrame:
     """Number all rows of each group from 1."""
-    return running_totals(df, keys, order, {name: F.lit(1)}, max_group)
+    return running_totals(df, keys, order, {name: F.lit(1)})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casebook import fixed_values as V
@@ -30,6 +30,7 @@ def _search(
     fetch_k: int,
     k: int,
     max_numbers: int,
+    carry: tuple[str, ...] = ("text",),
 ) -> DataFrame:
     """First pass over ids and vectors only; then ``fetch`` the few rows that were hit."""
     worded = questions.filter(has_words(F.col("question")))
@@ -38,7 +39,7 @@ def _search(
     candidates = hits.join(fetch(hits), "item_id").join(
         asked.withColumnRenamed("vec", "query_vec"), "query_id"
     )
-    return rerank(candidates, dim, k, carry=["text"])
+    return rerank(candidates, dim, k, carry=list(carry))
 
 
 def search_documents(
@@ -73,14 +74,23 @@ def search_collection(
     fetch_k: int = V.FETCH_K,
     k: int = V.FINAL_K,
     max_numbers: int = MAX_BROADCAST_NUMBERS,
+    keep: Column | None = None,
+    metadata: tuple[str, ...] = (),
 ) -> DataFrame:
-    """The same against a stored collection (chunk_id, text, vec)."""
-    stored = collection.select(F.col("chunk_id").alias("item_id"), "text", "vec")
+    """The same against a stored collection (chunk_id, text, vec, metadata).
+
+    ``keep`` restricts the search to some chunks by their metadata, and the columns
+    named in ``metadata`` are returned with each hit.
+    """
+    if keep is not None:
+        collection = collection.where(keep)
+    carry = ("text", *metadata)
+    stored = collection.select(F.col("chunk_id").alias("item_id"), *carry, "vec")
 
     def fetch(hits: DataFrame) -> DataFrame:
         return stored.join(hits.select("item_id").distinct(), "item_id", "left_semi")
 
-    return _search(stored.select("item_id", "vec"), fetch, questions, dim, fetch_k, k, max_numbers)
+    return _search(stored.select("item_id", "vec"), fetch, questions, dim, fetch_k, k, max_numbers, carry)
 
 
 def contexts(questions: DataFrame, found: DataFrame) -> DataFrame:

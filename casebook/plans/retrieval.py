@@ -96,7 +96,7 @@ def rag_collection(spark, folder):
     """Index once into a stored collection, then ask it."""
     target = fresh_path(spark, "index")
     chunks = index_chunks(inputs.documents(spark, folder))
-    write_collection(chunks.select("chunk_id", "doc_id", "text", "vec"), target)
+    write_collection(chunks.select("chunk_id", "text", "lang", "source", "vec"), target)
     stored = open_collection(spark, target, ["chunk_id", "text", "vec"])
     questions = _questions(spark, folder)
     return contexts(questions, search_collection(stored, questions))

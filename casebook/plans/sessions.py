@@ -17,9 +17,13 @@ def _log(spark, folder):
 
 
 def scenario_lookup(spark, folder):
-    """Order lines look up their part; the key arrives as text, as in a route."""
+    """Order lines look up their part; the key arrives as text, as in a route.
+
+    The seventh lines ask for parts that there are none of.
+    """
+    asked = F.when(F.col("l_linenumber") == 7, -F.col("l_partkey")).otherwise(F.col("l_partkey"))
     lines = inputs.table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_linenumber", F.col("l_partkey").cast("string").alias("key")
+        "l_orderkey", "l_linenumber", asked.cast("string").alias("key")
     )
     part = inputs.table(spark, folder, "part").select("p_partkey", "p_name")
     found = O.lookup_scenarios(lines, part, "key", "p_partkey")
@@ -135,7 +139,7 @@ QUERIES = {
     "scenario_lookup": (
         scenario_lookup,
         """SELECT l_orderkey, l_linenumber, p_partkey IS NOT NULL AS found, coalesce(p_name, '') AS p_name
-           FROM lineitem LEFT JOIN part ON p_partkey = l_partkey""",
+           FROM lineitem LEFT JOIN part ON p_partkey = CASE WHEN l_linenumber = 7 THEN -l_partkey ELSE l_partkey END""",
     ),
     "line_split": (
         line_split,

@@ -253,6 +253,14 @@ def test_search_end_to_end(spark):
     assert sorted(stored.collect()) == sorted(found.collect()) == sorted(cells.collect())
 
 
+def test_search_within_a_language_returns_metadata(spark):
+    rows = [(1, 3, "rent contract in writing", "en", "a.pdf"), (2, 0, "rent contract for a year", "vi", "b.pdf")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, page bigint, text string, lang string, source string")
+    asked = spark.createDataFrame([(1, "rent contract")], "query_id bigint, question string")
+    found = search_collection(index_chunks(docs), asked, keep=F.col("lang") == "en", metadata=("lang", "source")).collect()
+    assert [(r.item_id.doc_id, r.item_id.page, r.lang, r.source) for r in found] == [(1, 3, "en", "a.pdf")]
+
+
 def test_any_ids_give_the_same_documents(spark):
     """Small, large, negative and hashed ids; several pages of one document."""
     texts = [f"topic{i} page text number {i} " + "filler words here " * 90 for i in range(6)]

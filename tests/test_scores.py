@@ -82,11 +82,20 @@ def careers(spark):
     return rows, spark.createDataFrame(rows, SESSION).repartition(5)
 
 
-@pytest.mark.parametrize("max_group", [10**6, 20])
-def test_careers_follow_the_sequential_rule(spark, max_group):
+@pytest.fixture(params=["true", "false"])
+def ranges(request, spark):
+    """With small ranges joined to one, and with as many ranges as shuffle partitions."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, request.param)
+    yield
+    spark.conf.set(key, old)
+
+
+def test_careers_follow_the_sequential_rule(spark, ranges):
     rows, df = careers(spark)
-    badges = {(r.user_id, r.badge_id): r.earned_at for r in B.career_badges(df, max_group).collect()}
-    summary = {r.user_id: (r.longest, r.streaks) for r in B.streak_summary(B.win_streaks(df, max_group)).collect()}
+    badges = {(r.user_id, r.badge_id): r.earned_at for r in B.career_badges(df).collect()}
+    summary = {r.user_id: (r.longest, r.streaks) for r in B.streak_summary(B.win_streaks(df)).collect()}
     for user in (1, 2, 3):
         played = sorted((r for r in rows if r[0] == user), key=lambda r: (r[1], r[2]))
         want, run, runs = {"master": played[9][1]}, 0, []
@@ -104,19 +113,36 @@ def test_careers_follow_the_sequential_rule(spark, max_group):
         assert summary[user] == (max(runs), sum(r >= 3 for r in runs))
 
 
-@pytest.mark.parametrize("max_group", [10**6, 50, 7])
-def test_numbering_of_a_hot_group(spark, max_group):
+def test_numbering_of_a_hot_group(spark, ranges):
     rng = random.Random(4)
     rows = [("hot" if i % 3 else f"k{i % 40}", rng.randint(0, 90), i, rng.randint(-5, 5)) for i in range(900)]
     df = spark.createDataFrame(rows, "k string, a int, b int, v int").repartition(6)
-    got = {r.b: r.n for r in numbered(df, ["k"], ["a", "b"], max_group=max_group).collect()}
-    sums = {r.b: r.s for r in running_totals(df, ["k"], ["a", "b"], {"s": F.col("v")}, max_group).collect()}
+    got = {r.b: r.n for r in numbered(df, ["k"], ["a", "b"]).collect()}
+    sums = {r.b: r.s for r in running_totals(df, ["k"], ["a", "b"], {"s": F.col("v")}).collect()}
     for key in {r[0] for r in rows}:
         group = sorted((r for r in rows if r[0] == key), key=lambda r: r[1:3])
         assert [got[r[2]] for r in group] == list(range(1, len(group) + 1))
         assert [sums[r[2]] for r in group] == [sum(x[3] for x in group[: i + 1]) for i in range(len(group))]
 
 
+def test_a_single_group_with_equal_times_is_cut(spark, monkeypatch):
+    """One key, one time: the ranges are cut by what tells the rows apart."""
+    from casebook.operators import ordering
+
+    tables = []
+    written = ordering.written
+    monkeypatch.setattr(ordering, "written", lambda df, name: tables.append(written(df, name)) or tables[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame([(1, 0, i) for i in range(4000)], "k int, t int, id int").repartition(5)
+        got = {r.id: r.n for r in numbered(df, ["k"], ["t", "id"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {i: i + 1 for i in range(4000)}
+    parts = [r["count"] for r in tables[0].groupBy("_part").count().collect()]
+    assert len(parts) == 8 and max(parts) < 1500
+
+
 def test_first_k_is_cut_before_the_shuffle(spark):
     df = spark.createDataFrame([(1, i) for i in range(50)], "k int, v int").repartition(4)
     top = first_k(df, ["k"], [F.col("v").desc()], 3)
