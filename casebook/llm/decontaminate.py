@@ -69,25 +69,25 @@ class WindowSet:
         return maybe[known[at] == hashes[maybe]]
 
 
-def window_blocks(items: DataFrame, max_windows: int) -> list[list[tuple[str, str]]]:
+def window_blocks(items: DataFrame, max_windows: int) -> Iterator[list[tuple[str, str]]]:
     """Items in blocks of at most `max_windows` windows each (one item alone may have more).
 
-    Items come to the driver one partition at a time and only the blocks' texts
-    are kept; a text has no more windows than half its characters.
+    Items come to the driver one partition at a time, and one block is held at a time;
+    a text has no more windows than half its characters. No items give one empty block.
     """
-    blocks: list[list[tuple[str, str]]] = [[]]
+    block: list[tuple[str, str]] = []
     size = 0
     rows = items.where("text is not null and item_id is not null").select(
         F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")
     )
     for item_id, text in rows.toLocalIterator(prefetchPartitions=False):
         n = len(text) // 2 + 1
-        if blocks[-1] and size + n > 2 * max_windows:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item_id, text))
+        if block and size + n > 2 * max_windows:
+            yield block
+            block, size = [], 0
+        block.append((item_id, text))
         size += n
-    return blocks
+    yield block
 
 
 def _hits(known: WindowSet, found: Words) -> dict[int, set[tuple[int, int, str]]]:
@@ -123,12 +123,13 @@ def _scanned(
     what has been found so far, so that one block at a time is in memory.
     """
     blocks = window_blocks(items, max_windows)
+    block, following = next(blocks), next(blocks, None)
     so_far = next(n for k in range(len(docs.columns) + 1) if (n := f"found_{k}") not in docs.columns)
-    for k, block in enumerate(blocks):
+    if following is not None:
+        docs = docs.withColumn(so_far, F.array().cast(FOUND))
+    while block is not None:
         shared = docs.sparkSession.sparkContext.broadcast(WindowSet(block))
-        final = k == len(blocks) - 1
-        if len(blocks) > 1 and k == 0:
-            docs = docs.withColumn(so_far, F.array().cast(FOUND))
+        final = following is None
 
         def run(
             batches: Iterator[pa.RecordBatch], shared: Broadcast = shared, final: bool = final
@@ -152,6 +153,7 @@ def _scanned(
         docs = docs.mapInArrow(run, schema if final else docs.schema)
         if not final:
             docs = written(docs, "windows")
+        block, following = following, None if final else next(blocks, None)
     return docs
 
 
