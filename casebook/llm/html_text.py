@@ -199,9 +199,13 @@ class Page:
             i = parent[i]
         gone = [False] * n
         inside = [False] * n  # of the marked article
+        remark = [bool(w & COMMENT_WORDS) for w in self.words]
+        for i in range(1, n):
+            remark[i] = remark[i] or remark[parent[i]]
+        half = sum(s for s, r in zip(size, remark, strict=True) if not r) / 2
         for i in range(1, n):
             inside[i] = i == marked or inside[parent[i]]
-            gone[i] = gone[parent[i]] or (not keep[i] and self._other(i, inside[i], whole))
+            gone[i] = gone[parent[i]] or (not keep[i] and self._other(i, inside[i], marked < 0 and whole[i] > half))
         self._trim_headers(gone, inside)
         body = marked if marked > 0 else next((i for i in range(n) if tag[i] == "body"), 0)
         chars = [0 if g else s for g, s in zip(gone, size, strict=True)]
@@ -269,14 +273,20 @@ class Page:
             i = self.parent[i]
         return False
 
-    def _other(self, i: int, in_article: bool, whole: list[int]) -> bool:
-        """Whether the node is something else than article text."""
-        tag = self.tag[i]
+    def _other(self, i: int, in_article: bool, is_most: bool) -> bool:
+        """Whether the node is something else than article text.
+
+        `is_most`: the page has no marked article and this node holds most of its
+        text. Then a class like has-sidebar, or a form around everything, says little.
+        """
+        tag, words = self.tag[i], self.words[i]
         if tag == "header" and in_article:
             return False  # its headings stay
-        if tag == "form" and 2 * whole[i] > whole[0]:
-            return False  # the page itself is wrapped in it
-        return tag in OTHER_TAGS or (tag not in ("html", "body") and bool(self.words[i] & (INNER_WORDS if in_article else OTHER_WORDS)))
+        if tag in ("html", "body"):
+            return False
+        if is_most and not words & COMMENT_WORDS:
+            return tag in OTHER_TAGS and tag != "form"
+        return tag in OTHER_TAGS or bool(words & (INNER_WORDS if in_article else OTHER_WORDS))
 
     def _trim_headers(self, gone: list[bool], inside: list[bool]) -> None:
         """Of an article's own header only the headings stay."""

@@ -41,6 +41,12 @@ def test_article_with_furniture_inside():
     assert main_text(page) == f"T {PARAGRAPH.strip()} one two"
 
 
+def test_layout_class_around_everything():
+    page = f"""<body><div class="layout has-sidebar"><div class="text"><p>{PARAGRAPH * 2}<p>{PARAGRAPH}</div><div id="sidebar">s</div></div>
+      <div id="comments">{PARAGRAPH * 9}</div>"""
+    assert main_text(page) == f"{(PARAGRAPH * 2).strip()} {PARAGRAPH.strip()}"
+
+
 def test_long_and_deep_pages():
     assert main_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
     assert len(main_text("<p>" + "word " * 400_000 + "</p>")) == 1_999_999
