@@ -37,9 +37,23 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Intermediate tables that this process has made.
+_MADE: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path for a written intermediate table, readable by every executor."""
-    return f"{shared_dir(spark)}/casebook/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/casebook/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def remove_intermediate(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this process, once no result that reads them is needed; how many there were."""
+    n = 0
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -108,3 +108,15 @@ def test_scenarios(spark, tmp_path):
     path.write_text(json.dumps([{"id": 1, "name": "n", "skills": ["a", "b"], "facts": ["f"], "difficulty": 2}]))
     row = catalogues.read_scenarios(spark, str(path)).select(F.size("skills").alias("n"), "duration").first()
     assert row.n == 2 and row.duration is None
+
+
+def test_intermediate_tables_are_removed(spark, monkeypatch):
+    from casebook import session
+
+    monkeypatch.setattr(session, "_MADE", [])
+    kept = session.written(spark.range(3), "kept")
+    assert kept.count() == 3 and len(session._MADE) == 1
+    path = session._MADE[0]
+    assert session.remove_intermediate(spark) == 1 and session.remove_intermediate(spark) == 0
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
