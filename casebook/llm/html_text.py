@@ -10,8 +10,10 @@ with C characters, LC of them in links, T tags and LT of them links,
 (zero divisors count as one; e - 1 keeps the base from 1), so long text in few tags and few links is dense. The
 node with the largest sum of its children's densities is the core of the article.
 The least density on the way from the body down to it is the threshold: what hangs
-off that way belongs to the article if it is at least as dense. An `article` or
-`main` element is taken as the body where a page has one, and is kept whole.
+off that way belongs to the article if it is at least as dense. `article` and
+`main` elements only say where the text around the core ends: a core within one is
+widened to it, and a core (or main) of which articles hold most is narrowed to all of
+them (see `_parts`). What is chosen so is kept whole but for its named furniture.
 """
 
 from __future__ import annotations
@@ -33,6 +35,15 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math".split())
+#: Elements of svg and math whose content is HTML again.
+INTEGRATION = frozenset("foreignobject annotation-xml desc title mi mo mn ms mtext".split())
+#: A start tag of these ends an open svg or math element.
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing main article section "
+    "menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var nav aside header footer".split()
+)
+#: Elements of svg and math that are not shown.
+UNSEEN = frozenset("desc metadata defs annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table "
@@ -76,6 +87,7 @@ class Page:
 
     def __init__(self, markup: str):
         self.tag, self.parent, self.words = ["#root"], [-1], [frozenset()]
+        self.foreign = [False]  # svg, math and what they hold
         self.pieces: list[tuple[int, str]] = []
         self._read(markup)
 
@@ -88,8 +100,12 @@ class Page:
         self.tag.append(tag)
         self.parent.append(parent)
         self.words.append(words)
+        self.foreign.append(tag in ("svg", "math") or self._in_foreign(parent))
         return len(self.tag) - 1
 
+    def _in_foreign(self, node: int) -> bool:
+        return self.foreign[node] and self.tag[node] not in INTEGRATION
+
     def _text(self, node: int, text: str) -> None:
         if text:
             self.pieces.append((node, html.unescape(text) if "&" in text else text))
@@ -140,6 +156,9 @@ class Page:
             return
         if tag == "body":
             self._up_to(stack, "head")
+        if tag in BREAKOUT:
+            while self._in_foreign(stack[-1]):
+                stack.pop()
         if tag in ENDS_P:
             for k in range(len(stack) - 1, 0, -1):
                 if self.tag[stack[k]] == "p":
@@ -156,9 +175,10 @@ class Page:
                 if self.tag[stack[k]] in ended:
                     del stack[k:]
         node = self._add(tag, stack[-1], rest)
-        if tag in BLOCK:
+        if tag in BLOCK or (tag == "text" and self.foreign[node]):
             self._break(node)
-        if tag not in VOID:
+        # Only in svg and math a slash closes an element. Raw text is taken off the stack by the caller.
+        if tag not in VOID and not (self.foreign[node] and rest.endswith("/") and tag not in RAW):
             stack.append(node)
 
     def _close(self, stack: list[int], tag: str) -> None:
@@ -166,7 +186,7 @@ class Page:
             self._break(stack[-1])
         for k in range(len(stack) - 1, 0, -1):
             if self.tag[stack[k]] == tag:
-                if tag in BLOCK:
+                if tag in BLOCK or (tag == "text" and self.foreign[stack[k]]):
                     self._break(stack[k])
                 del stack[k:]
                 return
@@ -191,23 +211,22 @@ class Page:
         whole = size[:]
         for i in range(n - 1, 0, -1):
             whole[parent[i]] += whole[i]
-        marked = self._marked_article(whole)
-        keep = [False] * n  # ancestors of the marked article are no furniture
-        i = marked
-        while i >= 0:
-            keep[i] = True
-            i = parent[i]
+        mark, inside, best = self._marks(whole)
+        keep = [False] * n  # the largest marks and what holds them are no furniture
+        for i in best:
+            while i >= 0 and not keep[i]:
+                keep[i] = True
+                i = parent[i]
         gone = [False] * n
-        inside = [False] * n  # of the marked article
         remark = [bool(w & COMMENT_WORDS) for w in self.words]
         for i in range(1, n):
             remark[i] = remark[i] or remark[parent[i]]
         half = sum(s for s, r in zip(size, remark, strict=True) if not r) / 2
+        unmarked = not best or whole[best[0]] < half / 5
         for i in range(1, n):
-            inside[i] = i == marked or inside[parent[i]]
-            gone[i] = gone[parent[i]] or (not keep[i] and self._other(i, inside[i], marked < 0 and whole[i] > half))
+            gone[i] = gone[parent[i]] or (not keep[i] and self._other(i, inside[i], unmarked and whole[i] > half))
         self._trim_headers(gone, inside)
-        body = marked if marked > 0 else next((i for i in range(n) if tag[i] == "body"), 0)
+        body = next((i for i in range(n) if tag[i] == "body"), 0)
         chars = [0 if g else s for g, s in zip(gone, size, strict=True)]
         tags, links, link_chars, in_link = [0] * n, [0] * n, [0] * n, [False] * n
         for i in range(1, n):
@@ -219,67 +238,114 @@ class Page:
                 p = parent[i]
                 chars[p] += chars[i]
                 link_chars[p] += link_chars[i]
-                tags[p] += tags[i] + 1
+                tags[p] += tags[i] + (not self.foreign[i])
                 links[p] += links[i] + (tag[i] == "a")
         if not chars[body]:
             return ""
         share = link_chars[body] / chars[body]
-        density = [0.0 if g else composite(*x, share) for g, *x in zip(gone, chars, link_chars, tags, links, strict=True)]
+        outside = [g or f for g, f in zip(gone, self.foreign, strict=True)]
+        density = [0.0 if o else composite(*x, share) for o, *x in zip(outside, chars, link_chars, tags, links, strict=True)]
         total = [0.0] * n
         for i in range(1, n):
             total[parent[i]] += density[i]
         below = [False] * n
         for i in range(n):
             below[i] = i == body or (i > 0 and below[parent[i]])
-        core = max((i for i in range(n) if below[i] and not gone[i]), key=lambda i: (total[i], -i))
-        way, i = [core], core
+        core = max((i for i in range(n) if below[i] and not outside[i]), key=lambda i: (total[i], -i))
+        parts = self._parts(core, [m and b and not g for m, b, g in zip(mark, below, gone, strict=True)], chars)
+        i = max(parts, key=lambda i: (chars[i], -i))
+        threshold = density[i]
         while i != body:
             i = parent[i]
-            way.append(i)
-        threshold = min(density[i] for i in way)
+            threshold = min(threshold, density[i])
+        on_way, whole_parts = set(), set(parts)
+        for i in parts:
+            while i != body and parent[i] not in on_way:
+                i = parent[i]
+                on_way.add(i)
         taken = [False] * n
-        on_way = set(way)
         for i in range(n):
             if gone[i] or not below[i]:
                 continue
-            if i in on_way:
+            if i in on_way or i in whole_parts:
                 taken[i] = True
-            elif parent[i] == core or parent[i] not in on_way:
-                taken[i] = taken[parent[i]]
+            elif parent[i] in on_way:
+                taken[i] = density[i] >= threshold
             else:
-                taken[i] = marked > 0 or density[i] >= threshold
-            if taken[i] and i not in on_way and self._link_list(i, chars[i], link_chars[i], links[i]):
+                taken[i] = taken[parent[i]]
+            if taken[i] and i not in on_way and i not in whole_parts and self._link_list(i, chars[i], link_chars[i], links[i]):
                 taken[i] = False
         out = "".join([text for node, text in self.pieces if taken[node]])
         return " ".join(out.split())
 
-    def _marked_article(self, whole: list[int]) -> int:
-        """The largest article or main element that is not a comment and not in page furniture; -1 if none."""
-        best, outer = -1, [False] * len(self.tag)
-        for i in range(1, len(self.tag)):
+    def _marks(self, whole: list[int]) -> tuple[list[bool], list[bool], list[int]]:
+        """Article and main elements that are not comments and not in page furniture, and what lies in them.
+
+        The last list has the largest of them and the largest article within it.
+        """
+        n = len(self.tag)
+        mark, inside, outer = [False] * n, [False] * n, [False] * n
+        for i in range(1, n):
             p = self.parent[i]
             outer[i] = outer[p] or self.tag[i] in ("nav", "aside", "footer", "head") or bool(self.words[i] & COMMENT_WORDS)
-            if outer[i] or self.tag[i] not in ("article", "main") or not whole[i]:
-                continue
-            # An article within a main element says more exactly where the text is.
-            if best < 0 or (whole[i] > whole[best]) or (self.tag[best] == "main" and self._within(i, best)):
-                best = i
-        return best
-
-    def _within(self, i: int, outer: int) -> bool:
-        while i >= outer:
-            if i == outer:
-                return True
-            i = self.parent[i]
-        return False
+            mark[i] = self.tag[i] in ("article", "main") and not outer[i] and whole[i] > 0
+            inside[i] = mark[i] or inside[p]
+        best = max((i for i in range(n) if mark[i]), key=lambda i: (whole[i], -i), default=-1)
+        if best < 0:
+            return mark, inside, []
+        within = [False] * n
+        for i in range(best + 1, n):
+            within[i] = self.parent[i] == best or within[self.parent[i]]
+        inner = max((i for i in range(n) if within[i] and mark[i] and self.tag[i] == "article"), key=lambda i: (whole[i], -i), default=best)
+        return mark, inside, [best, inner]
+
+    def _parts(self, core: int, mark: list[bool], chars: list[int]) -> list[int]:
+        """The subtrees that the core stands for.
+
+        The outermost article or main around the core, else the core itself; but where
+        articles (or mains) below that hold most of its text, and the core if it lies
+        below, all of those. An article's sibling articles are parts like it.
+        """
+        parent, n = self.parent, len(self.tag)
+        top, i = core, core
+        while i >= 0:
+            if mark[i]:
+                top = i
+            i = parent[i]
+        outermost: list[list[int]] = [[] for _ in range(n)] if top != core or any(mark[core + 1 :]) else []
+        holder = [0] * n  # the nearest article, main or `top` around a node
+        if outermost:
+            for i in range(1, n):
+                p = parent[i]
+                holder[i] = p if mark[p] or p == top else holder[p]
+                if mark[i]:
+                    outermost[holder[i]].append(i)
+        around = set()
+        i = core
+        while i >= 0:
+            around.add(i)
+            i = parent[i]
+        parts, left = [], [top]
+        while left:
+            i = left.pop()
+            inner = outermost[i] if outermost and self.tag[i] != "article" else []
+            lost = core != i and i in around and not any(x in around for x in inner)
+            if not inner or lost or 2 * sum(chars[x] for x in inner) <= chars[i]:
+                parts.append(i)
+            else:
+                left += inner
+        beside = {parent[i] for i in parts if self.tag[i] == "article"}
+        return sorted({*parts, *(i for i in range(1, n) if mark[i] and self.tag[i] == "article" and parent[i] in beside)})
 
     def _other(self, i: int, in_article: bool, is_most: bool) -> bool:
         """Whether the node is something else than article text.
 
-        `is_most`: the page has no marked article and this node holds most of its
+        `is_most`: the page has no marked article, or only a small one, and this node holds most of its
         text. Then a class like has-sidebar, or a form around everything, says little.
         """
         tag, words = self.tag[i], self.words[i]
+        if self.foreign[i] and tag in UNSEEN:
+            return True
         if tag == "header" and in_article:
             return False  # its headings stay
         if tag in ("html", "body"):

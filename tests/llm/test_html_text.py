@@ -80,3 +80,21 @@ def test_awkward_rows(spark):
         str(r) for r in main_texts(spark.createDataFrame([], "page_id long, url string, html string")).collect()
     ) + sorted(map(str, got))
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in got) == [("1", "", 0), ("1", "", 0), ("2", "", 0), ("None", "x", 1)]
+
+
+def test_a_tag_name_does_not_decide():
+    text = PARAGRAPH.strip()
+    long = f"<p>{PARAGRAPH * 4}</p><p>{PARAGRAPH * 3}</p>"
+    want = f"{(PARAGRAPH * 4).strip()} {(PARAGRAPH * 3).strip()}"
+    # A small article neither replaces the main element around it nor text outside it.
+    assert main_text(f"<body><main>{long}<article>teaser</article></main></body>").startswith(want)
+    assert main_text(f"<body><div>{long}</div><article><a href=1>teaser</a></article></body>") == want
+    assert main_text(f"<body><div class=has-sidebar>{long}</div><article><a href=1>teaser</a></article></body>") == want
+    # All articles that share the text are kept, with a main element around them or not.
+    parts = "".join(f"<article><h2>{i}</h2><p>{PARAGRAPH * k}</p></article>" for i, k in enumerate((1, 5, 2)))
+    all_parts = " ".join(f"{i} {(PARAGRAPH * k).strip()}" for i, k in enumerate((1, 5, 2)))
+    for page in (f"<main>{parts}</main>", f"<div>{parts}</div>", f"<main><section>{parts}</section><div><a href=1>x</a></div></main>"):
+        assert main_text(f"<body>{page}<div><a href=1>a</a><a href=2>b</a></div></body>") == all_parts
+    # Dense text beside an article is taken by its density, thin text is not.
+    beside = f"<body><article><p>{PARAGRAPH * 4}</p><p>{PARAGRAPH * 4}</p></article><div><p>{PARAGRAPH * 6}</p></div><div><i>thin</i></div></body>"
+    assert main_text(beside) == " ".join([text] * 14)
