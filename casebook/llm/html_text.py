@@ -34,7 +34,7 @@ NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math".split())
+RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
 #: Elements of svg and math whose content is HTML again.
 INTEGRATION = frozenset("foreignobject annotation-xml desc title mi mo mn ms mtext".split())
 #: A start tag of these ends an open svg or math element.
@@ -65,7 +65,7 @@ SIBLINGS = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
 }
 OTHER_TAGS = frozenset(
-    "head nav header footer aside form script style noscript template iframe button select textarea input svg math canvas "
+    "head nav header footer aside form script style noscript template iframe button select textarea input canvas "
     "object embed audio video dialog menu datalist title".split()
 )
 #: Words in class, id or role that mark something else than the article.
@@ -273,8 +273,6 @@ class Page:
                 taken[i] = density[i] >= threshold
             else:
                 taken[i] = taken[parent[i]]
-            if taken[i] and i not in on_way and i not in whole_parts and self._link_list(i, chars[i], link_chars[i], links[i]):
-                taken[i] = False
         out = "".join([text for node, text in self.pieces if taken[node]])
         return " ".join(out.split())
 
@@ -370,10 +368,6 @@ class Page:
         for i in range(1, n):
             gone[i] = gone[i] or gone[self.parent[i]] or bool(header[i] and not holds[i] and not in_heading[i])
 
-    def _link_list(self, i: int, chars: int, link_chars: int, links: int) -> bool:
-        """A list or box that is hardly more than links is a menu."""
-        return self.tag[i] in ("ul", "ol", "dl", "div", "section", "table") and links >= 3 and link_chars >= 0.8 * chars
-
 
 def composite(chars: int, link_chars: int, tags: int, links: int, share: float) -> float:
     if not chars:

@@ -98,3 +98,17 @@ def test_a_tag_name_does_not_decide():
     # Dense text beside an article is taken by its density, thin text is not.
     beside = f"<body><article><p>{PARAGRAPH * 4}</p><p>{PARAGRAPH * 4}</p></article><div><p>{PARAGRAPH * 6}</p></div><div><i>thin</i></div></body>"
     assert main_text(beside) == " ".join([text] * 14)
+
+
+def test_link_lists_in_the_article_stay():
+    links = "".join(f"<li><a href={i}>source {i}</a></li>" for i in range(4))
+    table = "<table>" + "".join(f"<tr><td><a href={i}>chapter {i}</a></td></tr>" for i in range(4)) + "</table>"
+    page = f"<body><article><p>{PARAGRAPH * 3}</p><ul>{links}</ul>{table}<ul class=pager>{links}</ul></article></body>"
+    assert main_text(page) == f"{(PARAGRAPH * 3).strip()} source 0 source 1 source 2 source 3 chapter 0 chapter 1 chapter 2 chapter 3"
+
+
+def test_math_and_svg_labels():
+    page = f"""<article><p>{PARAGRAPH}<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x = 2</annotation></semantics></math> holds.</p>
+      <svg><title>t</title><desc>d</desc><defs><path/></defs><path d="M0"/><text>left</text><g><text>right <tspan>side</tspan></text></g></svg><p>after</p></article>"""
+    assert main_text(page) == f"{PARAGRAPH}x=2 holds. left right side after"
+    assert main_text("<article><svg><path d=1><p>never closed</article>") == "never closed"
