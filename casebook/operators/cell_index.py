@@ -6,7 +6,8 @@ to a small table that describes the cells. A cell of average size then grows lik
 square root of the collection too.
 
 ``probe`` is approximate: each query looks into its ``probes`` nearest cells, and only
-there; distances are exact. ``search`` is exact: it starts from the same cells, which
+there; distances are exact. How many cells that takes depends on the data and grows
+with their number, so unless it is given ``enough_probes`` measures it. ``search`` is exact: it starts from the same cells, which
 bounds the distance of the k-th neighbour, and then looks into those other cells that
 can hold something nearer to this query. Cells that no query looks into are not read.
 """
@@ -37,7 +38,10 @@ from casebook.operators.nearest import (
 from casebook.operators.ordering import spread
 from casebook.session import fresh_path, written
 
+#: The fixed number of cells of the queries `ann_probed` and `ann_recall`, as their SQL has it.
 PROBES = 8
+#: Share of the exact hits that `enough_probes` reaches, and the most queries it measures it on.
+RECALL, MEASURED_QUERIES = 0.9, 256
 #: Pivots at most; their matrix goes to every task, and each is a folder. Beyond
 #: 16 million vectors cells grow in proportion to the collection.
 MAX_PIVOTS = 4096
@@ -131,6 +135,50 @@ def _routed(near: np.ndarray, number: np.ndarray) -> dict[int, np.ndarray]:
     return {int(number[c]): np.flatnonzero(near[:, c]) for c in np.flatnonzero(near.any(axis=0))}
 
 
+def _by_nearness(q: np.ndarray, pivot: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each query's distances to the pivots, and the places of the cells from its nearest one on."""
+    d = np.sqrt(squared_distances(q, pivot))
+    return d, np.lexsort((np.broadcast_to(number, d.shape), np.round(d * d, DIGITS)), axis=1)
+
+
+def _known_cells(spark, folder: str, dim: int) -> tuple[list, np.ndarray, np.ndarray]:
+    """The filled cells with their numbers and pivots; at most MAX_PIVOTS rows."""
+    cells = spark.read.parquet(_cells(folder)).orderBy("cell").collect()
+    return cells, np.array([c["cell"] for c in cells], int), np.array([c["pivot"] for c in cells]).reshape(len(cells), dim)
+
+
+def enough_probes(queries: DataFrame, folder: str, dim: int, k: int = FETCH_K, metric: str = "l2", recall: float = RECALL) -> int:
+    """The fewest nearest cells in which queries find the share ``recall`` of their exact hits.
+
+    Measured on the ``MEASURED_QUERIES`` queries with the smallest md5 of 'query ' and their id, against
+    ``search``. Their mean share less two standard errors has to reach ``recall``, so
+    that it holds for the other queries too; all cells are enough for any share.
+    """
+    spark = queries.sparkSession
+    cells, number, pivot = _known_cells(spark, folder, dim)
+    # Not by the md5 of the id alone: that picks the pivots, which are nearer to their own cells than other queries.
+    text = F.concat(F.lit("query "), _text_of(F.col("query_id"), dict(queries.dtypes)["query_id"]))
+    digest = F.md5(text.cast("binary"))
+    asked = written(queries.select("query_id", "vec").orderBy(digest, "query_id").limit(MEASURED_QUERIES), "asked")
+    items = spark.read.parquet(_items(folder)).select("item_id", "cell")
+    # At most MEASURED_QUERIES x k rows.
+    hits = search(asked, folder, dim, k, metric).join(items, "item_id").select("query_id", "cell").collect() if cells else []
+    if not hits:
+        return max(1, len(cells))
+    ids, q = bounded_rows(asked, dim, metric == "cosine")
+    place = np.argsort(_by_nearness(q, pivot, number)[1], axis=1)
+    row = {str(i): n for n, i in enumerate(spark_values(ids))}
+    column = {c: n for n, c in enumerate(number.tolist())}
+    query = np.array([row[str(h["query_id"])] for h in hits])
+    cell = np.array([column[h["cell"]] for h in hits])
+    found = np.zeros(place.shape)
+    np.add.at(found, (query, place[query, cell]), 1.0)
+    found = found[found.any(axis=1)]
+    share = found.cumsum(axis=1) / found.sum(axis=1, keepdims=True)
+    low = np.round(share.mean(axis=0) - 2 * share.std(axis=0) / math.sqrt(len(share)), 9)
+    return int(np.argmax(low >= recall)) + 1
+
+
 def _looked_up(
     queries: DataFrame, folder: str, dim: int, k: int, metric: str, probes: int, max_numbers: int, exact: bool
 ) -> DataFrame:
@@ -138,10 +186,7 @@ def _looked_up(
     cosine = metric == "cosine"
     items = spark.read.parquet(_items(folder)).select("cell", "item_id", "vec")
     schema = hit_schema(queries, items)
-    # At most MAX_PIVOTS rows.
-    cells = spark.read.parquet(_cells(folder)).orderBy("cell").collect()
-    number = np.array([c["cell"] for c in cells], int)
-    pivot = np.array([c["pivot"] for c in cells]).reshape(len(cells), dim)
+    cells, number, pivot = _known_cells(spark, folder, dim)
     low, high = (np.array([c[name] for c in cells]) for name in ("low", "high"))
 
     def read(ids: pa.Array, q: np.ndarray, near: np.ndarray) -> DataFrame:
@@ -150,8 +195,7 @@ def _looked_up(
         return ranked(scan(part, ids, q, dim, k, cosine, schema, route), k)
 
     def one(ids: pa.Array, q: np.ndarray) -> DataFrame:
-        d = np.sqrt(squared_distances(q, pivot))
-        order = np.lexsort((np.broadcast_to(number, d.shape), np.round(d * d, DIGITS)), axis=1)
+        d, order = _by_nearness(q, pivot, number)
         near = np.zeros(d.shape, bool)
         np.put_along_axis(near, order[:, :probes], True, axis=1)
         found = read(ids, q, near)
@@ -200,8 +244,9 @@ def probe(
     dim: int,
     k: int = FETCH_K,
     metric: str = "l2",
-    probes: int = PROBES,
+    probes: int | None = None,
     max_numbers: int = MAX_BROADCAST_NUMBERS,
 ) -> DataFrame:
-    """The ``k`` nearest among the items of each query's ``probes`` nearest cells."""
+    """The ``k`` nearest among the items of each query's ``probes`` nearest cells, see ``enough_probes``."""
+    probes = probes or enough_probes(queries, folder, dim, k, metric)
     return _looked_up(queries, folder, dim, k, metric, probes, max_numbers, False)

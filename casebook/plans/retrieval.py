@@ -51,7 +51,13 @@ def knn_indexed(spark, folder):
 
 
 def ann_probed(spark, folder):
-    """Approximate: each query looks into its nearest cells only."""
+    """Approximate: each query looks into its 8 nearest cells only."""
+    queries, target = _stored_cells(spark, folder)
+    return cell_index.probe(queries, target, inputs.VECTOR_DIM, probes=cell_index.PROBES)
+
+
+def ann_calibrated(spark, folder):
+    """Approximate: each query looks into as many nearest cells as a recall of 0.9 takes."""
     queries, target = _stored_cells(spark, folder)
     return cell_index.probe(queries, target, inputs.VECTOR_DIM)
 
@@ -152,6 +158,7 @@ QUERIES = {
     "knn_cells": (knn_cells, _TOPK),
     "knn_indexed": (knn_indexed, _TOPK),
     "ann_probed": (ann_probed, _PROBED),
+    "ann_calibrated": (ann_calibrated, f"""WITH {S.DENSE_HITS}, {S.CALIBRATED} SELECT query_id, item_id, rank, distance FROM calibrated"""),
     "ann_recall": (
         ann_recall,
         f"""WITH {S.DENSE_HITS}, {S.PROBED}

@@ -139,6 +139,22 @@ def test_probing_follows_its_rule(spark, data):
     assert ranked(cell_index.probe(frame(spark, "query_id", q), folder, DIM, 10, probes=99)) == brute(q, m, 10)
 
 
+def test_probes_are_chosen_by_measured_recall(spark):
+    rng = np.random.default_rng(4)
+    m = rng.uniform(size=(2500, 32))
+    items, folder = frame(spark, "item_id", m), fresh_path(spark, "index")
+    cell_index.build(items, folder, 32)
+    queries = frame(spark, "query_id", rng.uniform(size=(400, 32)))
+    exact = {(i, x) for i, hits in ranked(nearest(queries, items, 32, 10)).items() for x in hits}
+
+    def recall(**given):
+        return len(exact & {(i, x) for i, hits in ranked(cell_index.probe(queries, folder, 32, 10, **given)).items() for x in hits}) / len(exact)
+
+    assert recall() >= 0.9 > recall(probes=cell_index.PROBES)
+    assert cell_index.enough_probes(queries, folder, 32, 10) < cell_index.pivot_count(2500)
+    assert cell_index.enough_probes(queries.limit(0), folder, 32) == 50
+
+
 def test_pivots_follow_the_root_of_the_collection():
     assert [cell_index.pivot_count(n) for n in (0, 1, 400, 10_000, 10**12)] == [1, 1, 20, 100, cell_index.MAX_PIVOTS]
 
