@@ -40,7 +40,10 @@ BEAM, ENTRIES, QUERY_BLOCK = 320, 48, 4096
 MAX_SEARCH_ROUNDS = 60
 SEED = 5
 
-EDGE = "node long, other long, d float, fresh boolean"
+#: Squares below this share of the rows' own lose digits in the product form.
+NOISE, PAIRS_AT_ONCE = 1e-6, 4096
+
+EDGE = "node long, other long, d double, fresh boolean"
 
 
 def _parsed(table: DataFrame) -> tuple[DataFrame, str]:
@@ -107,29 +110,65 @@ def _merged(edges: DataFrame) -> DataFrame:
     return edges.repartition("node").sortWithinPartitions("node").mapInArrow(run, EDGE)
 
 
-def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    x, y = x.astype(np.float32), y.astype(np.float32)
-    square = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None] - 2 * (x @ y.T)
-    return np.sqrt(np.maximum(square, 0))
+def _distances(x: np.ndarray) -> np.ndarray:
+    """Distances between the rows, from the original numbers in double precision.
+
+    The product form is fast, but where a distance is small against the rows' lengths it
+    is rounding noise; such pairs are measured again from their differences.
+    """
+    x, power = x.astype(np.float64), 0
+    for shifted in (False, True):  # powers of two scale without loss, and an offset that all rows share goes
+        x = x - x[0] if shifted else x
+        step = int(np.frexp(np.abs(x).max(initial=0))[1]) + 1
+        x, power = np.ldexp(x, -step), power + step
+    norm = (x * x).sum(axis=1)
+    square = norm[:, None] + norm[None] - 2 * (x @ x.T)
+    near_a, near_b = np.nonzero(square <= NOISE * (norm[:, None] + norm[None]))
+    for k in range(0, len(near_a), PAIRS_AT_ONCE):
+        a, b = near_a[k : k + PAIRS_AT_ONCE], near_b[k : k + PAIRS_AT_ONCE]
+        diff = x[a] - x[b]
+        square[a, b] = (diff * diff).sum(axis=1)
+    return np.ldexp(np.sqrt(np.maximum(square, 0)), power)
+
+
+def _spread(nodes: DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Middle and width of each component over all nodes, so that the planes cut where the vectors are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = high = None
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column("vec"), kind).astype(np.float64)
+                low = x.min(axis=0) if low is None else np.minimum(low, x.min(axis=0))
+                high = x.max(axis=0) if high is None else np.maximum(high, x.max(axis=0))
+        if low is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(low)), pa.int32()), pa.array(low), pa.array(high)], names=["i", "low", "high"])
+
+    parts = nodes.select("vec").mapInArrow(run, "i int, low double, high double")
+    # One row for each component.
+    rows = parts.groupBy("i").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("i").collect()
+    low, high = np.array([r.low for r in rows]), np.array([r.high for r in rows])
+    width = np.ldexp(np.ones(len(low)), np.frexp((high / 2 - low / 2).max(initial=0))[1])
+    return low / 2 + high / 2, width
 
 
 def _first_graph(nodes: DataFrame, kind: str, n: int) -> DataFrame:
     """Neighbours within leaves of random hyperplane trees; a large leaf is split by hash."""
     depth = max(0, math.ceil(math.log2(max(n, 1) / LEAF)))
+    middle, width = _spread(nodes, kind)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column("vec"), kind).astype(np.float64)
+            x = (_matrix(batch.column("vec"), kind) - middle) / width
             rng = np.random.default_rng(SEED)
             planes = rng.normal(size=(x.shape[1], TREES * depth))
             sides = (x @ planes > 0).reshape(len(x), TREES, depth)
             codes = (sides * (1 << np.arange(depth, dtype=np.int64))).sum(axis=2)
-            small = np.array([v.astype("<f2").tobytes() for v in x], object)
             for t in range(TREES):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("node"), pa.array(np.full(len(x), t, np.int32)), pa.array(codes[:, t]), pa.array(small, pa.binary())],
+                    [batch.column("node"), pa.array(np.full(len(x), t, np.int32)), pa.array(codes[:, t]), batch.column("vec")],
                     names=["node", "tree", "code", "vec"],
                 )
 
@@ -139,18 +178,17 @@ def _first_graph(nodes: DataFrame, kind: str, n: int) -> DataFrame:
 
     def within(table: pa.Table) -> pa.Table:
         ids = table.column("node").to_numpy()
-        x = _matrix(table.column("vec").combine_chunks(), "<f2")
-        d = _distances(x, x)
+        d = _distances(_matrix(table.column("vec").combine_chunks(), kind))
         np.fill_diagonal(d, np.inf)
         k = min(NEIGHBOURS // 2, len(ids) - 1)
         if k <= 0:
-            return pa.table({c: pa.array([], t) for c, t in (("node", pa.int64()), ("other", pa.int64()), ("d", pa.float32()), ("fresh", pa.bool_()))})
+            return pa.table({c: pa.array([], t) for c, t in (("node", pa.int64()), ("other", pa.int64()), ("d", pa.float64()), ("fresh", pa.bool_()))})
         near = np.argpartition(d, k - 1, axis=1)[:, :k]
         return pa.table(
             {
                 "node": pa.array(np.repeat(ids, k)),
                 "other": pa.array(ids[near].ravel()),
-                "d": pa.array(np.take_along_axis(d, near, axis=1).ravel().astype(np.float32)),
+                "d": pa.array(np.take_along_axis(d, near, axis=1).ravel()),
                 "fresh": pa.array(np.ones(len(ids) * k, bool)),
             }
         )
@@ -173,13 +211,13 @@ def _meeting(graph: DataFrame, nodes: DataFrame, kind: str, turn: int) -> tuple[
     back = _ranked(back, "node", F.xxhash64("other", "node", F.lit(turn)), F.col("other"), most=SAMPLE)
     members = met.union(back).withColumn("fresh", F.lit(True)).union(old.select("node", "other", F.lit(False).alias("fresh")))
     reach = graph.groupBy(F.col("node").alias("other")).agg(
-        F.when(F.count("*") >= NEIGHBOURS, F.max("d")).otherwise(F.lit(float("inf"))).cast("float").alias("reach")
+        F.when(F.count("*") >= NEIGHBOURS, F.max("d")).otherwise(F.lit(float("inf"))).alias("reach")
     )
-    points = nodes.select(F.col("node").alias("other"), "small").join(reach, "other", "left")
+    points = nodes.select(F.col("node").alias("other"), "vec").join(reach, "other", "left")
     groups = (
         members.join(points, "other")
         .groupBy("node")
-        .agg(F.collect_list(F.struct("other", "fresh", F.coalesce("reach", F.lit(float("inf"))).cast("float").alias("reach"), "small")).alias("m"))
+        .agg(F.collect_list(F.struct("other", "fresh", F.coalesce("reach", F.lit(float("inf"))).alias("reach"), "vec")).alias("m"))
     )
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,8 +228,7 @@ def _meeting(graph: DataFrame, nodes: DataFrame, kind: str, turn: int) -> tuple[
                 group = column[g].values
                 ids = group.field("other").to_numpy()
                 fresh = group.field("fresh").to_numpy(zero_copy_only=False)
-                x = _matrix(group.field("small"), "<f2")
-                d = _distances(x, x)
+                d = _distances(_matrix(group.field("vec"), kind))
                 allowed = (fresh[:, None] | fresh[None]) & (ids[:, None] != ids[None]) & (d < group.field("reach").to_numpy()[:, None])
                 d = np.where(allowed, d, np.inf)
                 k = min(PROPOSALS, len(ids))
@@ -206,7 +243,7 @@ def _meeting(graph: DataFrame, nodes: DataFrame, kind: str, turn: int) -> tuple[
                 [
                     pa.array(node.astype(np.int64)),
                     pa.array(other.astype(np.int64)),
-                    pa.array(d.astype(np.float32)),
+                    pa.array(d.astype(np.float64)),
                     pa.array(np.ones(len(node), bool)),
                 ],
                 names=["node", "other", "d", "fresh"],
@@ -225,16 +262,9 @@ def neighbour_graph(nodes: DataFrame, kind: str, n: int) -> DataFrame:
     `nodes` has (node, vec binary of numbers of type `kind`).
     """
 
-    def halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _matrix(batch.column("vec"), kind)
-            small = [v.astype("<f2").tobytes() for v in x]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(small, pa.binary())], names=["node", "small"])
-
-    halves = written(nodes.select("node", "vec").mapInArrow(halved, "node long, small binary"), "halves")
     graph = written(_first_graph(nodes, kind, n), "graph")
     for turn in range(ROUNDS):
-        pairs, settled = _meeting(graph, halves, kind, turn)
+        pairs, settled = _meeting(graph, nodes, kind, turn)
         graph = written(_merged(settled.union(pairs)), "graph")
         if graph.where("fresh").count() <= SETTLED * n * NEIGHBOURS:
             break

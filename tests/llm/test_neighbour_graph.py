@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from casebook.llm.neighbour_graph import nearest
+from casebook.llm.neighbour_graph import NEIGHBOURS, nearest, neighbour_graph
 
 SCHEMA = "vec_id long, embedding array<float>, score int, node string"
 
@@ -67,3 +67,23 @@ def test_awkward_rows(spark):
     assert got[0][0][1] == 1.0 and got[0][1][1] == pytest.approx(2**0.5, abs=1e-15)
     assert nearest(frame(spark, []), F.lit(True)).count() == 0
     assert nearest(frame(spark, bad[:3]), F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("case", ["large", "offset", "tiny", "near copies"])
+def test_recall_at_any_scale(spark, case):
+    rng = np.random.default_rng(7)
+    n, x = 1200, rng.normal(size=(1200, 8))
+    if case == "near copies":
+        x = rng.normal(size=8) + 1e-5 * x
+    x = {"large": 1e5 * x, "offset": 1000 + 0.1 * x, "tiny": 1e-12 * x}.get(case, x).astype(np.float32)
+    kept = rng.permutation(n)[:60].tolist()
+    nodes = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "node long, vec binary")
+    graph = {r.node: set(r.others) for r in neighbour_graph(nodes, "<f4", n).collect()}
+    x = x.astype(float)
+    found = 0
+    for i in kept:
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        # Of equally far ones any counts.
+        found += min(NEIGHBOURS, sum(d[j] <= np.sort(d)[NEIGHBOURS - 1] for j in graph[i]))
+    assert found / (len(kept) * NEIGHBOURS) >= 0.95
