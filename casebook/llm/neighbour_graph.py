@@ -117,18 +117,24 @@ def _distances(x: np.ndarray) -> np.ndarray:
     is rounding noise; such pairs are measured again from their differences.
     """
     x, power = x.astype(np.float64), 0
-    for shifted in (False, True):  # powers of two scale without loss, and an offset that all rows share goes
+    for shifted in (False, True):  # an offset that all rows share goes
         x = x - x[0] if shifted else x
-        step = int(np.frexp(np.abs(x).max(initial=0))[1]) + 1
-        x, power = np.ldexp(x, -step), power + step
+        top = np.abs(x).max(initial=0)
+        if top > 1e100 or 0 < top < 1e-100:  # squares would leave the range; powers of two scale without loss
+            step = int(np.frexp(top)[1]) + 1
+            x, power = np.ldexp(x, -step), power + step
     norm = (x * x).sum(axis=1)
     square = norm[:, None] + norm[None] - 2 * (x @ x.T)
-    near_a, near_b = np.nonzero(square <= NOISE * (norm[:, None] + norm[None]))
+    np.fill_diagonal(square, np.inf)
+    close = square <= NOISE * (norm[:, None] + norm[None])
+    near_a, near_b = np.nonzero(close) if close.any() else ((), ())
+    np.fill_diagonal(square, 0)
     for k in range(0, len(near_a), PAIRS_AT_ONCE):
         a, b = near_a[k : k + PAIRS_AT_ONCE], near_b[k : k + PAIRS_AT_ONCE]
         diff = x[a] - x[b]
         square[a, b] = (diff * diff).sum(axis=1)
-    return np.ldexp(np.sqrt(np.maximum(square, 0)), power)
+    d = np.sqrt(np.maximum(square, 0))
+    return np.ldexp(d, power) if power else d
 
 
 def _spread(nodes: DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray]:
