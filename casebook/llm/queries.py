@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casebook.llm import decontaminate, html_text, language, near_duplicates, neighbour_graph, ngram_scores, pieces, quality, secrets, token_counts
+from casebook.llm import decontaminate, html_text, language, line_bitmaps, near_duplicates, neighbour_graph, ngram_scores, pieces, quality, secrets, token_counts
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_sentencepiece": (pieces.query, None),
@@ -19,6 +19,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_decontamination": (decontaminate.query, decontaminate.SQL),
     "op9_token_counts": (token_counts.query, None),
     "op10_neighbour_graph": (neighbour_graph.query, None),
+    "op12_line_bitmaps": (line_bitmaps.query, line_bitmaps.SQL),
 }
 
 
