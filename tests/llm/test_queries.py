@@ -27,6 +27,6 @@ def test_query_equals_sql(spark, con, name):
 
 def test_registration():
     names = contract.queries()
-    assert {name.split("_")[0] for name in queries()} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in queries()} == {f"op{n}" for n in range(1, 14)}
     assert queries().keys() <= names.keys() and "pipeline" in names
     assert oracle_sql().keys() <= contract.oracle_sql().keys()
