@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casebook.llm import decontaminate, html_text, language, line_bitmaps, near_duplicates, neighbour_graph, ngram_scores, periodic_runs, pieces, quality, secrets, token_counts
+from casebook.llm import decontaminate, html_text, language, line_bitmaps, near_duplicates, neighbour_graph, ngram_scores, periodic_runs, pieces, quality, secrets, token_alignment, token_counts
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_sentencepiece": (pieces.query, None),
@@ -21,6 +21,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op10_neighbour_graph": (neighbour_graph.query, None),
     "op11_periodic_runs": (periodic_runs.query, None),
     "op12_line_bitmaps": (line_bitmaps.query, line_bitmaps.SQL),
+    "op13_token_alignment": (token_alignment.query, None),
 }
 
 
