@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casebook import fixed_values as V
 from casebook.functions.text import has_words
 from casebook.functions.vectors import HASH_DIM
+from casebook.operators import inverted_index
 from casebook.operators.indexing import chunk_documents, embed_hashed
 from casebook.operators.nearest import MAX_BROADCAST_NUMBERS, nearest
 from casebook.operators.rerank import format_context, rerank, with_fallback
 from casebook.operators.routing import RETRIEVE, dispatch_tool_calls, route
 from casebook.session import written
+from casebook.sources.collection import open_collection, write_collection
 
 
 def index_chunks(documents: DataFrame, dim: int = HASH_DIM) -> DataFrame:
@@ -23,19 +25,17 @@ def index_chunks(documents: DataFrame, dim: int = HASH_DIM) -> DataFrame:
 
 
 def _search(
-    items: DataFrame,
+    find: Callable[[DataFrame], DataFrame],
     fetch: Callable[[DataFrame], DataFrame],
     questions: DataFrame,
     dim: int,
-    fetch_k: int,
     k: int,
-    max_numbers: int,
     carry: tuple[str, ...] = ("text",),
 ) -> DataFrame:
-    """First pass over ids and vectors only; then ``fetch`` the few rows that were hit."""
+    """First ``find`` the hits by ids and vectors only; then ``fetch`` the few rows that were hit."""
     worded = questions.filter(has_words(F.col("question")))
     asked = embed_hashed(worded, "question", dim).select("query_id", "vec")
-    hits = written(nearest(asked, items, dim, fetch_k, "cosine", max_numbers), "hits")
+    hits = written(find(asked), "hits")
     candidates = hits.join(fetch(hits), "item_id").join(
         asked.withColumnRenamed("vec", "query_vec"), "query_id"
     )
@@ -64,7 +64,7 @@ def search_documents(
         return found.select(F.col("chunk_id").alias("item_id"), "text", "vec")
 
     items = index_chunks(documents, dim).select(F.col("chunk_id").alias("item_id"), "vec")
-    return _search(items, fetch, questions, dim, fetch_k, k, max_numbers)
+    return _search(lambda asked: nearest(asked, items, dim, fetch_k, "cosine", max_numbers), fetch, questions, dim, k)
 
 
 def search_collection(
@@ -90,7 +90,28 @@ def search_collection(
     def fetch(hits: DataFrame) -> DataFrame:
         return stored.join(hits.select("item_id").distinct(), "item_id", "left_semi")
 
-    return _search(stored.select("item_id", "vec"), fetch, questions, dim, fetch_k, k, max_numbers, carry)
+    items = stored.select("item_id", "vec")
+    return _search(lambda asked: nearest(asked, items, dim, fetch_k, "cosine", max_numbers), fetch, questions, dim, k, carry)
+
+
+def index_for_search(documents: DataFrame, folder: str, dim: int = HASH_DIM) -> None:
+    """Chunks as a collection with their texts, and an inverted index of their vectors."""
+    chunks = index_chunks(documents, dim)
+    write_collection(chunks.select("chunk_id", "text", "vec"), f"{folder}/chunks")
+    stored = open_collection(documents.sparkSession, f"{folder}/chunks", ["chunk_id", "vec"])
+    inverted_index.build(stored.withColumnRenamed("chunk_id", "item_id"), f"{folder}/index")
+
+
+def search_indexed(
+    spark: SparkSession, folder: str, questions: DataFrame, dim: int = HASH_DIM, fetch_k: int = V.FETCH_K, k: int = V.FINAL_K
+) -> DataFrame:
+    """``search_collection`` by the inverted index of ``index_for_search``: postings that cannot matter are not read."""
+    stored = open_collection(spark, f"{folder}/chunks", ["chunk_id", "text", "vec"]).withColumnRenamed("chunk_id", "item_id")
+
+    def fetch(hits: DataFrame) -> DataFrame:
+        return stored.join(hits.select("item_id").distinct(), "item_id", "left_semi")
+
+    return _search(lambda asked: inverted_index.search(asked, f"{folder}/index", fetch_k), fetch, questions, dim, k)
 
 
 def contexts(questions: DataFrame, found: DataFrame) -> DataFrame:

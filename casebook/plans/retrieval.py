@@ -14,8 +14,10 @@ from casebook.plans import sql as S
 from casebook.plans.answering import (
     contexts,
     index_chunks,
+    index_for_search,
     search_collection,
     search_documents,
+    search_indexed,
     tool_messages,
 )
 from casebook.session import fresh_path
@@ -108,6 +110,14 @@ def rag_collection(spark, folder):
     return contexts(questions, search_collection(stored, questions))
 
 
+def rag_indexed(spark, folder):
+    """Index by inverted lists, then ask: only blocks of postings that can matter are read."""
+    target = fresh_path(spark, "inverted")
+    index_for_search(inputs.documents(spark, folder), target)
+    questions = _questions(spark, folder)
+    return contexts(questions, search_indexed(spark, target, questions))
+
+
 def chat_retrieval(spark, folder):
     return tool_messages(
         inputs.conversations(spark, folder), inputs.documents(spark, folder), inputs.ROUTE_RULES
@@ -178,6 +188,7 @@ QUERIES = {
     ),
     "rag_batch": (rag_batch, _RAG),
     "rag_collection": (rag_collection, _RAG),
+    "rag_indexed": (rag_indexed, _RAG),
     "chat_retrieval": (
         chat_retrieval,
         f"""{_answers(f'''calls AS (SELECT * FROM conversations WHERE role = 'user' AND {S.route_case('text')} = 'retrieve'),
