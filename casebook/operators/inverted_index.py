@@ -10,7 +10,8 @@ each bucket that a query has gives it candidates; the k-th best of their exact s
 a bound. The bound is then dealt out over the query's buckets as allowances, so that
 blocks whose largest product lies within their bucket's allowance are skipped: an item
 that appears in skipped postings only stays below the bound. What is read is summed per
-item; an item whose sum and remaining allowances reach the bound is scored exactly.
+item; the items with the largest sums give a second, better bound, and those whose sum
+and remaining allowances reach it are scored exactly.
 
 Items without any bucket of a query are no hits of it. Distances are rounded before
 they are ranked, and ties go to the smaller id.
@@ -52,6 +53,15 @@ def _vectors(folder: str) -> str:
     return f"{folder}/vectors"
 
 
+def _kinds(folder: str) -> str:
+    return f"{folder}/kinds"
+
+
+def _schema(folder: str, spark: SparkSession) -> str:
+    kind = dict(spark.read.parquet(_kinds(folder)).dtypes)["item_id"]
+    return f"no bigint, item_id {kind}, vec struct<idx:array<int>,val:array<double>>, part int"
+
+
 def _cut(size: int):
     """Sorted postings to rows of at most ``size`` postings of one bucket."""
 
@@ -63,7 +73,7 @@ def _cut(size: int):
             place = np.arange(len(bucket)) - np.repeat(firsts, np.diff(np.r_[firsts, len(bucket)]))
             starts = np.flatnonzero(place % size == 0)
             offsets = pa.array(np.r_[starts, len(bucket)].astype(np.int32))
-            items = pa.ListArray.from_arrays(offsets, batch.column("item_id"))
+            items = pa.ListArray.from_arrays(offsets, batch.column("no"))
             weights = pa.ListArray.from_arrays(offsets, batch.column("weight"))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bucket[starts]), pa.array(weight[starts]), items, weights], names=["bucket", "top", "items", "weights"]
@@ -78,30 +88,31 @@ def part_of(item, parts: int):
 
 def build(items: DataFrame, folder: str) -> None:
     """Write ``items(item_id, vec)``, sparse unit vectors, as an inverted index."""
-    kind = dict(items.dtypes)["item_id"]
-    stored = written(items.select("item_id", "vec"), "vectors")
+    # Postings hold an item's number, given once as it is written, instead of its id.
+    stored = written(items.select(F.monotonically_increasing_id().alias("no"), "item_id", "vec"), "vectors")
     parts = max(1, min(MAX_PARTS, -(-stored.count() // PART_ROWS)))
-    placed = stored.withColumn("part", part_of("item_id", parts))
+    placed = stored.withColumn("part", part_of("no", parts))
     placed.hint("rebalance", F.col("part")).write.partitionBy("part").parquet(_vectors(folder))
-    postings = vector_entries(stored, ["item_id"])
-    in_order = postings.repartitionByRange("bucket", F.desc("weight"), "item_id").sortWithinPartitions(
-        "bucket", F.desc("weight"), "item_id"
-    )
-    cut = in_order.select("bucket", "weight", "item_id").mapInArrow(
-        _cut(BLOCK_POSTINGS), f"bucket bigint, top double, items array<{kind}>, weights array<double>"
+    postings = vector_entries(stored, ["no"])
+    order = ("bucket", F.desc("weight"), "no")
+    in_order = postings.repartitionByRange(*order).sortWithinPartitions(*order)
+    cut = in_order.select("bucket", "weight", "no").mapInArrow(
+        _cut(BLOCK_POSTINGS), "bucket bigint, top double, items array<bigint>, weights array<double>"
     )
     # Numbers by place in the written table: unique, and nothing depends on their order.
     numbered = cut.withColumn("block", F.monotonically_increasing_id()).withColumn("n", F.size("items"))
     numbered.write.parquet(_blocks(folder))
+    # The kind of the ids, for an index without rows.
+    stored.limit(0).select("item_id").write.parquet(_kinds(folder))
 
 
 def _scored(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, parts: int) -> DataFrame:
-    """Exact (query_id, item_id, distance) of pairs (query_id, item_id)."""
-    placed = pairs.withColumn("part", part_of("item_id", parts))
+    """Exact (query_id, item_id, distance) of pairs (query_id, no)."""
+    placed = pairs.withColumn("part", part_of("no", parts))
     # At most MAX_PARTS numbers: only the parts that hold a candidate are read.
     wanted = [r[0] for r in placed.select("part").distinct().collect()]
     rows = (
-        placed.join(vectors.where(F.col("part").isin(wanted)), ["part", "item_id"])
+        placed.join(vectors.where(F.col("part").isin(wanted)), ["part", "no"])
         .join(queries.select("query_id", F.col("vec").alias("query_vec")), "query_id")
         .select("query_id", "item_id", "vec", "query_vec")
     )
@@ -124,12 +135,12 @@ def _scored(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, parts: int
 
 
 def _read(wanted: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Postings of wanted blocks (query_id, w, allowance, block): (query_id, item_id, product, allowance)."""
+    """Postings of wanted blocks (query_id, w, allowance, block): (query_id, no, product, allowance)."""
     entry = F.explode(F.arrays_zip("items", "weights")).alias("e")
     return (
         wanted.join(blocks.select("block", "items", "weights"), "block")
         .select("query_id", "w", "allowance", entry)
-        .select("query_id", F.col("e.items").alias("item_id"), (F.col("w") * F.col("e.weights")).alias("product"), "allowance")
+        .select("query_id", F.col("e.items").alias("no"), (F.col("w") * F.col("e.weights")).alias("product"), "allowance")
         .where(F.col("product") > F.col("allowance"))
     )
 
@@ -138,8 +149,13 @@ def _bounds(asked: DataFrame, queries: DataFrame, blocks: DataFrame, vectors: Da
     """(query_id, bound): the k-th best exact score among the items of the buckets' first blocks."""
     firsts = blocks.groupBy("bucket").agg(F.max_by("block", "top").alias("block"))
     wanted = asked.join(firsts, "bucket").select("query_id", "w", F.lit(0.0).alias("allowance"), "block")
-    sums = _read(wanted, blocks).groupBy("query_id", "item_id").agg(F.sum("product").alias("sum"))
-    best = written(first_k(sums, ["query_id"], [F.desc("sum"), F.col("item_id")], 2 * k, "rank").select("query_id", "item_id"), "first")
+    sums = _read(wanted, blocks).groupBy("query_id", "no").agg(F.sum("product").alias("sum"))
+    return _kth_best(sums, queries, vectors, parts, k)
+
+
+def _kth_best(sums: DataFrame, queries: DataFrame, vectors: DataFrame, parts: int, k: int) -> DataFrame:
+    """(query_id, bound): the k-th best exact score among the 2 k items of each query with the largest sums, less the margin."""
+    best = written(first_k(sums, ["query_id"], [F.desc("sum"), F.col("no")], 2 * k, "rank").select("query_id", "no"), "first")
     scored = _scored(best, queries, vectors, parts)
     ranked = first_k(scored, ["query_id"], [F.col("distance"), F.col("item_id")], k, "rank")
     return ranked.where(F.col("rank") == k).select("query_id", (1 - F.col("distance") / 2 - MARGIN).alias("bound"))
@@ -164,7 +180,10 @@ def allowances(asked: DataFrame, blocks: DataFrame, bounds: DataFrame) -> DataFr
     )
     spent = Window.partitionBy("query_id").orderBy(F.desc("offer.ratio"), "bucket").rowsBetween(Window.unboundedPreceding, -1)
     left = F.greatest(F.col("bound") - F.coalesce(F.sum("offer.cost").over(spent), F.lit(0.0)), F.lit(0.0))
-    dealt = best.select("query_id", "bucket", F.least(left, F.col("offer.cost")).alias("allowance"))
+    taken = best.withColumn("taken", F.least(left, F.col("offer.cost")))
+    # What is left over raises all allowances of the query in proportion.
+    share = F.col("taken") * F.col("bound") / F.sum("taken").over(Window.partitionBy("query_id"))
+    dealt = taken.select("query_id", "bucket", share.alias("allowance"))
     return asked.join(dealt, ["query_id", "bucket"], "left").select(
         "query_id", "bucket", "w", F.coalesce("allowance", F.lit(0.0)).alias("allowance")
     )
@@ -181,14 +200,15 @@ def search(queries: DataFrame, folder: str, k: int = FETCH_K) -> DataFrame:
     Repeated query ids with equal vectors are one query; null or empty vectors find nothing.
     """
     wanted, blocks, vectors, parts, bounds, queries = _wanted(queries, folder, k)
-    total = F.sum(F.col("product") - F.col("allowance"))
-    read = _read(wanted, blocks).groupBy("query_id", "item_id").agg(total.alias("above"))
-    spare = wanted_spare(wanted)
+    # What is known of an item: its products read, above what was allowed for them to be skipped.
+    above = F.sum(F.col("product") - F.col("allowance"))
+    sums = written(_read(wanted, blocks).groupBy("query_id", "no").agg(above.alias("above"), F.sum("product").alias("sum")), "sums")
+    bounds = written(bounds.unionByName(_kth_best(sums, queries, vectors, parts, k)).groupBy("query_id").agg(F.max("bound").alias("bound")), "bounds")
     hopeful = (
-        read.join(spare, "query_id")
+        sums.join(wanted_spare(wanted), "query_id")
         .join(bounds, "query_id", "left")
         .where(F.col("above") + F.col("spare") >= F.coalesce("bound", F.lit(0.0)))
-        .select("query_id", "item_id")
+        .select("query_id", "no")
     )
     scored = _scored(written(hopeful, "hopeful"), queries, vectors, parts)
     best = first_k(scored, ["query_id"], [F.col("distance"), F.col("item_id")], k, "rank")
@@ -202,9 +222,7 @@ def wanted_spare(wanted: DataFrame) -> DataFrame:
 def _wanted(queries: DataFrame, folder: str, k: int):
     spark: SparkSession = queries.sparkSession
     blocks = spark.read.parquet(_blocks(folder))
-    kind = dict(blocks.dtypes)["items"].removeprefix("array<").removesuffix(">")
-    schema = f"item_id {kind}, vec struct<idx:array<int>,val:array<double>>, part int"
-    vectors = spark.read.schema(schema).parquet(_vectors(folder))
+    vectors = spark.read.schema(_schema(folder, spark)).parquet(_vectors(folder))
     parts = (vectors.agg(F.max("part")).first()[0] or 0) + 1
     queries = written(queries.where("query_id is not null and vec is not null").select("query_id", "vec").distinct(), "asked")
     asked = vector_entries(queries, ["query_id"]).select("query_id", "bucket", F.col("weight").alias("w"))
