@@ -76,6 +76,8 @@ def dropped_lines(
     occurrences = first_occurrences(docs, min_chars)
     best = F.min(F.struct(*DOCUMENT, "at")).alias("best")
     frequent = occurrences.where("first").groupBy(*LINE).agg(F.count("*").alias("n"), best).where(F.col("n") >= min_documents)
+    # Written, so that its size decides how it meets the lines, and a line of very many documents can be split there.
+    frequent = written(frequent, "frequent")
     hits = occurrences.drop("first").join(frequent, LINE)
     if keep_first:
         hits = hits.where(F.struct(*DOCUMENT, "at") != F.col("best"))
