@@ -90,6 +90,10 @@ def _session_id():
 
 
 def session_log(spark, folder) -> DataFrame:
+    return session_log_of(events(spark, folder))
+
+
+def session_log_of(events: DataFrame) -> DataFrame:
     """One row per action: a session is a user's week, squeezed to 700 seconds."""
     week_seconds = (
         ((F.dayofmonth("ts") - 1) % 7) * 86400
@@ -105,7 +109,7 @@ def session_log(spark, folder) -> DataFrame:
         .when(F.col("event_type") == "purchase", "evidence")
         .otherwise("pause")
     )
-    return events(spark, folder).select(
+    return events.select(
         _session_id().cast("bigint").alias("session_id"),
         "user_id",
         "event_id",

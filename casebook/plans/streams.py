@@ -7,13 +7,16 @@ timestamp and back for the result.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from casebook.plans import inputs
+from casebook.plans import sessions as sessions_plan
 from casebook.plans import sql as S
 from casebook.schemas import EVENT, MESSAGE
 from casebook.session import fresh_path
-from casebook.streaming import badges, messages, sessions
+from casebook.streaming import badges, limits, messages, sessions
 
 GAP, DELAY = "6 hours", "1 hour"
 
@@ -68,7 +71,30 @@ def stream_log_upsert(spark, folder):
     return messages.read_upserted(spark, target)
 
 
+WEEK = 7 * 86400
+
+
+def stream_session_limit(spark, folder):
+    """Sessions closed by timers. A week's session lies in its own 700 seconds of stream time; a last tick ends the stream."""
+    target, checkpoint, ticks = (fresh_path(spark, name) for name in ("limits", "limits-state", "ticks"))
+    schema = "session_id bigint, ts timestamp, offset_s bigint, kind string"
+    spark.createDataFrame([(-1, dt.datetime(2000, 1, 1), 0, "tick")], schema).write.parquet(ticks)
+    events = _stream(spark, folder, "events", EVENT)
+    start = (F.col("session_id") % 10 + 1) * WEEK
+    offset = start + F.col("offset_s")
+    actions = inputs.session_log_of(events).select("session_id", F.timestamp_seconds(offset).alias("ts"), offset.alias("offset_s"), "kind")
+    actions = actions.unionByName(spark.readStream.schema(schema).parquet(ticks))
+    before = spark.conf.get(limits.STORE, None)
+    spark.conf.set(limits.STORE, limits.ROCKSDB)
+    try:
+        limits.start_limits(actions, inputs.session_settings(spark, folder), target, checkpoint, "1 hour").awaitTermination()
+    finally:
+        spark.conf.unset(limits.STORE) if before is None else spark.conf.set(limits.STORE, before)
+    return limits.read_closed(spark, target).withColumn("closed_s", F.col("closed_s") - start)
+
+
 QUERIES = {
+    "stream_session_limit": (stream_session_limit, sessions_plan.QUERIES["session_close"][1]),
     "stream_badge_tally": (stream_badge_tally, f"WITH {S.TALLY} SELECT * FROM tally"),
     "stream_sessions": (
         stream_sessions,
