@@ -38,8 +38,6 @@ from casebook.operators.nearest import (
 from casebook.operators.ordering import spread
 from casebook.session import fresh_path, written
 
-#: The fixed number of cells of the queries `ann_probed` and `ann_recall`, as their SQL has it.
-PROBES = 8
 #: Share of the exact hits that `enough_probes` reaches, and the most queries it measures it on.
 RECALL, MEASURED_QUERIES = 0.9, 256
 #: Pivots at most; their matrix goes to every task, and each is a folder. Beyond

@@ -53,9 +53,10 @@ def knn_indexed(spark, folder):
 
 
 def ann_probed(spark, folder):
-    """Approximate: each query looks into its 8 nearest cells only."""
+    """Approximate, the number of cells measured first and then given: ids and ranks as from `ann_calibrated`."""
     queries, target = _stored_cells(spark, folder)
-    return cell_index.probe(queries, target, inputs.VECTOR_DIM, probes=cell_index.PROBES)
+    probes = cell_index.enough_probes(queries, target, inputs.VECTOR_DIM)
+    return cell_index.probe(queries, target, inputs.VECTOR_DIM, probes=probes)
 
 
 def ann_calibrated(spark, folder):
@@ -136,7 +137,7 @@ def ann_recall(spark, folder):
 
 
 _TOPK = f"WITH {S.DENSE_HITS} SELECT query_id, item_id, rank, distance FROM hits"
-_PROBED = f"""WITH {S.PROBED} SELECT query_id, item_id, rank, distance FROM probed"""
+_CALIBRATED = f"WITH {S.DENSE_HITS}, {S.CALIBRATED} SELECT query_id, item_id, rank, distance FROM calibrated"
 _DENSE_PICKS = f"{S.DENSE_HITS}, {S.DENSE_PAIRS}, {S.picks('hits')}"
 
 
@@ -167,13 +168,13 @@ QUERIES = {
     "knn_topk": (knn_topk, _TOPK),
     "knn_cells": (knn_cells, _TOPK),
     "knn_indexed": (knn_indexed, _TOPK),
-    "ann_probed": (ann_probed, _PROBED),
-    "ann_calibrated": (ann_calibrated, f"""WITH {S.DENSE_HITS}, {S.CALIBRATED} SELECT query_id, item_id, rank, distance FROM calibrated"""),
+    "ann_probed": (ann_probed, _CALIBRATED),
+    "ann_calibrated": (ann_calibrated, _CALIBRATED),
     "ann_recall": (
         ann_recall,
-        f"""WITH {S.DENSE_HITS}, {S.PROBED}
+        f"""WITH {S.DENSE_HITS}, {S.CALIBRATED}
             SELECT h.query_id, round(count(p.item_id) / count(*), 6) AS recall
-            FROM hits h LEFT JOIN probed p ON p.query_id = h.query_id AND p.item_id = h.item_id GROUP BY 1""",
+            FROM hits h LEFT JOIN calibrated p ON p.query_id = h.query_id AND p.item_id = h.item_id GROUP BY 1""",
     ),
     "mmr_rerank": (mmr_rerank, f"WITH {_DENSE_PICKS} SELECT * FROM picked5"),
     "format_context": (

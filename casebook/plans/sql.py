@@ -172,23 +172,7 @@ hits AS (
   WHERE rank <= 20)"""
 
 # The first sqrt(n) vectors by md5 of their id are pivots; a query looks into its 8 nearest cells.
-PROBED = """
-pivots AS (
-  SELECT row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) - 1 AS cell, embedding AS centre FROM embeddings
-  QUALIFY cell < ceil(sqrt((SELECT count(*) FROM embeddings)))),
-reach AS (
-  SELECT vec_id, cell, round(list_distance(embedding::DOUBLE[], centre::DOUBLE[]) ** 2, 6) AS d FROM embeddings, pivots),
-placed AS (SELECT vec_id, cell FROM reach QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, cell) = 1),
-looked AS (
-  SELECT vec_id AS query_id, cell FROM reach WHERE cell IN (SELECT cell FROM placed)
-  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, cell) <= 8),
-probed AS (
-  SELECT query_id, item_id, rank, round(d, 6) AS distance FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 6), item_id) AS rank FROM (
-      SELECT l.query_id, p.vec_id AS item_id, list_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) ** 2 AS d
-      FROM looked l JOIN placed p USING (cell)
-      JOIN embeddings q ON q.vec_id = l.query_id JOIN embeddings c ON c.vec_id = p.vec_id))
-  WHERE rank <= 20)"""
+
 
 # As many cells as hold 0.9 of the exact hits (less two standard errors) of 256 queries.
 CALIBRATED = """
