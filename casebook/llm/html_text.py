@@ -52,6 +52,8 @@ BLOCK = frozenset(
 #: A start tag of these ends an open paragraph.
 ENDS_P = BLOCK - frozenset("body br head html option select title tbody td tfoot th thead tr caption legend".split())
 #: A start tag ends an open element of these, as far up as the second set.
+#: Stands for all of them among the open elements.
+ANY_BLOCK = "#block"
 SIBLINGS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
     "dt": ({"dt", "dd"}, {"dl"}),
@@ -89,6 +91,7 @@ class Page:
         self.tag, self.parent, self.words = ["#root"], [-1], [frozenset()]
         self.foreign = [False]  # svg, math and what they hold
         self.pieces: list[tuple[int, str]] = []
+        self.open: dict[str, list[tuple[int, int]]] = {}  # by name: places in the stack of its open elements
         self._read(markup)
 
     def _add(self, tag: str, parent: int, rest: str) -> int:
@@ -160,44 +163,50 @@ class Page:
             while self._in_foreign(stack[-1]):
                 stack.pop()
         if tag in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if self.tag[stack[k]] == "p":
-                    self._break(stack[k])
-                    del stack[k:]
-                    break
-                if self.tag[stack[k]] in BLOCK:
-                    break
+            k = self._last(stack, "p")
+            if k and k >= self._last(stack, ANY_BLOCK):
+                self._break(stack[k])
+                del stack[k:]
         if tag in SIBLINGS:
             ended, limit = SIBLINGS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if self.tag[stack[k]] in limit:
-                    break
-                if self.tag[stack[k]] in ended:
+            low = max(self._last(stack, name) for name in limit)
+            for name in ended:
+                while (k := self._last(stack, name)) > low:
                     del stack[k:]
         node = self._add(tag, stack[-1], rest)
         if tag in BLOCK or (tag == "text" and self.foreign[node]):
             self._break(node)
         # Only in svg and math a slash closes an element. Raw text is taken off the stack by the caller.
         if tag not in VOID and not (self.foreign[node] and rest.endswith("/") and tag not in RAW):
+            for name in (tag, ANY_BLOCK) if tag in BLOCK else (tag,):
+                self._last(stack, name)
+                self.open.setdefault(name, []).append((len(stack), node))
             stack.append(node)
 
+    def _last(self, stack: list[int], name: str) -> int:
+        """Place in the stack of the innermost open element of a name; 0 without one.
+
+        Elements that were closed since are forgotten when they are met, so this costs no walk.
+        """
+        places = self.open.get(name, [])
+        while places and (places[-1][0] >= len(stack) or stack[places[-1][0]] != places[-1][1]):
+            places.pop()
+        return places[-1][0] if places else 0
+
     def _close(self, stack: list[int], tag: str) -> None:
         if tag == "br":
             self._break(stack[-1])
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[k]] == tag:
-                if tag in BLOCK or (tag == "text" and self.foreign[stack[k]]):
-                    self._break(stack[k])
-                del stack[k:]
-                return
-            if tag not in BLOCK and self.tag[stack[k]] in BLOCK:
-                return  # an inline end tag does not end blocks
+        k = self._last(stack, tag)
+        # An end tag without its element does nothing, and an inline one does not end blocks.
+        if k and (tag in BLOCK or k >= self._last(stack, ANY_BLOCK)):
+            if tag in BLOCK or (tag == "text" and self.foreign[stack[k]]):
+                self._break(stack[k])
+            del stack[k:]
 
     def _up_to(self, stack: list[int], tag: str) -> None:
-        for k in range(1, len(stack)):
-            if self.tag[stack[k]] == tag:
-                del stack[k:]
-                return
+        """Close the outermost open element of a name."""
+        if self._last(stack, tag):
+            del stack[self.open[tag][0][0] :]
 
     def _break(self, node: int) -> None:
         self.pieces.append((node, "\n"))

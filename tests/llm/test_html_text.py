@@ -1,3 +1,4 @@
+import time
 import pytest
 
 from casebook.llm.html_text import composite, main_text, main_texts
@@ -54,6 +55,17 @@ def test_long_and_deep_pages():
     assert main_text("<" * 50_000 + "x") == "<" * 50_000 + "x"
 
 
+@pytest.mark.parametrize(
+    "page",
+    ["<span>" * 100_000 + "</b>" * 100_000, "<b>x</b>" + "<span>" * 100_000 + "</b>" * 100_000, "<span>" * 100_000 + "<hr>" * 100_000,
+     "<span>" * 100_000 + "<li>" * 100_000],
+)
+def test_unmatched_tags_take_linear_time(page):
+    start = time.perf_counter()
+    main_text(page)
+    assert time.perf_counter() - start < 8
+
+
 def test_density_falls_with_links_and_tags():
     assert composite(100, 0, 1, 0, 0.1) > composite(100, 50, 1, 1, 0.1) > composite(100, 100, 1, 1, 0.1) == 0
     assert composite(100, 0, 1, 0, 0.1) > composite(100, 0, 10, 0, 0.1)
