@@ -1,21 +1,26 @@
-"""Stupid-backoff scores of every document under a bigram model of all other documents.
+"""Stupid-backoff scores of every document under an n-gram model of all other documents.
 
-For words v w of a document, with counts c' over all documents but its own,
+With counts c' over all documents but the word's own, and u the up to n - 1 words
+before w in its document,
 
-    S(w | v) = c'(v w) / c'(v)   if c'(v w) > 0,
-               0.4 * c'(w) / N'  otherwise
+    S(w | u) = c'(u w) / c'(u)            if c'(u w) > 0,
+               0.4 * S(w | u without its first word)   otherwise
+    S(w)     = c'(w) / N'
 
-and a document's score is the mean of ln S over its words (the first word by its
-own frequency; a word that no other document has counts as half an occurrence).
+and a document's score is the mean of ln S over its words (a word that no other
+document has counts as half an occurrence). A document's first words have shorter u.
 
 Relationally this is: n-grams of the documents exploded and counted, counts summed
 by n-gram, joined back, summed per document. A row per n-gram would be most of the
-work, so rows carry packed arrays: documents lie in blocks of `BLOCK_ROWS` rows; a
-block's distinct n-grams are sorted by hash and cut into hash partitions ("buckets"),
+work, so rows carry packed arrays: documents lie in blocks of about `BLOCK_BYTES` of
+text (a longer text is a block of its own), compressed, a row each. A block's distinct
+n-grams of all lengths are sorted by hash and cut into hash partitions ("buckets"),
 one row each. Each bucket adds up its rows of all blocks into its part of the count
 table and hands every block's counts back to it. An n-gram is one entry of a block
 however often it occurs there, so a frequent one makes no hot key, and buckets
-multiply with the input. The tables hold every n-gram; nothing is cut off.
+multiply with the input, so that a bucket's part of the table stays of one size. The
+tables hold every n-gram; nothing is cut off. A block has millions of n-grams, so a
+packed row holds at least a hundred of them up to 1 TB of text and some ten at 10 TB.
 """
 
 from __future__ import annotations
@@ -24,18 +29,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casebook.llm.batches import NOT_SPACE, mix, slices, words
-from casebook.session import fresh_path
+from casebook.session import written
 
 BACKOFF = 0.4
 UNSEEN = 0.5
-#: Rows in a block; a task holds one block's n-grams at a time.
-BLOCK_ROWS = 1024
+#: Longest n-gram of the registered model.
+ORDER = 3
+#: Bytes of text in a block; a task holds one block's n-grams at a time.
+BLOCK_BYTES = 16 << 20
 #: Bytes of text for each bucket, so that a bucket's entries fit in a task; and the fewest buckets.
-BUCKET_BYTES, MIN_BUCKETS, MAX_BUCKETS = 16 << 20, 64, 1 << 20
+BUCKET_BYTES, MIN_BUCKETS, MAX_BUCKETS = 16 << 20, 64, 1 << 24
 #: Hashes are cut to this many bits to pack well.
 HASH_BITS = 56
 
@@ -71,87 +79,93 @@ def unpack_counts(data: bytes) -> np.ndarray:
     return wide.reshape(-1).view("<i8")
 
 
-def grams_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of each word and of each pair (word with its predecessor; 0 for a first word), and text offsets."""
+def grams_of(column: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each length up to `order` the hashes of the n-grams that end at each word (0 where the text is too short), and text offsets."""
     found = words(column, NOT_SPACE)
     shift = np.uint64(64 - HASH_BITS)
-    single = found.hashes >> shift
-    double = np.zeros(len(single), np.uint64)
-    if len(single):
+    n_words = np.diff(found.offsets)
+    place = np.arange(len(found.hashes)) - np.repeat(found.offsets[:-1], n_words)
+    out, longer = [found.hashes >> shift], found.hashes
+    for n in range(2, order + 1):
+        before, longer = longer, np.zeros(len(found.hashes), np.uint64)
         with np.errstate(over="ignore"):
-            double[1:] = mix(found.hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + found.hashes[1:]) >> shift
-        firsts = found.offsets[:-1][np.diff(found.offsets) > 0]
-        double[firsts] = 0
-    return single, double, found.offsets
+            longer[1:] = mix(before[:-1] * np.uint64(0x9E3779B97F4A7C15) + found.hashes[1:])
+        longer[place < n - 1] = 0
+        out.append(longer >> shift)
+    return out, found.offsets
 
 
-def _distinct(column: pa.Array) -> list[np.ndarray]:
-    single, double, _ = grams_of(column)
-    return [np.unique(single), np.unique(double[double > 0])]
+def _all_grams(parts: list[pa.RecordBatch], order: int) -> np.ndarray:
+    """Hashes of all n-grams of a block, one for each occurrence."""
+    found = [g[g > 0] for part in parts for g in grams_of(part.column("text"), order)[0]]
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
-def _counted(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate(arrays) if arrays else np.zeros(0, np.uint64), return_counts=True)
-
-
-def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Sum of counted sets, and where each set's entries stand in it."""
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sums of counted sets by n-gram, and where each set's entries stand in them."""
     values, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     total = np.bincount(inverse, weights=np.concatenate([p[1] for p in parts]), minlength=len(values)).astype(np.int64)
     ends = np.cumsum([len(p[0]) for p in parts])
-    return values, total, np.split(inverse, ends[:-1])
+    return total, np.split(inverse, ends[:-1])
 
 
-def in_blocks(docs: DataFrame) -> DataFrame:
-    """The documents with a block number, written once so that it stays the same in both passes."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # Numbers of consecutive rows of a partition, the partition in the upper bits.
-    rows = rows.withColumn("block", F.expr(f"monotonically_increasing_id() div {BLOCK_ROWS}"))
-    rows = rows.withColumn("n_bytes", F.octet_length("text"))
-    path = fresh_path(docs.sparkSession, "blocks")
-    rows.write.option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+def _closed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """A block as one row: its documents as a compressed Arrow stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        for part in parts:
+            stream.write_batch(part)
+    texts = [t for part in parts for t in part.column("text").to_pylist()]
+    sizes = [pa.array([x], pa.int64()) for x in (sum(len(t.encode()) for t in texts), sum(len(t.encode().split(None)) for t in texts))]
+    return pa.RecordBatch.from_arrays([*sizes, pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["n_bytes", "n_words", "docs"])
 
 
-def _block_grams(blocks: DataFrame, buckets: int) -> DataFrame:
-    """One row per block and bucket: its distinct n-grams and their counts."""
-    shift = np.uint64(HASH_BITS - (buckets.bit_length() - 1))
+def _opened(block: bytes) -> list[pa.RecordBatch]:
+    return [part for batch in pa.ipc.open_stream(block) for part in slices(batch, "text")]
 
-    def rows_of(block: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        values, counts, _ = _added(parts)
-        ends = np.searchsorted(values >> shift, np.arange(buckets + 1))
-        filled = np.flatnonzero(np.diff(ends))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.full(len(filled), block), pa.int64()),
-                pa.array(filled, pa.int32()),
-                pa.array([pack(values[ends[b] : ends[b + 1]]) for b in filled], pa.binary()),
-                pa.array([pack_counts(counts[ends[b] : ends[b + 1]]) for b in filled], pa.binary()),
-            ],
-            names=["block", "bucket", "grams", "counts"],
-        )
+
+def in_blocks(docs: DataFrame) -> DataFrame:
+    """The documents in numbered blocks, written once so that they stay the same in both passes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows of a block follow each other within a task; one that a task boundary cuts gives two rows, which add up.
-        current, parts = None, []
+        parts, size = [], 0
         for batch in batches:
             for part in slices(batch, "text"):
-                numbers = part.column("block").to_numpy()
-                cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    if numbers[a] != current:
-                        if parts:
-                            yield rows_of(current, parts)
-                        current, parts = int(numbers[a]), []
-                    single, double, _ = grams_of(part.column("text").slice(a, b - a))
-                    parts.append(_counted([single, double[double > 0]]))
-                    if len(parts) >= 8:
-                        values, counts, _ = _added(parts)
-                        parts = [(values, counts)]
+                n_bytes = sum(pc.binary_length(part.column("text")).to_pylist())
+                if parts and size + n_bytes > BLOCK_BYTES:
+                    yield _closed(parts)
+                    parts, size = [], 0
+                parts.append(part)
+                size += n_bytes
         if parts:
-            yield rows_of(current, parts)
+            yield _closed(parts)
 
-    return blocks.select("text", "block").mapInArrow(run, GRAMS)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    blocks = rows.mapInArrow(run, "n_bytes long, n_words long, docs binary").withColumn("block", F.monotonically_increasing_id())
+    return written(blocks, "blocks")
+
+
+def _block_grams(blocks: DataFrame, buckets: int, order: int) -> DataFrame:
+    """One row per block and bucket: its distinct n-grams and their counts."""
+    shift = np.uint64(HASH_BITS - (buckets.bit_length() - 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, docs in zip(batch.column("block").to_pylist(), batch.column("docs"), strict=True):
+                values, counts = np.unique(_all_grams(_opened(docs.as_buffer()), order), return_counts=True)
+                ends = np.searchsorted(values >> shift, np.arange(buckets + 1))
+                filled = np.flatnonzero(np.diff(ends))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(filled), block), pa.int64()),
+                        pa.array(filled, pa.int32()),
+                        pa.array([pack(values[ends[b] : ends[b + 1]]) for b in filled], pa.binary()),
+                        pa.array([pack_counts(counts[ends[b] : ends[b + 1]]) for b in filled], pa.binary()),
+                    ],
+                    names=["block", "bucket", "grams", "counts"],
+                )
+
+    return blocks.select("block", "docs").mapInArrow(run, GRAMS)
 
 
 def _totals(grams: DataFrame) -> DataFrame:
@@ -162,104 +176,91 @@ def _totals(grams: DataFrame) -> DataFrame:
     """
 
     def run(table: pa.Table) -> pa.Table:
-        blocks = table.column("block").to_pylist()
         parts = [
             (unpack(g), unpack_counts(c))
             for g, c in zip(table.column("grams").to_pylist(), table.column("counts").to_pylist(), strict=True)
         ]
-        _, total, places = _added(parts)
-        of: dict[int, list[np.ndarray]] = {}
-        for block, place in zip(blocks, places, strict=True):
-            of.setdefault(block, []).append(place)
-        own = [p[0] if len(p) == 1 else np.unique(np.concatenate(p)) for p in of.values()]
+        total, places = _added(parts)
         return pa.table(
             {
-                "block": pa.array(of.keys(), pa.int64()),
-                "bucket": pa.array([table.column("bucket")[0].as_py()] * len(of), pa.int32()),
-                "counts": pa.array([pack_counts(total[p]) for p in own], pa.binary()),
+                "block": table.column("block"),
+                "bucket": table.column("bucket"),
+                "counts": pa.array([pack_counts(total[p]) for p in places], pa.binary()),
             }
         )
 
     return grams.groupBy("bucket").applyInArrow(run, "block long, bucket int, counts binary")
 
 
-def ngram_scores(docs: DataFrame) -> DataFrame:
+def ngram_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """One row per row of `docs` (doc_id, text): n_words, n_backoff, score.
 
-    Words are runs of all but ASCII white space, A-Z in lower case. `n_backoff` counts
-    words after the first whose pair with the word before no other document has. A null or empty
+    Words are runs of all but ASCII white space, A-Z in lower case; n-grams have up to
+    `order` words. `n_backoff` counts words after the first whose longest n-gram (of
+    `order` words, or from the document's first word on) no other document has. A null or empty
     text has no words and score 0. Every row is a document of its own, so repeated
     rows count for each other; a null doc_id passes through.
     """
+    if order < 1:
+        raise ValueError("order has to be 1 or more")
     blocks = in_blocks(docs)
-    size, n_rows = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
+    size, total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     buckets = MIN_BUCKETS
     while buckets < MAX_BUCKETS and buckets * BUCKET_BYTES < size:
         buckets *= 2
-    if not n_rows:
-        return blocks.selectExpr("doc_id", "0L n_words", "0L n_backoff", "0D score")
-    total = blocks.select("text").mapInArrow(_word_counts, "n long").agg(F.sum("n")).first()[0]
-    totals = _totals(_block_grams(blocks, buckets))
+    totals = _totals(_block_grams(blocks, buckets, order))
     shift = np.uint64(HASH_BITS - (buckets.bit_length() - 1))
 
     def scored(key: object, own: pa.Table, counts: pa.Table) -> pa.Table:
-        batches = [part for batch in own.combine_chunks().to_batches() for part in slices(batch, "text")]
-        grams = np.unique(np.concatenate([x for part in batches for x in _distinct(part.column("text"))]))
+        parts = _opened(own.column("docs")[0].as_buffer())
+        grams = np.unique(_all_grams(parts, order))
         ends = np.searchsorted(grams >> shift, np.arange(buckets + 1))
         tally = np.zeros(len(grams), np.int64)
         for b, c in zip(counts.column("bucket").to_pylist(), counts.column("counts").to_pylist(), strict=True):
             tally[ends[b] : ends[b + 1]] = unpack_counts(c)
-        return pa.Table.from_batches([_score(part, grams, tally, total) for part in batches])
+        return pa.Table.from_batches([_score(part, grams, tally, total, order) for part in parts])
 
     return (
-        blocks.select("doc_id", "text", "block")
+        blocks.select("block", "docs")
         .groupBy("block")
         .cogroup(totals.groupBy("block"))
         .applyInArrow(scored, "doc_id long, n_words long, n_backoff long, score double")
     )
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = 0
-    for batch in batches:
-        for text in batch.column("text").to_pylist():
-            n += len(text.encode().split(None)) if text else 0
-    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+def _others(values: np.ndarray, doc: np.ndarray, grams: np.ndarray, tally: np.ndarray) -> np.ndarray:
+    """Occurrences in all other documents; 0 where there is no n-gram."""
+    out = np.zeros(len(values), np.int64)
+    there = np.flatnonzero(values)
+    place = np.searchsorted(grams, values[there])
+    # Places fit in 40 bits and a slice's documents in 23.
+    both = (doc[there] << 40) | place
+    known, counts = np.unique(both, return_counts=True)
+    out[there] = tally[place] - counts[np.searchsorted(known, both)]
+    return out
 
 
-def _score(part: pa.RecordBatch, grams: np.ndarray, tally: np.ndarray, total: int) -> pa.RecordBatch:
-    single, double, offsets = grams_of(part.column("text"))
+def _score(part: pa.RecordBatch, grams: np.ndarray, tally: np.ndarray, total: int, order: int) -> pa.RecordBatch:
+    found, offsets = grams_of(part.column("text"), order)
     n_words = np.diff(offsets)
     doc = np.repeat(np.arange(len(n_words)), n_words)
-
-    def others(values: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Occurrences in all other documents."""
-        if not len(values):
-            return np.zeros(0, np.int64)
-        order = np.lexsort((values, doc))
-        v, d = values[order], doc[order]
-        first = np.concatenate([[True], (v[1:] != v[:-1]) | (d[1:] != d[:-1])])
-        run = np.cumsum(first) - 1
-        own = np.empty(len(values), np.int64)
-        own[order] = np.bincount(run)[run]
-        return tally[np.searchsorted(grams, values)] - own
-
-    is_pair = double > 0
-    ones = others(single, doc)
-    twos = np.zeros(len(single), np.int64)
-    twos[is_pair] = others(double[is_pair], doc[is_pair])
-    rest = np.maximum(total - n_words, 1)[doc]
-    plain = np.log(np.maximum(ones, UNSEEN)) - np.log(rest)
-    before = np.concatenate([[1], ones[:-1]]) if len(ones) else ones
-    seen = is_pair & (twos > 0)
-    value = np.where(seen, np.log(np.maximum(twos, 1)) - np.log(np.maximum(before, 1)), plain + np.where(is_pair, np.log(BACKOFF), 0.0))
+    count = _others(found[0], doc, grams, tally)
+    value = np.log(np.maximum(count, UNSEEN)) - np.log(np.maximum(total - n_words, 1)[doc])
+    backed = np.zeros(len(doc), bool)
+    for longer in found[1:]:
+        # The n-gram's first words are the shorter n-gram that ends one word earlier.
+        before = np.concatenate([[1], count[:-1]])[: len(count)]
+        count = _others(longer, doc, grams, tally)
+        there = longer > 0
+        backed = np.where(there, count <= 0, backed)
+        ratio = np.log(np.maximum(count, 1)) - np.log(np.maximum(before, 1))
+        value = np.where(there, np.where(count > 0, ratio, value + np.log(BACKOFF)), value)
     sums = np.bincount(doc, weights=value, minlength=len(n_words))
-    backoff = np.bincount(doc, weights=is_pair & ~seen, minlength=len(n_words)).astype(np.int64)
     return pa.RecordBatch.from_arrays(
         [
             part.column("doc_id"),
             pa.array(n_words, pa.int64()),
-            pa.array(backoff),
+            pa.array(np.bincount(doc, weights=backed, minlength=len(n_words)).astype(np.int64)),
             pa.array(np.round(sums / np.maximum(n_words, 1), 6)),
         ],
         names=["doc_id", "n_words", "n_backoff", "score"],
@@ -271,27 +272,31 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH w AS (
-  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
 ), t AS (
-  SELECT doc_id, i, w[i] AS w, CASE WHEN i > 1 THEN w[i - 1] END AS v
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)
-), n AS (SELECT count(*) AS n FROM t),
-own1 AS (SELECT doc_id, w, count(*) AS c FROM t GROUP BY doc_id, w),
-own2 AS (SELECT doc_id, v, w, count(*) AS c FROM t WHERE v IS NOT NULL GROUP BY doc_id, v, w),
-all1 AS (SELECT w, sum(c) AS c FROM own1 GROUP BY w),
-all2 AS (SELECT v, w, sum(c) AS c FROM own2 GROUP BY v, w),
-d AS (SELECT doc_id, len(w) AS n_words FROM w),
-s AS (
-  SELECT t.doc_id, t.v IS NOT NULL AND all2.c - own2.c <= 0 AS backed,
-    CASE WHEN all2.c - own2.c > 0 THEN ln(all2.c - own2.c) - ln(greatest(cv.c - ov.c, 1))
-      ELSE ln(greatest(cw.c - ow.c, 0.5)) - ln(greatest(n.n - d.n_words, 1)) + CASE WHEN t.v IS NULL THEN 0 ELSE ln(0.4) END END AS x
-  FROM t JOIN d ON d.doc_id = t.doc_id CROSS JOIN n
-  JOIN all1 cw ON cw.w = t.w JOIN own1 ow ON ow.doc_id = t.doc_id AND ow.w = t.w
-  LEFT JOIN all1 cv ON cv.w = t.v LEFT JOIN own1 ov ON ov.doc_id = t.doc_id AND ov.w = t.v
-  LEFT JOIN all2 ON all2.v = t.v AND all2.w = t.w LEFT JOIN own2 ON own2.doc_id = t.doc_id AND own2.v = t.v AND own2.w = t.w
+  SELECT doc_id, len(words) AS n_words, i, words[i] AS w, CASE WHEN i > 1 THEN words[i - 1] END AS v, CASE WHEN i > 2 THEN words[i - 2] END AS u
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM d)
+), c AS (
+  SELECT *, count(*) OVER () - n_words AS n,
+    count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY doc_id, w) AS c1,
+    count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY doc_id, v, w) AS c2,
+    count(*) OVER (PARTITION BY u, v, w) - count(*) OVER (PARTITION BY doc_id, u, v, w) AS c3
+  FROM t
+), l AS (
+  SELECT *, lag(c1) OVER (PARTITION BY doc_id ORDER BY i) AS before1, lag(c2) OVER (PARTITION BY doc_id ORDER BY i) AS before2,
+    ln(greatest(c1, 0.5)) - ln(greatest(n, 1)) AS x1
+  FROM c
+), m AS (
+  SELECT *, CASE WHEN v IS NULL THEN x1 WHEN c2 > 0 THEN ln(c2) - ln(greatest(before1, 1)) ELSE x1 + ln(0.4) END AS x2 FROM l
+), s AS (
+  SELECT doc_id, v IS NOT NULL AND CASE WHEN u IS NULL THEN c2 ELSE c3 END <= 0 AS backed,
+    CASE WHEN u IS NULL THEN x2 WHEN c3 > 0 THEN ln(c3) - ln(greatest(before2, 1)) ELSE x2 + ln(0.4) END AS x
+  FROM m
+), r AS (
+  SELECT doc_id, count(*) FILTER (WHERE backed) AS n_backoff, sum(x) AS x FROM s GROUP BY doc_id
 )
-SELECT d.doc_id, d.n_words, CAST(count(*) FILTER (WHERE backed) AS BIGINT) AS n_backoff,
-  coalesce(round(sum(x) / d.n_words, 6), 0) AS score
-FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id, d.n_words
+SELECT d.doc_id, coalesce(len(d.words), 0) AS n_words, CAST(coalesce(n_backoff, 0) AS BIGINT) AS n_backoff,
+  coalesce(round(x / len(d.words), 6), 0) AS score
+FROM d LEFT JOIN r ON r.doc_id = d.doc_id
 """
