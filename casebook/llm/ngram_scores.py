@@ -20,7 +20,7 @@ table and hands every block's counts back to it. An n-gram is one entry of a blo
 however often it occurs there, so a frequent one makes no hot key, and buckets
 multiply with the input, so that a bucket's part of the table stays of one size. The
 tables hold every n-gram; nothing is cut off. A block has millions of n-grams, so a
-packed row holds at least a hundred of them up to 1 TB of text and some ten at 10 TB.
+packed row holds some hundred of them at 100 GB of text and some ten at 1 TB.
 """
 
 from __future__ import annotations
@@ -41,42 +41,44 @@ UNSEEN = 0.5
 #: Longest n-gram of the registered model.
 ORDER = 3
 #: Bytes of text in a block; a task holds one block's n-grams at a time.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes of text for each bucket, so that a bucket's entries fit in a task; and the fewest buckets.
-BUCKET_BYTES, MIN_BUCKETS, MAX_BUCKETS = 16 << 20, 64, 1 << 24
+BUCKET_BYTES, MIN_BUCKETS, MAX_BUCKETS = 8 << 20, 64, 1 << 24
 #: Hashes are cut to this many bits to pack well.
 HASH_BITS = 56
 
 GRAMS = "block long, bucket int, grams binary, counts binary"
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, so that the upper planes compress to little: width, length, compressed planes."""
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return bytes([width]) + len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def _wide(data: bytes) -> np.ndarray:
+    width, size = data[0], int.from_bytes(data[1:9], "little")
+    wide = np.zeros((size // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(pa.decompress(data[9:], size, "zstd"), np.uint8).reshape(width, -1).T
+    return wide.reshape(-1)
+
+
 def pack(values: np.ndarray) -> bytes:
-    """Sorted numbers as differences, byte plane by byte plane: a length, a width, the planes."""
-    steps = np.diff(values, prepend=np.uint64(0))
-    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
-    planes = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
-    return bytes([width]) + planes.tobytes()
+    """Sorted numbers as their differences."""
+    return _planes(np.diff(values, prepend=np.uint64(0)))
 
 
 def unpack(data: bytes) -> np.ndarray:
-    width = data[0]
-    planes = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
-    wide = np.zeros((planes.shape[1], 8), np.uint8)
-    wide[:, :width] = planes.T
-    return np.cumsum(wide.reshape(-1).view("<u8"), dtype=np.uint64)
+    return np.cumsum(_wide(data).view("<u8"), dtype=np.uint64)
 
 
 def pack_counts(values: np.ndarray) -> bytes:
-    """Small numbers: byte planes as well, so that the upper ones compress to nothing."""
-    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
-    return bytes([width]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return _planes(values)
 
 
 def unpack_counts(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
-    wide = np.zeros((planes.shape[1], 8), np.uint8)
-    wide[:, : data[0]] = planes.T
-    return wide.reshape(-1).view("<i8")
+    return _wide(data).view("<i8")
 
 
 def grams_of(column: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -213,12 +215,22 @@ def ngram_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     def scored(key: object, own: pa.Table, counts: pa.Table) -> pa.Table:
         parts = _opened(own.column("docs")[0].as_buffer())
-        grams = np.unique(_all_grams(parts, order))
+        found = [grams_of(part.column("text"), order) for part in parts]
+        values = np.concatenate([g for of_part, _ in found for g in of_part])
+        there = np.flatnonzero(values)
+        grams, inverse = np.unique(values[there], return_inverse=True)
+        # Each n-gram's place in the block's table, -1 for none, cut into parts and lengths again.
+        places = np.full(len(values), -1, np.int64)
+        places[there] = inverse
+        places = np.split(places, np.cumsum([len(g) for of_part, _ in found for g in of_part])[:-1])
         ends = np.searchsorted(grams >> shift, np.arange(buckets + 1))
         tally = np.zeros(len(grams), np.int64)
         for b, c in zip(counts.column("bucket").to_pylist(), counts.column("counts").to_pylist(), strict=True):
             tally[ends[b] : ends[b + 1]] = unpack_counts(c)
-        return pa.Table.from_batches([_score(part, grams, tally, total, order) for part in parts])
+        return pa.Table.from_batches([
+            _score(part, places[i * order : (i + 1) * order], offsets, tally, total)
+            for i, (part, (_, offsets)) in enumerate(zip(parts, found, strict=True))
+        ])
 
     return (
         blocks.select("block", "docs")
@@ -228,30 +240,28 @@ def ngram_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     )
 
 
-def _others(values: np.ndarray, doc: np.ndarray, grams: np.ndarray, tally: np.ndarray) -> np.ndarray:
+def _others(places: np.ndarray, doc: np.ndarray, tally: np.ndarray) -> np.ndarray:
     """Occurrences in all other documents; 0 where there is no n-gram."""
-    out = np.zeros(len(values), np.int64)
-    there = np.flatnonzero(values)
-    place = np.searchsorted(grams, values[there])
+    out = np.zeros(len(places), np.int64)
+    there = np.flatnonzero(places >= 0)
     # Places fit in 40 bits and a slice's documents in 23.
-    both = (doc[there] << 40) | place
+    both = (doc[there] << 40) | places[there]
     known, counts = np.unique(both, return_counts=True)
-    out[there] = tally[place] - counts[np.searchsorted(known, both)]
+    out[there] = tally[places[there]] - counts[np.searchsorted(known, both)]
     return out
 
 
-def _score(part: pa.RecordBatch, grams: np.ndarray, tally: np.ndarray, total: int, order: int) -> pa.RecordBatch:
-    found, offsets = grams_of(part.column("text"), order)
+def _score(part: pa.RecordBatch, places: list[np.ndarray], offsets: np.ndarray, tally: np.ndarray, total: int) -> pa.RecordBatch:
     n_words = np.diff(offsets)
     doc = np.repeat(np.arange(len(n_words)), n_words)
-    count = _others(found[0], doc, grams, tally)
+    count = _others(places[0], doc, tally)
     value = np.log(np.maximum(count, UNSEEN)) - np.log(np.maximum(total - n_words, 1)[doc])
     backed = np.zeros(len(doc), bool)
-    for longer in found[1:]:
+    for longer in places[1:]:
         # The n-gram's first words are the shorter n-gram that ends one word earlier.
         before = np.concatenate([[1], count[:-1]])[: len(count)]
-        count = _others(longer, doc, grams, tally)
-        there = longer > 0
+        count = _others(longer, doc, tally)
+        there = longer >= 0
         backed = np.where(there, count <= 0, backed)
         ratio = np.log(np.maximum(count, 1)) - np.log(np.maximum(before, 1))
         value = np.where(there, np.where(count > 0, ratio, value + np.log(BACKOFF)), value)
