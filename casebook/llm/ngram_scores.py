@@ -44,6 +44,8 @@ ORDER = 3
 BLOCK_BYTES = 8 << 20
 #: Bytes of text for each bucket, so that a bucket's entries fit in a task; and the fewest buckets.
 BUCKET_BYTES, MIN_BUCKETS, MAX_BUCKETS = 8 << 20, 64, 1 << 24
+#: Compression of the texts, which are written and shuffled once.
+TEXT_LEVEL = 9
 #: Hashes are cut to this many bits to pack well.
 HASH_BITS = 56
 
@@ -114,9 +116,9 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, list
 def _closed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     """A block as one row: its documents as a compressed Arrow stream."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
-        for part in parts:
-            stream.write_batch(part)
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=TEXT_LEVEL))
+    with pa.ipc.new_stream(sink, parts[0].schema, options=options) as stream:
+        stream.write_table(pa.Table.from_batches(parts).combine_chunks())
     texts = [t for part in parts for t in part.column("text").to_pylist()]
     sizes = [pa.array([x], pa.int64()) for x in (sum(len(t.encode()) for t in texts), sum(len(t.encode().split(None)) for t in texts))]
     return pa.RecordBatch.from_arrays([*sizes, pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["n_bytes", "n_words", "docs"])
