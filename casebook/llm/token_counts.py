@@ -65,14 +65,17 @@ class Rollup:
         rows = self._read("deltas", DELTA).groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS))
         return rows.where("n_docs <> 0 or n_tokens <> 0 or n_chars <> 0")
 
-    def commit(self, batch_id: str, changes: DataFrame) -> bool:
+    def commit(self, batch_id: str, changes: DataFrame, unnamed: DataFrame | None = None) -> bool:
         """Apply a batch of changes (see CHANGE) once; False if the id is committed already.
 
         `insert` and `revise` set a document's row whether it was there or not, so
         neither can be counted twice; `delete` of an unknown document does nothing.
-        Of several changes to a document in a batch the last by `op` order
-        (delete, insert, revise), then by the largest counts, holds; equal ones are one. Rows
+        Of several changes to a document in a batch that with the largest `seq` holds
+        (a bigint column that may be left out; null comes first). Of equal `seq` a delete
+        holds, then the larger op, then the larger counts; equal changes are one. Rows
         with a null doc_id, tokenizer or an unknown op are an error. Null sources and languages are groups of their own.
+        `unnamed` are documents without an id (source, lang, tokenizer, n_tokens, n_chars):
+        each row adds to the totals, and no later change can name it.
         """
         done = self.committed()
         if batch_id in done:
@@ -80,18 +83,18 @@ class Rollup:
         if not batch_id or not all(c.isalnum() or c in "-_." for c in batch_id):
             raise ValueError("a batch id is made of letters, digits and -_.")
         number = max(done.values(), default=0) + 1
-        new = changes.selectExpr(*(f"cast({c.split()[0]} as {c.split()[1]}) {c.split()[0]}" for c in CHANGE.split(", ")))
+        new = changes.selectExpr(*(f"cast({c.split()[0]} as {c.split()[1]}) {c.split()[0]}" for c in CHANGE.split(", ")), f"cast({'seq' if 'seq' in changes.columns else 0} as bigint) seq")
         checked = F.when(
             F.col("doc_id").isNull() | F.col("tokenizer").isNull() | ~F.coalesce(F.col("op").isin("insert", "delete", "revise"), F.lit(False)),
             F.raise_error(F.lit("a change needs doc_id, tokenizer and a known op")),
         ).otherwise(F.col("op"))
-        last = F.max(F.struct(F.col("op"), F.col("n_tokens"), F.col("n_chars"), F.col("source"), F.col("lang"))).alias("c")
+        last = F.max(F.struct("seq", (F.col("op") == "delete").alias("gone"), "op", "n_tokens", "n_chars", "source", "lang")).alias("c")
         new = new.withColumn("op", checked).groupBy("doc_id", "tokenizer").agg(last)
         old = self.entries().select(
             "doc_id", "tokenizer", F.struct("source", "lang", "n_tokens", "n_chars").alias("was")
         )
         both = written(new.join(old, ["doc_id", "tokenizer"], "left"), "changes")
-        gone = F.col("c.op") == "delete"
+        gone = F.col("c.gone")
         name = f"{number}-{batch_id}"
         both.where(~gone | F.col("was").isNotNull()).select(
             "doc_id", "c.source", "c.lang", "tokenizer", "c.n_tokens", "c.n_chars", gone.alias("gone"), F.lit(number).alias("batch")
@@ -100,7 +103,10 @@ class Rollup:
             "was.source", "was.lang", "tokenizer", F.lit(-1).alias("sign"), "was.n_tokens", "was.n_chars"
         )
         plus = both.where(~gone).select("c.source", "c.lang", "tokenizer", F.lit(1).alias("sign"), "c.n_tokens", "c.n_chars")
-        minus.union(plus).groupBy(*KEYS).agg(
+        signed = minus.union(plus)
+        if unnamed is not None:
+            signed = signed.union(unnamed.select("source", "lang", "tokenizer", F.lit(1).alias("sign"), "n_tokens", "n_chars"))
+        signed.groupBy(*KEYS).agg(
             F.sum("sign").cast("long").alias("n_docs"),
             F.sum(F.col("sign") * F.col("n_tokens")).cast("long").alias("n_tokens"),
             F.sum(F.col("sign") * F.col("n_chars")).cast("long").alias("n_chars"),
@@ -149,11 +155,12 @@ def token_rollup(docs: DataFrame, labels: DataFrame) -> DataFrame:
     3. documents labelled toxic are deleted. This batch is sent again and changes nothing.
 
     Null texts count as empty. Repeated rows of a document are one document (that with
-    the larger counts); rows with a null doc_id belong to no document and are left out. An empty table
+    the larger counts); each row with a null doc_id is a document of its own. An empty table
     has no totals.
     """
     spark = docs.sparkSession
-    rows = written(counted(docs.where("doc_id is not null")), "counts")
+    all_rows = written(counted(docs), "counts")
+    rows, unnamed = all_rows.where("doc_id is not null"), all_rows.where("doc_id is null")
     flags = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.max(F.col("quality") == 0).alias("poor"), F.max(F.col("toxic") == 1).alias("toxic")
     )
@@ -162,7 +169,7 @@ def token_rollup(docs: DataFrame, labels: DataFrame) -> DataFrame:
     change = lambda df, op, tokens, chars: df.select(
         "doc_id", F.lit(op).alias("op"), "source", "lang", "tokenizer", F.col(tokens).alias("n_tokens"), F.col(chars).alias("n_chars")
     )
-    rollup.commit("insert", change(rows, "insert", "n_tokens", "n_chars"))
+    rollup.commit("insert", change(rows, "insert", "n_tokens", "n_chars"), unnamed)
     rollup.commit("revise", change(flagged.where("poor"), "revise", "clean_tokens", "clean_chars"))
     taken_down = change(flagged.where("toxic"), "delete", "n_tokens", "n_chars")
     rollup.commit("delete", taken_down)

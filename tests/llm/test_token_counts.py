@@ -48,7 +48,7 @@ def test_batch_that_died_is_written_over(spark):
 def test_repeated_and_wrong_changes(spark):
     rollup = Rollup(spark, fresh_path(spark, "rollup"))
     row = (1, "insert", "s", "en", "v1", 10, 100)
-    rollup.commit("a", change(spark, row, row, (1, "revise", "s", "en", "v1", 4, 40), (1, "delete", "s", "en", "v1", 4, 40)))
+    rollup.commit("a", change(spark, row, row, (1, "revise", "s", "en", "v1", 4, 40)))
     assert totals(rollup) == {("s", "en", "v1"): (1, 4, 40)}
     for bad in [(None, "insert", "s", "en", "v1", 1, 1), (1, "upsert", "s", "en", "v1", 1, 1), (1, "insert", "s", "en", None, 1, 1)]:
         with pytest.raises(Exception, match="a change needs"):
@@ -58,16 +58,35 @@ def test_repeated_and_wrong_changes(spark):
         rollup.commit("../x", change(spark, row))
 
 
+def test_the_last_change_of_a_batch_holds(spark):
+    rollup = Rollup(spark, fresh_path(spark, "rollup"))
+    ordered = lambda *rows: spark.createDataFrame(rows, f"{CHANGE}, seq bigint")
+    assert rollup.commit("a", change(spark, *((i, "insert", "s", "en", "v1", 10, 100) for i in range(4))))
+    assert rollup.commit("b", ordered(
+        (0, "revise", "s", "en", "v1", 7, 70, 1), (0, "delete", None, None, "v1", None, None, 2),  # gone
+        (1, "delete", None, None, "v1", None, None, 1), (1, "insert", "t", "en", "v1", 3, 30, 2),  # set again
+        (2, "revise", "s", "en", "v1", 5, 50, 9), (2, "delete", None, None, "v1", None, None, 9),  # a tie: gone
+        (3, "delete", None, None, "v1", None, None, None), (3, "revise", "s", "en", "v1", 1, 9, 0),  # null comes first
+    ))
+    assert totals(rollup) == {("t", "en", "v1"): (1, 3, 30), ("s", "en", "v1"): (1, 1, 9)}
+    # Without the column all changes of a batch are of one moment.
+    assert rollup.commit("c", change(spark, (1, "revise", "t", "en", "v1", 4, 40), (1, "delete", "t", "en", "v1", 4, 40)))
+    assert totals(rollup) == {("s", "en", "v1"): (1, 1, 9)}
+    nameless = spark.createDataFrame([("s", "en", "v1", 2, 20)] * 2, "source string, lang string, tokenizer string, n_tokens bigint, n_chars bigint")
+    assert rollup.commit("d", change(spark), nameless) and not rollup.commit("d", change(spark), nameless)
+    assert totals(rollup) == {("s", "en", "v1"): (3, 5, 49)}
+
+
 def brute(docs, labels):
     library = sentencepiece.SentencePieceProcessor(model_file=default_model())
     poor = {r.doc_id for r in labels if r.quality == 0}
     toxic = {r.doc_id for r in labels if r.toxic == 1}
     out = {}
     for r in docs:
-        if r.doc_id is None or r.doc_id in toxic:
+        if r.doc_id is not None and r.doc_id in toxic:
             continue
         text = r.text or ""
-        if r.doc_id in poor:
+        if r.doc_id is not None and r.doc_id in poor:
             text = re.sub(r"[#$%&*|!]+", "", text)
         total = out.setdefault((r.source, r.lang, "piece_bpe_32k"), Counter())
         total.update(n_docs=1, n_tokens=len(library.encode(text)), n_chars=len(text))
