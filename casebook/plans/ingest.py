@@ -11,7 +11,7 @@ from casebook.plans import sql as S
 from casebook.session import fresh_path
 from casebook.sources.collection import missing_chunks, open_collection, write_collection
 from casebook.sources.requests import decode_requests, mark_rejects
-from casebook.sources.source_map import explode_map
+from casebook.sources.source_map import explode_map, explode_variant
 
 
 def load_documents(spark, folder):
@@ -27,6 +27,16 @@ def json_map_explode(spark, folder):
     )
 
 
+# A payload of mixed types whose first key is data; the same text in Spark and DuckDB.
+PAYLOAD = """concat('{"', event_type, '":', replace(props, ' ', ''), ',"user":"u', user_id, '","even":', user_id % 2 = 0,
+                ',"parts":[', user_id, ',"', event_id % 3, '"],"none":null}')"""
+
+
+def json_variant_explode(spark, folder):
+    payloads = inputs.events(spark, folder).select("user_id", F.expr(PAYLOAD).alias("payload"))
+    return explode_variant(payloads, ["user_id"], "payload")
+
+
 def chunk_recursive(spark, folder):
     return chunk_documents(inputs.documents(spark, folder)).drop("n_chars", "chunk_id")
 
@@ -70,6 +80,14 @@ QUERIES = {
         f"""SELECT DISTINCT user_id, e.key AS title, (e.value::VARCHAR)::BIGINT AS number
             FROM events, json_each(props::JSON) e""",
     ),
+    "json_variant_explode": (
+        json_variant_explode,
+        f"""SELECT DISTINCT user_id, e.key,
+              CASE e.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string'
+                WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind,
+              CASE WHEN e.type <> 'NULL' THEN e.value ->> '$' END AS value
+            FROM (SELECT user_id, {PAYLOAD} AS payload FROM events) p, json_each(payload::JSON) e""",
+    ),
     "chunk_recursive": (chunk_recursive, f"WITH RECURSIVE {S.CHUNKS} SELECT * EXCLUDE (chunk_id) FROM chunks"),
     "chunk_fixed": (
         chunk_fixed,

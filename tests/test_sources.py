@@ -9,7 +9,7 @@ from casebook.operators.indexing import chunk_documents
 from casebook.sources.collection import append_collection, open_collection, write_collection
 from casebook.sources.documents import load_documents, load_text_pages
 from casebook.sources.requests import decode_requests, mark_rejects, read_split, write_split
-from casebook.sources.source_map import read_source_map
+from casebook.sources.source_map import explode_variant, read_source_map
 
 
 def test_load_documents_drops_blank(spark, tmp_path):
@@ -120,3 +120,23 @@ def test_intermediate_tables_are_removed(spark, monkeypatch):
     assert session.remove_intermediate(spark) == 1 and session.remove_intermediate(spark) == 0
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     assert not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def test_objects_of_unknown_keys_and_types(spark):
+    texts = [
+        '{"a": 1, "b": "x", "c": [1, "y", null], "d": {"e": {}}, "f": null, "g": true, "h": 1.50, "": "", "i": 1e400}',
+        '{"a": "1", "b": 2}',
+        '{"a": "1", "b": 2}',
+        "[1, 2]", '"text"', "3", "null", "{}", "", "no json", '{"a": 1, "a": 2}', None,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, j string").withColumn("one", F.lit(1))
+    got = {(r.id, r.key): (r.kind, r.value) for r in explode_variant(df.where("id > 0"), ["id"], "j").collect()}
+    assert got == {(i, k): v for i in (1, 2) for k, v in {"a": ("string", "1"), "b": ("number", "2")}.items()}
+    # Repeated rows are one.
+    assert explode_variant(df.where("id in (1, 2)"), ["one"], "j").count() == 2
+    first = df.withColumn("j", F.replace("j", F.lit(', "i": 1e400'), F.lit("")))
+    assert {(r.key, r.kind, r.value) for r in explode_variant(first.where("id = 0"), ["id"], "j").collect()} == {
+        ("a", "number", "1"), ("b", "string", "x"), ("c", "array", '[1,"y",null]'), ("d", "object", '{"e":{}}'),
+        ("f", "null", None), ("g", "boolean", "true"), ("h", "number", "1.5"), ("", "string", ""),
+    }
+    assert explode_variant(df.where("id < 0"), ["id"], "j").count() == 0
