@@ -4,7 +4,8 @@ Filters of several widths slide over fixed windows of bytes (A-Z in lower case),
 each filter's largest value in the window is kept (max pooling), and a softmax
 layer turns these into language probabilities. The network is trained in NumPy on
 the driver, on a bounded sample of labelled documents: at most `PER_LANGUAGE`
-documents of a language, those with the smallest hash of their id. Prediction
+documents of a language, fewer where `SAMPLE_DOCS` are shared by many languages,
+those with the smallest hash of their id. Prediction
 runs over all windows of every text; a text's probabilities are the mean over its
 windows, weighted by their length.
 """
@@ -20,14 +21,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casebook.llm.batches import ASCII_LOWER, raw, slices
+from casebook.session import written
 
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 #: Bytes in a window; windows overlap by the widest filter less one.
 WINDOW = 256
 STEP = WINDOW - max(WIDTHS) + 1
-#: Bounds of the training sample: documents of a language, languages, characters of a document.
-PER_LANGUAGE, MAX_LANGUAGES, SAMPLE_CHARS = 400, 200, 2048
+#: Bounds of the training sample: documents of a language, documents in all (at least one of each language),
+#: characters of a document.
+PER_LANGUAGE, SAMPLE_DOCS, SAMPLE_CHARS = 400, 80_000, 2048
+#: Parts that a language's documents are dealt into before its smallest hashes are picked.
+SALTS = 64
 EPOCHS, MINIBATCH, RATE, SEED = 6, 64, 0.01, 7
 #: Windows handled at once.
 BLOCK = 128
@@ -82,6 +87,7 @@ def train(texts: list[str], labels: list[str]) -> Network | None:
     languages = sorted(set(labels))
     if not languages:
         return None
+    number = {name: n for n, name in enumerate(languages)}
     rng = np.random.default_rng(SEED)
     rows, y = [], []
     for text, label in zip(texts, labels, strict=True):
@@ -93,7 +99,7 @@ def train(texts: list[str], labels: list[str]) -> Network | None:
             piece = data[start : start + size]
             row[: len(piece)] = piece
             rows.append(row)
-            y.append(languages.index(label))
+            y.append(number[label])
     x, y = np.array(rows), np.array(y)
     n = FILTERS * len(WIDTHS)
     net = Network(
@@ -147,20 +153,20 @@ def _gradients(net: Network, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
 def sample(docs: DataFrame, may_learn: Column) -> tuple[list[str], list[str]]:
     """The training texts and their languages: a stretch of each sampled document, at a place set by its id's hash."""
     labelled = docs.where(may_learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        labelled.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= PER_LANGUAGE)
-    ).select("doc_id", "lang")
-    ids = chosen.limit(PER_LANGUAGE * MAX_LANGUAGES + 1).collect()
-    if len(ids) > PER_LANGUAGE * MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not ids:
+    languages = labelled.select("lang").distinct().count()
+    if not languages:
         return [], []
-    few = docs.sparkSession.createDataFrame(ids, chosen.schema).distinct()
+    most = min(PER_LANGUAGE, max(1, SAMPLE_DOCS // languages))
+    # A frequent language is first cut within its salts, so that no task sees more than SALTS * most of its rows at the end.
+    few = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("order"), F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.lit(SALTS)).alias("salt"))
+    for keys in (["lang", "salt"], ["lang"]):
+        window = Window.partitionBy(*keys).orderBy("order", "doc_id")
+        few = few.withColumn("place", F.row_number().over(window)).where(F.col("place") <= most).drop("place")
+    few = written(few.select("doc_id", "lang").distinct(), "language-sample")
     room = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))
     stretch = F.substring(F.col("text"), F.pmod(F.xxhash64("doc_id", F.lit("place")), room).cast("int") + 1, F.lit(SAMPLE_CHARS))
     rows = (
-        labelled.join(F.broadcast(few), ["doc_id", "lang"])
+        labelled.join(few, ["doc_id", "lang"])
         .where(F.col("text").rlike(r"\p{L}"))
         .select("doc_id", "lang", stretch.alias("text"))
         .collect()
