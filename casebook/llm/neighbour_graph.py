@@ -10,8 +10,8 @@ is new to the node are compared. It ends when few neighbours change.
 *Searching.* A query keeps a beam of its nearest nodes so far. Each round joins the
 beam's nodes that were not yet expanded with the graph, measures their neighbours,
 and merges them into the beam, until none is left to expand. A query that is itself
-a row starts at its own node, others at a few fixed ones. Queries go in blocks of
-`QUERY_BLOCK`, so that their vectors can be broadcast. At the end distances are
+a row starts at its own node, others at a few fixed ones. All queries walk in the
+same rounds, their vectors joined to the pairs by query. At the end distances are
 measured again on the original vectors in double precision.
 """
 
@@ -36,8 +36,7 @@ SAMPLE = 12
 PROPOSALS = 8
 ROUNDS, SETTLED = 10, 0.02
 TREES, LEAF = 4, 128
-BEAM, ENTRIES, QUERY_BLOCK = 320, 48, 4096
-MAX_SEARCH_ROUNDS = 60
+BEAM, ENTRIES = 320, 48
 SEED = 5
 
 #: Squares below this share of the rows' own lose digits in the product form.
@@ -282,44 +281,47 @@ def neighbour_graph(nodes: DataFrame, kind: str, n: int) -> DataFrame:
     return both.groupBy("node").agg(F.collect_set("other").alias("others"))
 
 
+def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distance of each row of `a` from the same row of `b`, in double precision."""
+    with np.errstate(over="ignore"):
+        diff = a.astype(np.float64) - b.astype(np.float64)
+    top = np.abs(diff).max(axis=1, initial=0)
+    step = np.where((top > 1e100) & np.isfinite(top), np.frexp(top)[1], 0)  # squares would leave the range
+    diff = np.ldexp(diff, -step[:, None])
+    with np.errstate(over="ignore"):
+        return np.ldexp(np.sqrt((diff * diff).sum(axis=1)), step)
+
+
 def _search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, kind: str) -> DataFrame:
     """(query_id, node, d): the beam of each query (query_id, node or null, vec) at the end of its walk."""
-    spark = queries.sparkSession
-    rows = queries.select("query_id", "vec").collect()  # at most QUERY_BLOCK
-    places = {r.query_id: i for i, r in enumerate(rows)}
-    matrix = np.frombuffer(b"".join(bytes(r.vec) for r in rows), kind).reshape(len(rows), -1).astype(np.float64)
-    shared = spark.sparkContext.broadcast((places, matrix))
+    asked = queries.select("query_id", F.col("vec").alias("here"))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, matrix = shared.value
         for batch in batches:
             for k in range(0, batch.num_rows, 2048):
                 part = batch.slice(k, 2048)
-                at = np.array([places[q] for q in part.column("query_id").to_pylist()], np.int64)
-                x = _matrix(part.column("vec"), kind)
-                d = np.sqrt(((matrix[at] - x) ** 2).sum(axis=1)) if len(at) else np.zeros(0)
+                d = _lengths(_matrix(part.column("here"), kind), _matrix(part.column("vec"), kind)) if part.num_rows else np.zeros(0)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("query_id"), part.column("node"), pa.array(d)], names=["query_id", "node", "d"]
                 )
 
     def with_distance(pairs: DataFrame) -> DataFrame:
-        found = pairs.join(nodes.select("node", "vec"), "node").select("query_id", "node", "vec")
+        found = pairs.join(asked, "query_id").join(nodes.select("node", "vec"), "node").select("query_id", "node", "here", "vec")
         return found.mapInArrow(measured, "query_id long, node long, d double").withColumn("done", F.lit(False))
 
     entries = nodes.select("node").orderBy(F.xxhash64("node"), "node").limit(ENTRIES)
-    # A fixed number of entries against a block of queries.
+    # A fixed number of entries against the queries.
     few = [r.node for r in entries.collect()]
     starts = queries.select("query_id", F.explode(F.array(*map(F.lit, few))).alias("node"))
     own = queries.where("node is not null").select("query_id", "node")
     beam = written(_best(with_distance(starts.union(own).distinct())), "beam")
-    for _ in range(MAX_SEARCH_ROUNDS):
+    while True:  # every round expands nodes that stay expanded, so it ends
         open_ = beam.where("not done").select("query_id", "node")
         if not open_.limit(1).count():
             return beam
         reached = open_.join(graph, "node").select("query_id", F.explode("others").alias("node")).distinct()
         fresh = reached.join(beam.select("query_id", "node"), ["query_id", "node"], "left_anti")
         beam = written(_best(beam.withColumn("done", F.lit(True)).union(with_distance(fresh))), "beam")
-    raise RuntimeError("the search does not settle")
 
 
 def _best(rows: DataFrame) -> DataFrame:
@@ -354,15 +356,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     queries = written(
         rows.where(is_query).select(F.col("vec_id").alias("query_id"), "vec").join(nodes.select("node", "vec"), "vec").select("query_id", "node", "vec"), "queries"
     )
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    out = None
-    for b in range(2 * blocks if blocks > 1 else 1):  # hashed blocks differ in size, so twice as many
-        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks)) == b) if blocks > 1 else queries
-        beam = _search(block, nodes, graph, kind) if block.limit(1).count() else None
-        if beam is not None:
-            found = _exact(beam, block, nodes, kind, k)
-            out = found if out is None else out.union(found)
-    return out if out is not None else spark.createDataFrame([], result)
+    return _exact(_search(queries, nodes, graph, kind), queries, nodes, kind, k)
 
 
 def _exact(beam: DataFrame, queries: DataFrame, nodes: DataFrame, kind: str, k: int) -> DataFrame:
@@ -372,9 +366,7 @@ def _exact(beam: DataFrame, queries: DataFrame, nodes: DataFrame, kind: str, k:
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a = _matrix(batch.column("here"), kind).astype(np.float64)
-            b = _matrix(batch.column("there"), kind).astype(np.float64)
-            d = np.sqrt(((a - b) ** 2).sum(axis=1))
+            d = _lengths(_matrix(batch.column("here"), kind), _matrix(batch.column("there"), kind)) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("ids"), pa.array(d)], names=["query_id", "ids", "score"])
 
     found = rows.select("query_id", "ids", "here", "there").mapInArrow(measured, "query_id long, ids array<long>, score double")

@@ -87,3 +87,11 @@ def test_recall_at_any_scale(spark, case):
         # Of equally far ones any counts.
         found += min(NEIGHBOURS, sum(d[j] <= np.sort(d)[NEIGHBOURS - 1] for j in graph[i]))
     assert found / (len(kept) * NEIGHBOURS) >= 0.95
+
+
+def test_distances_beyond_the_range_of_squares(spark):
+    x = [[1e200, 0.0], [1.1e200, 0.0], [3e200, 0.0], [0.0, 1e200], [1e-3, 2.0]]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = by_query(nearest(rows, F.col("vec_id") == 0).collect())[0]
+    assert [v for v, _ in got] == [1, 4, 3, 2]
+    assert np.allclose([s for _, s in got], [1e199, 1e200, 2**0.5 * 1e200, 2e200], rtol=1e-12)
