@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from casebook import fixed_values as V
 from casebook.functions.labels import blended_text, illustration as illustrate, tone_label as label
 from casebook.operators.faq import answer_requests, match_faq
+from casebook.operators.keywords import match_keywords
 from casebook.plans import inputs
 from casebook.plans import sql as S
 from casebook.sources.requests import decode_requests, mark_rejects
@@ -21,6 +22,25 @@ def faq_match(spark, folder):
     return matched.select("doc_id", F.col("faq_no").cast("bigint").alias("faq_no"), "keyword")
 
 
+def keyword_table(spark, folder):
+    """Words of four letters and more, and pairs of neighbouring words, of the benchmark, placed by item and position."""
+    words = inputs.table(spark, folder, "benchmark").select("item_id", F.split(F.lower("text"), " ").alias("w"))
+    each = words.select("item_id", "w", F.posexplode("w").alias("i", "word"))
+    place = F.col("item_id") * 100000 + F.col("i") * 2
+    pair = F.concat_ws(" ", "word", F.get("w", F.col("i") + 1))
+    singles = each.where(F.length("word") >= 4).select(place.alias("place"), F.col("word").alias("keyword"))
+    return singles.unionByName(each.where(F.col("i") + 1 < F.size("w")).select((place + 1).alias("place"), pair.alias("keyword")))
+
+
+def faq_match_many(spark, folder):
+    """Every document against the benchmark's keywords: how many it contains, and the first declared one (-1, null: none)."""
+    matched = match_keywords(inputs.documents(spark, folder), keyword_table(spark, folder), "text")
+    first = F.get("found", F.lit(0))
+    return matched.select(
+        "doc_id", F.size("found").cast("bigint").alias("keywords"), F.coalesce(first["place"], F.lit(-1)).alias("faq_no"), first["keyword"].alias("keyword")
+    )
+
+
 def tone_blend(spark, folder):
     text = blended_text(F.col("character"), F.col("tone"), F.lit("L"), F.lit("N"))
     return _requests(spark, folder).select("doc_id", "character", "tone", text.alias("text"))
@@ -82,6 +102,20 @@ QUERIES = {
             SELECT doc_id, faq_no::BIGINT AS faq_no, keyword
             FROM (SELECT doc_id, {S.faq_position('text')} AS faq_no FROM docs) JOIN faq USING (faq_no)""",
     ),
+    "faq_match_many": (
+        faq_match_many,
+        f"""WITH {S.DOCS},
+            w AS (SELECT item_id, string_split(lower(text), ' ') AS w FROM benchmark),
+            e AS (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+            k AS (SELECT keyword, min(place) AS place FROM (
+                    SELECT item_id * 100000 + (i - 1) * 2 AS place, w[i] AS keyword FROM e WHERE length(w[i]) >= 4
+                    UNION ALL SELECT item_id * 100000 + (i - 1) * 2 + 1, w[i] || ' ' || w[i + 1] FROM e WHERE i < len(w))
+                  GROUP BY keyword),
+            m AS (SELECT d.doc_id, count(*) AS keywords, min(place) AS faq_no, arg_min(keyword, place) AS keyword
+                  FROM (SELECT doc_id, lower(text) AS low FROM docs) d JOIN k ON contains(d.low, k.keyword) GROUP BY 1)
+            SELECT doc_id, coalesce(keywords, 0)::BIGINT AS keywords, coalesce(faq_no, -1)::BIGINT AS faq_no, keyword
+            FROM docs LEFT JOIN m USING (doc_id)""",
+    ),
     "tone_blend": (
         tone_blend,
         f"WITH {S.REQUESTS} SELECT doc_id, character, tone, {_blend(chr(39) + 'L' + chr(39), chr(39) + 'N' + chr(39))} AS text FROM requests",

@@ -10,6 +10,7 @@ from casebook.plans import inputs
 from casebook.plans import sql as S
 from casebook.session import fresh_path
 from casebook.sources.collection import missing_chunks, open_collection, write_collection
+from casebook.sources.replacing import index_documents, open_replacing
 from casebook.sources.requests import decode_requests, mark_rejects
 from casebook.sources.source_map import explode_map, explode_variant
 
@@ -62,6 +63,16 @@ def index_incremental(spark, folder):
     return new.select("doc_id", "page", "chunk_no", "text", "lang")
 
 
+def index_changed(spark, folder):
+    """Index all documents, then a later state of the source: odd ones revised, every seventh gone."""
+    docs = inputs.documents(spark, folder)
+    target = fresh_path(spark, "replacing")
+    index_documents(docs, target)
+    revised = F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("Revised. "), "text")).otherwise(F.col("text"))
+    index_documents(docs.withColumn("text", revised).where("doc_id % 7 <> 0"), target)
+    return open_replacing(spark, target).select("doc_id", "page", "chunk_no", "text", "lang", "run")
+
+
 def request_defaults(spark, folder):
     return decode_requests(inputs.request_payloads(spark, folder))
 
@@ -73,7 +84,15 @@ def reject_split(spark, folder):
     )
 
 
+REVISED = S.DOCS.replace("SELECT *", "SELECT * REPLACE (CASE WHEN doc_id % 2 = 1 THEN 'Revised. ' || text ELSE text END AS text)")
+
 QUERIES = {
+    "index_changed": (
+        index_changed,
+        f"""WITH RECURSIVE {S.CHUNKS.replace(S.DOCS, REVISED + " ", 1)}
+            SELECT doc_id, page, chunk_no, text, lang, CASE WHEN doc_id % 2 = 1 THEN 2 ELSE 1 END::BIGINT AS run
+            FROM chunks WHERE doc_id % 7 <> 0""",
+    ),
     "load_documents": (load_documents, f"WITH {S.DOCS} SELECT *, 0::BIGINT AS page FROM docs"),
     "json_map_explode": (
         json_map_explode,

@@ -16,7 +16,7 @@ from casebook.plans import sessions as sessions_plan
 from casebook.plans import sql as S
 from casebook.schemas import EVENT, MESSAGE
 from casebook.session import fresh_path
-from casebook.streaming import badges, limits, messages, sessions
+from casebook.streaming import badges, limits, messages, sessions, updates
 
 GAP, DELAY = "6 hours", "1 hour"
 
@@ -36,6 +36,14 @@ def stream_badge_tally(spark, folder):
     return badges.read_tally(spark, target)
 
 
+def stream_badge_update(spark, folder):
+    target, checkpoint = fresh_path(spark, "updates"), fresh_path(spark, "updates-state")
+    earned = inputs.earned_badges(_stream(spark, folder, "events", EVENT))
+    with updates.rocksdb(spark):
+        updates.start_updates(earned, target, checkpoint).awaitTermination()
+    return updates.read_updates(spark, target)
+
+
 def stream_sessions(spark, folder):
     target, checkpoint = fresh_path(spark, "sessions"), fresh_path(spark, "sessions-state")
     events = _stream(spark, folder, "events", EVENT).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
@@ -95,6 +103,7 @@ def stream_session_limit(spark, folder):
 
 QUERIES = {
     "stream_session_limit": (stream_session_limit, sessions_plan.QUERIES["session_close"][1]),
+    "stream_badge_update": (stream_badge_update, f"WITH {S.TALLY} SELECT * FROM tally"),
     "stream_badge_tally": (stream_badge_tally, f"WITH {S.TALLY} SELECT * FROM tally"),
     "stream_sessions": (
         stream_sessions,

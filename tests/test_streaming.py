@@ -3,7 +3,7 @@ import random
 
 from casebook.operators.badges import tally
 from casebook.operators.messages import upsert
-from casebook.streaming import badges, messages, sessions
+from casebook.streaming import badges, messages, sessions, updates
 from casebook.streaming.table import KeyedTable
 
 EARNED = "user_id int, badge_id string, ts timestamp"
@@ -126,3 +126,34 @@ def test_upsert_equals_batch(spark, tmp_path):
     streamed = messages.read_upserted(spark, target)
     batch = upsert(df.filter("false"), df).select(*streamed.columns)
     assert sorted(streamed.collect()) == sorted(batch.collect())
+
+
+def test_updates_over_batches_restarts_and_snapshots(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(rng.randint(1, 30), rng.choice("abc"), dt.datetime(2024, 1, rng.randint(1, 28))) for _ in range(400)]
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    read = lambda: sorted(tuple(r) for r in updates.read_updates(spark, target, "timestamp").collect())
+    want = lambda n: sorted(tuple(r) for r in tally(spark.createDataFrame(rows[:n], EARNED)).collect())
+
+    def arrive(first, last):
+        spark.createDataFrame(rows[first:last], EARNED).coalesce(1).write.mode("append").parquet(source)
+        with updates.rocksdb(spark):
+            query = updates.start_updates(one_file_at_a_time(spark, EARNED, source), target, state)
+            query.awaitTermination()
+        return query
+
+    assert read() == []
+    done = 0
+    for size in (200, 100, 1, 50):
+        arrive(done, done + size)
+        done += size
+        assert read() == want(done)
+    # The batch of one event wrote one key.
+    assert 1 in [spark.read.parquet(str(p)).count() for p in (tmp_path / "out" / "changes").iterdir()]
+    assert updates.compact(spark, target, "timestamp") > 0 and read() == want(done)
+    assert updates.compact(spark, target, "timestamp") == 0
+    arrive(done, 400)
+    assert read() == want(400)
+    updates.compact(spark, target, "timestamp")
+    assert read() == want(400) and len(list((tmp_path / "out" / "snapshots").iterdir())) == 1
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) != updates.ROCKSDB
