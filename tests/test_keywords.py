@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from casebook.operators import keywords as K
@@ -32,12 +33,22 @@ def test_equals_containment(spark, monkeypatch, block):
 
 def test_long_texts_across_stretches(spark, monkeypatch):
     monkeypatch.setattr(K, "STRETCH", 7)
-    anchors = K.Anchors([(1, "needle"), (2, "zz"), (3, "q"), (4, "absent")])
+    lookup = K.Lookup([(1, "needle"), (2, "zz"), (3, "q"), (4, "absent"), (5, "a needle longer than a stretch")])
     for shift in range(9):
-        assert anchors.found("." * shift + "needle" + "." * 8 + "zz" + "." * 5 + "q") == [0, 1, 2]
-    many = K.Anchors([(i, f"prefix{i}") for i in range(5000)])
-    assert max(len(v) for v in many.of.values()) < 600
-    assert many.found("lorem " * 200_000 + "prefix4999") == sorted(i for i in range(5000) if f"prefix{i}" in "prefix4999")
+        assert lookup.found("." * shift + "needle" + "." * 8 + "zz" + "." * 5 + "q") == [0, 1, 2]
+        assert lookup.found("." * shift + "a needle longer than a stretch") == [0, 4]
+
+
+def test_many_keywords_of_one_beginning():
+    many = [(i, f"prefix{i}") for i in range(5000)]
+    lookup = K.Lookup(many)
+    assert lookup.found("lorem " * 200_000 + "prefix4999") == [i for i, word in many if word in "prefix4999"]
+
+
+def test_equal_hashes_are_checked(monkeypatch):
+    monkeypatch.setattr(K, "MIX", np.uint64(0))  # all keywords of one length meet
+    lookup = K.Lookup([(i, word) for i, word in enumerate(["abc", "xbc", "ab", "bc"])])
+    assert lookup.found("zabcz") == [0, 2, 3]
 
 
 def test_no_keywords_no_texts_and_no_shuffle_of_texts(spark):
