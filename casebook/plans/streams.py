@@ -22,11 +22,13 @@ GAP, DELAY = "6 hours", "1 hour"
 
 
 def _stream(spark, folder, name, schema):
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .parquet(folder)
-    )
+    """The stream of a table that is one file, or a folder of files."""
+    reader = spark.readStream.schema(schema)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return reader.parquet(f"{folder}/{name}.parquet")
+    # A stream reads folders only.
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def stream_badge_tally(spark, folder):

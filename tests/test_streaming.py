@@ -3,6 +3,7 @@ import random
 
 from casebook.operators.badges import tally
 from casebook.operators.messages import upsert
+from casebook.plans import streams
 from casebook.streaming import badges, messages, sessions, updates
 from casebook.streaming.table import KeyedTable
 
@@ -157,3 +158,15 @@ def test_updates_over_batches_restarts_and_snapshots(spark, tmp_path):
     updates.compact(spark, target, "timestamp")
     assert read() == want(400) and len(list((tmp_path / "out" / "snapshots").iterdir())) == 1
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) != updates.ROCKSDB
+
+
+def test_a_streamed_table_may_be_a_file_or_a_folder_of_files(spark, tmp_path):
+    rows = [(1, turn, "user", f"t{turn}") for turn in range(40)]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    whole, parts = tmp_path / "whole", tmp_path / "parts"
+    in_files(spark, table, str(parts / "conversations.parquet"))
+    whole.mkdir()
+    table.toPandas().to_parquet(whole / "conversations.parquet")
+    want = sorted((1, f"1-{turn}", turn, "user", f"revised: t{turn}") for turn in range(40))
+    for folder in (whole, parts):
+        assert sorted(map(tuple, streams.stream_log_upsert(spark, str(folder)).collect())) == want
