@@ -73,8 +73,10 @@ def live_arguments(edits: DataFrame, sessions: DataFrame) -> DataFrame:
             .select(*keys, F.lit("remove").alias("op"), F.lit(False).alias("dropped"))
         )
     )
+    # By a hash of its own: Spark leaves out a repartition by the key that the joins below have
+    # dealt by, and may then change these joins, after which a session lies in several tasks.
     survivors = (
-        early.repartition("session_id")
+        early.repartition(F.xxhash64("session_id"))
         .sortWithinPartitions("session_id", "offset_s", "event_id")
         .mapInPandas(
             _fold_prefix,

@@ -158,6 +158,29 @@ def test_argument_edits_follow_the_sequential_rule(spark, ids):
     assert got == {s: sequential_edits(e) for s, e in log.items()}
 
 
+def test_argument_edits_when_joins_become_broadcasts_at_run_time(spark):
+    rng = random.Random(5)
+    log = {
+        s: [(rng.choice(["add", "replace", "remove", "remove"]), rng.randint(1, 3), f"t{n}") for n in range(12)]
+        for s in range(2000)
+    }
+    rows = [(s, n, n, *e) for s, edits in log.items() for n, e in enumerate(edits)]
+    sessions = spark.createDataFrame([(s,) for s in log], "session_id bigint")
+    static, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = spark.conf.get(static)
+    spark.conf.set(static, "-1")
+    spark.conf.set(adaptive, "10m")
+    try:
+        result = live_arguments(spark.createDataFrame(rows, EDIT).repartition(4), sessions).collect()
+    finally:
+        spark.conf.set(static, before)
+        spark.conf.unset(adaptive)
+    got = {s: [] for s in log}
+    for r in sorted(result, key=lambda r: (r.session_id, r.added_s, r.added_by)):
+        got[r.session_id].append((r.arg_id, r.text))
+    assert got == {s: sequential_edits(e) for s, e in log.items()}
+
+
 def test_links(spark):
     toggles = [(1, "e", 1)] + [(1, "e", 2)] * 2 + [(1, "e", 3)] * 3
     links = linked_evidence(spark.createDataFrame(toggles, "session_id bigint, evidence_id string, argument_id bigint"))
