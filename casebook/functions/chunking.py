@@ -17,7 +17,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ from casebook.fixed_values import CHUNK_OVERLAP, CHUNK_SIZE
 from casebook.functions.text import STRIP_CHARS
 
 SEPARATORS = ["\n\n", "\n", " "]
+# Text that a task holds as Python strings at a time.
+SLICE_BYTES = 1 << 20
 
 
 def _windows(text: str, size: int, overlap: int) -> Iterator[str]:
@@ -73,16 +77,28 @@ def _chunks(text: str, level: int, size: int, overlap: int) -> Iterator[str]:
     yield from _merged(run, size, overlap)
 
 
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Parts of a batch of ``SLICE_BYTES`` each, and at most one longer text."""
+    sizes = pc.fill_null(pc.cast(pc.binary_length(texts), pa.int64()), 0).to_numpy()
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE_BYTES)) + 1
+    edges = [0, *cuts.tolist(), len(texts)]
+    yield from (texts.slice(lo, hi - lo) for lo, hi in zip(edges[:-1], edges[1:], strict=True) if hi > lo)
+
+
 def _of_texts(cut: Callable[[str], Iterator[str]]) -> Callable[[Column], Column]:
     """A column function that strips the chunks of a text and drops what is empty; null stays null."""
 
-    @F.pandas_udf("array<string>")
-    def chunks(texts: pd.Series) -> pd.Series:
+    def of_slice(texts: pa.Array) -> pa.Array:
         kept = [
             None if text is None else [s for c in cut(text) if (s := c.strip(STRIP_CHARS))]
-            for text in texts.astype(object).where(texts.notna(), None)
+            for text in texts.to_pylist()
         ]
-        return pd.Series(kept, dtype=object)
+        return pa.array(kept, pa.list_(pa.string()))
+
+    @F.arrow_udf("array<string>")
+    def chunks(texts: pa.Array) -> pa.Array:
+        done = [of_slice(part) for part in _slices(texts)]
+        return pa.concat_arrays(done) if done else of_slice(texts)
 
     return chunks
 

@@ -1,8 +1,10 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from casebook.functions import chunking
 from casebook.functions.chunking import fixed_chunks, recursive_chunks
 from casebook.operators.indexing import chunk_documents
 from casebook.plans import inputs
@@ -127,3 +129,12 @@ def test_long_texts_take_proportional_time():
 def test_null_text(spark):
     df = spark.createDataFrame([(1, None), (2, "a")], "id int, text string")
     assert {r.id: r.c for r in df.select("id", recursive_chunks(F.col("text")).alias("c")).collect()} == {1: None, 2: ["a"]}
+
+
+def test_a_batch_is_cut_in_slices_of_bounded_size():
+    texts = pa.array(["a" * 300_000, None, "", "é" * 900_000] * 8 + ["b" * 3_000_000])
+    parts = list(chunking._slices(texts))
+    assert pa.concat_arrays(parts).equals(texts)
+    for part in parts:
+        sizes = [len((x or "").encode()) for x in part.to_pylist()]
+        assert sum(sizes) - max(sizes) < chunking.SLICE_BYTES
