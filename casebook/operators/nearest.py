@@ -13,6 +13,7 @@ the order independent of summation order.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -246,10 +247,10 @@ def tiles(queries: DataFrame, dim: int, cosine: bool, max_numbers: int) -> Itera
         yield ids, rows
         return
     stored = written(queries.select("query_id", "vec"), "queries")
-    parts = -(-2 * stored.count() // cap)
+    # As full as the hash lets parts be; an unlucky one is cut.
+    parts = math.ceil(stored.count() / max(cap / 2, cap - 4 * math.sqrt(cap)))
     for part in range(parts):
         own = stored.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
-        # About half of the bound by the hash; an unlucky part is cut.
         ids, rows = bounded_rows(own, dim, cosine)
         for at in range(0, len(ids), cap):
             yield ids.slice(at, cap), rows[at : at + cap]

@@ -87,6 +87,12 @@ def test_single_precision_loses_no_neighbour(data, scale, offset):
     assert got == brute(m[:60], m, 20)
 
 
+def test_tiles_are_well_filled(spark):
+    queries = frame(spark, "query_id", np.random.default_rng(1).normal(size=(1000, DIM)))
+    sizes = [len(ids) for ids, _ in module_of_nearest.tiles(queries, DIM, False, 400 * DIM)]
+    assert sum(sizes) == 1000 and max(sizes) <= 400 and len(sizes) <= 4
+
+
 def test_tiles_shuffle_no_copies(spark, data, monkeypatch):
     """What a tile's scan shuffles is its hits: at most k for each query and task."""
     from casebook.operators import nearest as module
