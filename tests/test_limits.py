@@ -76,3 +76,40 @@ def test_needs_its_state_store(spark, tmp_path):
 def test_deadlines():
     assert limits.accepted([1, 5, 11, 12, 30, 50], True) == [1, 11, 30] and limits.accepted([1], False) == []
     assert limits.deadline(0, 60, [59, 69, 80]) == 80 and limits.deadline(0, 60, [60]) == 60
+
+
+def test_neighbouring_sessions_share_a_value(spark, rocksdb, tmp_path):
+    """Seconds, settings and timers of 1,280 sessions are a few values of the state store, not some of each."""
+    first = -limits.SESSIONS
+    rows = [action(s, 1000 + t, "user_message") for s in range(first, first + 1280) for t in range(5)]
+    settings = spark.createDataFrame([(s, 1, False) for s in range(first, first + 1280)], SETTINGS)
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame(rows, ACTIONS).coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(ACTIONS).parquet(source)
+    query = limits.start_limits(stream, settings, target, str(tmp_path / "state"), "10 seconds")
+    query.awaitTermination()
+    kept = max(op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"])
+    assert 0 < kept <= 4 * 1280 // limits.SESSIONS
+    spark.createDataFrame([action(-10_000, 9_000, "tick")], ACTIONS).write.mode("append").parquet(source)
+    assert run(spark, source, settings, tmp_path) == [(s, 1060, "time_up", 5, 4, 0) for s in range(first, first + 1280)]
+
+
+def test_sessions_of_a_block_close_one_by_one(spark, rocksdb, tmp_path):
+    """Against the batch form: sessions of a few blocks, in many runs, each with rows of sessions that are closed already."""
+    rng = random.Random(9)
+    ids = [*range(-70, -50), *range(50, 70), 2**40, 2**40 + 1]
+    start = {s: rng.randrange(1, 900) for s in ids}
+    rows = [action(s, start[s] + rng.randrange(150), rng.choice(KINDS)) for s in ids for _ in range(rng.randrange(1, 9))]
+    rows = sorted([*rows, *(action(s, start[s], "pause") for s in ids)], key=lambda r: r[2])
+    # Nothing comes after an end: the batch form counts pauses there, a closed session does not.
+    ends = {r[0]: r[2] for r in reversed(rows) if r[3] == "end"}
+    rows = [r for r in rows if r[2] <= ends.get(r[0], r[2])]
+    settings = spark.createDataFrame([(s, abs(s) % 3, s % 2 == 0) for s in ids], SETTINGS)
+    source, cut, sizes = str(tmp_path / "in"), len(rows) // 4 + 1, []
+    for part in (*(rows[at : at + cut] for at in range(0, len(rows), cut)), [action(-1000, 9_000, "tick")], [action(s, 9_050, "end") for s in ids]):
+        spark.createDataFrame(part, ACTIONS).coalesce(1).write.mode("append").parquet(source)
+        got = run(spark, source, settings, tmp_path)
+        sizes.append(len(got))
+    batch = close_sessions(spark.createDataFrame(rows, ACTIONS).drop("ts"), settings)
+    assert got == sorted(map(tuple, batch.select(*(c.split()[0] for c in limits.CLOSED.split(", "))).collect()))
+    assert 0 < sizes[1] < sizes[3] < sizes[4] == len(ids)
