@@ -116,3 +116,38 @@ def test_none_and_nothing(spark, small_blocks):
     empty = fresh_path(spark, "test-index")
     inverted_index.build(spark.createDataFrame([], VECTORS), empty)
     assert inverted_index.search(queries, empty).count() == 0
+
+
+def even_items(spark, n=3000, buckets=60):
+    """Words spread evenly, so that the first bound skips little."""
+    rng = np.random.default_rng(8)
+    rows = [(i, unit({int(b): float(rng.random()) + 0.1 for b in rng.choice(buckets, 20, replace=False)})) for i in range(n)]
+    return spark.createDataFrame(rows, VECTORS)
+
+
+def test_few_pairs_leave_a_part(spark, monkeypatch):
+    """No table between the steps has a row for each pair of a query and an item it shares a word with."""
+    monkeypatch.setattr(inverted_index, "PART_ROWS", 500)
+    items, target = even_items(spark), fresh_path(spark, "test-index")
+    queries = items.where("item_id % 100 = 0").withColumnRenamed("item_id", "query_id")
+    inverted_index.build(items, target)
+    sizes, write = {}, inverted_index.written
+
+    def counted(df, name):
+        out = write(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(inverted_index, "written", counted)
+    assert rows_of(inverted_index.search(queries, target, 5)) == rows_of(nearest(queries, items, 60, 5, "cosine"))
+    sizes.pop("wanted", None)
+    assert max(sizes.values()) <= 30 * 60, sizes
+
+
+def test_many_questions_meet_a_part_in_tiles(spark, small_blocks, monkeypatch):
+    monkeypatch.setattr(inverted_index, "TILE_QUERIES", 7, raising=False)
+    items, target = random_items(spark, 7), fresh_path(spark, "test-index")
+    queries = items.where("item_id % 9 = 0").withColumnRenamed("item_id", "query_id")
+    inverted_index.build(items, target)
+    want = nearest(queries, items, 30, 7, "cosine").where("distance < 2")
+    assert rows_of(inverted_index.search(queries, target, 7)) == rows_of(want)
