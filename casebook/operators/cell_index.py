@@ -40,6 +40,8 @@ from casebook.session import fresh_path, written
 
 #: Share of the exact hits that `enough_probes` reaches, and the most queries it measures it on.
 RECALL, MEASURED_QUERIES = 0.9, 256
+#: Cells that a query looks into first, for a bound on its hits in the others.
+FIRST_CELLS = 2
 #: Pivots at most; their matrix goes to every task, and each is a folder. Beyond
 #: 16 million vectors cells grow in proportion to the collection.
 MAX_PIVOTS = 4096
@@ -187,25 +189,34 @@ def _looked_up(
     cells, number, pivot = _known_cells(spark, folder, dim)
     low, high = (np.array([c[name] for c in cells]) for name in ("low", "high"))
 
-    def read(ids: pa.Array, q: np.ndarray, near: np.ndarray) -> DataFrame:
+    def read(ids: pa.Array, q: np.ndarray, near: np.ndarray, limit: np.ndarray | None = None) -> DataFrame:
         route = _routed(near, number)
         part = items.filter(F.col("cell").isin(list(route)))
-        return ranked(scan(part, ids, q, dim, k, cosine, schema, route), k)
+        return ranked(scan(part, ids, q, dim, k, cosine, schema, route, limit), k)
 
     def one(ids: pa.Array, q: np.ndarray) -> DataFrame:
         d, order = _by_nearness(q, pivot, number)
-        near = np.zeros(d.shape, bool)
-        np.put_along_axis(near, order[:, :probes], True, axis=1)
-        found = read(ids, q, near)
-        if not exact:
+
+        def nearest_cells(n: int) -> np.ndarray:
+            near = np.zeros(d.shape, bool)
+            np.put_along_axis(near, order[:, :n], True, axis=1)
+            return near
+
+        first = nearest_cells(probes if exact else min(probes, FIRST_CELLS))
+        found = read(ids, q, first)
+        if not exact and probes <= FIRST_CELLS:
             return found
+        # What the first cells hold bounds what has to be measured exactly in the others.
         found = written(found, "probe")
         # One row per query, and the number of queries is bounded.
         k_th = {str(r["query_id"]): r["distance"] for r in found.filter(F.col("rank") == k).collect()}
-        bound = np.sqrt(np.array([k_th.get(str(i), np.inf) for i in spark_values(ids)]))
-        least = np.maximum(d - high[None, :], low[None, :] - d)
-        rest = (least <= widened(bound)[:, None]) & ~near
-        return ranked(found.drop("rank").unionByName(read(ids, q, rest).drop("rank")), k) if rest.any() else found
+        limit = np.array([k_th.get(str(i), np.inf) for i in spark_values(ids)])
+        if exact:
+            least = np.maximum(d - high[None, :], low[None, :] - d)
+            rest = (least <= widened(np.sqrt(limit))[:, None]) & ~first
+        else:
+            rest = nearest_cells(probes) & ~first
+        return ranked(found.drop("rank").unionByName(read(ids, q, rest, limit).drop("rank")), k) if rest.any() else found
 
     if not len(cells):
         return ranked(spark.createDataFrame([], schema), k)

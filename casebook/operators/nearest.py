@@ -99,33 +99,33 @@ def _all_candidates(q: np.ndarray, v: np.ndarray, k: int, limit: np.ndarray):
     return rows, cols, dist[rows, cols]
 
 
-def _tile_candidates(q: np.ndarray, narrow: np.ndarray, v: np.ndarray, k: int, limit: np.ndarray):
-    """Pairs (row, column, distance) that can still be among the ``k`` nearest of their query.
+def _tile_candidates(q: np.ndarray, q2: np.ndarray, narrow: np.ndarray, own: np.ndarray, v: np.ndarray, k: int, limit: np.ndarray):
+    """Pairs (row, column, distance) of the rows ``own`` that can still be among the ``k`` nearest of their query.
 
-    ``narrow`` is ``q`` in single precision. All pairs are measured in it first; its error
-    is at most ``slack``, and what is within reach is measured again in double precision.
-    Where that spares little, all pairs are.
+    ``narrow`` is ``q`` in single precision, ``q2`` are its squares. All pairs are measured
+    in it first; its error is at most ``slack``, and what is within reach is measured again
+    in double precision. Where that spares little, all pairs are.
     """
-    q2, v2 = _squares(q), _squares(v)
+    q2, limit, v2 = q2[own], limit[own], _squares(v)
     largest = np.fmax.reduce(v2, initial=0.0)
-    if not len(q) or not np.fmax.reduce(q2, initial=0.0) + largest < 1e30:
-        return _all_candidates(q, v, k, limit)
-    # Less the square of the query, which is the same for all of its pairs.
-    dist = narrow @ (-2.0 * v).astype(np.float32).T
-    dist += v2.astype(np.float32)
-    # Twice (dim + 8) roundings of 2^-24; and what rounding to digits may bring together.
-    slack = 2.0 * (q.shape[1] + 8) * 2.0**-24 * (q2 + largest)
-    bound = limit - q2 + slack + 10.0**-DIGITS
-    fresh = np.flatnonzero(np.isinf(limit))
-    if len(fresh) and dist.shape[1] > k:
-        k_th = np.partition(dist[fresh], k - 1, axis=1)[:, k - 1]
-        bound[fresh] = k_th + 2 * slack[fresh] + 2 * 10.0**-DIGITS
-    rows, cols = np.divmod(np.flatnonzero(dist <= bound.astype(np.float32)[:, None]), dist.shape[1])
-    if len(rows) > k * len(q) + dist.size // 8:
-        return _all_candidates(q, v, k, limit)
-    dist = _exact(q, v, rows, cols)
-    near = dist <= limit[rows]
-    return rows[near], cols[near], dist[near]
+    if len(own) and np.fmax.reduce(q2, initial=0.0) + largest < 1e30:
+        # Less the square of the query, which is the same for all of its pairs.
+        dist = narrow[own] @ (-2.0 * v).astype(np.float32).T
+        dist += v2.astype(np.float32)
+        # Twice (dim + 8) roundings of 2^-24; and what rounding to digits may bring together.
+        slack = 2.0 * (q.shape[1] + 8) * 2.0**-24 * (q2 + largest)
+        bound = limit - q2 + slack + 10.0**-DIGITS
+        fresh = np.flatnonzero(np.isinf(limit))
+        if len(fresh) and dist.shape[1] > k:
+            k_th = np.partition(dist[fresh], k - 1, axis=1)[:, k - 1]
+            bound[fresh] = k_th + 2 * slack[fresh] + 2 * 10.0**-DIGITS
+        rows, cols = np.divmod(np.flatnonzero(dist <= bound.astype(np.float32)[:, None]), dist.shape[1])
+        if len(rows) <= k * len(own) + dist.size // 8:
+            dist = _exact(q, v, own[rows], cols)
+            near = dist <= limit[rows]
+            return own[rows[near]], cols[near], dist[near]
+    rows, cols, dist = _all_candidates(q[own], v, k, limit)
+    return own[rows], cols, dist
 
 
 def _matrix(column: pa.Array, dim: int, cosine: bool) -> np.ndarray:
@@ -143,19 +143,21 @@ def widened(bound: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """The ``k`` nearest items met so far of each of ``n`` queries."""
+    """The ``k`` nearest items met so far of each of ``n`` queries; with a ``limit`` those not beyond it."""
 
-    def __init__(self, n: int, k: int):
-        self.k, self.limit = k, np.full(n, np.inf)
+    def __init__(self, n: int, k: int, limit: np.ndarray | None = None):
+        self.k, self.limit, self.squares = k, np.full(n, np.inf) if limit is None else limit.copy(), None
         self.best, self.pending, self.waiting = None, [], 0
 
     def look(self, q: np.ndarray, narrow: np.ndarray, asked: np.ndarray | None, ids: np.ndarray, v: np.ndarray) -> None:
         """Items with their vectors, for the queries ``asked`` (None: all); ``narrow`` is ``q`` in single precision."""
-        n, step = len(q) if asked is None else len(asked), max(1, MAX_TILE // max(1, len(v)))
-        for at in range(0, n, step):
-            own = slice(at, min(n, at + step)) if asked is None else asked[at : at + step]
-            rows, cols, dist = _tile_candidates(q[own], narrow[own], v, self.k, self.limit[own])
-            self.pending.append((rows + at if asked is None else own[rows], ids[cols], dist))
+        if self.squares is None:
+            self.squares = _squares(q)
+        asked = np.arange(len(q)) if asked is None else asked
+        step = max(1, MAX_TILE // max(1, len(v)))
+        for at in range(0, len(asked), step):
+            rows, cols, dist = _tile_candidates(q, self.squares, narrow, asked[at : at + step], v, self.k, self.limit)
+            self.pending.append((rows, ids[cols], dist))
             self.waiting += len(rows)
             if self.waiting > max(MERGE_ROWS, len(self.best[0]) if self.best else 0):
                 self._merge()
@@ -178,14 +180,15 @@ class Best:
 def _scan_kernel(shared: Broadcast, k: int, dim: int, cosine: bool):
     """Best ``k`` of each query over a task's items.
 
-    ``shared`` holds the query ids, their matrix, and a route: None, or for each cell
-    the queries that look into it. Routed items carry their cell.
+    ``shared`` holds the query ids, their matrix, a route: None, or for each cell
+    the queries that look into it, and None or a distance for each query beyond which
+    nothing is looked for. Routed items carry their cell.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, route = shared.value
+        ids, q, route, limit = shared.value
         narrow = q.astype(np.float32)
-        best, kind = Best(len(q), k), None
+        best, kind = Best(len(q), k, limit), None
         for batch in batches:
             kind = batch.column("item_id").type
             cells = batch.column("cell").to_numpy() if route is not None else np.zeros(batch.num_rows, int)
@@ -227,9 +230,10 @@ def scan(
     cosine: bool,
     schema: str,
     route: dict[int, np.ndarray] | None = None,
+    limit: np.ndarray | None = None,
 ) -> DataFrame:
     """Best ``k`` per query and task, for a query matrix of bounded size (see ``_scan_kernel``)."""
-    shared = collection.sparkSession.sparkContext.broadcast((ids, queries, route))
+    shared = collection.sparkSession.sparkContext.broadcast((ids, queries, route, limit))
     columns = ["item_id", "vec", *(["cell"] if route is not None else [])]
     source = collection.select(*columns)
     # Routed items stay in their files, where a cell's rows lie together.

@@ -348,3 +348,25 @@ def test_rerank_is_subset_of_nearest(spark):
     assert picked.groupBy("query_id").count().filter("count <> 5").count() == 0
     firsts = picked.filter("pick = 1").join(hits.filter("rank = 1"), ["query_id", "item_id"])
     assert firsts.count() == queries.count()
+
+
+@pytest.mark.parametrize("find", [cell_index.search, cell_index.probe])
+def test_first_cells_bound_what_the_others_return(spark, tmp_path, monkeypatch, find):
+    """Cells after the first ones give only hits within reach, not the best of each task for each query."""
+    m = np.random.default_rng(12).normal(size=(600, DIM))
+    target, calls, scan = str(tmp_path / "cells"), [], cell_index.scan
+    cell_index.build(frame(spark, "item_id", m), target, DIM)
+    queries = frame(spark, "query_id", m[:60])
+
+    def kept(*a, **b):
+        hits = scan(*a, **b)
+        calls.append(sorted((r.query_id, r.distance) for r in hits.collect()))
+        return hits
+
+    monkeypatch.setattr(cell_index, "scan", kept)
+    got = {}
+    for r in find(queries, target, DIM, 5, probes=12).collect() if find is cell_index.probe else find(queries, target, DIM, 5).collect():
+        got.setdefault(r.query_id, []).append((r.distance, r.item_id))
+    assert all(len(x) == 5 for x in got.values()) and len(got) == 60 and len(calls) == 2
+    k_th = {i: sorted(d for q, d in calls[0] if q == i)[4] for i in range(60) if sum(q == i for q, _ in calls[0]) >= 5}
+    assert k_th and calls[1] and all(d <= k_th.get(q, np.inf) for q, d in calls[1])
