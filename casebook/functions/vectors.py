@@ -6,55 +6,52 @@ A vector column is either ``array<float|double>`` or the sparse form
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from casebook.functions.text import let, text_bucket, words
+from casebook.functions.text import words
 
 HASH_DIM = 1024
 DIGITS = 6
+# Words counted at once, and at most one longer text.
+HASHED_WORDS = 1_000_000
+
+
+def _hashed(words: pa.Array, dim: int) -> pa.Array:
+    """Lists of words as unit vectors of their counts by bucket; a null list gives null buckets and weights."""
+    lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy()
+    coded = words.flatten().dictionary_encode()
+    # Each word of the batch is hashed once: the first 32 bits of its md5, as in ``text_bucket``.
+    hashes = (hashlib.md5(w, usedforsecurity=False).digest()[:4] for w in coded.dictionary.cast(pa.binary()).to_pylist())
+    bucket = np.fromiter((int.from_bytes(h, "big") % dim for h in hashes), np.int64, len(coded.dictionary))
+    row = np.repeat(np.arange(len(words)), lengths)
+    entry, count = np.unique(row * dim + bucket[coded.indices.to_numpy()], return_counts=True)
+    row, count = entry // dim, count.astype(np.float64)
+    norm = np.sqrt(np.bincount(row, count * count, len(words)))
+    offsets = pa.array(np.searchsorted(row, np.arange(len(words) + 1)).astype(np.int32))
+    fields = pa.array((entry % dim).astype(np.int32)), pa.array(count / norm[row])
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, f, mask=words.is_null()) for f in fields], ["idx", "val"])
 
 
 def hashed_vector(text: Column, dim: int = HASH_DIM) -> Column:
     """Unit-norm bag-of-words vector in sparse form; no words give empty arrays.
 
-    Runs inside the row: the sorted buckets of the words are cut where the value
-    changes, and the distance between two cuts is the count.
+    Spark cuts the words, NumPy counts them on Arrow batches of texts.
     """
 
-    def of_sorted(buckets: Column) -> Column:
-        n = F.size(buckets)
-        starts = F.filter(
-            F.transform(
-                buckets,
-                lambda b, i: F.when((i == 0) | (b != F.get(buckets, i - 1)), i),
-            ),
-            lambda i: i.isNotNull(),
-        )
-
-        def of_starts(cut: Column) -> Column:
-            counts = F.transform(
-                cut, lambda s, j: (F.coalesce(F.get(cut, j + 1), n) - s).cast("double")
-            )
-            idx = F.transform(cut, lambda s: F.get(buckets, s).cast("int"))
-
-            def scaled(c: Column) -> Column:
-                norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
-                return let(
-                    norm,
-                    lambda z: F.struct(
-                        idx.alias("idx"), F.transform(c, lambda x: x / z).alias("val")
-                    ),
-                )
-
-            return let(counts, scaled)
-
-        return let(starts, of_starts)
+    @F.arrow_udf("struct<idx:array<int>,val:array<double>>")
+    def hashed(batch: pa.Array) -> pa.Array:
+        lengths = pc.fill_null(pc.list_value_length(batch), 0).to_numpy()
+        cuts = np.flatnonzero(np.diff(np.cumsum(lengths, dtype=np.int64) // HASHED_WORDS)) + 1
+        edges = [0, *cuts.tolist(), len(batch)]
+        return pa.concat_arrays([_hashed(batch.slice(lo, hi - lo), dim) for lo, hi in zip(edges[:-1], edges[1:], strict=True)])
 
-    buckets = F.sort_array(F.transform(words(text), lambda w: text_bucket(w, dim)))
-    return let(buckets, of_sorted)
+    return hashed(words(text))
 
 
 def arrow_matrix(column: pa.Array, dim: int) -> np.ndarray:

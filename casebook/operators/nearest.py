@@ -157,12 +157,17 @@ class Best:
         step = max(1, MAX_TILE // max(1, len(v)))
         for at in range(0, len(asked), step):
             rows, cols, dist = _tile_candidates(q, self.squares, narrow, asked[at : at + step], v, self.k, self.limit)
-            self.pending.append((rows, ids[cols], dist))
-            self.waiting += len(rows)
-            if self.waiting > max(MERGE_ROWS, len(self.best[0]) if self.best else 0):
-                self._merge()
+            self.add(rows, ids[cols], dist)
 
-    def _merge(self) -> None:
+    def add(self, rows: np.ndarray, items: np.ndarray, dist: np.ndarray) -> None:
+        """Candidates: query rows, items and distances."""
+        self.pending.append((rows, items, dist))
+        self.waiting += len(rows)
+        if self.waiting > max(MERGE_ROWS, len(self.best[0]) if self.best else 0):
+            self.merge()
+
+    def merge(self) -> None:
+        """Bring the candidates into the best, which may lower the limits."""
         parts = [*([self.best] if self.best else []), *self.pending]
         self.best = _best(*(np.concatenate(p) for p in zip(*parts, strict=True)), self.k)
         self.pending, self.waiting = [], 0
@@ -173,7 +178,7 @@ class Best:
     def rows(self):
         """Query rows, items and distances."""
         if self.pending:
-            self._merge()
+            self.merge()
         return self.best or (EMPTY, EMPTY[:, None], np.zeros(0))
 
 
@@ -327,29 +332,36 @@ def nearest(
     k: int = FETCH_K,
     metric: str = "l2",
     max_numbers: int = MAX_BROADCAST_NUMBERS,
+    stored: bool = False,
 ) -> DataFrame:
     """``queries(query_id, vec)`` against ``collection(item_id, vec)``.
 
     Returns (query_id, item_id, rank, distance): squared Euclidean distance, for
     ``metric="cosine"`` of the vectors scaled to unit length (2 - 2 cos). With more
     queries than fit one matrix, equal vectors are searched once, the collection is
-    written once, and each tile of queries scans it; many small tiles meet it in
-    one job (``scan_pairs``).
+    written once unless it is ``stored`` already, and each tile of queries scans it; many
+    small tiles meet it in one job (``scan_pairs``), sparse vectors by ``sparse_nearest``.
     """
+    from casebook.operators import sparse_nearest
+
     cosine = metric == "cosine"
     schema = hit_schema(queries, collection)
     cap = max(1, max_numbers // dim)
     if queries.limit(cap + 1).count() <= cap:
         ids, rows = next(tiles(queries, dim, cosine, max_numbers))
         return ranked(scan(collection, ids, rows, dim, k, cosine, schema), k)
-    stored = written(collection.select("item_id", "vec"), "collection")
+    items = collection.select("item_id", "vec")
+    items = items if stored else written(items, "collection")
     distinct = written(queries.groupBy("vec").agg(F.min("query_id").alias("query_id")), "distinct")
-    if max_numbers < SMALL_MATRIX and distinct.count() > FEW_TILES * cap:
-        best = written(ranked(scan_pairs(distinct, stored, dim, k, cosine, schema, max_numbers), k), "hits")
+    kinds = dict(queries.dtypes)["vec"], dict(items.dtypes)["vec"]
+    if cosine and dim >= 2 * sparse_nearest.FEATURES and all(kind.startswith("struct") for kind in kinds):
+        best = sparse_nearest.nearest_sparse(distinct, items, dim, k, schema, max_numbers)
+    elif max_numbers < SMALL_MATRIX and distinct.count() > FEW_TILES * cap:
+        best = written(ranked(scan_pairs(distinct, items, dim, k, cosine, schema, max_numbers), k), "hits")
     else:
         path = fresh_path(queries.sparkSession, "hits")
         for ids, rows in tiles(distinct, dim, cosine, max_numbers):
-            found = ranked(scan(stored, ids, rows, dim, k, cosine, schema), k)
+            found = ranked(scan(items, ids, rows, dim, k, cosine, schema), k)
             found.write.mode("append").parquet(path)
         best = queries.sparkSession.read.schema(found.schema).parquet(path)
     same = queries.select(F.col("query_id").alias("asked_id"), "vec").join(distinct, "vec").select("asked_id", "query_id")

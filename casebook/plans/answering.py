@@ -53,8 +53,22 @@ def search_documents(
     """``questions(query_id, question)`` against documents: (query_id, pick, item_id, text).
 
     Texts and vectors of the hits come from their documents alone, which are
-    selected before they are chunked, and only the hits are embedded again.
+    selected before they are chunked, and only the hits are embedded again. Hits of more
+    questions than fit one matrix are in most documents: then chunks are made and embedded
+    once, and stored.
     """
+    questions = written(questions, "questions")
+    if questions.limit(max_numbers // dim + 1).count() > max_numbers // dim:
+        chunks = written(embed_hashed(chunk_documents(documents), dim=dim).select("chunk_id", "text", "vec"), "chunks")
+        stored = chunks.withColumnRenamed("chunk_id", "item_id")
+        worded = stored.where(F.size("vec.idx") > 0).select("item_id", "vec")
+        return _search(
+            lambda asked: nearest(asked, worded, dim, fetch_k, "cosine", max_numbers, stored=True),
+            lambda hits: stored.join(hits.select("item_id").distinct(), "item_id", "left_semi"),
+            questions,
+            dim,
+            k,
+        )
 
     def fetch(hits: DataFrame) -> DataFrame:
         wanted = hits.select(F.col("item_id").alias("chunk_id")).distinct()
