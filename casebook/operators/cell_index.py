@@ -15,7 +15,7 @@ can hold something nearer to this query. Cells that no query looks into are not
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,7 @@ from casebook.operators.nearest import (
     _matrix,
     bounded_rows,
     hit_schema,
+    limits,
     ranked,
     scan,
     tiles,
@@ -45,6 +46,8 @@ FIRST_CELLS = 2
 #: Pivots at most; their matrix goes to every task, and each is a folder. Beyond
 #: 16 million vectors cells grow in proportion to the collection.
 MAX_PIVOTS = 4096
+#: Distances of queries to pivots that the driver holds at once.
+MAX_ROUTED = 1_000_000
 
 
 def _items(folder: str) -> str:
@@ -130,9 +133,46 @@ def build(collection: DataFrame, folder: str, dim: int, metric: str = "l2", pivo
     known.join(stats, "cell").coalesce(1).write.parquet(_cells(folder))
 
 
-def _routed(near: np.ndarray, number: np.ndarray) -> dict[int, np.ndarray]:
-    """For each cell the rows of the queries that look into it; ``near`` is queries x cells."""
-    return {int(number[c]): np.flatnonzero(near[:, c]) for c in np.flatnonzero(near.any(axis=0))}
+class Routes:
+    """For each cell the rows of the queries that look into it, eight queries in a byte."""
+
+    def __init__(self, number: np.ndarray, queries: int):
+        self.place, self.queries = {int(c): i for i, c in enumerate(number)}, queries
+        self.bits = np.zeros((len(number), -(-queries // 8)), np.uint8)
+
+    def put(self, at: int, near: np.ndarray) -> None:
+        """``near`` is queries x cells, for the queries from ``at`` on, which is a multiple of eight."""
+        packed = np.packbits(near.T, axis=1)
+        self.bits[:, at // 8 : at // 8 + packed.shape[1]] = packed
+
+    def cells(self) -> list[int]:
+        filled = self.bits.any(axis=1)
+        return [c for c, i in self.place.items() if filled[i]]
+
+    def get(self, cell: int, otherwise: np.ndarray) -> np.ndarray:
+        at = self.place.get(cell)
+        return otherwise if at is None else np.flatnonzero(np.unpackbits(self.bits[at], count=self.queries))
+
+
+def _routes(q: np.ndarray, pivot: np.ndarray, number: np.ndarray, near: Callable[[slice, np.ndarray], np.ndarray]) -> Routes:
+    """``near(part, distances)`` tells the cells of a part of the queries by their distances to the pivots."""
+    routes = Routes(number, len(q))
+    step = max(1, MAX_ROUTED // len(number) // 8) * 8
+    for at in range(0, len(q), step):
+        part = slice(at, at + step)
+        routes.put(at, near(part, np.sqrt(squared_distances(q[part], pivot))))
+    return routes
+
+
+def _nearest_cells(d: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` nearest cells of each query, of equally near ones those with smaller numbers, which come first."""
+    if n >= d.shape[1]:
+        return np.ones(d.shape, bool)
+    rounded = np.round(d * d, DIGITS)
+    rounded[np.isnan(rounded)] = np.inf
+    nth = np.partition(rounded, n - 1, axis=1)[:, n - 1 : n]
+    near, ties = rounded < nth, rounded == nth
+    return near | (ties & (np.cumsum(ties, axis=1) <= n - near.sum(axis=1, keepdims=True)))
 
 
 def _by_nearness(q: np.ndarray, pivot: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,34 +229,28 @@ def _looked_up(
     cells, number, pivot = _known_cells(spark, folder, dim)
     low, high = (np.array([c[name] for c in cells]) for name in ("low", "high"))
 
-    def read(ids: pa.Array, q: np.ndarray, near: np.ndarray, limit: np.ndarray | None = None) -> DataFrame:
-        route = _routed(near, number)
-        part = items.filter(F.col("cell").isin(list(route)))
-        return ranked(scan(part, ids, q, dim, k, cosine, schema, route, limit), k)
+    def read(ids: pa.Array, q: np.ndarray, routes: Routes, limit: np.ndarray | None = None) -> DataFrame:
+        part = items.filter(F.col("cell").isin(routes.cells()))
+        return ranked(scan(part, ids, q, dim, k, cosine, schema, routes, limit), k)
 
     def one(ids: pa.Array, q: np.ndarray) -> DataFrame:
-        d, order = _by_nearness(q, pivot, number)
-
-        def nearest_cells(n: int) -> np.ndarray:
-            near = np.zeros(d.shape, bool)
-            np.put_along_axis(near, order[:, :n], True, axis=1)
-            return near
-
-        first = nearest_cells(probes if exact else min(probes, FIRST_CELLS))
-        found = read(ids, q, first)
+        firsts = probes if exact else min(probes, FIRST_CELLS)
+        found = read(ids, q, _routes(q, pivot, number, lambda part, d: _nearest_cells(d, firsts)))
         if not exact and probes <= FIRST_CELLS:
             return found
         # What the first cells hold bounds what has to be measured exactly in the others.
         found = written(found, "probe")
-        # One row per query, and the number of queries is bounded.
-        k_th = {str(r["query_id"]): r["distance"] for r in found.filter(F.col("rank") == k).collect()}
-        limit = np.array([k_th.get(str(i), np.inf) for i in spark_values(ids)])
-        if exact:
-            least = np.maximum(d - high[None, :], low[None, :] - d)
-            rest = (least <= widened(np.sqrt(limit))[:, None]) & ~first
-        else:
-            rest = nearest_cells(probes) & ~first
-        return ranked(found.drop("rank").unionByName(read(ids, q, rest, limit).drop("rank")), k) if rest.any() else found
+        limit = limits(found, ids, k)
+        reach = widened(np.sqrt(limit))[:, None]
+
+        def others(part: slice, d: np.ndarray) -> np.ndarray:
+            wanted = np.maximum(d - high[None, :], low[None, :] - d) <= reach[part] if exact else _nearest_cells(d, probes)
+            return wanted & ~_nearest_cells(d, firsts)
+
+        rest = _routes(q, pivot, number, others)
+        if not rest.bits.any():
+            return found
+        return ranked(found.drop("rank").unionByName(read(ids, q, rest, limit).drop("rank")), k)
 
     if not len(cells):
         return ranked(spark.createDataFrame([], schema), k)

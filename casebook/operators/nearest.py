@@ -185,8 +185,8 @@ class Best:
 def _scan_kernel(shared: Broadcast, k: int, dim: int, cosine: bool):
     """Best ``k`` of each query over a task's items.
 
-    ``shared`` holds the query ids, their matrix, a route: None, or for each cell
-    the queries that look into it, and None or a distance for each query beyond which
+    ``shared`` holds the query ids, their matrix, a route: None, or what gets for each
+    cell the queries that look into it, and None or a distance for each query beyond which
     nothing is looked for. Routed items carry their cell.
     """
 
@@ -217,6 +217,16 @@ def ranked(hits: DataFrame, k: int) -> DataFrame:
     return best.select("query_id", "item_id", F.col("rank").cast("bigint"), "distance")
 
 
+def limits(found: DataFrame, ids: pa.Array, k: int) -> np.ndarray:
+    """For each of ``ids`` the distance of its ``k``-th hit, inf where it has fewer; their number is bounded."""
+    table = found.where(F.col("rank") == k).select("query_id", "distance").toArrow().combine_chunks()
+    column = table.column("query_id")
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    known = map(tuple, id_numbers(column).tolist()) if table.num_rows else ()
+    k_th = dict(zip(known, table.column("distance").to_pylist(), strict=True))
+    return np.array([k_th.get(i, np.inf) for i in map(tuple, id_numbers(ids).tolist())], float)
+
+
 def bounded_rows(limited: DataFrame, dim: int, cosine: bool) -> tuple[pa.Array, np.ndarray]:
     """Ids and matrix of a table of (id, vec) whose number of rows is bounded."""
     table = limited.toArrow().combine_chunks()
@@ -234,7 +244,7 @@ def scan(
     k: int,
     cosine: bool,
     schema: str,
-    route: dict[int, np.ndarray] | None = None,
+    route=None,
     limit: np.ndarray | None = None,
 ) -> DataFrame:
     """Best ``k`` per query and task, for a query matrix of bounded size (see ``_scan_kernel``)."""

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casebook.functions.vectors import DIGITS
-from casebook.operators.nearest import MAX_BROADCAST_NUMBERS, Best, _hits, _tile_candidates, id_column, id_numbers, ranked
+from casebook.operators.nearest import MAX_BROADCAST_NUMBERS, Best, _hits, _tile_candidates, id_column, id_numbers, limits, ranked
 from casebook.session import fresh_path, written
 
 #: Groups of buckets; vectors of fewer than twice as many buckets are better measured densely.
@@ -200,18 +200,6 @@ def _collected(part: DataFrame) -> tuple[pa.Array, Sparse]:
     return ids, Sparse.of(vectors)
 
 
-def _limits(found: DataFrame, ids: pa.Array, k: int) -> np.ndarray:
-    """The distance of each query's ``k``-th hit, inf where it has fewer."""
-    kth = found.where(F.col("rank") == k).select("query_id", "distance").toArrow().combine_chunks()
-    place = {i: n for n, i in enumerate(map(tuple, id_numbers(ids).tolist()))}
-    limit = np.full(len(ids), np.inf)
-    if kth.num_rows:
-        column = kth.column("query_id")
-        known = id_numbers(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
-        limit[[place[i] for i in map(tuple, known.tolist())]] = kth.column("distance").to_numpy()
-    return limit
-
-
 def nearest_sparse(queries: DataFrame, items: DataFrame, dim: int, k: int, schema: str, max_numbers: int = MAX_BROADCAST_NUMBERS) -> DataFrame:
     """``queries(query_id, vec)`` of unlike vectors against ``items(item_id, vec)``, both stored: rows as from ``nearest``."""
     spark = queries.sparkSession
@@ -227,6 +215,6 @@ def nearest_sparse(queries: DataFrame, items: DataFrame, dim: int, k: int, schem
         if not len(ids):
             continue
         found = written(ranked(_scan(items.where(first), ids, rows, None, dim, k, schema), k), "first-hits")
-        rest = _scan(items.where(~first), ids, rows, _limits(found, ids, k), dim, k, schema)
+        rest = _scan(items.where(~first), ids, rows, limits(found, ids, k), dim, k, schema)
         ranked(found.drop("rank").unionByName(rest), k).write.mode("append").parquet(path)
     return spark.read.schema(ranked(spark.createDataFrame([], schema), k).schema).parquet(path)

@@ -370,3 +370,22 @@ def test_first_cells_bound_what_the_others_return(spark, tmp_path, monkeypatch,
     assert all(len(x) == 5 for x in got.values()) and len(got) == 60 and len(calls) == 2
     k_th = {i: sorted(d for q, d in calls[0] if q == i)[4] for i in range(60) if sum(q == i for q, _ in calls[0]) >= 5}
     assert k_th and calls[1] and all(d <= k_th.get(q, np.inf) for q, d in calls[1])
+
+
+def test_queries_times_cells_do_not_lie_in_the_driver(spark, tmp_path, monkeypatch):
+    """Distances to the pivots are taken for a part of the queries at a time, and routes are bits."""
+    import tracemalloc
+
+    m = np.random.default_rng(21).normal(size=(3000, DIM))
+    target = str(tmp_path / "cells")
+    cell_index.build(frame(spark, "item_id", m), target, DIM, pivots=300)
+    monkeypatch.setattr(cell_index, "MAX_ROUTED", 50_000, raising=False)
+    queries = frame(spark, "query_id", m).repartition(4)
+    tracemalloc.start()
+    try:
+        hits = cell_index.search(queries, target, DIM, 5)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 8 * 3000 * 300  # one matrix of all distances
+    assert ranked(hits) == brute(m, m, 5)
